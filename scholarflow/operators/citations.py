@@ -1,0 +1,62 @@
+"""Citation series and their windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+
+def calculated_citations(edges: DataFrame, years: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """work_id, year, citations: edges (citing, cited) counted by the cited work and the citing work's year.
+
+    targets (work_id) keeps their citations only. Counts are taken before the
+    shuffle as well, so a work cited by a third of all works is no burden.
+    """
+    if targets is not None:
+        edges = edges.join(targets.select(F.col("work_id").alias("cited")), "cited", "left_semi")
+    dated = edges.join(years.select(F.col("work_id").alias("citing"), "year"), "citing")
+    return dated.groupBy(F.col("cited").alias("work_id"), "year").agg(F.count("*").alias("citations"))
+
+
+def running(cby: DataFrame) -> DataFrame:
+    """cby with cumulative: all citations up to and in that year."""
+    return cby.withColumn("cumulative", F.sum("citations").over(W.partitionBy("work_id").orderBy("year").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def crossings(cby: DataFrame, threshold: int) -> DataFrame:
+    """work_id, crossing_year: the first year in which the running sum reaches the threshold."""
+    return running(cby).where(F.col("cumulative") >= threshold).groupBy("work_id").agg(F.min("year").alias("crossing_year"))
+
+
+def lagged_stock(dense: DataFrame) -> DataFrame:
+    """dense (a row for each year) with stock: citations of all earlier years."""
+    return dense.withColumn("stock", F.coalesce(F.sum("citations").over(W.partitionBy("work_id").orderBy("year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+
+
+def related_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """focal, other: itself, what it cites and what cites it."""
+    same = nodes.select(F.col("work_id").alias("focal"), F.col("work_id").alias("other"))
+    return same.union(edges.select(F.col("citing").alias("focal"), F.col("cited").alias("other"))).union(edges.select(F.col("cited").alias("focal"), F.col("citing").alias("other"))).distinct()
+
+
+def coverage(focal: DataFrame, calculated: DataFrame, recorded: DataFrame) -> DataFrame:
+    """One row of how calculated totals agree with recorded ones over the focal works."""
+    sums = calculated.groupBy("work_id").agg(F.sum("citations").alias("total"))
+    both = focal.select("work_id").distinct().join(recorded.select("work_id", "cites"), "work_id", "left").join(sums, "work_id", "left")
+    diff = F.coalesce("total", F.lit(0)) - F.coalesce("cites", F.lit(0))
+    n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).cast("bigint")
+    return both.agg(
+        F.count("*").alias("focal"),
+        n(diff == 0).alias("exact"),
+        n(F.col("total").isNull() & (F.coalesce("cites", F.lit(0)) > 0)).alias("missing"),
+        n(F.col("total").isNotNull() & (diff > 0)).alias("higher"),
+        n(F.col("total").isNotNull() & (diff < 0)).alias("lower"),
+        F.coalesce(F.sum(F.when(F.col("total").isNotNull(), F.abs(diff))), F.lit(0)).cast("bigint").alias("abs_diff"),
+    )
+
+
+def repeated_references(edges: DataFrame) -> DataFrame:
+    """matches, citers, repeats of an edge list that isn't distinct."""
+    pairs = edges.groupBy("citing", "cited").agg(F.count("*").alias("n"))
+    return pairs.agg(F.sum("n").cast("bigint").alias("matches"), F.count("*").alias("unique_pairs"), F.sum(F.col("n") - 1).cast("bigint").alias("repeats"))
