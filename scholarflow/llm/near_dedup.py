@@ -9,8 +9,9 @@ agree in at least MATCHES coordinates but for a chance below 1e-6, so
 A list's sets aren't paired with each other. Rounds link each to one leader of
 its list, confirm the link on the full sets, and take whole components together:
 a list of which all sets are in one component is done and skipped from then on.
-What is left after some rounds is compared in full, across components only,
-after sets that share too few shingles with any other are put aside.
+What is left after some rounds is compared in full, across components only;
+sets that share too few shingles with all others together are put aside, as are
+pairs of which one shares too few for the other's size.
 
 Sets are of 64-bit shingle hashes, spread over Spark as rows; components are
 found by Spark joins as well.
@@ -35,7 +36,7 @@ PERCENT = 75
 COORDINATES = 32
 #: A pair at 0.75 agrees in 9 coordinates or fewer with a chance of 2e-7.
 MATCHES = 10
-ROUNDS = 3
+ROUNDS = 5
 
 _FACTORS = X.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * X.MULT) | np.uint64(1)
 
@@ -165,10 +166,12 @@ def _links(docs: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
     live = S.save(live.join(open_, "list"), "open")
     mine = sets.join(live.select("rep").distinct(), "rep").select("rep", F.size("set").alias("n"), F.explode("set").alias("s"))
     common = mine.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    able = mine.join(common, "s").groupBy("rep").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"100 * shared >= {PERCENT} * n").select("rep")
-    live = S.save(live.join(able, "rep", "left_semi"), "able")
-    other = live.select("list", F.col("rep").alias("b"), F.col("comp").alias("other"))
-    pairs = live.withColumnRenamed("rep", "a").join(other, "list").where("a < b and comp <> other").select("a", "b").distinct()
+    able = mine.join(common, "s").groupBy("rep").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"100 * shared >= {PERCENT} * n")
+    live = S.save(live.join(able, "rep"), "able")
+    # two sets have no more in common than the lesser has with all others
+    other = live.select("list", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("shared").alias("t"), F.col("n").alias("m"))
+    reach = f"100 * least(shared, t) >= {PERCENT} * (n + m - least(shared, t))"
+    pairs = live.withColumnRenamed("rep", "a").join(other, "list").where(f"a < b and comp <> other and {reach}").select("a", "b").distinct()
     return S.save(links.union(_confirmed(pairs, sigs, sets)), "links")
 
 
