@@ -81,7 +81,7 @@ def pretoken_starts(codes: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -
 class PretokenEncoder:
     """value(ids) is kept for each distinct pre-token: its ids, or their number."""
 
-    def __init__(self, name: str, counts: bool = False, whole: np.ndarray | None = None, limit: int = 300_000):
+    def __init__(self, name: str, counts: bool = False, whole: np.ndarray | None = None, limit: int = 500_000):
         import tokenizers
 
         path = tokenizer_path(name)
@@ -91,7 +91,8 @@ class PretokenEncoder:
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.direct = bool(made.get("normalizer")) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex")
         self.special = [t["content"] for t in made.get("added_tokens", [])]
-        self.counts, self.limit, self.cache = counts, limit, {}
+        self.counts, self.limit = counts, limit
+        self.cache, self.older = {}, {}  # what has been asked for again lives on when the cache is full
         self.whole = np.zeros(0, np.uint64) if whole is None else whole
         self.kinds = None if self.direct else classes()
 
@@ -114,12 +115,19 @@ class PretokenEncoder:
             near = np.minimum(np.searchsorted(self.whole, distinct), len(self.whole) - 1)
             for i in np.flatnonzero(self.whole[near] == distinct).tolist():
                 values[i] = 1
-        missing = [i for i, v in enumerate(values) if v is None]
+        missing = []
+        for i, v in enumerate(values):
+            if v is None:
+                h = int(distinct[i])
+                if (v := self.older.get(h)) is None:
+                    missing.append(i)
+                else:
+                    values[i] = self.cache[h] = v
         if missing:
             joined = "".join(texts)
             found = self.tokenizer.encode_batch_fast([joined[starts[j] : ends[j]] for j in at[missing].tolist()], add_special_tokens=False)
             if len(self.cache) + len(missing) > self.limit:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             for i, e in zip(missing, found, strict=True):
                 values[i] = len(e.ids) if self.counts else np.array(e.ids, np.uint32).tobytes()
                 self.cache[int(distinct[i])] = values[i]
