@@ -9,9 +9,10 @@ agree in at least MATCHES coordinates but for a chance below 1e-6, so
 A list's sets aren't paired with each other. Rounds link each to one leader of
 its list, confirm the link on the full sets, and take whole components together:
 a list of which all sets are in one component is done and skipped from then on.
-What is left after some rounds is compared in full, across components only;
-sets that share too few shingles with all others together are put aside, as are
-pairs of which one shares too few for the other's size.
+Sets of lists that are left after some rounds are compared across components
+only, by a second inverted join: of a set's shingles, rare ones first, a prefix
+is posted that a linked set can't miss, so sets that differ from their leader in
+ways of their own meet nothing.
 
 Sets are of 64-bit shingle hashes, spread over Spark as rows; components are
 found by Spark joins as well.
@@ -36,7 +37,7 @@ PERCENT = 75
 COORDINATES = 32
 #: A pair at 0.75 agrees in 9 coordinates or fewer with a chance of 2e-7.
 MATCHES = 10
-ROUNDS = 5
+ROUNDS = 3
 
 _FACTORS = X.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * X.MULT) | np.uint64(1)
 
@@ -160,21 +161,39 @@ def _links(docs: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
         pairs = live.join(lead.select("list", F.col("x.rep").alias("lead"), F.col("x.comp").alias("its")), "list").where("comp <> its").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
         links = S.save(links.union(_confirmed(pairs, sigs, sets)), f"links-{k}")
         comp = components(links, f"round-{k}")
-    # the rest in full: first without what shares too little with any other
     live = _live(held, comp)
     open_ = live.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    live = S.save(live.join(open_, "list"), "open")
-    mine = sets.join(live.select("rep").distinct(), "rep").select("rep", F.size("set").alias("n"), F.explode("set").alias("s"))
-    common = mine.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-    able = mine.join(common, "s").groupBy("rep").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(f"100 * shared >= {PERCENT} * n")
-    live = S.save(live.join(able, "rep"), "able")
-    # two sets have no more in common than the lesser has with all others
-    other = live.select("list", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("shared").alias("t"), F.col("n").alias("m"))
-    reach = f"100 * least(shared, t) >= {PERCENT} * (n + m - least(shared, t))"
-    pairs = live.withColumnRenamed("rep", "a").join(other, "list").where(f"a < b and comp <> other and {reach}").select("a", "b").distinct()
+    pairs = _across(live.join(open_, "list").select("rep", "comp").distinct(), sets)
     return S.save(links.union(_confirmed(pairs, sigs, sets)), "links")
 
 
+def _needed(n: str, m: str) -> str:
+    """SQL of the least number of common shingles that links sets of n and m."""
+    return f"({PERCENT} * ({n} + {m}) + {99 + PERCENT}) div {100 + PERCENT}"
+
+
+def _across(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: all pairs of reps (rep, comp) of different components that may be linked.
+
+    Shingles are put in one order for all sets, rare ones first. Linked sets of
+    n and m shingles have `_needed` in common, so they share one of the first
+    n - needed + 1 of one set and the first m - needed + 1 of the other. What all
+    copies of a text have stands last and is seldom reached.
+    """
+    mine = reps.join(sets, "rep").select("rep", "comp", F.size("set").cast("long").alias("n"), F.explode("set").alias("s"))
+    seen = mine.groupBy("s").agg(F.count("*").alias("c"))
+    order = mine.join(seen, "s").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))  # one set at most
+    first = order.select("rep", "comp", "n", F.posexplode(F.expr(f"slice(l, 1, cast(n - ({PERCENT} * n + 99) div 100 + 1 as int))")).alias("at", "x"))
+    first = S.save(first.where("x.c > 1").select("rep", "comp", "n", F.col("x.s").alias("s"), (F.col("at") + 1).alias("at")), "prefixes")
+    ends = first.groupBy("s").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", "least")
+    live = first.join(ends, "s")
+    small = live.where(f"at <= n - {_needed('n', 'n')} + 1").select("s", F.col("rep").alias("a"), "comp", "n", "at")
+    large = live.where(f"at <= n - {_needed('least', 'n')} + 1").select("s", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
+    both = f"at <= n - {_needed('n', 'm')} + 1 and place <= m - {_needed('n', 'm')} + 1 and 100 * n >= {PERCENT} * m"
+    pairs = small.join(large, "s").where(f"(n < m or n = m and a < b) and comp <> other and {both}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _repeated(docs: DataFrame) -> bool:
     return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
