@@ -6,10 +6,10 @@ more with it: over lower-case five-word shingles, the sum of the lesser
 multiplicities by the sum of the greater ones. Items of fewer than five words
 count as one shingle of their whole length.
 
-1. Shingles of the texts meet those of the items. A window that is similar
-   enough shares 0.75 of the item's shingles or more, so other pairs of a text
-   and an item go. What is left tells where windows can begin, give or take the
-   words that may be missing or added.
+1. Shingles of the texts meet those of the items. A window as long as the item
+   is similar enough only if 6/7 of its places or more hit the item (a shorter
+   text: 0.75 of the item's), wherever they stand in it: all windows with so many
+   hits are made, whatever the order of the passages in them.
 2. Each of these windows and each item gets a 64-bit SimHash. Fingerprints are
    cut into RADIUS + 1 blocks; two within RADIUS bits agree in one block at
    least, so an equi-join on blocks meets all of them.
@@ -38,6 +38,14 @@ RADIUS = 24
 BROADCAST_ROWS = 1_000_000
 
 
+#: A window of m shingles is similar enough if it shares NEED of an item's m or more, which is no more than its places that hit.
+NEED = f"cast((2 * {PERCENT} * m + {99 + PERCENT}) div {100 + PERCENT} as int)"
+#: Starts of all windows with NEED hits or more, by the first hit in them; a text shorter than the item is one window.
+STARTS = f"""case when n < size then array(0) when size(ps) < {NEED} then cast(array() as array<int>) else flatten(transform(sequence(0, size(ps) - {NEED}),
+    j -> case when greatest(ps[j + {NEED} - 1] - m + 1, if(j = 0, 0, ps[greatest(j - 1, 0)] + 1)) <= least(ps[j], n - size)
+    then sequence(greatest(ps[j + {NEED} - 1] - m + 1, if(j = 0, 0, ps[greatest(j - 1, 0)] + 1)), least(ps[j], n - size)) else cast(array() as array<int>) end)) end"""
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -93,14 +101,11 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
     shingle = items.select("item_id", "size", "m", F.posexplode("sh").alias("o", "h"))
     texts = _texts(docs, k)
     # outer: else Spark infers a filter on the array's size, and works the array out a second time, for each of its elements
-    hits = texts.select("t0", "t1", "n", F.posexplode_outer("sh").alias("p", "h")).join(_small(shingle), "h")
+    hits = texts.select("t0", "t1", "n", F.posexplode_outer("sh").alias("p", "h")).join(_small(shingle.select("item_id", "size", "m", "h").distinct()), "h")
     # equal texts hit at the same places
-    at = hits.groupBy("t0", "t1", "n", "item_id", "size", "m", F.expr("p - o").alias("at")).agg(F.count_distinct("p", "o").alias("c"))
-    at = S.save(at, "hits")
-    likely = at.groupBy("t0", "t1", "item_id").agg(F.sum("c").alias("c"), F.first("m").alias("m")).where(f"100 * c >= {PERCENT} * m").select("t0", "t1", "item_id")
-    near = at.join(likely, ["t0", "t1", "item_id"], "left_semi")
-    span = near.withColumn("slack", F.expr("cast(floor(m / 7) as int) + 1")).withColumn("start", F.explode(F.expr("sequence(at - slack, at + slack)")))
-    windows = span.select("t0", "t1", "item_id", "size", "m", F.expr("greatest(0, least(start, n - size))").alias("start")).distinct()
+    at = hits.groupBy("t0", "t1", "n", "item_id", "size", "m").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    at = S.save(at.where(f"100 * size(ps) >= {PERCENT} * m"), "hits")
+    windows = at.select("t0", "t1", "item_id", "size", "m", F.explode(F.expr(STARTS)).alias("start"))
     windows = S.save(windows, "windows")
     some = docs.select(*S.text_key(F.col("text")), "text").join(_small(windows.select("t0", "t1").distinct()), ["t0", "t1"], "left_semi").dropDuplicates(["t0", "t1"])
     shown = windows.join(_texts(some, k).select("t0", "t1", "sh"), ["t0", "t1"]).withColumn("h", F.explode_outer(F.expr(f"slice(sh, start + 1, size - {k} + 1)"))).drop("sh").where("h is not null")

@@ -154,6 +154,36 @@ def test_decontamination(spark, odd, empty):
     assert decontamination.leaks(odd, bench.where("false")).where("kept").count() == odd.count()
 
 
+def plain_leaks(text, items):
+    """Item ids and the best similarity, over every window of a text."""
+    w = words(text)
+    grams = lambda x: collections.Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+    found = {}
+    for i, item in items:
+        own = grams(words(item))
+        size = len(words(item))
+        for s in range(max(0, len(w) - size) + 1):
+            here = grams(w[s : s + size])
+            both, every = (here & own).total(), (here | own).total()
+            if every and 100 * both >= 75 * every:
+                found[i] = max(found.get(i, 0), both / every)
+    return found
+
+
+def test_decontamination_of_moved_passages(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"q{rng.randrange(10**5)}" for _ in range(104))) for i in range(3)] + [(3, "la " * 12 + "end of song"), (4, "la la le la la lo la la le la la")]
+    pad = [f"p{i}" for i in range(200)]
+    one, two = items[0][1].split(), items[1][1].split()
+    texts = [pad + one[52:] + one[:52] + pad, pad[:9] + two[70:] + two[30:70] + two[:30], one[26:52] + one[:26] + pad[:3] + one[52:] + pad, one[52:] + one[:40], ["la"] * 40 + pad[:4] + "la la le la la lo la la le la la la".split(), pad + one[:60] + pad + one[60:]]
+    texts += [[x for x in two if rng.random() < 0.98] + pad[:k] for k in range(8)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {k: plain_leaks(t, items) for k, t in rows}
+    assert want[0][0] == 96 / 104
+    assert {r.doc_id: (r.leaked_items, round(r.best_similarity, 9)) for r in got} == {k: (",".join(map(str, sorted(x))), round(max(x.values(), default=0), 9)) for k, x in want.items()}
+
+
 def test_token_output(spark, odd, empty, tmp_path):
     tok = tokenizer()
     path = str(tmp_path / "t")
