@@ -1,7 +1,10 @@
 """Secret scans: base patterns, and a randomness test battery on other long runs.
 
-A run of token characters that no base span covers is taken as hex, base 32 or
-base 64 by the characters it has. Three tests on it:
+A run of token characters that no base span covers is taken as hex, base 32,
+base 36 or base 64 by the characters it has; '=' is padding at its end, and cuts
+runs elsewhere (NAME=value). A run with signs is also tested without the plain
+words at its ends, and each part between slashes by itself, so that a path
+round a token doesn't hide it. Three tests on it:
   * chi-squared: are the alphabet's characters uniform? (two alphabets at most
     as long as the run allows: neighbouring characters are pooled to expect 2
     or more each),
@@ -36,7 +39,12 @@ _NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _ei
 ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: Signs between the parts of a run, and parts that are a plain word or number.
+SIGNS = re.compile(r"[+/_-]")
+PLAIN = re.compile(r"[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,8}")
+#: Fewest characters of a run.
+LEAST = 20
 _HINT = re.compile(rf"{_NAMES}")
 KINDS = ("assign", "access", "hex")
 
@@ -50,6 +58,9 @@ ENCODINGS = (
     ("hex", "0123456789abcdef"),
     ("hex", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 )
 
@@ -100,6 +111,31 @@ def battery(run: str) -> tuple[str, float, float, float, float] | None:
     return name, _tail(max(chi, 1e-9), bins - 1), runs, serial, text
 
 
+def pieces(start: int, run: str) -> list[tuple[int, int, str]]:
+    """The run, what is left of it without plain words at its ends, and each of its parts between slashes: those that are long enough."""
+    cuts = [(m.start(), m.end()) for m in SIGNS.finditer(run)]
+    spans = {(0, len(run))}
+    if cuts:
+        parts = list(zip([0, *(e for _, e in cuts)], [*(s for s, _ in cuts), len(run)], strict=True))
+        odd = [p for p in parts if not PLAIN.fullmatch(run, *p)]
+        if odd:
+            spans.add((odd[0][0], odd[-1][1]))
+        slashes = [s for s, _ in cuts if run[s] == "/"]
+        spans.update(zip([0, *(s + 1 for s in slashes)], [*slashes, len(run)], strict=True))
+    return [(start + s, start + e, run[s:e]) for s, e in sorted(spans) if e - s >= LEAST]
+
+
+def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of spans (start, end, kind) that overlap, the longest."""
+    out: list[tuple[int, int, str]] = []
+    for x in sorted(spans):
+        if out and x[0] < out[-1][1]:
+            out[-1] = max(out[-1], x, key=lambda y: y[1] - y[0])
+        else:
+            out.append(x)
+    return out
+
+
 def random_runs(runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Of (start, end, run), those that are taken as secrets, each with its encoding."""
     tested = [(s, e, b) for s, e, r in runs if (b := battery(r))]
@@ -109,7 +145,7 @@ def random_runs(runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     mean = sum(e - s for s, e, _ in tested) / len(tested)
     ranked = sorted((b[4] * mean / (e - s), s, e, b) for s, e, b in tested)
     last = max((i for i, x in enumerate(ranked, 1) if x[0] <= DISCOVERY * i / len(ranked)), default=0)
-    return sorted((s, e, f"random_{b[0]}") for _, s, e, b in ranked[:last] if min(b[1:4]) >= ALPHA)
+    return apart([(s, e, f"random_{b[0]}") for _, s, e, b in ranked[:last] if min(b[1:4]) >= ALPHA])
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -122,7 +158,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     runs = []
     if max(map(len, text.split()), default=0) >= 20:
         base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-        runs = [(m.start(), m.end(), m[0]) for m in RUN.finditer(text)]
+        runs = [x for m in RUN.finditer(text) for x in pieces(m.start(), m[0])]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     free = [r for r in runs if not any(s < r[1] and r[0] < e for s, e, _ in base)]
     return sorted(base + random_runs(free), key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else len(KINDS), x[2]))

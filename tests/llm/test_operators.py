@@ -217,6 +217,22 @@ def test_secrets(spark, odd, empty):
     assert out[1].text is None and out[0].n_chars == len(out[0].text)
 
 
+def test_secrets_inside_runs():
+    rng = random.Random(12)
+    make = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    full = low.upper() + low + digits
+    cases = {"AWS_SECRET_ACCESS_KEY={}": full + "+/", "PRIVATE_KEY={}==": full, "https://x.example/get?sig={}&a=b": full, "/srv/application/configuration/{}": full, "https://x.example/some/long/path/of/words/{}/edit/this/page/please": full, "my-long-service-name-for-{}": full, "id {}": low + digits, "id  {}": low.upper() + digits, "id   {}": low + "234567"}
+    for form, alphabet in cases.items():
+        blob = make(alphabet, 48)
+        text = form.format(blob)
+        assert blob not in secrets.redact(text), form
+        spans = secrets.scan(text)
+        assert len(spans) == 1, (form, spans)
+    for text in ("NAME_OF_A_SETTING=some_other_long_setting_name", "/usr/share/documentation/packages/readme/index", "https://x.example/2024/11/28/some-title-of-an-article-in-words"):
+        assert secrets.scan(text) == []
+
+
 def test_sharding(docs, odd, empty):
     sizes = [random.Random(1).randrange(1, 50) for _ in range(40)]
     best = {(0, 1): 0}
