@@ -20,6 +20,7 @@ nothing. Extra columns aren't read.
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import re
 from urllib.parse import urlsplit
@@ -63,6 +64,26 @@ class Node:
         self.tag, self.names, self.dropped, self.children, self.number = tag, names, dropped, [], -1
 
 
+def stacked(f):
+    """f, a generator that yields the arguments of its own calls, run on an explicit stack: pages may nest without bound."""
+
+    @functools.wraps(f)
+    def run(*args):
+        stack, value = [f(*args)], None
+        while stack:
+            try:
+                args = stack[-1].send(value)
+            except StopIteration as done:
+                stack.pop()
+                value = done.value
+            else:
+                stack.append(f(*args))
+                value = None
+        return value
+
+    return run
+
+
 def _named(rest: str) -> tuple[tuple, set]:
     names, roles = [], set()
     for m in _ATTRIBUTE.finditer(rest) if "=" in rest else ():
@@ -127,6 +148,7 @@ def fold(root: Node) -> tuple[str, list]:
     """The page's tree of block elements with siblings alike in a row as one: as text, and numbers set on all nodes."""
     out = [0]
 
+    @stacked
     def shape(nodes: list[Node]):
         blocks = []
         for node in nodes:
@@ -147,7 +169,9 @@ def fold(root: Node) -> tuple[str, list]:
             out[0] += 1
             for b in g:
                 b.number = number
-            made.append((f"{g[0].tag}.{'.'.join(g[0].names)}", number, shape(g)))
+            below = yield (g,)
+            tag = g[0].tag.replace("(", "%28").replace(")", "%29")
+            made.append((f"{tag}.{'.'.join(g[0].names)}", number, below))
         return made
 
     tree = shape([root])
@@ -156,15 +180,32 @@ def fold(root: Node) -> tuple[str, list]:
 
 def _under(node: Node) -> list[Node]:
     """The nearest block elements below an inline one."""
-    found = []
-    for x in node.children:
-        if isinstance(x, Node):
-            found += _under(x) if x.tag in INLINE else [x]
+    found, left = [], [node]
+    while left:
+        x = left.pop()
+        if x is node or x.tag in INLINE:
+            left += [y for y in reversed(x.children) if isinstance(y, Node)]
+        else:
+            found.append(x)
     return found
 
 
 def _text(tree: list) -> str:
-    return " ".join(f"{name}({_text(below)})" if below else name for name, _, below in tree)
+    out: list[str] = []
+    left: list = [(iter(tree), "")]
+    while left:
+        rest, end = left[-1]
+        item = next(rest, None)
+        if item is None:
+            left.pop()
+            out.append(end)
+            continue
+        if out and not out[-1].endswith("("):
+            out.append(" ")
+        out.append(item[0] + "(" if item[2] else item[0])
+        if item[2]:
+            left.append((iter(item[2]), ")"))
+    return "".join(out)
 
 
 def read_tree(text: str) -> list:
@@ -182,6 +223,7 @@ def read_tree(text: str) -> list:
     return stack[0]
 
 
+@stacked
 def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two forests: the size of the largest mapping, and its pairs of numbers."""
     best = [[(0, None)] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -189,7 +231,7 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
         for j, (other, its, under) in enumerate(b, 1):
             options = [(best[i - 1][j][0], ("up", None)), (best[i][j - 1][0], ("left", None))]
             if name == other:
-                size, pairs = match(below, under)
+                size, pairs = yield below, under
                 options.append((best[i - 1][j - 1][0] + size + 1, ("both", [(number, its), *pairs])))
             best[i][j] = max(options, key=lambda x: x[0])
     i, j, pairs = len(a), len(b), []
@@ -209,6 +251,7 @@ def blocks_of(node: Node) -> list[tuple[int, str]]:
     """(number, text) of the blocks below a node, in page order, without what is dropped."""
     out: list[tuple[int, list]] = []
 
+    @stacked
     def walk(x: Node, number: int):
         for c in x.children:
             if isinstance(c, str):
@@ -220,10 +263,10 @@ def blocks_of(node: Node) -> list[tuple[int, str]]:
                 walk_text(" ", number)
             elif not c.dropped:
                 if c.tag in INLINE:
-                    walk(c, number)
+                    yield c, number
                 else:
                     out.append((-2, None))
-                    walk(c, c.number)
+                    yield c, c.number
                     out.append((-2, None))
 
     def walk_text(t: str, number: int):
@@ -240,13 +283,14 @@ def content(root: Node) -> list[tuple[int, str]]:
     """The blocks of the page's article."""
     found: dict[str, list] = {"article": [], "main": [], "named": []}
 
+    @stacked
     def walk(x: Node, inside: frozenset):
         for c in x.children:
             if isinstance(c, Node) and not c.dropped:
                 kind = "article" if c.tag == "article" else "main" if c.tag == "main" else "named" if c.tag not in INLINE and c.tag not in ("html", "body", "p") and not MAIN_WORDS.isdisjoint(c.names) else ""
                 if kind and kind not in inside:
                     found[kind].append(c)
-                walk(c, inside | {kind} if kind else inside)
+                yield c, inside | {kind} if kind else inside
 
     walk(root, frozenset())
     for kind in ("article", "main", "named"):

@@ -270,6 +270,19 @@ def test_html(spark, empty):
     assert html_extraction.match(html_extraction.read_tree("a.(b. c.(d.)) e."), html_extraction.read_tree("a.(c.(d.)) f. e.")) == (4, [(4, 4), (0, 0), (2, 1), (3, 2)])
 
 
+def test_html_of_odd_pages(spark):
+    deep = "<div>" * 3000 + "deep text" + "</div>" * 3000
+    pages = ["<p>if (a <b) then</p><div><p>x</p></div>", "<b(c>y<p>z</p></b(c>", deep, "<font>" * 3000 + "<p>kept</p>", *(f"<x)y><div>n{i}</div></x)y>" for i in range(3))]
+    for page in pages:
+        root = html_extraction.parse(page)
+        text, tree = html_extraction.fold(root)
+        assert html_extraction.read_tree(text) == tree if len(page) < 1000 else html_extraction._text(html_extraction.read_tree(text)) == text
+        assert html_extraction.match(tree, html_extraction.read_tree(text))[0] == len(re.findall(r"[^\s()]+", text))
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[2] == "deep text" and got[3] == "kept" and [got[i] for i in (4, 5, 6)] == ["n0", "n1", "n2"]
+
+
 def test_packing(docs, odd, empty):
     for df in (docs, odd):
         rows = packing.pack(df).collect()
