@@ -9,9 +9,11 @@ one with varying text a slot. Nothing is learned of hosts with fewer than
 MIN_PAGES pages or with one content only.
 
 Menus, page headers, footers, side bars, notices, adverts, forms, scripts and
-comments go by element, role, class or id. Content is the article element with
-the most text, else the main element or what is named so, else the body; of
-that, all blocks in page order that aren't template.
+comments go by element, role, or a whole class or id; but nothing that goes by
+role, class or id (or is a form) if it holds the page's article, main element or
+most of its text. Content is all outermost article elements, else the main
+elements or what is named so, else the body; of that, all blocks in page order
+that aren't template.
 
 A null or empty html has the text ''; a null url is the host ''. Pages are read
 by themselves and joined by host and tree, so null and repeated ids change
@@ -50,6 +52,9 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond share sharing social related recommended search form widget pagination pager toolbar toc".split()
 )
+#: Words that, beside one of these in a class or id, leave its sense: site-header, related-posts.
+PLAIN_WORDS = frozenset("site page main top bottom left right global primary secondary inner outer box bar block area slot unit container wrapper list item items link links button buttons section content body group col column post posts articles stories text title icon icons widgets the id div".split())
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
 MAIN_WORDS = frozenset("content main article post entry story".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -58,10 +63,10 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "number", "dropped")
+    __slots__ = ("tag", "names", "children", "number", "dropped", "why")
 
-    def __init__(self, tag: str, names: tuple, dropped: bool):
-        self.tag, self.names, self.dropped, self.children, self.number = tag, names, dropped, [], -1
+    def __init__(self, tag: str, names: tuple, why: str):
+        self.tag, self.names, self.why, self.dropped, self.children, self.number = tag, names, why, False, [], -1
 
 
 def stacked(f):
@@ -84,20 +89,25 @@ def stacked(f):
     return run
 
 
-def _named(rest: str) -> tuple[tuple, set]:
-    names, roles = [], set()
+def _named(rest: str) -> tuple[tuple, set, set]:
+    """The words of class and id, the roles, and what is to go by whole classes or ids: a word of DROPPED_WORDS, with none but plain words beside it."""
+    names, roles, away = [], set(), set()
     for m in _ATTRIBUTE.finditer(rest) if "=" in rest else ():
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             roles.add(value.strip())
         else:
-            names += _WORD.findall(value)
-    return tuple(names), roles
+            for token in value.split():
+                words = _WORD.findall(token)
+                names += words
+                if all(w in DROPPED_WORDS or w in PLAIN_WORDS or w[0].isdigit() for w in words):
+                    away.update(DROPPED_WORDS.intersection(words))
+    return tuple(names), roles, away
 
 
 def parse(html: str) -> Node:
     """The tree of a page; strings among children are text, with references decoded."""
-    root = Node("#", (), False)
+    root = Node("#", (), "")
     stack, at = [root], 0
     n = len(html)
     while at < n:
@@ -129,10 +139,16 @@ def parse(html: str) -> Node:
                         break
                     if stack[i].tag in BOUNDS:
                         break
-        names, roles = _named(m[3])
+        names, roles, away = _named(m[3])
         within = any(x.tag == "article" for x in stack)
-        dropped = stack[-1].dropped or tag in DROPPED or (tag == "header" and not within) or bool(roles & DROPPED_ROLES) or (tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(names))
-        node = Node(tag, names, dropped)
+        why = ""
+        if tag in DROPPED and tag != "form" or (tag == "header" and not within):
+            why = "element"
+        elif not away.isdisjoint(COMMENT_WORDS) and tag not in ("html", "body", "main"):
+            why = "comments"
+        elif tag == "form" or roles & DROPPED_ROLES or (away and tag not in ("html", "body", "article", "main")):
+            why = "name"
+        node = Node(tag, names, why)
         stack[-1].children.append(node)
         if tag in RAW_NAMES:
             end = RAW.search(html, at)
@@ -141,9 +157,39 @@ def parse(html: str) -> Node:
             at = n if end is None else end.end()
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+    _drop(root)
     return root
 
 
+def _drop(root: Node) -> None:
+    """Set dropped on nodes: with all below them, unless they hold the main element, the article or most of the page's text.
+
+    The article is the one with the most text that isn't a comment. Links don't count as text. What goes by its
+    element goes unless it holds main; comments never hold the article.
+    """
+    order, left = [], [(root, -1, False, False, False)]
+    while left:
+        x, above, out, comments, link = left.pop()
+        at = len(order)
+        comments = comments or x.why == "comments"
+        out = out or x.why == "element" or comments
+        link = link or x.tag == "a"
+        order.append((x, above, comments, sum(len("".join(c.split())) for c in x.children if isinstance(c, str)) if not out and not link else 0))
+        left += [(c, at, out, comments, link) for c in reversed(x.children) if isinstance(c, Node)]
+    size, main = [o[3] for o in order], [o[0].tag == "main" for o in order]
+    for i in range(len(order) - 1, 0, -1):
+        size[order[i][1]] += size[i]
+        main[order[i][1]] = main[order[i][1]] or main[i]
+    best = max((i for i, (x, _, comments, _) in enumerate(order) if x.tag == "article" and not comments and size[i]), key=lambda i: (size[i], -i), default=0)
+    holds = set()
+    while best:
+        holds.add(best)
+        best = order[best][1]
+    for i, (x, above, _, _) in enumerate(order):
+        kept = not x.why or main[i] and x.tag not in RAW_NAMES or x.why == "name" and (i in holds or 2 * size[i] > size[0])
+        x.dropped = not kept or above >= 0 and order[above][0].dropped
+
+
 def fold(root: Node) -> tuple[str, list]:
     """The page's tree of block elements with siblings alike in a row as one: as text, and numbers set on all nodes."""
     out = [0]
@@ -296,7 +342,7 @@ def content(root: Node) -> list[tuple[int, str]]:
     for kind in ("article", "main", "named"):
         texts = [b for b in map(blocks_of, found[kind]) if b]
         if texts:
-            return max(texts, key=lambda b: sum(len(t) for _, t in b))
+            return [x for b in texts for x in b]
     return blocks_of(root)
 
 

@@ -283,6 +283,20 @@ def test_html_of_odd_pages(spark):
     assert got[2] == "deep text" and got[3] == "kept" and [got[i] for i in (4, 5, 6)] == ["n0", "n1", "n2"]
 
 
+def test_html_keeps_what_wrappers_hold():
+    text = lambda page: "\n".join(t for _, t in html_extraction.content(html_extraction.parse(page)))
+    body = "<p>The plain text of an article.</p>"
+    for name in ("layout-with-sidebar", "no-sidebar", "has-banner", "header-fixed", "sidebar", "page search"):
+        assert text(f"<body><div class='{name}'><div>{body}</div></div></body>") == "The plain text of an article.", name
+        assert text(f"<body><div class='{name}'><article>{body}</article></div><div><p>{'Longer than that. ' * 9}</p></div></body>") == "The plain text of an article.", name
+    assert text(f"<form role=form><main>{body}</main></form>") == "The plain text of an article."
+    assert text(f"<article>{body}<section id='related-work'><p>Others did.</p></section><div class='search-results-study'><p>Found.</p></div></article>") == "The plain text of an article.\nOthers did.\nFound."
+    assert text(f"<article>{body}</article><article><p>Second.</p></article><div id=comments><article class='comment-body'><p>{'Me too. ' * 50}</p></article></div>") == "The plain text of an article.\nSecond."
+    for name in ("site-header", "related-posts", "ad-300x250", "left-sidebar", "cookie-banner", "comment-list"):
+        assert text(f"<div>{body}</div><div class='{name}'><p>Gone.</p></div>") == "The plain text of an article.", name
+    assert text(f"<nav>{'<p>Menu</p>' * 50}</nav><div class=menu>{'<a href=x>Menu</a>' * 50}</div>{body}") == "The plain text of an article."
+
+
 def test_packing(docs, odd, empty):
     for df in (docs, odd):
         rows = packing.pack(df).collect()
