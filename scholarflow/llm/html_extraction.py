@@ -3,9 +3,10 @@
 A page becomes a tree of its block elements; siblings alike in a row are folded
 into one node, so trees are small. Per host one page's tree is the wrapper; the
 distinct trees of the host are aligned with it by simple tree matching (the
-largest mapping that keeps roots, parents and the order of siblings). Over all
-pages of the host, a wrapper node with the same text on every page is template,
-one with varying text a slot. Nothing is learned of hosts with fewer than
+largest mapping that keeps roots, parents and the order of siblings). Of the
+pages with text whose tree has a wrapper node, a text that more than half of
+them have there is template, if that is MIN_PAGES pages or more that aren't all
+alike; other texts there stay. Nothing is learned of hosts with fewer than
 MIN_PAGES pages or with one content only.
 
 Menus, page headers, footers, side bars, notices, adverts, forms, scripts and
@@ -382,30 +383,40 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, shape, constant (nodes of that tree that are template)."""
-    hosts = read.groupBy("host").agg(F.count("*").alias("pages"), F.min(F.xxhash64("texts")).alias("lo"), F.max(F.xxhash64("texts")).alias("hi")).where(f"pages >= {min_pages} and lo <> hi").select("host", "pages")
+    """host, shape, constant (keys of nodes of that tree and texts that are template)."""
+    read = read.where(F.size("texts") > 0)
+    page = F.xxhash64("texts")
+    hosts = read.groupBy("host").agg(F.count("*").alias("pages"), F.min(page).alias("lo"), F.max(page).alias("hi")).where(f"pages >= {min_pages} and lo <> hi").select("host")
     shapes = read.groupBy("host", "shape").agg(F.first("tree").alias("tree"), F.count("*").alias("n"))
     wrapper = shapes.groupBy("host").agg(F.max_by("tree", F.struct("n", "shape")).alias("wrapper"))
 
     def align(batches):
         for b in batches:
-            rows = [(h, s, i, j) for h, s, t, w in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True) for i, j in match(read_tree(t), read_tree(w))[1]]
-            h, s, i, j = zip(*rows, strict=True) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(s, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["host", "shape", "node", "own"])
-
-    aligned = shapes.select("host", "shape", "tree").join(wrapper, "host").mapInArrow(align, "host string, shape long, node int, own int")
-    stats = read.select("host", "shape", F.explode("slots").alias("x")).groupBy("host", "shape", "x.node").agg(F.count("*").alias("n"), F.min("x.h").alias("lo"), F.max("x.h").alias("hi"))
-    known = stats.join(aligned, ["host", "shape", "node"])
-    same = known.groupBy("host", "own").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").join(hosts, "host").where("n = pages").select("host", "own")
-    return known.join(same, ["host", "own"]).groupBy("host", "shape").agg(F.collect_set("node").alias("constant"))  # nodes of one tree
+            rows = [(h, s, n, i, j) for h, s, n, t, w in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True) for i, j in match(read_tree(t), read_tree(w))[1]]
+            h, s, n, i, j = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["host", "shape", "pages", "node", "own"])
+
+    aligned = shapes.join(hosts, "host", "left_semi").select("host", "shape", "n", "tree").join(wrapper, "host").mapInArrow(align, "host string, shape long, pages long, node int, own int")
+    aligned = S.save(aligned, "aligned")
+    having = aligned.groupBy("host", "own").agg(F.sum("pages").alias("pages"))
+    slots = read.select("host", "shape", page.alias("page"), F.explode("slots").alias("x"))
+    stats = slots.groupBy("host", "shape", "x.node", "x.h").agg(F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"))
+    stats = S.save(stats, "stats")
+    # texts of single pages go first: a node of a large host has one for each of its pages
+    often = stats.groupBy("host", "h").agg(F.sum("n").alias("n")).where(f"n >= {min_pages}").select("host", "h")
+    known = stats.join(often, ["host", "h"], "left_semi").join(aligned.drop("pages"), ["host", "shape", "node"])
+    same = known.groupBy("host", "own", "h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(having, ["host", "own"])
+    same = same.where(f"n >= {min_pages} and lo <> hi and 2 * n > pages").select("host", "own", "h")
+    return known.join(same, ["host", "own", "h"], "left_semi").groupBy("host", "shape").agg(F.collect_set(F.xxhash64("node", "h")).alias("constant"))  # nodes of one tree
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages."""
     read = S.save(parsed(pages), "pages")
     constant = S.save(templates(read, min_pages), "templates")
-    out = read.drop("tree", "slots").join(constant, ["host", "shape"], "left")
-    text = F.expr("array_join(case when constant is null then texts else transform(filter(arrays_zip(nodes, texts), x -> not array_contains(constant, x.nodes)), x -> x.texts) end, '\\n')")
+    out = read.drop("tree").join(constant, ["host", "shape"], "left")
+    out = out.withColumn("gone", F.expr("transform(filter(slots, x -> array_contains(constant, xxhash64(x.node, x.h))), x -> x.node)"))
+    text = F.expr("array_join(case when constant is null then texts else transform(filter(arrays_zip(nodes, texts), x -> not array_contains(gone, x.nodes)), x -> x.texts) end, '\\n')")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -297,6 +297,17 @@ def test_html_keeps_what_wrappers_hold():
     assert text(f"<nav>{'<p>Menu</p>' * 50}</nav><div class=menu>{'<a href=x>Menu</a>' * 50}</div>{body}") == "The plain text of an article."
 
 
+def test_html_template_of_most_pages(spark):
+    page = "<body><div><p>Welcome here</p></div><section><p>Text {0}</p><p>More {0}</p></section></body>"
+    rows = [(i, "http://h.example/", page.format(i)) for i in range(9)]
+    rows += [(20, "http://h.example/", None), (21, "http://h.example/", ""), (22, "http://h.example/", "<body><section><p>Text a</p></section></body>"), (23, "http://h.example/", page.format("b").replace("Welcome here", "Own words"))]
+    rows += [(30 + i, "http://copies.example/", page.format("same" if i else "other").replace("Welcome", "Hello")) for i in range(5)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == f"Text {i}\nMore {i}" for i in range(9))
+    assert got[20] == got[21] == "" and got[22] == "Text a" and got[23] == "Own words\nText b\nMore b"
+    assert got[30] == "Text other\nMore other" and got[31] == "Text same\nMore same"
+
+
 def test_packing(docs, odd, empty):
     for df in (docs, odd):
         rows = packing.pack(df).collect()
