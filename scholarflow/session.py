@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_own: list[str] = []
+
 
 def get_spark(app: str = "scholarflow", master: str | None = None, **conf: str) -> SparkSession:
     """UTC, ANSI, adaptive execution; everything else as the cluster has it."""
@@ -13,3 +17,15 @@ def get_spark(app: str = "scholarflow", master: str | None = None, **conf: str)
     for k, v in conf.items():
         made = made.config(k, v)
     return made.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share; one of our own only in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-"))
+    return _own[0]
