@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Words of a text: maximal runs of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch that are worked on at once (Spark bounds a batch's bytes).
+ROWS = 256
+
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="spark-")
-        scratch.own = root
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -33,15 +38,41 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(rows):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def made() -> list[str]:
+    """The folders that scratch() has named in this process and tidy() hasn't deleted, in order."""
+    return list(_made)
+
+
+def tidy(spark: SparkSession, keep: Iterable[str]) -> None:
+    """Delete the folders that scratch() has named, but those to keep: for when what was read from them is written elsewhere."""
+    keep = set(keep)
+    for path in [p for p in _made if p not in keep]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that what is made of texts doesn't pile up in a Python worker."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, or with underscores after it if df has such a column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
+def text_key(text: Column, names: tuple[str, str] = ("t0", "t1")) -> list[Column]:
+    """128 bits that stand for a text: rows with equal texts share every verdict, whatever their ids.
 
-def text_key(text: Column) -> list[Column]:
-    """128 bits that stand for a text: rows with equal texts share every verdict, whatever their ids."""
-    return [F.xxhash64(text).alias("t0"), F.xxhash64(text, F.lit(7)).alias("t1")]
+    The second hash begins with a constant: with the constant after the text it would be a function of the first.
+    """
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(7), text).alias(names[1])]
 
 
 def words(text: Column) -> Column:

@@ -6,31 +6,18 @@ a call is spread over many short texts while one long text is a chunk by itself.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Code points in a chunk; a longer text makes a chunk of its own.
 CHUNK = 1 << 18
-MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT**i and MULT**-i mod 2**64 for i below n."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK)
-        made = []
-        for base in (MULT, _INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        if size > 4 * CHUNK:
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
+MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Code points of 21 bits that are hashed in one step, and the span from which the library's hash takes over.
+LANE, LONG = 3, 96
+_KEPT = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.uint64)
+_STEPS = ((np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)), (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,14 +67,38 @@ def word_spans(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal strings hash alike wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False):
+    """A 64-bit hash of each span, or two independent ones; equal strings hash alike wherever they stand.
+
+    Each step multiplies and shifts, so no algebra of the string is left in it
+    (a polynomial modulo 2**64 gives some short strings one value at any base).
+    """
+    size = ends - starts
+    order = np.argsort(LONG + 1 - np.minimum(size, LONG + 1).astype(np.int16), kind="stable")  # longest first
+    at, size = starts[order], size[order]
+    out = []
+    if len(at):
+        wide = np.zeros(len(codes) + LANE - 1, np.uint64)
+        wide[: len(codes)] = codes
+        lanes = wide[:-2] | wide[1:-1] << np.uint64(21) | wide[2:] << np.uint64(42)
+        many = int(np.searchsorted(-size, -LONG, "left"))  # longer ones
+        live = [many + int(np.searchsorted(-size[many:], -j, "left")) for j in range(0, LONG, LANE)]
+        digests = [hashlib.blake2b(codes[s : s + n].tobytes(), digest_size=16).digest() for s, n in zip(at[:many].tolist(), size[:many].tolist(), strict=True)]
+        digests = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    for k, (first, other) in enumerate(_STEPS[: 2 if second else 1]):
+        h = mix(size.astype(np.uint64) * first + other)
+        if len(at):
+            for j, n in zip(range(0, LONG, LANE), live, strict=True):
+                if n == many:
+                    break
+                x = lanes[at[many:n] + j] & _KEPT[np.minimum(size[many:n] - j, LANE)]
+                y = (h[many:n] ^ x * first) * other
+                h[many:n] = y ^ (y >> np.uint64(32))
+            h[:many] = digests[:, k]
+        back = np.empty_like(h)
+        back[order] = mix(h)
+        out.append(back)
+    return (out[0], out[1]) if second else out[0]
 
 
 def shingles(hashes: np.ndarray, text_of: np.ndarray, n_texts: int, k: int = 5) -> list[np.ndarray]:

@@ -10,6 +10,7 @@ as they are.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -78,8 +79,50 @@ def pretoken_starts(codes: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -
     return np.flatnonzero(begin)
 
 
+def _extended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """a with more from place `used` on; it grows by doubling."""
+    if used + len(more) > len(a):
+        a = np.append(a[:used], np.zeros(used + 2 * len(more), a.dtype))
+    a[used : used + len(more)] = more
+    return a
+
+
+class Known:
+    """Ids of strings known by two hashes: the first finds an entry, the second must agree."""
+
+    def __init__(self):
+        self.numbers: dict[int, int] = {}
+        self.check, self.begins, self.sizes, self.flat = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint32))
+        self.count = self.used = 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def find(self, keys: list[int], check: np.ndarray) -> np.ndarray:
+        """The entry of each string; -1: none."""
+        at = np.fromiter(map(self.numbers.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        if self.count:
+            at[self.check[at] != check] = -1
+        return at
+
+    def add(self, keys: list[int], check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Entries, with their ids end to end."""
+        self.numbers.update(zip(keys, range(self.count, self.count + len(keys)), strict=True))
+        self.check = _extended(self.check, self.count, check)
+        self.begins = _extended(self.begins, self.count, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = _extended(self.sizes, self.count, sizes)
+        self.flat = _extended(self.flat, self.used, ids)
+        self.count, self.used = self.count + len(keys), self.used + len(ids)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of these entries, end to end."""
+        size = self.sizes[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begins[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class PretokenEncoder:
-    """value(ids) is kept for each distinct pre-token: its ids, or their number."""
+    """Remembers the ids of distinct pre-tokens, or with counts their numbers alone; whole: hashes of strings that are one token."""
 
     def __init__(self, name: str, counts: bool = False, whole: np.ndarray | None = None, limit: int = 500_000):
         import tokenizers
@@ -92,46 +135,54 @@ class PretokenEncoder:
         self.direct = bool(made.get("normalizer")) or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex")
         self.special = [t["content"] for t in made.get("added_tokens", [])]
         self.counts, self.limit = counts, limit
-        self.cache, self.older = {}, {}  # what has been asked for again lives on when the cache is full
-        self.whole = np.zeros(0, np.uint64) if whole is None else whole
+        self.cache, self.older = Known(), Known()  # what has been asked for again lives on when the cache is full
+        self.whole = np.zeros((2, 0), np.uint64) if whole is None else whole
         self.kinds = None if self.direct else classes()
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pretokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and hashes of the pre-tokens, and the first of each text."""
+    def pretokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """Starts, ends and both hashes of the pre-tokens, and the first of each text."""
         codes, offsets = X.code_points(texts)
         starts = pretoken_starts(codes, offsets, self.kinds)
         ends = np.append(starts[1:], len(codes))
-        return starts, ends, X.span_hashes(codes, starts, ends), np.searchsorted(starts, offsets)
-
-    def values(self, texts: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
-        """A value for each distinct pre-token, the number of each pre-token among these, the first pre-token of each text."""
-        starts, ends, hashes, firsts = self.pretokens(texts)
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        values = [self.cache.get(h) for h in distinct.tolist()]
-        if len(self.whole):
-            near = np.minimum(np.searchsorted(self.whole, distinct), len(self.whole) - 1)
-            for i in np.flatnonzero(self.whole[near] == distinct).tolist():
-                values[i] = 1
-        missing = []
-        for i, v in enumerate(values):
-            if v is None:
-                h = int(distinct[i])
-                if (v := self.older.get(h)) is None:
-                    missing.append(i)
-                else:
-                    values[i] = self.cache[h] = v
-        if missing:
+        return starts, ends, X.span_hashes(codes, starts, ends, second=True), np.searchsorted(starts, offsets)
+
+    def known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The cache's entry of each distinct pre-token (-1: a whole token), the number of each pre-token among these, the first of each text.
+
+        None: two distinct pre-tokens of these texts have the same first hash.
+        """
+        starts, ends, (hashes, second), firsts = self.pretokens(texts)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        check = second[first]
+        if not np.array_equal(check[which], second):
+            return None
+        keys = distinct.tolist()
+        whole = np.zeros(len(distinct), bool)
+        if self.whole.shape[1]:
+            near = np.minimum(np.searchsorted(self.whole[0], distinct), self.whole.shape[1] - 1)
+            whole = (self.whole[0, near] == distinct) & (self.whole[1, near] == check)
+        at = self.cache.find(keys, check)
+        missing = np.flatnonzero((at < 0) & ~whole)
+        if len(missing) and len(self.cache) and len(self.cache) + len(missing) > self.limit:
+            self.cache, self.older = Known(), self.cache
+            at[:] = -1
+            missing = np.flatnonzero(~whole)
+        if len(missing):
+            old = self.older.find([keys[i] for i in missing.tolist()], check[missing])
+            again, new = missing[old >= 0], missing[old < 0]
+            old = old[old >= 0]
             joined = "".join(texts)
-            found = self.tokenizer.encode_batch_fast([joined[starts[j] : ends[j]] for j in at[missing].tolist()], add_special_tokens=False)
-            if len(self.cache) + len(missing) > self.limit:
-                self.cache, self.older = {}, self.cache
-            for i, e in zip(missing, found, strict=True):
-                values[i] = len(e.ids) if self.counts else np.array(e.ids, np.uint32).tobytes()
-                self.cache[int(distinct[i])] = values[i]
-        return values, which, firsts
+            found = self.tokenizer.encode_batch_fast([joined[starts[j] : ends[j]] for j in first[new].tolist()], add_special_tokens=False) if len(new) else []
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.zeros(0, np.uint32) if self.counts else np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32, int(sizes.sum()))
+            held = np.concatenate([again, new])
+            at[held] = len(self.cache) + np.arange(len(held))
+            self.cache.add([keys[i] for i in held.tolist()], check[held], np.concatenate([self.older.sizes[old], sizes]), ids if self.counts else np.concatenate([self.older.ids(old), ids]))
+        at[whole] = -1
+        return at, which, firsts
 
     def _plain(self, texts: list[str]) -> Iterator[tuple[int, int, bool]]:
         """Row ranges, and if they hold a text for the library."""
@@ -145,28 +196,27 @@ class PretokenEncoder:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each whole text."""
         for lo, hi, odd in self._plain(texts):
-            if odd:
+            known = None if odd else self.known(texts[lo:hi])
+            if known is None:
                 yield from self.library(texts[lo:hi])
                 continue
-            values, which, firsts = self.values(texts[lo:hi])
-            lengths = np.array([len(v) // 4 for v in values], np.int64)
-            flat = np.frombuffer(b"".join(values), np.uint32)
-            begins = np.cumsum(lengths) - lengths
-            size = lengths[which]
-            ends = np.cumsum(size)
-            ids = flat[np.repeat(begins[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            cuts = np.append(0, ends)[firsts].tolist()
+            at, which, firsts = known
+            ids, every = self.cache.ids(at[which]), self.cache.sizes[at[which]]
+            cuts = np.append(0, np.cumsum(every))[firsts].tolist()
             yield from (ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
 
     def count(self, texts: list[str]) -> Iterator[int]:
         """The number of tokens of each whole text."""
         for lo, hi, odd in self._plain(texts):
-            if odd:
+            known = None if odd else self.known(texts[lo:hi])
+            if known is None:
                 yield from (len(ids) for ids in self.library(texts[lo:hi]))
                 continue
-            values, which, firsts = self.values(texts[lo:hi])
-            total = np.append(0, np.cumsum(np.array(values, np.int64)[which])).tolist()
-            yield from (total[b] - total[a] for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True))
+            at, which, firsts = known
+            sizes = np.ones(len(at), np.int64)
+            sizes[at >= 0] = self.cache.sizes[at[at >= 0]]
+            total = np.append(0, np.cumsum(sizes[which]))[firsts].tolist()
+            yield from (b - a for a, b in zip(total[:-1], total[1:], strict=True))
 
 
 _made: dict = {}
@@ -195,6 +245,7 @@ def whole_tokens(name: str) -> list[str]:
 
 
 def text_hashes(texts: list[str]) -> np.ndarray:
-    """The hash that pretokens() gives to each of these strings."""
+    """Both hashes that pretokens() gives to each of these strings, in order of the first."""
     codes, offsets = X.code_points(texts)
-    return X.span_hashes(codes, offsets[:-1], offsets[1:])
+    both = np.stack(X.span_hashes(codes, offsets[:-1], offsets[1:], second=True))
+    return both[:, np.argsort(both[0])]

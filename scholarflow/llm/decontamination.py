@@ -92,7 +92,7 @@ def text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = [r[0] for r in benchmark.select(F.least(F.size(S.words(F.col("text"))), F.lit(SHINGLE)).alias("k")).where("k > 0").distinct().collect()]  # SHINGLE values at most
     found = [_leaks(docs, benchmark, k) for k in sorted(sizes)]
     if not found:
-        return docs.select(*S.text_key(F.col("text"))).where("false").selectExpr("t0", "t1", "0L as item_id", "0 as start", "0 as size", "0L as both", "0L as all")
+        return docs.select(*S.text_key(F.col("text"))).where("false").selectExpr("t0", "t1", "0L as item_id", "0 as start", "0 as size", "0L as both", "1L as all")
     return reduce(DataFrame.union, found)
 
 
@@ -123,16 +123,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_leaks, leaked_items (ids, comma-joined), best_similarity, kept: one row per row of docs."""
     found = text_leaks(docs, benchmark).groupBy("t0", "t1").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.max(F.expr("both / all")).alias("best_similarity"))
-    out = docs.select("doc_id", *S.text_key(F.col("text"))).join(found, ["t0", "t1"], "left")
+    out = docs.select("doc_id", *S.text_key(F.col("text"))).join(_small(S.save(found, "found")), ["t0", "t1"], "left")
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_leaks"), F.coalesce(F.array_join(F.expr("transform(ids, x -> string(x))"), ","), F.lit("")).alias("leaked_items"), F.coalesce("best_similarity", F.lit(0.0)).alias("best_similarity"), F.col("ids").isNull().alias("kept"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks, with their columns."""
-    keys = S.text_key(F.col("text"))
-    found = text_leaks(docs, benchmark).select(F.col("t0").alias("_t0"), F.col("t1").alias("_t1")).distinct()
-    keyed = docs.select("*", keys[0].alias("_t0"), keys[1].alias("_t1"))
-    return keyed.join(_small(found), ["_t0", "_t1"], "left_anti").drop("_t0", "_t1")
+    names = S.free(docs, "t0"), S.free(docs, "t1")
+    found = S.save(text_leaks(docs, benchmark).select("t0", "t1").distinct().toDF(*names), "found")
+    return docs.select("*", *S.text_key(F.col("text"), names)).join(_small(found), list(names), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,11 @@ ways of their own meet nothing.
 Sets are of 64-bit shingle hashes, spread over Spark as rows; components are
 found by Spark joins as well.
 
-A null or empty text has an empty set and links with nothing. A null doc_id
-links with nothing, its component_id is null and it is kept. Rows with the same
-doc_id are one document: their sets are linked. Extra columns aren't read.
+A null or empty text has an empty set and links with nothing, whatever its id.
+A null doc_id links with nothing, its component_id is null and it is kept. Rows
+with the same doc_id are one document: their sets are linked, and each keeps its
+own n_shingles. Ids may be of any type that has an order. Extra columns aren't
+read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _spark as S
 from . import _text as X
@@ -68,39 +71,47 @@ def _blocks(sets, most: int = 1 << 17):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), k0 and k1 (128 bits that stand for the set), sig; one row per row of docs."""
+    """doc_id, t0 (hash of the text), n (shingles), k0 and k1 (128 bits that stand for the set), sig; one row per row of docs."""
 
     def run(batches):
-        for b in batches:
+        for b in S.slices(batches):
             n, k0, k1, sig = [], [], [], []
-            for sets in _blocks(X.shingle_sets([t or "" for t in b.column(1).to_pylist()], SHINGLE)):
+            for sets in _blocks(X.shingle_sets([t or "" for t in b.column(2).to_pylist()], SHINGLE)):
                 n += [len(s) for s in sets]
-                k0 += [int(np.bitwise_xor.reduce(X.mix(s + np.uint64(3))).view(np.int64)) if len(s) else 0 for s in sets]
-                k1 += [int(np.add.reduce(s, dtype=np.uint64).view(np.int64)) if len(s) else 0 for s in sets]
+                k0 += [_key(s, 3, np.bitwise_xor) for s in sets]
+                k1 += [_key(s, 5, np.add) for s in sets]
                 sig.append(signatures(sets))
             flat = np.concatenate(sig).ravel() if sig else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), lists], ["doc_id", "n", "k0", "k1", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), lists], ["doc_id", "t0", "n", "k0", "k1", "sig"])
 
-    S.arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k0 long, k1 long, sig array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t0"), "text")
+    return rows.mapInArrow(run, _schema(rows.schema["doc_id"], t0=T.LongType(), n=T.LongType(), k0=T.LongType(), k1=T.LongType(), sig=T.ArrayType(T.LongType())))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, set (array of shingle hashes): the full sets of the wanted reps."""
+def _key(s: np.ndarray, salt: int, operation: np.ufunc) -> int:
+    """64 bits that stand for a set: its mixed shingles under an operation in any order."""
+    return int(operation.reduce(X.mix(s + np.uint64(salt)), dtype=np.uint64).view(np.int64)) if len(s) else 0
+
+
+def _schema(first: T.StructField, **others: T.DataType) -> T.StructType:
+    return T.StructType([first, *(T.StructField(k, t) for k, t in others.items())])
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """rep, set (array of shingle hashes) of the wanted (rep, doc_id, t0): rows of docs are found by id and text."""
 
     def run(batches):
-        for b in batches:
+        for b in S.slices(batches):
             sets = list(X.shingle_sets([t or "" for t in b.column(1).to_pylist()], SHINGLE))
             bounds = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int64()))], ["rep", "k0", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int64()))], ["rep", "set"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.join(wanted.select(F.col("rep").alias("doc_id"), "k0"), "doc_id").select("doc_id", "text", "k0")
-    sets = rows.mapInArrow(run, f"rep {kind}, k0 long, set array<long>")
-    # of rows with one id, the first whose set is the wanted one
-    return sets.drop("k0")
+    rows = docs.withColumn("t0", F.xxhash64("text")).join(wanted, ["doc_id", "t0"]).select("rep", "text")
+    if repeated:
+        rows = rows.dropDuplicates(["rep"])  # rows with one id and one text
+    return rows.mapInArrow(run, "rep long, set array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -129,20 +140,27 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketch = S.save(sketches(docs), "sketches")
     known = sketch.where("n > 0 and doc_id is not null")
-    classes = S.save(known.groupBy("k0", "k1", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    links = _links(docs, classes, rounds)
-    # rows of one id may be in several classes
-    member = known.join(classes.select("k0", "k1", "n", "rep"), ["k0", "k1", "n"])
-    twice = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.collect_set("rep").alias("reps")).where("lo <> hi").select(F.col("lo").alias("a"), F.explode("reps").alias("b"))
-    comp = components(links.union(twice), "all")
-    rep = member.select("doc_id", "rep").distinct().groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    found = rep.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("comp"))
-    out = sketch.join(found, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _links(docs: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
-    """a, b: confirmed links between reps that span the components of all links."""
+    # a class is a set: its number stands for it, whatever ids have it
+    found = known.groupBy("k0", "k1", "n").agg(F.min(F.struct("doc_id", "t0")).alias("x"), F.first("sig").alias("sig"))
+    classes = S.save(found.select(F.monotonically_increasing_id().alias("rep"), "k0", "k1", "n", "x.doc_id", "x.t0", "sig"), "classes")
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    links = _links(docs, classes, rounds, repeated)
+    if repeated:
+        member = S.save(known.join(classes.select("k0", "k1", "n", "rep"), ["k0", "k1", "n"]).select("doc_id", "rep").distinct(), "members")
+        several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").drop("hi")
+        links = links.union(member.join(several, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")))
+    comp = components(links, "all")
+    first = comp.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("first"))
+    named = comp.join(first, "comp").select(F.col("node").alias("rep"), "first")
+    ids = classes.select("rep", "k0", "k1", "n", "doc_id").join(named, "rep", "left").select("k0", "k1", "n", F.coalesce("first", "doc_id").alias("component_id"))
+    linked = known.select("doc_id", "k0", "k1", "n").join(ids, ["k0", "k1", "n"]).select("doc_id", "n", "component_id")
+    alone = sketch.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = linked.union(alone).withColumnRenamed("n", "n_shingles")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _links(docs: DataFrame, classes: DataFrame, rounds: int, repeated: bool) -> DataFrame:
+    """a, b: confirmed links between classes that span the components of all links."""
     spark = docs.sparkSession
     posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", F.expr("shiftleft(cast(at as bigint), 32) | value").alias("list"))
     lists = posts.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
@@ -150,10 +168,9 @@ def _links(docs: DataFrame, classes: DataFrame, rounds: int) -> DataFrame:
     held = held.where(F.size("l") >= MATCHES).select("rep", F.explode(F.expr(f"slice(l, 1, size(l) - {MATCHES} + 1)")).alias("x")).select("rep", "x.list")
     held = S.save(held, "postings")
     reps = held.select("rep").distinct()
-    sigs = S.save(classes.join(reps, "rep", "left_semi").select("rep", "sig", "n", "k0"), "signatures")
-    sets = S.save(full_sets(docs, sigs).dropDuplicates(["rep"]) if _repeated(docs) else full_sets(docs, sigs), "sets")
-    kind = classes.schema["rep"].dataType.simpleString()
-    links = spark.createDataFrame([], f"a {kind}, b {kind}")
+    sigs = S.save(classes.join(reps, "rep", "left_semi").select("rep", "sig", "n", "doc_id", "t0"), "signatures")
+    sets = S.save(full_sets(docs, sigs.select("rep", "doc_id", "t0"), repeated), "sets")
+    links = spark.createDataFrame([], "a bigint, b bigint")
     comp = None
     for k in range(rounds):
         live = _live(held, comp)
@@ -186,18 +203,17 @@ def _across(reps: DataFrame, sets: DataFrame) -> DataFrame:
     first = order.select("rep", "comp", "n", F.posexplode(F.expr(f"slice(l, 1, cast(n - ({PERCENT} * n + 99) div 100 + 1 as int))")).alias("at", "x"))
     first = S.save(first.where("x.c > 1").select("rep", "comp", "n", F.col("x.s").alias("s"), (F.col("at") + 1).alias("at")), "prefixes")
     ends = first.groupBy("s").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", "least")
-    live = first.join(ends, "s")
-    small = live.where(f"at <= n - {_needed('n', 'n')} + 1").select("s", F.col("rep").alias("a"), "comp", "n", "at")
-    large = live.where(f"at <= n - {_needed('least', 'n')} + 1").select("s", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
+    # sizes of a link differ by a third at most: those of neighbouring steps meet (a little wider, for rounding)
+    live = first.join(ends, "s").withColumn("step", F.expr("cast(floor(ln(n) / ln(1.334)) as int)"))
+    small = live.where(f"at <= n - {_needed('n', 'n')} + 1").select("s", F.explode(F.array("step", F.expr("step + 1"))).alias("step"), F.col("rep").alias("a"), "comp", "n", "at")
+    large = live.where(f"at <= n - {_needed('least', 'n')} + 1").select("s", "step", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
+    # components meet first, so that no two sets of one component do
+    meet = small.select("s", "step", "comp").distinct().join(large.select("s", "step", "other").distinct(), ["s", "step"]).where("comp <> other")
     both = f"at <= n - {_needed('n', 'm')} + 1 and place <= m - {_needed('n', 'm')} + 1 and 100 * n >= {PERCENT} * m"
-    pairs = small.join(large, "s").where(f"(n < m or n = m and a < b) and comp <> other and {both}")
+    pairs = small.join(meet, ["s", "step", "comp"]).join(large, ["s", "step", "other"]).where(f"(n < m or n = m and a < b) and {both}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _repeated(docs: DataFrame) -> bool:
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def _live(held: DataFrame, comp: DataFrame | None) -> DataFrame:
     if comp is None:
         return held.withColumn("comp", F.col("rep"))

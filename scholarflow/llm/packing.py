@@ -11,7 +11,7 @@ length where they go; Spark numbers the pieces of a length and looks it up.
 
 With the default capacities for documents and attention cost only tokens bind.
 A null or empty text is the end id alone. Rows with equal or null ids are
-packed each by itself; those alike in everything take places in any order.
+packed each by itself; pieces alike in everything take places in any order.
 Extra columns aren't read.
 """
 
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
     """doc_id, piece, start, length, ids_crc32: the first piece takes what whole ones leave."""
 
     def run(batches):
-        for b in batches:
+        for b in S.slices(batches):
             rows, which = [], []
             for i, ids in enumerate(_ids(b.column(1).to_pylist(), tokenizer, end)):
                 cuts = [0, *range((len(ids) - 1) % length + 1, len(ids) + 1, length)]
@@ -89,23 +89,23 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
             k, s, n, c = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    S.arrow_rows(docs.sparkSession)
     kinds = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(n, k) for n, k in kinds)]))
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, max_docs: int | None = None, max_cost: int | None = None, policy: str = "norm") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = S.save(pieces(docs, tokenizer, length), "pieces")
+    # numbered when they are saved, so that pieces alike in everything can be told apart
+    cut = S.save(pieces(docs, tokenizer, length).withColumn("number", F.monotonically_increasing_id()), "pieces")
     counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}  # `length` rows at most
     steps = plan(counts, length, max_docs, max_cost, policy)
     table: dict[int, np.ndarray] = {}
     for size in counts:
         table[size] = np.array([s[1:] for s in steps if s[0] == size], np.int64)
     cells = max(16, -(-max([0, *counts.values()]) // CELL))
-    dealt = cut.withColumn("cell", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {cells}) as int)"))
+    dealt = cut.withColumn("cell", F.expr(f"cast(pmod(xxhash64(number), {cells}) as int)"))
     before = dealt.groupBy("length", "cell").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("cell")) - F.col("n")).drop("n")
-    ranked = dealt.withColumn("r", F.row_number().over(W.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32"))).join(before, ["length", "cell"])
+    ranked = dealt.withColumn("r", F.row_number().over(W.partitionBy("length", "cell").orderBy("number"))).join(before, ["length", "cell"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("r") - 1).alias("rank"))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # bounded by the lengths
 
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, max_
                 offset[rows] = at[:, 4] + r % at[:, 3] * s
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*ranked.schema.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
 

@@ -1,16 +1,21 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer network, a temperature.
 
 Fitting looks at no more than MAX_TRAIN labelled documents (a documented bound;
-of more, those with the smallest hashes of their ids). A word's index vector is
-a sparse ternary vector drawn from its hash; its word vector is the sum of the
+of more, those with the smallest hashes of their ids; of rows with one id, the
+one with the smallest hash of its text), whole, in tasks: counts of their words,
+sums of index vectors for each word and pooled features come to the driver, all
+of them bounded by MAX_TRAIN and MAX_VOCABULARY. A word's index vector is a
+sparse ternary vector drawn from its hash; its word vector is the sum of the
 index vectors of its neighbours in these documents, scaled to length 1. Words
-seen too seldom share one vector. A text is pooled over its tokens and over its
+seen fewer than MIN_COUNT times in them, and all beyond the MAX_VOCABULARY most
+frequent ones, share one vector. A text is pooled over its tokens and over its
 distinct tokens; with a few shares (capitals, signs, seldom words, distinct
 tokens) and its length this feeds the network, of which the logits are divided
 by a temperature fitted on rows that it wasn't trained on.
 
 Scoring covers every whole text, each by itself. A null text is scored as an
-empty one. A null doc_id is never held out and never labelled; of repeated
+empty one. Columns of docs that are named as the results are left out of them:
+ask for other names to keep them. A null doc_id is never held out and never labelled; of repeated
 labels of an id the lowest counts, null labels don't. Without labels of both
 kinds every score is the labels' smoothed share of ones.
 """
@@ -78,24 +83,25 @@ def index_vectors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (slots % np.uint64(DIMENSIONS)).astype(np.int64), np.where(slots >> np.uint64(63), 1.0, -1.0)
 
 
-def word_vectors(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The vocabulary's sorted hashes, and a vector for each and one more for all other words."""
+def word_counts(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of these documents and how often they come."""
+    return np.unique(np.concatenate([*docs, np.zeros(0, np.uint64)]), return_counts=True)
+
+
+def contexts(docs: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words (the vocabulary's length: all others) and for each the sum of its neighbours' index vectors."""
     flat = np.concatenate([*docs, np.zeros(0, np.uint64)])
-    distinct, counts = np.unique(flat, return_counts=True)
-    often = np.flatnonzero(counts >= MIN_COUNT)
-    vocabulary = np.sort(distinct[often[np.lexsort((distinct[often], -counts[often]))][:MAX_VOCABULARY]])
-    ids, doc = lookup(flat, vocabulary), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    places, signs = index_vectors(np.append(vocabulary, np.uint64(17)))
-    size = (len(vocabulary) + 1) * DIMENSIONS
-    context = np.zeros(size)
+    words, ids = np.unique(lookup(flat, vocabulary), return_inverse=True)
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    places, signs = index_vectors(np.append(vocabulary, np.uint64(17))[words])
+    context = np.zeros(len(words) * DIMENSIONS)
     for gap in range(1, WINDOW + 1):
         same = doc[gap:] == doc[:-gap]
         left, right = ids[:-gap][same], ids[gap:][same]
         for here, there in ((left, right), (right, left)):
             for j in range(NONZERO):
-                context += np.bincount(here * DIMENSIONS + places[there, j], signs[there, j], size)
-    context = context.reshape(-1, DIMENSIONS)
-    return vocabulary, (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+                context += np.bincount(here * DIMENSIONS + places[there, j], signs[there, j], len(context))
+    return words, context.reshape(-1, DIMENSIONS)
 
 
 def lookup(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -118,13 +124,13 @@ def features(doc: np.ndarray, vocabulary: np.ndarray, vectors: np.ndarray) -> np
     return np.concatenate([counts.astype(np.float32) @ pool / n, pool.mean(0), [np.log1p(n), len(distinct) / n, seldom, loud]]).astype(np.float32)
 
 
-def fit(docs: list[np.ndarray], quality: np.ndarray, seed: int = 7) -> dict:
-    """The model of these token lists and their labels (0 or 1)."""
-    share = (quality.sum() + 1) / (len(quality) + 2)
-    if len(set(quality.tolist())) < 2 or len(quality) < 10:
-        return {"constant": float(share)}
-    vocabulary, vectors = word_vectors(docs)
-    x = np.stack([features(d, vocabulary, vectors) for d in docs]).astype(np.float64)
+def constant(quality: np.ndarray) -> dict | None:
+    """The model where there are no labels of both kinds, or too few."""
+    return {"constant": float((quality.sum() + 1) / (len(quality) + 2))} if len(set(quality.tolist())) < 2 or len(quality) < 10 else None
+
+
+def fit(x: np.ndarray, quality: np.ndarray, vocabulary: np.ndarray, vectors: np.ndarray, seed: int = 7) -> dict:
+    """The model of these features and their labels (0 or 1)."""
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x, y = (x - mean) / scale, quality.astype(np.float64)
     rng = np.random.default_rng(seed)
@@ -168,37 +174,67 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
-    """A model fitted on at most max_train labelled rows that aren't held out."""
-    S.arrow_rows(docs.sparkSession)
+def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """id (string), quality, text of at most max_train labelled documents that aren't held out: one row for each id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     # at most max_train rows of two numbers, so they may be broadcast
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-
-    def tokenise(batches):
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.astype("<u8").tobytes() for t in tokens(texts)], pa.binary())], ["doc_id", "quality", "tokens"])
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy(F.col("doc_id").cast("string").alias("id"), "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "text")
-    got = rows.mapInArrow(tokenise, "doc_id string, quality int, tokens binary").collect()
-    got = sorted(got, key=lambda r: (r.doc_id, bytes(r.tokens)))[: 2 * max_train]
-    return fit([np.frombuffer(r.tokens, "<u8").astype(np.uint64) for r in got], np.array([r.quality for r in got], np.int64))
 
-
-def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= threshold), one row per row of docs."""
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
+    """A model fitted on at most max_train labelled documents that aren't held out."""
+    rows = S.save(sample(docs, labels, max_train), "sample")
+    quality = np.array([r.quality for r in rows.select("id", "quality").orderBy("id").collect()], np.int64)  # max_train at most
+    if (plain := constant(quality)) is not None:
+        return plain
+    texts = rows.select("id", "text")
+
+    def count(batches):
+        for b in S.slices(batches):
+            words, n = word_counts(list(tokens(b.column(1).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+    often = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n >= {MIN_COUNT}").orderBy(F.desc("n"), "word").limit(MAX_VOCABULARY)
+    vocabulary = np.sort(np.array([r.word for r in often.collect()], np.int64).view(np.uint64))
+    sums = [f"c{i}" for i in range(DIMENSIONS)]
+
+    def gather(batches):
+        for b in S.slices(batches):
+            words, context = contexts(list(tokens(b.column(1).to_pylist())), vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), *(pa.array(c) for c in np.ascontiguousarray(context.T))], ["word", *sums])
+
+    # whole numbers, so their sums don't hang on an order
+    summed = texts.mapInArrow(gather, "word long, " + ", ".join(f"{c} double" for c in sums)).groupBy("word").agg(*(F.sum(c).alias(c) for c in sums))
+    vectors = np.zeros((len(vocabulary) + 1, DIMENSIONS))
+    for r in summed.collect():  # MAX_VOCABULARY + 1 at most
+        vectors[r.word] = r[1:]
+    vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors))
+
+    def pooled(batches):
+        for b in S.slices(batches):
+            x = [features(d, *shared.value) for d in tokens(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tolist() for v in x], pa.list_(pa.float32()))], ["id", "x"])
+
+    x = np.array([r.x for r in texts.mapInArrow(pooled, "id string, x array<float>").orderBy("id").collect()])  # max_train at most
+    return fit(x.astype(np.float64), quality, vocabulary, vectors)
+
+
+def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with a score (0 to 1) and predicted (1 if score >= threshold), one row per row of docs."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels, max_train))
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(model.value, [t or "" for t in b.column(at).to_pylist()]), pa.float64())], [*b.schema.names, "score"])
+        for b in S.slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(model.value, [t or "" for t in b.column(at).to_pylist()]), pa.float64())], [*b.schema.names, names[0]])
 
-    bare = docs.drop("score", "predicted")
+    bare = docs.drop(*names)
     at = bare.columns.index("text")
-    schema = T.StructType([*bare.schema.fields, T.StructField("score", T.DoubleType())])
-    return bare.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = T.StructType([*bare.schema.fields, T.StructField(names[0], T.DoubleType())])
+    return bare.mapInArrow(run, schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

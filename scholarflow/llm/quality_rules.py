@@ -26,22 +26,26 @@ MAX_DOCS = 20
 MIN_LEFT = 0.3
 #: A frequent line's rows are dealt to as many tasks.
 SALTS = 16
+#: Texts of as many words have 47 bits or fewer left beside a place.
+PACKED = 1 << 16
 
 _HAS_WORD = "[^\\\\x20\\\\x09-\\\\x0D]"
 _WORD = _HAS_WORD + "+"
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
+def base_counts(docs: DataFrame, packed: int = PACKED) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
     A 3-word window's hash is shifted to make room for its place, so that one
     sort of longs brings equal windows together; the places of those found twice
-    or more then tell how many words they cover.
+    or more then tell how many words they cover. In texts of PACKED words or
+    more a shifted hash would have too few bits left: there pairs of the whole
+    hash and the place are sorted.
     """
     out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
     out = out.withColumn("_words", F.expr(f"regexp_extract_all(_text, '{_WORD}', 0)"))
     out = out.withColumn("_n", F.size("_words")).withColumn("_bits", F.expr("length(bin(_n))"))
-    out = out.withColumn("_packed", F.expr("case when _n >= 4 then sort_array(transform(sequence(1, _n - 2), i -> shiftleft(xxhash64(_words[i - 1], _words[i], _words[i + 1]), _bits) | i)) else array() end"))
+    out = out.withColumn("_packed", F.expr(f"case when _n >= 4 and _n < {packed} then sort_array(transform(sequence(1, _n - 2), i -> shiftleft(xxhash64(_words[i - 1], _words[i], _words[i + 1]), _bits) | i)) else array() end"))
     out = out.withColumn("_m", F.size("_packed"))
     out = out.withColumn(
         "_twice",
@@ -50,6 +54,14 @@ def base_counts(docs: DataFrame) -> DataFrame:
               or k < _m - 1 and shiftrightunsigned(_packed[k], _bits) = shiftrightunsigned(_packed[least(k + 1, _m - 1)], _bits)
             then _packed[k] & (shiftleft(1L, _bits) - 1) else 0L end), p -> p > 0)) else array() end"""),
     )
+    out = out.withColumn("_pairs", F.expr(f"case when _n >= {packed} then sort_array(transform(sequence(1, _n - 2), i -> struct(xxhash64(_words[i - 1], _words[i], _words[i + 1]) as h, cast(i as bigint) as i))) else array() end"))
+    out = out.withColumn("_m", F.size("_pairs"))
+    out = out.withColumn(
+        "_twice",
+        F.expr("""case when _m > 0 then array_sort(filter(transform(sequence(0, _m - 1), k -> case
+            when k > 0 and _pairs[k].h = _pairs[greatest(k - 1, 0)].h or k < _m - 1 and _pairs[k].h = _pairs[least(k + 1, _m - 1)].h
+            then _pairs[k].i else 0L end), p -> p > 0)) else _twice end"""),
+    )
     out = out.withColumn("_lines", F.expr(f"filter(split(_text, '\\n', -1), l -> l rlike '{_HAS_WORD}')"))
     out = out.withColumns(
         {
@@ -60,7 +72,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
             "n_repeat_words": F.expr("aggregate(_twice, named_struct('covered', 0L, 'last', -9L), (a, p) -> named_struct('covered', a.covered + least(3L, p - a.last), 'last', p), a -> a.covered)"),
         }
     )
-    out = out.drop("_text", "_words", "_n", "_bits", "_packed", "_m", "_twice", "_lines")
+    out = out.drop("_text", "_words", "_n", "_bits", "_packed", "_pairs", "_m", "_twice", "_lines")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
@@ -96,17 +108,20 @@ def quality_rules(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = M
     counted = base_counts(docs.select("doc_id", "text", "source"))
     keyed = counted.withColumn("host", F.coalesce("source", F.lit(""))).select("*", *S.text_key(F.col("text"))).drop("text", "source")
     # equal texts have equal keys, null among them: xxhash64 of a null is its seed
-    out = keyed.join(removed_words(docs, max_docs).drop("lines"), ["host", "t0", "t1"], "left").withColumn("n_removed_words", F.coalesce("n_removed", F.lit(0)).cast("long"))
+    # copies of one text are dealt to several tasks
+    removed = removed_words(docs, max_docs).drop("lines").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keyed.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    out = salted.join(removed, ["host", "t0", "t1", "salt"], "left").withColumn("n_removed_words", F.coalesce("n_removed", F.lit(0)).cast("long"))
     depleted = F.col("n_words") - F.col("n_removed_words") < F.lit(min_left) * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_removed_words")
 
 
 def clean_texts(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """docs with clean_text: the text without its frequent lines (null stays null)."""
-    keyed = docs.withColumn("host", F.coalesce("source", F.lit(""))).select("*", *S.text_key(F.col("text")))
+    """docs with clean_text: the text without its frequent lines (null stays null). A column of docs of that name is replaced."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "clean_text")).alias("row"))
+    keyed = whole.select("row", F.coalesce("row.source", F.lit("")).alias("host"), *S.text_key(F.col("row.text")))
     out = keyed.join(removed_words(docs, max_docs).drop("n_removed"), ["host", "t0", "t1"], "left").withColumn("lines", F.coalesce("lines", F.expr("cast(array() as array<bigint>)")))
-    out = out.withColumn("clean_text", F.expr(f"array_join(filter(split(text, '\\n', -1), l -> not array_contains(lines, xxhash64(array_join(regexp_extract_all(lower(l), '{_WORD}', 0), ' ')))), '\\n')"))
-    return out.drop("host", "t0", "t1", "lines")
+    return out.select("row.*", F.expr(f"array_join(filter(split(row.text, '\\n', -1), l -> not array_contains(lines, xxhash64(array_join(regexp_extract_all(lower(l), '{_WORD}', 0), ' ')))), '\\n')").alias("clean_text"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,6 @@ ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
@@ -136,6 +135,18 @@ def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+def clear_of(runs: list[tuple[int, int, str]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The runs that overlap none of the spans, both in order of their starts: one pass over both."""
+    out, i, reach = [], 0, 0
+    for r in sorted(runs):
+        while i < len(spans) and spans[i][0] < r[1]:
+            reach = max(reach, spans[i][1])
+            i += 1
+        if reach <= r[0]:
+            out.append(r)
+    return out
+
+
 def random_runs(runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Of (start, end, run), those that are taken as secrets, each with its encoding."""
     tested = [(s, e, b) for s, e, r in runs if (b := battery(r))]
@@ -160,8 +171,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
         runs = [x for m in RUN.finditer(text) for x in pieces(m.start(), m[0])]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-    free = [r for r in runs if not any(s < r[1] and r[0] < e for s, e, _ in base)]
-    return sorted(base + random_runs(free), key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else len(KINDS), x[2]))
+    return sorted(base + random_runs(clear_of(runs, base)), key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else len(KINDS), x[2]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -182,11 +192,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of start, end, kind), one row per row of docs."""
 
     def run(batches):
-        for b in batches:
+        for b in S.slices(batches):
             spans = [[{"start": s, "end": e, "kind": k} for s, e, k in scan(t or "")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])))], ["doc_id", "spans"])
 
-    S.arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("spans array<struct<start: long, end: long, kind: string>>").fields]))
 
 
@@ -195,12 +204,11 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in S.slices(batches):
             columns = b.columns
             columns[at] = pa.array([None if t is None else redact(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    S.arrow_rows(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -212,6 +220,3 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = "filter(spans, x -> x.kind in ('assign', 'access', 'hex'))"
     return found.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(F.expr(text.format(base)), 256).alias("base_sha256"), F.expr(text.format("spans")).alias("spans"))
 
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    return hashlib.sha256(joined([x for x in spans if x[2] in KINDS]).encode()).hexdigest()

@@ -11,7 +11,6 @@ itself, so null or repeated ids, ties and extra columns change nothing.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +25,12 @@ LIMIT = 1024
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens), one row per row of docs."""
     spark = docs.sparkSession
-    S.arrow_rows(spark)
-    # at most the vocabulary's size: some 0.4 MB
-    proven = spark.sparkContext.broadcast(np.sort(K.text_hashes(K.whole_tokens(tokenizer))))
+    # at most the vocabulary's size: some 0.8 MB
+    proven = spark.sparkContext.broadcast(K.text_hashes(K.whole_tokens(tokenizer)))
 
     def count(batches):
         enc = K.encoder(tokenizer, counts=True, whole=proven.value)
-        for b in batches:
+        for b in S.slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(enc.count(b.column(1).to_pylist())), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))

@@ -3,10 +3,12 @@
 A dataset is three tables that Spark writes, so that any store and any lost
 executor will do:
   dictionary: dict_hash (sha256), dictionary, width (bytes of an id)
-  blocks: shard, block, dict_hash, payload (frames end to end) and the offset
-    index: arrays doc_ids, offsets, lengths (of frames), n_tokens
+  blocks: shard, block, lo and hi (the block's least and greatest doc_id),
+    dict_hash, payload (frames end to end) and the offset index: arrays
+    doc_ids, offsets, lengths (of frames), n_tokens
 The dictionary is trained on the serialised ids of at most MAX_TRAIN documents
-(those with the smallest hashes of their ids; it changes the files' size only).
+of at most SAMPLE_BYTES each (those with the smallest hashes of their ids, one
+for each id; it is for short documents, and changes the files' size only).
 Shards are ranges of doc_id, blocks follow each other in them, documents in
 blocks: ascending doc_id, null first; rows with one id in order of what they
 hold. A null or empty text is the end id alone. Extra columns aren't read.
@@ -16,10 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -30,6 +33,7 @@ from . import _tokens as K
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 MAX_TRAIN = 1000
+SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 16
 #: A block is full when its frames have as many bytes.
 BLOCK_BYTES = 1 << 20
@@ -48,19 +52,21 @@ def width_of(tokenizer: str) -> int:
     return 2 if tokenizers.Tokenizer.from_file(K.tokenizer_path(tokenizer)).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int = END, max_train: int = MAX_TRAIN) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int = END, max_train: int = MAX_TRAIN, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     """b'' if there is too little to learn from."""
     import zstandard
 
-    wanted = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # a bounded number of ids
+    short = docs.where(f"doc_id is not null and octet_length(text) <= {sample_bytes}").select("doc_id", "text")
+    wanted = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # a bounded number of ids
+    once = short.join(F.broadcast(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in S.slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([i.astype(f"<u{width}").tobytes() for i in _ids(b.column(0).to_pylist(), tokenizer, end)], pa.binary())], ["ids"])
 
-    samples = sorted(bytes(r.ids) for r in docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("text").mapInArrow(run, "ids binary").collect())
+    samples = sorted(bytes(r.ids) for r in once.select("text").mapInArrow(run, "ids binary").collect())  # max_train of sample_bytes tokens at most
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples[: 2 * max_train]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -68,7 +74,6 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int = END
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shards: int | None = None) -> None:
     """Encode every row of docs and write the dataset to path."""
     spark = docs.sparkSession
-    S.arrow_rows(spark)
     docs = docs.select("doc_id", "text")
     kind, width = docs.schema["doc_id"].dataType, width_of(tokenizer)
     dictionary = train_dictionary(docs, tokenizer, width, end)
@@ -78,7 +83,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         import zstandard
 
         made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        for b in batches:
+        for b in S.slices(batches):
             n, out = [], []
             for ids in _ids(b.column(1).to_pylist(), tokenizer, end):
                 n.append(len(ids))
@@ -99,7 +104,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         def full():
             ends = np.cumsum([len(f) for f in held])
             offsets = (ends - [len(f) for f in held]).tolist()
-            arrays = [[shard], [number], [digest], [b"".join(held)], [ids], [offsets], [[len(f) for f in held]], [n]]
+            arrays = [[shard], [number], [ids[0]], [ids[-1]], [digest], [b"".join(held)], [ids], [offsets], [[len(f) for f in held]], [n]]
             return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, arrow, strict=True)], names)
 
         for b in batches:
@@ -114,13 +119,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         if held:
             yield full()
 
-    names = ["shard", "block", "dict_hash", "payload", "doc_ids", "offsets", "lengths", "n_tokens"]
+    names = ["shard", "block", "lo", "hi", "dict_hash", "payload", "doc_ids", "offsets", "lengths", "n_tokens"]
     schema = T.StructType(
-        [T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("dict_hash", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(kind))]
+        [T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("dict_hash", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(kind))]
         + [T.StructField(x, T.ArrayType(T.LongType())) for x in ("offsets", "lengths", "n_tokens")]
     )
-    long_list = pa.list_(pa.int64())
-    arrow = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()), long_list, long_list, long_list]
+    long_list, one_id = pa.list_(pa.int64()), pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()
+    arrow = [pa.int32(), pa.int32(), one_id, one_id, pa.string(), pa.binary(), pa.list_(one_id), long_list, long_list, long_list]
     ordered.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -143,7 +148,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
     def run(batches):
         decode = _decoder(row)
-        for b in batches:
+        for b in S.slices(batches, 1):
             for r in b.to_pylist():
                 if r["dict_hash"] != row.dict_hash:
                     raise ValueError("the block was written with another dictionary")
@@ -163,7 +168,6 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = ["shard", "block", "doc_id", "before", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    S.arrow_rows(spark)
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("doc_id", kind), *(T.StructField(x, T.LongType()) for x in names[3:6]), *[T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids])
     per_block = blocks.select("shard", "block", F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)").alias("t"))
     # one row for each shard: their number is a setting
@@ -174,10 +178,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list) -> dict:
-    """The ids of a few documents, by the index alone: only their frames are decompressed."""
+    """The ids of a few documents, by the index alone: only blocks whose range holds one are read, only their frames decompressed."""
     row = _dictionary(spark, path)
-    x = F.explode(F.arrays_zip("doc_ids", "offsets", "lengths")).alias("x")
-    found = spark.read.parquet(f"{path}/blocks").select("payload", x).where(F.col("x.doc_ids").isin(doc_ids)).select(F.col("x.doc_ids").alias("doc_id"), F.expr("substring(payload, cast(x.offsets as int) + 1, cast(x.lengths as int))").alias("frame"))
+    ranges = reduce(Column.__or__, [F.lit(i).between(F.col("lo"), F.col("hi")) for i in sorted(set(doc_ids))], F.lit(False))
+    at = F.filter(F.arrays_zip("doc_ids", "offsets", "lengths"), lambda x: x.doc_ids.isin(doc_ids))
+    found = spark.read.parquet(f"{path}/blocks").where(ranges).select("payload", F.explode(at).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.expr("substring(payload, cast(x.offsets as int) + 1, cast(x.lengths as int))").alias("frame"))
     decode = _decoder(row)
     return {r.doc_id: np.frombuffer(decode.decompress(bytes(r.frame)), f"<u{row.width}").tolist() for r in found.collect()}
 
