@@ -140,9 +140,10 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sketch = S.save(sketches(docs), "sketches")
     known = sketch.where("n > 0 and doc_id is not null")
-    # a class is a set: its number stands for it, whatever ids have it
+    # a class is a set: its number stands for it, whatever ids have it. Numbers follow the ids, so that
+    # the first leader of a list is its oldest document: copies are made from what was there before
     found = known.groupBy("k0", "k1", "n").agg(F.min(F.struct("doc_id", "t0")).alias("x"), F.first("sig").alias("sig"))
-    classes = S.save(found.select(F.monotonically_increasing_id().alias("rep"), "k0", "k1", "n", "x.doc_id", "x.t0", "sig"), "classes")
+    classes = S.save(found.select("k0", "k1", "n", "x.doc_id", "x.t0", "sig").orderBy("doc_id", "t0").withColumn("rep", F.monotonically_increasing_id()), "classes")
     repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
     links = _links(docs, classes, rounds, repeated)
     if repeated:
