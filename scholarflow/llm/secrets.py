@@ -23,6 +23,8 @@ ends exclusive.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 
@@ -136,15 +138,10 @@ def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 def clear_of(runs: list[tuple[int, int, str]], spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The runs that overlap none of the spans, both in order of their starts: one pass over both."""
-    out, i, reach = [], 0, 0
-    for r in sorted(runs):
-        while i < len(spans) and spans[i][0] < r[1]:
-            reach = max(reach, spans[i][1])
-            i += 1
-        if reach <= r[0]:
-            out.append(r)
-    return out
+    """The runs that overlap none of the spans, which are in order of their starts."""
+    starts = [s for s, _, _ in spans]
+    reach = [0, *itertools.accumulate((e for _, e, _ in spans), max)]
+    return [r for r in sorted(runs) if reach[bisect.bisect_left(starts, r[1])] <= r[0]]
 
 
 def random_runs(runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
