@@ -67,6 +67,11 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places, for functions over Arrow batches that pass on columns of any name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def text_key(text: Column, names: tuple[str, str] = ("t0", "t1")) -> list[Column]:
     """128 bits that stand for a text: rows with equal texts share every verdict, whatever their ids.
 

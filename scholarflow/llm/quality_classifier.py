@@ -229,12 +229,13 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, thr
 
     def run(batches):
         for b in S.slices(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(model.value, [t or "" for t in b.column(at).to_pylist()]), pa.float64())], [*b.schema.names, names[0]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(model.value, [t or "" for t in b.column(at).to_pylist()]), pa.float64())], [*b.schema.names, "score"])
 
     bare = docs.drop(*names)
     at = bare.columns.index("text")
-    schema = T.StructType([*bare.schema.fields, T.StructField(names[0], T.DoubleType())])
-    return bare.mapInArrow(run, schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
+    numbered = S.numbered(bare)
+    scored = numbered.mapInArrow(run, T.StructType([*numbered.schema.fields, T.StructField("score", T.DoubleType())]))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).toDF(*bare.columns, *names)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array([None if t is None else redact(t) for t in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    numbered = S.numbered(docs)
+    out = numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
