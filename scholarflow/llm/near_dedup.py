@@ -85,6 +85,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k0, pa.int64()), pa.array(k1, pa.int64()), lists], ["doc_id", "t0", "n", "k0", "k1", "sig"])
 
+    S.small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.xxhash64("text").alias("t0"), "text")
     return rows.mapInArrow(run, _schema(rows.schema["doc_id"], t0=T.LongType(), n=T.LongType(), k0=T.LongType(), k1=T.LongType(), sig=T.ArrayType(T.LongType())))
 
@@ -208,10 +209,8 @@ def _across(reps: DataFrame, sets: DataFrame) -> DataFrame:
     live = first.join(ends, "s").withColumn("step", F.expr("cast(floor(ln(n) / ln(1.334)) as int)"))
     small = live.where(f"at <= n - {_needed('n', 'n')} + 1").select("s", F.explode(F.array("step", F.expr("step + 1"))).alias("step"), F.col("rep").alias("a"), "comp", "n", "at")
     large = live.where(f"at <= n - {_needed('least', 'n')} + 1").select("s", "step", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
-    # components meet first, so that no two sets of one component do
-    meet = small.select("s", "step", "comp").distinct().join(large.select("s", "step", "other").distinct(), ["s", "step"]).where("comp <> other")
     both = f"at <= n - {_needed('n', 'm')} + 1 and place <= m - {_needed('n', 'm')} + 1 and 100 * n >= {PERCENT} * m"
-    pairs = small.join(meet, ["s", "step", "comp"]).join(large, ["s", "step", "other"]).where(f"(n < m or n = m and a < b) and {both}")
+    pairs = small.join(large, ["s", "step"]).where(f"(n < m or n = m and a < b) and comp <> other and {both}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
