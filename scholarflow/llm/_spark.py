@@ -52,6 +52,16 @@ def tidy(spark: SparkSession, keep: Iterable[str]) -> None:
         _made.remove(path)
 
 
+def small_batches(spark: SparkSession, rows: int = ROWS) -> None:
+    """Have Spark make Arrow batches of at most so many rows (of 64 MB at most it makes them anyway).
+
+    This is set for the session, and stays: Spark looks at it when a result is asked for, which is after an operator has returned.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that what is made of texts doesn't pile up in a Python worker."""
     for b in batches:

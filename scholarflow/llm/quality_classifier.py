@@ -180,11 +180,12 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Da
     # at most max_train rows of two numbers, so they may be broadcast
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return rows.groupBy(F.col("doc_id").cast("string").alias("id"), "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return rows.groupBy(F.col("doc_id").cast("string").alias("id"), "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """A model fitted on at most max_train labelled documents that aren't held out."""
+    S.small_batches(docs.sparkSession)
     rows = S.save(sample(docs, labels, max_train), "sample")
     quality = np.array([r.quality for r in rows.select("id", "quality").orderBy("id").collect()], np.int64)  # max_train at most
     if (plain := constant(quality)) is not None:
