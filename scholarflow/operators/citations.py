@@ -60,3 +60,36 @@ def repeated_references(edges: DataFrame) -> DataFrame:
     """matches, citers, repeats of an edge list that isn't distinct."""
     pairs = edges.groupBy("citing", "cited").agg(F.count("*").alias("n"))
     return pairs.agg(F.sum("n").cast("bigint").alias("matches"), F.count("*").alias("unique_pairs"), F.sum(F.col("n") - 1).cast("bigint").alias("repeats"))
+
+
+def verdict(row: DataFrame, max_difference: int = 0, max_missing: int = 0) -> DataFrame:
+    """coverage() with valid: no more missing, and no greater difference, than allowed."""
+    return row.withColumn("valid", (F.col("abs_diff") <= max_difference) & (F.col("missing") <= max_missing))
+
+
+def mismatches(focal: DataFrame, calculated: DataFrame, recorded: DataFrame) -> DataFrame:
+    """work_id, total, cites of the focal works whose calculated total isn't the recorded one."""
+    sums = calculated.groupBy("work_id").agg(F.sum("citations").alias("total"))
+    both = focal.select("work_id").distinct().join(recorded.select("work_id", F.coalesce("cites", F.lit(0)).alias("cites")), "work_id").join(sums, "work_id", "left")
+    return both.withColumn("total", F.coalesce("total", F.lit(0))).where("total <> cites")
+
+
+def repeats_by_target(edges: DataFrame) -> DataFrame:
+    """cited, entries, citers, repeats: of an edge list that isn't distinct, by the cited work."""
+    pairs = edges.groupBy("citing", "cited").agg(F.count("*").alias("n"))
+    return pairs.groupBy("cited").agg(F.sum("n").cast("bigint").alias("entries"), F.count("*").alias("citers"), F.sum(F.col("n") - 1).cast("bigint").alias("repeats"))
+
+
+def repeat_examples(edges: DataFrame, most: int = 50) -> DataFrame:
+    """citing, cited, repetitions: the most repeated pairs, for a report."""
+    pairs = edges.groupBy("citing", "cited").agg(F.count("*").alias("repetitions")).where("repetitions > 1")
+    return pairs.orderBy(F.desc("repetitions"), "citing", "cited").limit(most)
+
+
+def related_counts(edges: DataFrame, works: DataFrame) -> DataFrame:
+    """work_id, related, unrelated: works of the same author that are (itself, cited or citing) or aren't related; histories are counted, not paired."""
+    own = works.select(F.col("work_id").alias("other"), F.col("author_id").alias("its"))
+    near = related_pairs(edges, works).withColumnRenamed("focal", "work_id").join(works.select("work_id", "author_id"), "work_id").join(own, "other").where("author_id = its")
+    near = near.groupBy("work_id").agg(F.count("*").alias("related"))
+    every = works.select("work_id", "author_id").join(works.groupBy("author_id").agg(F.count("*").alias("n")), "author_id")
+    return every.join(near, "work_id").select("work_id", "related", (F.col("n") - F.col("related")).alias("unrelated"))

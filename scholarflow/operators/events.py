@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import at_rank, running_counts
+
 
 def clustered_means(panel: DataFrame, value: str, cluster: str, key: str = "event_time") -> DataFrame:
     """key, n, clusters, mean, se (cluster-robust), low, high (95 %).
@@ -34,10 +36,12 @@ def cells(panel: DataFrame, keys: list[str]) -> DataFrame:
     out = base.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in ["event_time", *keys])).agg(
         F.grouping_id().alias("gid"), F.count("*").alias("rows"), F.sum("observed").cast("bigint").alias("observed"), F.avg("z").alias("mean_zero"), F.avg(F.when(F.col("observed") == 1, F.col("citations"))).alias("mean_observed")
     )
-    dimension = F.lit("event_time")
-    for k in keys:
-        dimension = F.when(F.col(k).isNotNull(), k).otherwise(dimension)
-    return out.select(dimension.alias("dimension"), F.coalesce(*(F.col(k).cast("string") for k in keys), F.lit("")).alias("level"), "event_time", "rows", "observed", (F.col("rows") - F.col("observed")).alias("missing"), "mean_zero", "mean_observed")
+    # the bit of a key is 0 in the rows that are grouped by it, whatever its value
+    dimension, level = F.lit("event_time"), F.lit("")
+    for i, k in enumerate(reversed(keys)):
+        by = F.col("gid").bitwiseAND(1 << i) == 0
+        dimension, level = F.when(by, k).otherwise(dimension), F.when(by, F.coalesce(F.col(k).cast("string"), F.lit("unknown"))).otherwise(level)
+    return out.select(dimension.alias("dimension"), level.alias("level"), "event_time", "rows", "observed", (F.col("rows") - F.col("observed")).alias("missing"), "mean_zero", "mean_observed")
 
 
 def pair_deltas(panel: DataFrame, unit: list[str]) -> DataFrame:
@@ -53,20 +57,18 @@ def order_statistics(df: DataFrame, value: str, points: tuple[float, ...] = (0.5
 
     Values are counted first, so ranks come from distinct values: no task sees all rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"), (F.sum(F.when(F.col("v") == 0, F.col("c")).otherwise(0)) / F.sum("c")).alias("zero_share"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("v")))
-    picks = [F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("v"))).alias(f"p{round(100 * q)}") for q in points]
-    got = upto.join(F.broadcast(total), how="cross").groupBy("n", "sum", "min", "max", "zero_share").agg(*picks)  # total is one row
+    counts = running_counts(df.withColumn("_all", F.lit(1)), value, ["_all"])
+    picks = [at_rank(F.floor(q * (F.col("n") - 1))).alias(f"p{round(100 * q)}") for q in points]
+    got = counts.groupBy("_all").agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("min"), *picks, F.max("v").alias("max"), (F.sum(F.when(F.col("v") == 0, F.col("c")).otherwise(0)) / F.sum("c")).alias("zero_share"))
     return got.select("n", "sum", (F.col("sum") / F.col("n")).alias("mean"), "min", *(f"p{round(100 * q)}" for q in points), "max", "zero_share")
 
 
 def year_series(dense: DataFrame) -> DataFrame:
     """year, at_risk, total, mean, upper_median (the value at n // 2), zero_share."""
-    w = W.partitionBy("year")
-    ranked = dense.withColumn("r", F.row_number().over(w.orderBy("citations"))).withColumn("k", F.count("*").over(w))
-    return ranked.groupBy("year").agg(
-        F.count("*").alias("at_risk"), F.sum("citations").cast("bigint").alias("total"), F.avg("citations").alias("mean"), F.max(F.when(F.col("r") == F.floor(F.col("k") / 2) + 1, F.col("citations"))).alias("upper_median"), F.avg((F.col("citations") == 0).cast("double")).alias("zero_share")
+    counts = running_counts(dense, "citations", ["year"])
+    total, n = F.sum(F.col("v") * F.col("c")), F.sum("c")
+    return counts.groupBy("year").agg(
+        n.alias("at_risk"), total.cast("bigint").alias("total"), (total / n).alias("mean"), at_rank(F.floor(F.col("n") / 2)).alias("upper_median"), (F.sum(F.when(F.col("v") == 0, F.col("c")).otherwise(0)) / n).alias("zero_share")
     )
 
 
@@ -80,3 +82,19 @@ def lifecycle_benchmark(panel: DataFrame, min_rows: int = 1) -> DataFrame:
     """year, paper_age, type, expected, positive_share over works' years, each once."""
     once = panel.groupBy("work_id", "year").agg(F.max("citations").alias("c"), F.min("paper_age").alias("paper_age"), F.min("type").alias("type"))
     return once.groupBy("year", "paper_age", "type").agg(F.avg("c").alias("expected"), F.avg((F.col("c") > 0).cast("double")).alias("positive_share"), F.count("*").alias("k")).where(F.col("k") >= min_rows).drop("k")
+
+
+def two_samples(panel: DataFrame, unit: list[str], window: int) -> DataFrame:
+    """panel (event_time, c, expected, smoothed) once as at_risk, and units seen in the whole window again as balanced."""
+    w = W.partitionBy(*unit)
+    whole = (F.count("*").over(w) == 2 * window + 1) & (F.min("event_time").over(w) == -window) & (F.max("event_time").over(w) == window)
+    samples = F.filter(F.array(F.lit("at_risk"), F.when(F.col("_whole"), F.lit("balanced"))), lambda x: x.isNotNull())
+    return panel.withColumn("_whole", whole).withColumn("sample", F.explode(samples)).drop("_whole")
+
+
+def sample_means(samples: DataFrame, unit: list[str]) -> DataFrame:
+    """sample, event_time, observations, authors, units, means, and the error of the mean of authors' mean excess."""
+    per = samples.groupBy("sample", "event_time", "author_id").agg(F.avg("excess").alias("m"))
+    error = per.groupBy("sample", "event_time").agg((F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se"))
+    means = samples.groupBy("sample", "event_time").agg(F.count("*").alias("observations"), F.count_distinct("author_id").alias("authors"), F.count_distinct(*unit).alias("units"), F.avg("excess").alias("excess"), (F.sum("c") / F.nullif(F.sum("expected"), F.lit(0))).alias("observed_expected"), F.avg("smoothed").alias("smoothed"))
+    return means.join(error, ["sample", "event_time"])

@@ -5,29 +5,42 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.columns import normalized_title, similarity_ratio
+from .ranks import cut, ranked
 
 
-def matched_controls(treated: DataFrame, pool: DataFrame, cell: list[str], seed: int = 0) -> DataFrame:
-    """treated with control: one for one in each cell (year, type, ...), none twice, in the order of a hash.
+def matched_controls(treated: DataFrame, pool: DataFrame, cell: list[str], topic: str | None = None, seed: int = 0) -> DataFrame:
+    """treated with control and control_author: one for one, none twice, in the order of a hash.
 
-    The n-th treated work of a cell gets its n-th candidate, so a cell is
-    ranked, not paired off in full. Candidates don't include treated works.
+    A control has the treated work's cell (year, type), isn't treated itself and
+    isn't by its author. It is sought within the topic first, then without it,
+    and once more without it for those that met their own author. In each round
+    the n-th work of a cell that is still without one gets the n-th free
+    candidate: ranks come from range-sorted parts, so no cell is one task.
     """
-    order = lambda c: (F.md5(F.concat_ws("-", F.lit(seed), F.col(c).cast("string"))), F.col(c))
-    free = pool.join(treated.select("work_id"), "work_id", "left_anti")
-    left = treated.withColumn("r", F.row_number().over(W.partitionBy(*cell).orderBy(*order("work_id"))))
-    right = free.select(*cell, F.col("work_id").alias("control"), F.col("author_id").alias("control_author"), F.row_number().over(W.partitionBy(*cell).orderBy(*order("work_id"))).alias("r"))
-    return left.join(right, [*cell, "r"], "left").drop("r")
+    left = treated
+    free = pool.join(treated.select("work_id"), "work_id", "left_anti").select("work_id", "author_id", *cell, *([topic] if topic else []))
+    rounds = ([[*cell, topic]] if topic else []) + [cell, cell]
+    done = None
+    for k, keys in enumerate(rounds):
+        order = F.md5(F.concat_ws("-", F.lit(seed + k), F.col("work_id").cast("string")))
+        one = ranked(left.withColumn("_h", order), keys, ["_h", "work_id"])
+        two = ranked(free.withColumn("_h", order), keys, ["_h", "work_id"]).select(*keys, "rank", F.col("work_id").alias("control"), F.col("author_id").alias("control_author"))
+        found = cut(one.drop("_h").join(two, [*keys, "rank"]).where("author_id <> control_author").select(*treated.columns, "control", "control_author"))
+        done = found if done is None else done.union(found)
+        left = left.join(found.select("work_id"), "work_id", "left_anti").select(*treated.columns)
+        free = free.join(found.select(F.col("control").alias("work_id")), "work_id", "left_anti")
+    none = pool.schema["work_id"].dataType, pool.schema["author_id"].dataType
+    return done.union(left.select("*", F.lit(None).cast(none[0]).alias("control"), F.lit(None).cast(none[1]).alias("control_author")))
 
 
 def version_clusters(works: DataFrame, ratio: float = 0.9, years: int = 1) -> DataFrame:
     """works (author_id, work_id, title, year, cites, doi) with leader: the first version of each.
 
     Works of an author go from the most cited on; each joins the first cluster
-    whose leader has its DOI, or a similar title and a year close by.
+    whose leader has its DOI, or a similar title and a year close by. Works
+    without an author are nobody's versions: each leads itself.
     """
 
     def lead(one: pd.DataFrame) -> pd.DataFrame:
@@ -43,7 +56,9 @@ def version_clusters(works: DataFrame, ratio: float = 0.9, years: int = 1) -> Da
         return one.drop(columns="norm").assign(leader=out)
 
     rows = works.select("author_id", "work_id", "title", "year", "cites", "doi").withColumn("norm", normalized_title(F.coalesce("title", F.lit(""))))
-    return rows.groupBy("author_id").applyInPandas(lead, rows.drop("norm").schema.simpleString()[7:-1].replace(":", " ") + f", leader {works.schema['work_id'].dataType.simpleString()}")
+    known = rows.where("author_id is not null and cast(author_id as string) <> ''")
+    alone = rows.where("author_id is null or cast(author_id as string) = ''").drop("norm").withColumn("leader", F.col("work_id"))
+    return known.groupBy("author_id").applyInPandas(lead, rows.drop("norm").schema.simpleString()[7:-1].replace(":", " ") + f", leader {works.schema['work_id'].dataType.simpleString()}").union(alone)
 
 
 def pre_trend(panel: DataFrame, unit: list[str]) -> DataFrame:

@@ -79,3 +79,12 @@ def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, en
     out = grid.join(near, ["work_id", "year"], "left").withColumn("related", F.coalesce(F.sum("r").over(before.partitionBy("work_id")), F.lit(0)))
     out = out.where(F.col("year") >= F.greatest(F.lit(start), F.col("pub_year") + min_age)).join(own, ["work_id", "year"], "left").join(whole, ["author_id", "year"])
     return out.select("author_id", "work_id", "year", F.coalesce("citations", F.lit(0)).cast("bigint").alias("citations"), F.greatest(F.col("whole") - F.col("related"), F.lit(0)).cast("bigint").alias("unrelated"), F.col("related").cast("bigint").alias("related"), "author_works")
+
+
+def screen(totals: DataFrame) -> DataFrame:
+    """author_id, hit (the most cited work), top (its cites), total, priors, cited_priors, prior_cites: the author's works and those before the hit."""
+    w = W.partitionBy("author_id")
+    rows = totals.withColumn("r", F.row_number().over(w.orderBy(F.desc("cites"), "pub_year", "work_id"))).withColumn("hy", F.max(F.when(F.col("r") == 1, F.col("pub_year"))).over(w))
+    prior = (F.col("r") > 1) & (F.col("pub_year") < F.col("hy"))
+    first = lambda c: F.min(F.when(F.col("r") == 1, F.col(c)))
+    return rows.groupBy("author_id").agg(first("work_id").alias("hit"), first("cites").alias("top"), F.sum("cites").alias("total"), F.count(F.when(prior, 1)).alias("priors"), F.count(F.when(prior & (F.col("cites") > 0), 1)).alias("cited_priors"), F.coalesce(F.sum(F.when(prior, F.col("cites"))), F.lit(0)).alias("prior_cites"))

@@ -10,13 +10,15 @@ numbers reach the driver.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import cut, quantiles, ranked
+
 
 def demean(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """columns less their means over the key's groups."""
@@ -24,30 +26,25 @@ def demean(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.join(means, key).select(*(F.col(c) - F.col(f"_{c}") if c in columns else F.col(c) for c in df.columns)).toDF(*df.columns)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
-def absorb(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30) -> DataFrame:
-    """columns centred, then demeaned by each way in turn until every group mean is below the tolerance."""
+def absorbed(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30) -> tuple[DataFrame, int, float]:
+    """columns centred, then demeaned by each way in turn until every group mean is below the tolerance; the passes made; the greatest mean left."""
     grand = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
     out = df.select(*(F.col(c) - F.lit(grand[c]) if c in columns else F.col(c) for c in df.columns)).toDF(*df.columns)
-    for _ in range(passes):
+    turn, worst = 0, math.inf
+    while turn < passes and worst > tolerance:
+        turn += 1
         for key in ways:
             out = demean(out, columns, key)
-        out = _cut(out)
-        if len(ways) == 1:
-            break
-        # the last way's means are 0 now; the others' tell how far it is
-        worst = max(out.groupBy(key).agg(*(F.avg(c).alias(c) for c in columns)).agg(F.max(F.greatest(*(F.abs(F.col(c)) for c in columns), F.lit(0.0))).alias("m")).first()["m"] or 0.0 for key in ways[:-1])
-        if worst < tolerance:
-            break
-    return out
+        out = cut(out)
+        worst = 0.0  # the last way's means are 0, the others' tell
+        for key in ways[:-1]:
+            means = out.groupBy(key).agg(*(F.abs(F.avg(c)).alias(c) for c in columns))
+            worst = max(worst, means.agg(F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0]))).first()[0] or 0.0)
+    return out, turn, worst
+
+
+def absorb(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30) -> DataFrame:
+    return absorbed(df, columns, ways, tolerance, passes)[0]
 
 
 @dataclass
@@ -61,6 +58,9 @@ class Fit:
     within_r2: float
     n: int
     groups: int
+    #: Passes of absorption, and if no group mean above the tolerance was left.
+    passes: int = 0
+    converged: bool = True
 
 
 def ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, absorbed: int = 0, weight: str | None = None) -> Fit:
@@ -72,18 +72,18 @@ def ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, absorbe
     full = np.array([[row[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)], float)
     inverse = np.linalg.pinv(full[:k, :k])
     beta = inverse @ full[:k, k]
-    sse = max(0.0, float(full[k, k] - 2 * beta @ full[:k, k] + beta @ full[:k, :k] @ beta))
     n = row["n"]
     free = max(1, n - absorbed - k)
+    e = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, x, strict=True)), F.lit(0.0))
     if cluster:
-        e = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, x, strict=True)), F.lit(0.0))
-        scores = df.groupBy(cluster).agg(*(F.sum(w * F.col(c) * e).alias(f"s{i}") for i, c in enumerate(x)))
-        meat = scores.agg(F.count("*").alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        groups = meat["g"]
+        scores = df.groupBy(cluster).agg(F.sum(w * e * e).alias("sse"), *(F.sum(w * F.col(c) * e).alias(f"s{i}") for i, c in enumerate(x)))
+        meat = scores.agg(F.count("*").alias("g"), F.sum("sse").alias("sse"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        groups, sse = meat["g"], meat["sse"] or 0.0
         m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
         factor = groups / (groups - 1) * (n - 1) / free if groups > 1 else 1.0
         variance = factor * inverse @ m @ inverse
     else:
+        sse = df.agg(F.sum(w * e * e)).first()[0] or 0.0
         groups, variance = n, inverse * sse / free
     se = np.sqrt(np.maximum(np.diag(variance), 0.0))
     p = [math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else 1.0 for b, s in zip(beta, se, strict=True)]
@@ -91,21 +91,40 @@ def ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, absorbe
     return Fit(x, beta.tolist(), se.tolist(), p, (beta - 1.96 * se).tolist(), (beta + 1.96 * se).tolist(), float(r2), n, groups)
 
 
-def fixed_effects(df: DataFrame, y: str, x: list[str], ways: list[str], cluster: str, **options) -> Fit:
-    """Absorb the ways, then fit; degrees of freedom count every group of every way but one each after the first."""
-    columns = [y, *x]
+def models(df: DataFrame, y: str, sets: list[list[str]], ways: list[str], cluster: str, tolerance: float = 1e-8, passes: int = 30) -> list[Fit]:
+    """A fit for each set of regressors over one absorption; degrees of freedom count every group of every way but one each after the first."""
+    columns = list(dict.fromkeys([y, *(c for x in sets for c in x)]))
     data = df.select(*dict.fromkeys([*ways, cluster]), *(F.col(c).cast("double").alias(c) for c in columns))
     levels = data.agg(*(F.count_distinct(c).alias(c) for c in ways)).first()
-    absorbed = sum(levels[c] for c in ways) - (len(ways) - 1)
-    return ols(absorb(data, columns, ways, **options), y, x, cluster, absorbed)
+    free, turns, worst = absorbed(data, columns, ways, tolerance, passes)
+    return [replace(ols(free, y, x, cluster, sum(levels[c] for c in ways) - (len(ways) - 1)), passes=turns, converged=worst <= tolerance) for x in sets]
+
+
+def fixed_effects(df: DataFrame, y: str, x: list[str], ways: list[str], cluster: str, **options) -> Fit:
+    return models(df, y, [x], ways, cluster, **options)[0]
 
 
 def winsorize(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
     """columns cut at their upper q-quantile (linear between values)."""
-    tops = df.agg(*(F.percentile(c, q).alias(c) for c in columns)).first()
+    tops = quantiles(df, columns, q)
     return df.withColumns({c: F.least(F.col(c).cast("double"), F.lit(tops[c])) for c in columns})
 
 
+def variants(df: DataFrame, y: str, x: list[str], unit: list[str], age: str, ages: list[int]) -> dict[str, DataFrame]:
+    """The panel as it is, of units with all these ages, and with outcome, regressors or all cut at their 99th percentile."""
+    return {"full": df, "balanced": complete_ages(df, unit, age, ages), "outcome_winsorized": winsorize(df, [y]), "exposure_winsorized": winsorize(df, x), "all_winsorized": winsorize(df, [y, *x])}
+
+
+def by_group(df: DataFrame, dimensions: dict[str, F.Column], fit) -> list[tuple[str, str, Fit]]:
+    """fit(rows) for each level of each dimension (a column of few levels; null levels are left out)."""
+    out = []
+    for name, level in dimensions.items():
+        marked = df.withColumn("_level", level.cast("string"))
+        for (group,) in marked.select("_level").where("_level is not null").distinct().orderBy("_level").collect():
+            out.append((name, group, fit(marked.where(F.col("_level") == group).drop("_level"))))
+    return out
+
+
 def first_differences(df: DataFrame, unit: list[str], time: str, columns: list[str]) -> DataFrame:
     """Changes from one year to the next; rows of which the year before is missing go."""
     w = W.partitionBy(*unit).orderBy(time)
@@ -121,22 +140,15 @@ def complete_ages(df: DataFrame, unit: list[str], age: str, ages: list[int]) ->
 
 
 def binned_means(df: DataFrame, x: str, y: str, tie: list[str], bins: int = 20) -> DataFrame:
-    """bin, n, x, y: means over equal-count bins in order of x.
-
-    Bins come from global ranks: a range sort deals rows out, each part is
-    ranked by itself, and the parts' counts (a row for each) shift the ranks.
-    """
-    parts = df.repartitionByRange(x, *tie).withColumn("part", F.spark_partition_id())
-    parts = _cut(parts)
-    sizes = parts.groupBy("part").agg(F.count("*").alias("k"))
-    offsets = sizes.withColumn("before", F.sum("k").over(W.orderBy("part")) - F.col("k"))
-    n = F.lit(parts.count())
-    ranked = parts.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy(x, *tie))).join(offsets, "part").withColumn("i", F.col("before") + F.col("r") - 1)
+    """bin, n, x, y: means over equal-count bins in order of x."""
+    rows = ranked(df.withColumn("_all", F.lit(1)), ["_all"], [x, *tie])
+    n = F.lit(df.count())
+    ranks = rows.withColumn("i", F.col("rank") - 1)
     # the first n mod bins groups have one more
     size, extra = F.floor(n / bins), n % bins
     cut = extra * (size + 1)
     number = F.when(F.col("i") < cut, F.floor(F.col("i") / (size + 1))).otherwise(extra + F.floor((F.col("i") - cut) / F.greatest(size, F.lit(1))))
-    return ranked.withColumn("bin", number.cast("int") + 1).groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))
+    return ranks.withColumn("bin", number.cast("int") + 1).groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))
 
 
 def partial_out(df: DataFrame, y: str, x: str, controls: list[str]) -> tuple[DataFrame, float]:

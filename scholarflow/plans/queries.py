@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from ..operators import matching as M
 from ..operators import normalize as N
 from ..operators import panels as P
 from ..operators import regression as R
+from ..session import shared_folder
 from ..sources import readers, sinks
 from ..streaming import incremental
 from . import bridge as B
@@ -107,9 +107,10 @@ def f_strings(spark, d):
     return B.t(spark, d, "pages").select("page_id", C.last_segment(F.col("url")).alias("segment"), C.normalized_title(F.col("url")).alias("doc_title"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as varchar) as k from events", bridge=False)
+@query("select event_id, cast(json_extract_string(props, '$.k') as varchar) as k, coalesce(json_extract_string(props, '$.none'), 'unknown') as other from events", bridge=False)
 def f_json_default(spark, d):
-    return B.t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    get = lambda path: F.get_json_object("props", path)
+    return B.t(spark, d, "events").select("event_id", get("$.k").alias("k"), F.coalesce(get("$.none"), F.lit("unknown")).alias("other"))
 
 
 @query("select l_orderkey, cast(coalesce(sum(v), 0) as bigint) as v from (select l_orderkey, case when l_quantity > 25 then cast(trunc(l_quantity) as bigint) else 0 end as v from lineitem) group by 1", bridge=False)
@@ -134,8 +135,7 @@ def j4_j5_target_citations(spark, d):
 
 @query("select work_id, year, citations from cby")
 def k14_streamed_citations(spark, d):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     dated = B.edges(spark, d).join(B.works(spark, d).select(F.col("work_id").alias("citing"), F.col("pub_year").alias("year")), "citing")
     dated.select("citing", "cited", "year").write.parquet(f"{root}/in")
     incremental.ingest_references(spark, f"{root}/in", f"{root}/out", f"{root}/state")
@@ -365,12 +365,46 @@ def r1_one_way_effects(spark, d):
 @query()
 def q9_two_way_effects(spark, d):
     """Models 1 (unrelated) and 2 (unrelated and related) with paper and year effects, errors by paper."""
+    fits = R.models(exposures(spark, d), "citations", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
+    rows = [(k, n, *v, fit.within_r2, fit.n, fit.groups, fit.passes, fit.converged) for k, fit in enumerate(fits, 1) for n, *v in zip(fit.names, fit.beta, fit.se, fit.p, strict=True)]
+    return spark.createDataFrame(rows, "model int, term string, beta double, se double, p double, within_r2 double, n bigint, clusters bigint, passes int, converged boolean")
+
+
+def _slopes(spark, fits):
+    return spark.createDataFrame([(name, fit.n, round(fit.beta[0], 6)) for name, fit in fits], "variant string, n bigint, beta double")
+
+
+#: Within a work, of tables v_<name> (work_id, year, y, x).
+_WITHIN = "select '{0}' as variant, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from (select y - avg(y) over (partition by work_id) as y, x - avg(x) over (partition by work_id) as x from v_{0})"
+
+
+@query(
+    "," + _EXPOSURE + ", full_ as (select e.work_id, e.year, cast(citations as double) as y, cast(unrelated as double) as x, e.year - pub_year as age from exposure e join works using (work_id)), q as (select quantile_cont(y, 0.99) as qy, quantile_cont(x, 0.99) as qx from full_), v_full as (select * from full_), v_balanced as (select * from full_ where age in (1, 2) and work_id in (select work_id from full_ where age in (1, 2) group by 1 having count(distinct age) = 2)), v_outcome_winsorized as (select work_id, year, least(y, qy) as y, x from full_, q), v_exposure_winsorized as (select work_id, year, y, least(x, qx) as x from full_, q), v_all_winsorized as (select work_id, year, least(y, qy) as y, least(x, qx) as x from full_, q) "
+    + " union all ".join(_WITHIN.format(v) for v in ("full", "balanced", "outcome_winsorized", "exposure_winsorized", "all_winsorized"))
+)
+def r7_variants(spark, d):
+    data = exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year"))
+    made = R.variants(data, "citations", ["unrelated"], ["work_id"], "age", [1, 2])
+    return _slopes(spark, [(v, R.fixed_effects(df, "citations", ["unrelated"], ["work_id"], "work_id")) for v, df in made.items()])
+
+
+@query(
+    "," + _EXPOSURE + ", full_ as (select e.work_id, e.citations as y, e.unrelated as x, subject, case when pub_year < 1998 then 'early' else 'late' end as cohort from exposure e join works using (work_id)), g as (select 'subject' as dimension, subject as level, * from full_ union all select 'cohort', cohort, * from full_), m as (select dimension, level, y - avg(y) over (partition by dimension, level, work_id) as y, x - avg(x) over (partition by dimension, level, work_id) as x from g) select dimension, level, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m group by 1, 2"
+)
+def r8_subgroups(spark, d):
+    data = exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year", "subject"), "work_id")
+    fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, lambda rows: R.fixed_effects(rows, "citations", ["unrelated"], ["work_id"], "work_id"))
+    return spark.createDataFrame([(k, g, fit.n, round(fit.beta[0], 6)) for k, g, fit in fits], "dimension string, level string, n bigint, beta double")
+
+
+@query(
+    "," + _EXPOSURE + ", v_log as (select work_id, year, ln(1 + citations) as y, ln(1 + unrelated) as x from exposure), f as (select work_id, citations - lag(citations) over w as y, unrelated - lag(unrelated) over w as x, year - lag(year) over w as gap from exposure window w as (partition by work_id order by year)) " + _WITHIN.format("log") + " union all select 'differences', cast(count(*) as bigint), round(sum(x * y) / sum(x * x), 6) from f where gap = 1"
+)
+def r9_effect_variants(spark, d):
     data = exposures(spark, d)
-    rows = []
-    for model, x in ((1, ["unrelated"]), (2, ["unrelated", "related"])):
-        fit = R.fixed_effects(data, "citations", x, ["work_id", "year"], "work_id", tolerance=1e-6, passes=12)
-        rows += [(model, n, *v, fit.within_r2, fit.n, fit.groups) for n, *v in zip(fit.names, fit.beta, fit.se, fit.p, strict=True)]
-    return spark.createDataFrame(rows, "model int, term string, beta double, se double, p double, within_r2 double, n bigint, clusters bigint")
+    logged = data.withColumns({c: F.log1p(c) for c in ("citations", "unrelated")})
+    moved = R.first_differences(data, ["work_id"], "year", ["citations", "unrelated"])
+    return _slopes(spark, [("log", R.fixed_effects(logged, "citations", ["unrelated"], ["work_id"], "work_id")), ("differences", R.ols(moved, "citations", ["unrelated"], "work_id"))])
 
 
 @query("select round(regr_slope(cites, pub_year), 6) as slope, round(corr(cites, pub_year), 6) as correlation, round(power(corr(cites, pub_year), 2), 6) as r2, cast(count(*) as bigint) as n from totals")
@@ -452,11 +486,12 @@ def a9_best_work(spark, d):
 
 
 @query(
-    "," + _PAIRS + ", lab as (select event_time, citations, observed, cast(hit_year as varchar) as cohort, case when hit_year - focal_year <= 2 then '0-2' when hit_year - focal_year <= 5 then '3-5' else '6-10' end as bin from panel) select dimension, level, cast(event_time as int) as event_time, cast(count(*) as bigint) as rows, cast(sum(observed) as bigint) as observed, cast(count(*) - sum(observed) as bigint) as missing, round(avg(coalesce(citations, 0)), 6) as mean_zero, round(avg(case when observed = 1 then citations end), 6) as mean_observed from (select 'event_time' as dimension, '' as level, * from lab union all select 'cohort', cohort, * from lab union all select 'bin', bin, * from lab) group by 1, 2, 3"
+    "," + _PAIRS + ", lab as (select event_time, citations, observed, cast(hit_year as varchar) as cohort, case when hit_year - focal_year <= 2 then '0-2' when hit_year - focal_year <= 5 then '3-5' else '6-10' end as bin, w.type as type from panel join works w on w.work_id = panel.focal) select dimension, level, cast(event_time as int) as event_time, cast(count(*) as bigint) as rows, cast(sum(observed) as bigint) as observed, cast(count(*) - sum(observed) as bigint) as missing, round(avg(coalesce(citations, 0)), 6) as mean_zero, round(avg(case when observed = 1 then citations end), 6) as mean_observed from (select 'event_time' as dimension, '' as level, * from lab union all select 'cohort', cohort, * from lab union all select 'bin', bin, * from lab union all select 'type', type, * from lab) group by 1, 2, 3"
 )
 def q15_event_cells(spark, d):
     p = hit_panel(spark, d).withColumn("cohort", F.col("hit_year").cast("string")).withColumn("bin", C.age_bin(F.col("hit_year") - F.col("focal_year")))
-    out = E.cells(p, ["cohort", "bin"])
+    p = p.join(B.works(spark, d).select(F.col("work_id").alias("focal"), "type"), "focal")
+    out = E.cells(p, ["cohort", "bin", "type"])
     return out.withColumns({c: r6(c) for c in ("mean_zero", "mean_observed")})
 
 
@@ -489,14 +524,14 @@ def q16_year_series(spark, d):
     return E.year_series(life).withColumns({c: r6(c) for c in ("mean", "zero_share")})
 
 
-@query(", g as (select work_id, sum(case when year > 1998 then citations else -citations end) as change from cby join works using (work_id) where author_id in (select author_id from works group by 1 order by count(*) desc, 1 limit 1) group by 1) select cast(sum(change) as bigint) as change, round(sum(case when r <= 1 then change end) / nullif(sum(change), 0), 6) as top1, round(sum(case when r <= 5 then change end) / nullif(sum(change), 0), 6) as top5 from (select *, row_number() over (order by change desc, work_id) as r from g)")
+@query(", g as (select work_id, sum(case when year > 1998 then citations else -citations end) as change from cby join works using (work_id) where author_id in (select author_id from works group by 1 order by count(*) desc, 1 limit 1) group by 1) select cast(sum(change) as bigint) as change, round(sum(case when r <= 1 then change end) / nullif(sum(change), 0), 6) as top1, round(sum(case when r <= 5 then change end) / nullif(sum(change), 0), 6) as top5, round(sum(case when r <= 10 then change end) / nullif(sum(change), 0), 6) as top10 from (select *, row_number() over (order by change desc, work_id) as r from g)")
 def a27_growth_concentration(spark, d):
     w = B.works(spark, d)
     top = w.groupBy("author_id").count().orderBy(F.desc("count"), "author_id").limit(1)
     g = B.citations(spark, d).join(w.join(F.broadcast(top.select("author_id")), "author_id").select("work_id"), "work_id").groupBy("work_id").agg(F.sum(F.when(F.col("year") > 1998, F.col("citations")).otherwise(-F.col("citations"))).alias("change"))
     r = g.withColumn("r", F.row_number().over(W.orderBy(F.desc("change"), "work_id")))  # one author's works
     part = lambda k: r6(C.split_share(F.sum(F.when(F.col("r") <= k, F.col("change"))), F.sum("change")))
-    return r.agg(F.sum("change").alias("change"), part(1).alias("top1"), part(5).alias("top5"))
+    return r.agg(F.sum("change").alias("change"), part(1).alias("top1"), part(5).alias("top5"), part(10).alias("top10"))
 
 
 @query(
@@ -517,9 +552,9 @@ def q21_order_statistics(spark, d):
     return out.withColumns({c: r6(c) for c in ("mean", "zero_share")}).withColumn("sum", long("sum"))
 
 
-@query(_LIFE + " select cast(year as int) as year, cast(count(distinct work_id) as bigint) as works, cast(count(distinct author_id) as bigint) as authors, cast(min(year - pub_year) as int) as min_age, cast(max(year - pub_year) as int) as max_age from life group by 1")
+@query(_LIFE + " select cast(year as int) as year, cast(count(distinct work_id) as bigint) as works, cast(count(distinct author_id) as bigint) as authors, cast(min(year - pub_year) as int) as min_age, cast(max(year - pub_year) as int) as max_age, cast(count(*) as bigint) as n, cast(sum(case when year < pub_year then 1 else 0 end) as bigint) as early, cast(sum(case when citations < 0 then 1 else 0 end) as bigint) as negative from life group by 1")
 def a21_panel_diagnostics(spark, d):
-    return P.lifetime(B.works(spark, d), B.citations(spark, d), END).groupBy("year").agg(F.count_distinct("work_id").alias("works"), F.count_distinct("author_id").alias("authors"), F.min("paper_age").alias("min_age"), F.max("paper_age").alias("max_age"))
+    return P.lifetime(B.works(spark, d), B.citations(spark, d), END).groupBy("year").agg(F.count_distinct("work_id").alias("works"), F.count_distinct("author_id").alias("authors"), F.min("paper_age").alias("min_age"), F.max("paper_age").alias("max_age"), F.count("*").alias("n"), F.count(F.when(F.col("paper_age") < 0, 1)).alias("early"), F.count(F.when(F.col("citations") < 0, 1)).alias("negative"))
 
 
 @query(", c2 as (select work_id, sum(citations) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 when work_id % 13 = 0 and cites > 0 then -1 else 0 end as cites from totals) select cast(count(*) as bigint) as focal, cast(sum(case when coalesce(total, 0) = cites then 1 else 0 end) as bigint) as exact, cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total > cites then 1 else 0 end) as bigint) as higher, cast(sum(case when total < cites then 1 else 0 end) as bigint) as lower, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff from rec left join c2 using (work_id)")
@@ -534,12 +569,22 @@ def a25_repeated_references(spark, d):
     return O.repeated_references(B.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")))
 
 
+def _control_round(k: int, keys: str) -> str:
+    """Tables of one round of matching: lk and fk (left and free works) to mk, and those that are left after it."""
+    order = f"row_number() over (partition by {keys} order by md5('{k}-' || work_id), work_id) as r"
+    on = " and ".join(f"a.{c.strip()} = b.{c.strip()}" for c in keys.split(","))
+    return f"""m{k} as (select a.work_id, b.work_id as control from (select *, {order} from l{k}) a join (select *, {order} from f{k}) b on {on} and a.r = b.r where a.author_id <> b.author_id),
+l{k + 1} as (select * from l{k} where work_id not in (select work_id from m{k})), f{k + 1} as (select * from f{k} where work_id not in (select control from m{k}))"""
+
+
 @query(
-    ", tr as (select * from totals where cites >= 20), po2 as (select * from totals where work_id not in (select work_id from tr)), l as (select *, row_number() over (partition by pub_year, type order by md5('0-' || work_id), work_id) as r from tr), p as (select *, row_number() over (partition by pub_year, type order by md5('0-' || work_id), work_id) as r from po2) select l.work_id, p.work_id as control from l left join p on p.pub_year = l.pub_year and p.type = l.type and p.r = l.r"
+    ", l0 as (select * from totals where cites >= 20), f0 as (select * from totals where work_id not in (select work_id from l0)), "
+    + ", ".join(_control_round(k, keys) for k, keys in enumerate(("pub_year, type, subfield", "pub_year, type", "pub_year, type")))
+    + " select * from m0 union all select * from m1 union all select * from m2 union all select work_id, null from l3"
 )
 def q18_matched_controls(spark, d):
-    t = B.totals(spark, d).select("work_id", "author_id", "pub_year", "type", "cites")
-    return M.matched_controls(t.where("cites >= 20"), t, ["pub_year", "type"]).select("work_id", "control")
+    t = B.totals(spark, d).select("work_id", "author_id", "pub_year", "type", "subfield", "cites")
+    return M.matched_controls(t.where("cites >= 20"), t, ["pub_year", "type"], "subfield").select("work_id", "control")
 
 
 @query("," + _CROSSING + "select hit, focal, round(regr_slope(citations, event_time), 6) as slope from cpanel where event_time < 0 group by 1, 2")
@@ -564,8 +609,10 @@ def a31_pre_index(spark, d):
 
 @query()
 def q17_version_clusters(spark, d):
-    docs = B.t(spark, d, "documents")
-    rows = docs.select((F.col("doc_id") % 97).alias("author_id"), F.col("doc_id").alias("work_id"), F.substring("text", 1, 60).alias("title"), F.lit(2000).alias("year"), F.col("n_chars").alias("cites"), F.lit("").alias("doi"))
+    """Orders as works of their customers; a work's title is what it is made of, whole."""
+    parts = B.t(spark, d, "lineitem").join(B.t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    titles = parts.groupBy(F.col("l_orderkey").alias("work_id")).agg(F.array_join(F.sort_array(F.collect_set("p_name")), " ").alias("title"))
+    rows = B.totals(spark, d).join(titles, "work_id", "left").select("author_id", "work_id", F.coalesce("title", F.lit("")).alias("title"), F.col("pub_year").alias("year"), "cites", F.lit("").alias("doi"))
     return M.version_clusters(rows)
 
 
@@ -580,3 +627,115 @@ def k12_upsert(spark, d):
     w = B.works(spark, d)
     old, new = w.select("work_id", "type", F.lit(0).alias("renewed")), w.where("pub_year >= 1999").select("work_id", "type", F.lit(1).alias("renewed"))
     return sinks.upsert(old, new, ["work_id"])
+
+
+# --- audits, samples, sources -------------------------------------------------
+
+_RECORDED = ", c2 as (select work_id, sum(citations) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 else 0 end as cites from totals) "
+
+
+def _recorded(spark, d):
+    totals = B.totals(spark, d)
+    return totals, B.citations(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + F.when(F.col("work_id") % 11 == 0, 1).otherwise(0))
+
+
+@query(_RECORDED + "select cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff, sum(case when total is null and cites > 0 then 1 else 0 end) <= 5 and sum(case when total is not null then abs(total - cites) else 0 end) <= 1000000000 as valid from rec left join c2 using (work_id)")
+def a26_coverage_verdict(spark, d):
+    return O.verdict(O.coverage(*_recorded(spark, d)), 1_000_000_000, 5).select("missing", "abs_diff", "valid")
+
+
+@query(_RECORDED + "select work_id, cast(coalesce(total, 0) as bigint) as total, cites from rec left join c2 using (work_id) where coalesce(total, 0) <> cites")
+def j21_mismatches(spark, d):
+    return O.mismatches(*_recorded(spark, d))
+
+
+def _listed(spark, d):
+    return B.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited"))
+
+
+@query("select l_partkey as cited, cast(count(*) as bigint) as entries, count(distinct l_orderkey) as citers, cast(count(*) - count(distinct l_orderkey) as bigint) as repeats from lineitem group by 1", bridge=False)
+def a25_repeats_by_target(spark, d):
+    return O.repeats_by_target(_listed(spark, d))
+
+
+@query("select l_orderkey as citing, l_partkey as cited, cast(count(*) as bigint) as repetitions from lineitem group by 1, 2 having count(*) > 1 order by 3 desc, 1, 2 limit 50", bridge=False)
+def a25_repeat_examples(spark, d):
+    return O.repeat_examples(_listed(spark, d))
+
+
+@query(", rel as (select work_id as focal, work_id as other from works union select citing, cited from edges union select cited, citing from edges), flag as (select f.work_id, h.work_id as history, case when r.other is null then 0 else 1 end as is_related from works f join works h on h.author_id = f.author_id left join rel r on r.focal = f.work_id and r.other = h.work_id) select work_id, cast(sum(is_related) as bigint) as related, cast(sum(1 - is_related) as bigint) as unrelated from flag group by 1")
+def j12_related_flag(spark, d):
+    return O.related_counts(B.edges(spark, d), B.works(spark, d))
+
+
+@query(
+    ", dup as (select *, row_number() over (partition by author_id, work_id order by type) as k from (select * from totals union all select * from totals where work_id % 5 = 0)), base as (select * exclude (k) from dup where k = 1), ranked as (select *, row_number() over (partition by author_id order by cites desc, pub_year, work_id) as r from base), top as (select author_id, work_id as hit, pub_year as hy, cites as top from ranked where r = 1), people as (select work_id as hit, count(distinct author_id) as hit_authors from authorships group by 1), screen as (select t.author_id, t.hit, top, sum(r.cites) as total, count(*) filter (where r.r > 1 and r.pub_year < hy) as priors, count(*) filter (where r.r > 1 and r.pub_year < hy and r.cites > 0) as cited_priors, coalesce(sum(r.cites) filter (where r.r > 1 and r.pub_year < hy), 0) as prior_cites from top t join ranked r using (author_id) group by all) select author_id, hit, cast(total as bigint) as total, cast(priors as bigint) as priors, cast(cited_priors as bigint) as cited_priors, cast(prior_cites as bigint) as prior_cites, coalesce(hit_authors, 0) as hit_authors from screen left join people using (hit) where top > 0.15 * total and total >= 50 and priors >= 3 and prior_cites >= 20 and cited_priors >= 2 and coalesce(hit_authors, 0) <= 4"
+)
+def q13_shortlist(spark, d):
+    totals = B.totals(spark, d)
+    again = totals.union(totals.where("work_id % 5 = 0"))  # rows that a source repeats
+    once = again.withColumn("k", F.row_number().over(W.partitionBy("author_id", "work_id").orderBy("type"))).where("k = 1").drop("k")
+    people = B.authorships(spark, d).groupBy(F.col("work_id").alias("hit")).agg(F.count_distinct("author_id").alias("hit_authors"))
+    out = P.screen(once).join(people, "hit", "left").withColumn("hit_authors", F.coalesce("hit_authors", F.lit(0)))
+    return out.where("top > 0.15 * total and total >= 50 and priors >= 3 and prior_cites >= 20 and cited_priors >= 2 and hit_authors <= 4").select("author_id", "hit", "total", "priors", "cited_priors", "prior_cites", "hit_authors")
+
+
+@query(
+    "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(citations, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.hit, p.focal, p.event_time, coalesce(p.citations, 0) as c, expected, coalesce(p.citations, 0) - expected as excess, (coalesce(p.citations, 0) + 0.1) / (expected + 0.1) as smoothed from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type), flagged as (select *, count(*) over u = {2 * WINDOW + 1} and min(event_time) over u = -{WINDOW} and max(event_time) over u = {WINDOW} as whole_ from norm window u as (partition by hit, focal)), samples as (select 'at_risk' as sample, * from flagged union all select 'balanced', * from flagged where whole_), per as (select sample, event_time, author_id, avg(excess) as m from samples group by 1, 2, 3), err as (select sample, event_time, stddev_samp(m) / sqrt(count(*)) as se from per group by 1, 2) select s.sample, cast(s.event_time as int) as event_time, cast(count(*) as bigint) as observations, count(distinct author_id) as authors, count(distinct (hit, focal)) as units, round(avg(excess), 6) as excess, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected, round(avg(smoothed), 6) as smoothed, round(any_value(se), 6) as se from samples s join err using (sample, event_time) group by 1, 2"
+)
+def a13_two_samples(spark, d):
+    w, c = B.works(spark, d), B.citations(spark, d)
+    bench = E.lifecycle_benchmark(P.lifetime(w, c, END).join(w.select("work_id", "type"), "work_id"))
+    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("citations", F.lit(0)))
+    n = p.join(bench, ["year", "paper_age", "type"]).withColumn("excess", F.col("c") - F.col("expected")).withColumn("smoothed", C.smoothed_ratio(F.col("c"), F.col("expected")))
+    out = E.sample_means(E.two_samples(n, ["hit", "focal"], WINDOW), ["hit", "focal"])
+    return out.withColumns({k: r6(k) for k in ("excess", "observed_expected", "smoothed", "se")})
+
+
+@query(", me as (select author_id from works group by 1 order by count(*) desc, 1 limit 1)" + _LIFE + " select cast(year as int) as year, cast(count(*) as bigint) as at_risk, cast(sum(citations) as bigint) as total, round(avg(citations), 6) as mean, list_sort(list(citations))[count(*) // 2 + 1] as upper_median, round(avg(case when citations = 0 then 1.0 else 0.0 end), 6) as zero_share from life where author_id in (select author_id from me) group by 1")
+def q16_author_case(spark, d):
+    w = B.works(spark, d)
+    me = w.groupBy("author_id").count().orderBy(F.desc("count"), "author_id").limit(1).select("author_id")
+    life = P.lifetime(w.join(F.broadcast(me), "author_id", "left_semi"), B.citations(spark, d), END)
+    return E.year_series(life).withColumns({c: r6(c) for c in ("mean", "zero_share")})
+
+
+def _folder(spark, kind):
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@query(
+    """select 'https://x.example/W' || o_orderkey as work_id, case when o_orderkey % 3 = 0 then 'Title ' else 'Order ' end || o_orderkey as title, cast(year(o_orderdate) as int) as publication_year, cast(trunc(o_totalprice) as bigint) as cited_by_count from orders join customer on c_custkey = o_custkey""",
+    bridge=False,
+)
+def s1_json_lines(spark, d):
+    """Works as gzip JSON lines in dated folders, read again."""
+    root = _folder(spark, "works")
+    for k in (0, 1):
+        sinks.write_jsonl(raw_works(spark, d).where(F.pmod(F.hash("id"), F.lit(2)) == k), f"{root}/updated_date=2024-01-0{k + 1}")
+    return N.works(readers.read_works(spark, root)).select("work_id", "title", "publication_year", "cited_by_count")
+
+
+@query("""select 'https://x.example/W' || o_orderkey as work_id, case when o_orderkey % 3 = 0 then 'Title ' else 'Order ' end || o_orderkey as title, cast(year(o_orderdate) as int) as publication_year, case when o_orderkey % 5 = 0 then null else cast(o_orderkey as double) end as fwci from orders join customer on c_custkey = o_custkey""", bridge=False)
+def s5_csv_tables(spark, d):
+    """Works as gzip CSV, read again with their types."""
+    root = _folder(spark, "tables")
+    sinks.write_csv(N.works(raw_works(spark, d)), f"{root}/works.csv.gz")
+    return readers.read_table(spark, root, "works").select("work_id", "title", "publication_year", "fwci")
+
+
+@query("""select 'https://x.example/W' || l_orderkey as id, cast(count(distinct l_partkey) as bigint) as listed from lineitem join orders on o_orderkey = l_orderkey where l_orderkey % 2 = 0 group by 1""", bridge=False)
+def s7_s8_wanted_references(spark, d):
+    """Ids as a text file; the references of these works from JSON lines."""
+    root = _folder(spark, "ids")
+    raw = raw_works(spark, d)
+    sinks.write_jsonl(raw, f"{root}/works")
+    sinks.write_ids(B.t(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("https://x.example/W"), "o_orderkey").alias("id")), "id", f"{root}/ids")
+    found = readers.references_of(spark, f"{root}/works", readers.read_ids(spark, f"{root}/ids"))
+    return found.groupBy("id").agg(F.count_distinct("referenced_work_id").alias("listed"))
+
+
+@query("select 'author' as record_type, metric, cast(count(*) as bigint) as n, cast(0 as bigint) as missing, min(value) as least, max(value) as greatest from (select unnest(['works', 'cites']) as metric, unnest([cast(count(*) as double), cast(sum(cites) as double)]) as value from totals group by author_id) group by 2")
+def k16_dictionary(spark, d):
+    a = B.totals(spark, d).groupBy("author_id").agg(F.count("*").alias("works"), F.sum("cites").alias("cites"))
+    return sinks.dictionary(sinks.tidy(a, ["author_id"], "author"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import columns as C
 
 #: Numbers are read as strings: as numbers, '13' and 12.7 would be lost.
 WORK_SCHEMA = (
@@ -32,11 +31,22 @@ def files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 def read_works(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Raw works from JSON lines (plain or gzip) below path; blank lines are skipped."""
-    reader = spark.read.schema(WORK_SCHEMA)
-    if max_files is not None:
-        return reader.json(files(spark, f"{path}/*")[:max_files])
-    return reader.option("recursiveFileLookup", "true").json(path)
+    """Raw works from JSON lines (plain or gzip) at any depth below path, with the updated_date of their folder; blank lines are skipped. max_files: the first ones only, in order of their paths."""
+    reader = spark.read.schema(WORK_SCHEMA).option("recursiveFileLookup", "true")
+    rows = reader.json(path if max_files is None else below(spark, path)[:max_files])
+    day = F.nullif(F.regexp_extract("_metadata.file_path", "updated_date=([^/]+)/", 1), F.lit(""))
+    return rows.select("*", day.alias("updated_date"))
+
+
+def below(spark: SparkSession, root: str) -> list[str]:
+    """Paths of all files below root, sorted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        at = found.next().getPath()
+        if not at.getName().startswith(("_", ".")):
+            out.append(at.toString())
+    return sorted(out)
 
 
 def parse_works(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -61,12 +71,32 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def references_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """id, referenced_work_id of wanted ids: the id is cut from the raw line first, and only matching lines are parsed."""
-    lines = spark.read.text(path).select("value", F.regexp_extract("value", r'"id"\s*:\s*"([^"]*)"', 1).alias("id"))
+    """id, referenced_work_id of wanted ids: a line's own id is read first, and only matching lines are parsed in full."""
+    lines = spark.read.text(path).select("value", F.from_json("value", "id string")["id"].alias("id"))
     return parse_works(lines.join(wanted.select("id"), "id", "left_semi")).select("id", F.explode("referenced_works").alias("referenced_work_id"))
 
 
 def inventory(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """path, length, expected, complete for each file of the manifest (path, expected)."""
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(C.last_segment(F.col("path")).alias("path"), "length")
+    """path, length, expected, complete for each file of the manifest (path below root, expected)."""
+    there = _files_below(spark, root).select("path", "length")
     return manifest.join(there, "path", "left").select("path", "length", "expected", (F.coalesce("length", F.lit(-1)) == F.col("expected")).alias("complete"))
+
+
+def _files_below(spark: SparkSession, root: str) -> DataFrame:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return rows.withColumn("path", F.expr(f"substring(path, {len(whole) + 1})"))
+
+
+def checked(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+    """path, problem (null: none) for each file of the manifest (path below root, bytes, sha256): missing, size or checksum."""
+    there = _files_below(spark, root).select("path", "length", F.sha2("content", 256).alias("own"))
+    both = manifest.join(there, "path", "left")
+    problem = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("bytes"), "size").when(F.col("own") != F.col("sha256"), "checksum")
+    return both.select("path", problem.alias("problem"))
+
+
+def manifest_of(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root), bytes, sha256 of every file."""
+    return _files_below(spark, root).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

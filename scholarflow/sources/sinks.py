@@ -6,11 +6,14 @@ import hashlib
 import json
 import os
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .readers import below, manifest_of
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").option("compression", "gzip").mode("overwrite").csv(path)
@@ -48,9 +51,9 @@ def write_counted(df: DataFrame, path: str, parameters: dict, **metrics) -> dict
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and new with one row for each key: new rows win."""
+    """old and new with one row for each key: new rows win, of equals the least in order of the other columns."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return both.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_new")))).where("_r = 1").drop("_r", "_new")
+    return both.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_new"), *(c for c in old.columns if c not in keys)))).where("_r = 1").drop("_r", "_new")
 
 
 class Warehouse:
@@ -140,3 +143,107 @@ def validate_table(df: DataFrame, columns: list[str], rows: int | None = None) -
     if rows is not None and (n := df.count()) != rows:
         wrong.append(f"{n} rows, {rows} expected")
     return wrong
+
+
+def dictionary(rows: DataFrame) -> DataFrame:
+    """record_type, metric, n, missing, least, greatest of tidy rows: what an export holds."""
+    return rows.groupBy("record_type", "metric").agg(F.count("*").alias("n"), F.sum(F.col("value").isNull().cast("bigint")).alias("missing"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+def export(tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> DataFrame:
+    """Tidy rows of all tables (kind: rows and keys; keys as one string) as CSV, their dictionary, and a manifest of bytes and checksums of all files."""
+    made = [tidy(df.withColumn("key", F.concat_ws("|", *keys)).drop(*keys), ["key"], kind).select("record_type", "key", "metric", "value") for kind, (df, keys) in tables.items()]
+    rows = reduce(DataFrame.unionByName, made)
+    write_csv(rows, f"{path}/rows")
+    write_csv(dictionary(rows), f"{path}/dictionary")
+    manifest = manifest_of(rows.sparkSession, path)
+    write_jsonl(manifest.where("path not like 'manifest/%'"), f"{path}/manifest")
+    return manifest
+
+
+def publish(df: DataFrame, root: str, version: str) -> str:
+    """df below root/version=..., and then the pointer root/current moved there: readers see the old or the new, never half."""
+    spark = df.sparkSession
+    df.write.mode("errorifexists").parquet(f"{root}/version={version}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path(f"{root}/_current.tmp"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    fs.delete(path(f"{root}/_current"), False)
+    fs.rename(path(f"{root}/_current.tmp"), path(f"{root}/_current"))
+    return version
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """What the pointer names; while it is being moved, the version it is moved to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    name = next(n for n in ("_current", "_current.tmp") if fs.exists(path(f"{root}/{n}")))
+    version = spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(path(f"{root}/{name}")), "UTF-8")
+    return spark.read.parquet(f"{root}/version={version}")
+
+
+def backfill(spark: SparkSession, source: str, target: str, work: Callable[[list[str]], DataFrame], files_per_chunk: int = 8, reset: bool = False) -> list[int]:
+    """Write work(files) below target for each chunk of the files below source that isn't there whole; the numbers of those done now.
+
+    The plan's hash covers the files' paths, sizes and times, so a source that
+    has changed is refused unless reset, which deletes the chunks and their
+    manifests and nothing else. A chunk is taken as done if its manifest is of
+    this plan and its files have the sizes, checksums and rows it says; else it
+    is made again. A lock file keeps a second run out. All state goes through
+    the file system of target.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    fs, there = path(target).getFileSystem(conf), path(source).getFileSystem(conf)
+    status = [there.getFileStatus(path(f)) for f in below(spark, source)]
+    listed = [[s.getPath().toString(), s.getLen(), s.getModificationTime()] for s in status]
+    chunks = plan_chunks([f for f, _, _ in listed], files_per_chunk)
+    digest = hashlib.sha256(json.dumps([listed, files_per_chunk]).encode()).hexdigest()
+
+    def read(name: str) -> dict | None:
+        at = path(f"{target}/{name}")
+        try:
+            return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8")) if fs.exists(at) else None
+        except ValueError:
+            return None
+
+    def write(name: str, value: dict) -> None:
+        out = fs.create(path(f"{target}/{name}.tmp"), True)
+        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+        out.close()
+        fs.delete(path(f"{target}/{name}"), False)
+        fs.rename(path(f"{target}/{name}.tmp"), path(f"{target}/{name}"))
+
+    def files_of(i: int) -> list[list]:
+        at = path(f"{target}/chunk={i:06d}")
+        return sorted([r.path, r.bytes, r.sha256] for r in manifest_of(spark, at.toString()).collect()) if fs.exists(at) else []  # a few files
+
+    def whole(i: int) -> bool:
+        known = read(f"_chunk_{i:06d}.json")
+        return bool(known) and known.get("plan") == digest and known.get("sources") == chunks[i] and known.get("files") == files_of(i) and known.get("rows") == spark.read.parquet(f"{target}/chunk={i:06d}").count()
+
+    if fs.exists(path(f"{target}/_lock")):
+        raise RuntimeError(f"another run holds {target}/_lock")
+    fs.mkdirs(path(target))
+    fs.create(path(f"{target}/_lock"), False).close()
+    try:
+        plan = read("_plan.json")
+        if plan and plan["sha256"] != digest:
+            if not reset:
+                raise ValueError("the source isn't the one this target was planned for")
+            for i in range(plan["chunks"]):
+                fs.delete(path(f"{target}/chunk={i:06d}"), True)
+                fs.delete(path(f"{target}/_chunk_{i:06d}.json"), False)
+        write("_plan.json", {"sha256": digest, "chunks": len(chunks), "files": listed})
+        done = []
+        for i, names in enumerate(chunks):
+            if not reset and whole(i):
+                continue
+            work(names).write.mode("overwrite").parquet(f"{target}/chunk={i:06d}")
+            write(f"_chunk_{i:06d}.json", {"plan": digest, "sources": names, "files": files_of(i), "rows": spark.read.parquet(f"{target}/chunk={i:06d}").count()})
+            done.append(i)
+        return done
+    finally:
+        fs.delete(path(f"{target}/_lock"), False)
