@@ -9,7 +9,7 @@ from scholarflow.session import get_spark
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["q1_normalize_works", "q3_calculated_citations", "q4_hit_events", "q6_hit_panel", "q7_lifetime_panel", "q8_exposure_panel", "q9_two_way_effects", "q10_threshold_event_study", "q12_normalized_excess", "q13_big_hit_screen", "q15_event_cells", "q17_version_clusters", "q18_matched_controls", "q20_coverage_audit", "q21_order_statistics"]
+HEADLINE = ["q1_normalize_works", "q3_calculated_cite_counts", "q4_hit_events", "q6_hit_panel", "q7_lifetime_panel", "q8_exposure_panel", "q9_two_way_effects", "q10_threshold_event_study", "q12_normalized_excess", "q13_big_hit_screen", "q15_event_cells", "q17_version_clusters", "q18_matched_controls", "q20_coverage_audit", "q21_order_statistics"]
 
 
 def main() -> None:

@@ -1,4 +1,4 @@
-"""Citation series and their windows."""
+"""Series of cite counts and their windows."""
 
 from __future__ import annotations
 
@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def calculated_citations(edges: DataFrame, years: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """work_id, year, citations: edges (citing, cited) counted by the cited work and the citing work's year.
+def calculated_cite_counts(edges: DataFrame, years: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """work_id, year, cite_counts: edges (citing, cited) counted by the cited work and the citing work's year.
 
-    targets (work_id) keeps their citations only. Counts are taken before the
+    targets (work_id) keeps their cite_counts only. Counts are taken before the
     shuffle as well, so a work cited by a third of all works is no burden.
     """
     if targets is not None:
         edges = edges.join(targets.select(F.col("work_id").alias("cited")), "cited", "left_semi")
     dated = edges.join(years.select(F.col("work_id").alias("citing"), "year"), "citing")
-    return dated.groupBy(F.col("cited").alias("work_id"), "year").agg(F.count("*").alias("citations"))
+    return dated.groupBy(F.col("cited").alias("work_id"), "year").agg(F.count("*").alias("cite_counts"))
 
 
 def running(cby: DataFrame) -> DataFrame:
-    """cby with cumulative: all citations up to and in that year."""
-    return cby.withColumn("cumulative", F.sum("citations").over(W.partitionBy("work_id").orderBy("year").rowsBetween(W.unboundedPreceding, 0)))
+    """cby with cumulative: all cites up to and in that year."""
+    return cby.withColumn("cumulative", F.sum("cite_counts").over(W.partitionBy("work_id").orderBy("year").rowsBetween(W.unboundedPreceding, 0)))
 
 
 def crossings(cby: DataFrame, threshold: int) -> DataFrame:
@@ -30,8 +30,8 @@ def crossings(cby: DataFrame, threshold: int) -> DataFrame:
 
 
 def lagged_stock(dense: DataFrame) -> DataFrame:
-    """dense (a row for each year) with stock: citations of all earlier years."""
-    return dense.withColumn("stock", F.coalesce(F.sum("citations").over(W.partitionBy("work_id").orderBy("year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    """dense (a row for each year) with stock: cites of all earlier years."""
+    return dense.withColumn("stock", F.coalesce(F.sum("cite_counts").over(W.partitionBy("work_id").orderBy("year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
 
 
 def related_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def related_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def coverage(focal: DataFrame, calculated: DataFrame, recorded: DataFrame) -> DataFrame:
     """One row of how calculated totals agree with recorded ones over the focal works."""
-    sums = calculated.groupBy("work_id").agg(F.sum("citations").alias("total"))
+    sums = calculated.groupBy("work_id").agg(F.sum("cite_counts").alias("total"))
     both = focal.select("work_id").distinct().join(recorded.select("work_id", "cites"), "work_id", "left").join(sums, "work_id", "left")
     diff = F.coalesce("total", F.lit(0)) - F.coalesce("cites", F.lit(0))
     n = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).cast("bigint")
@@ -69,7 +69,7 @@ def verdict(row: DataFrame, max_difference: int = 0, max_missing: int = 0) -> Da
 
 def mismatches(focal: DataFrame, calculated: DataFrame, recorded: DataFrame) -> DataFrame:
     """work_id, total, cites of the focal works whose calculated total isn't the recorded one."""
-    sums = calculated.groupBy("work_id").agg(F.sum("citations").alias("total"))
+    sums = calculated.groupBy("work_id").agg(F.sum("cite_counts").alias("total"))
     both = focal.select("work_id").distinct().join(recorded.select("work_id", F.coalesce("cites", F.lit(0)).alias("cites")), "work_id").join(sums, "work_id", "left")
     return both.withColumn("total", F.coalesce("total", F.lit(0))).where("total <> cites")
 

@@ -31,10 +31,10 @@ def from_baseline(panel: DataFrame, unit: list[str], value: str, at: int = -1) -
 
 def cells(panel: DataFrame, keys: list[str]) -> DataFrame:
     """One pass over event_time alone and with each other key: rows, observed, missing, mean of all as 0, mean of observed."""
-    base = panel.withColumn("z", F.coalesce("citations", F.lit(0)))
+    base = panel.withColumn("z", F.coalesce("cite_counts", F.lit(0)))
     sets = [["event_time"], *([k, "event_time"] for k in keys)]
     out = base.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in ["event_time", *keys])).agg(
-        F.grouping_id().alias("gid"), F.count("*").alias("rows"), F.sum("observed").cast("bigint").alias("observed"), F.avg("z").alias("mean_zero"), F.avg(F.when(F.col("observed") == 1, F.col("citations"))).alias("mean_observed")
+        F.grouping_id().alias("gid"), F.count("*").alias("rows"), F.sum("observed").cast("bigint").alias("observed"), F.avg("z").alias("mean_zero"), F.avg(F.when(F.col("observed") == 1, F.col("cite_counts"))).alias("mean_observed")
     )
     # the bit of a key is 0 in the rows that are grouped by it, whatever its value
     dimension, level = F.lit("event_time"), F.lit("")
@@ -46,9 +46,9 @@ def cells(panel: DataFrame, keys: list[str]) -> DataFrame:
 
 def pair_deltas(panel: DataFrame, unit: list[str]) -> DataFrame:
     """unit, pre and post means with nulls as 0, delta, and the same over observed years (null if a side has none)."""
-    z, pre, post = F.coalesce("citations", F.lit(0)), F.col("event_time") < 0, F.col("event_time") >= 0
+    z, pre, post = F.coalesce("cite_counts", F.lit(0)), F.col("event_time") < 0, F.col("event_time") >= 0
     seen = F.col("observed") == 1
-    out = panel.groupBy(*unit).agg(F.avg(F.when(pre, z)).alias("pre"), F.avg(F.when(post, z)).alias("post"), F.avg(F.when(pre & seen, F.col("citations"))).alias("pre_observed"), F.avg(F.when(post & seen, F.col("citations"))).alias("post_observed"))
+    out = panel.groupBy(*unit).agg(F.avg(F.when(pre, z)).alias("pre"), F.avg(F.when(post, z)).alias("post"), F.avg(F.when(pre & seen, F.col("cite_counts"))).alias("pre_observed"), F.avg(F.when(post & seen, F.col("cite_counts"))).alias("post_observed"))
     return out.withColumn("delta", F.col("post") - F.col("pre")).withColumn("delta_observed", F.col("post_observed") - F.col("pre_observed"))
 
 
@@ -65,7 +65,7 @@ def order_statistics(df: DataFrame, value: str, points: tuple[float, ...] = (0.5
 
 def year_series(dense: DataFrame) -> DataFrame:
     """year, at_risk, total, mean, upper_median (the value at n // 2), zero_share."""
-    counts = running_counts(dense, "citations", ["year"])
+    counts = running_counts(dense, "cite_counts", ["year"])
     total, n = F.sum(F.col("v") * F.col("c")), F.sum("c")
     return counts.groupBy("year").agg(
         n.alias("at_risk"), total.cast("bigint").alias("total"), (total / n).alias("mean"), at_rank(F.floor(F.col("n") / 2)).alias("upper_median"), (F.sum(F.when(F.col("v") == 0, F.col("c")).otherwise(0)) / n).alias("zero_share")
@@ -80,7 +80,7 @@ def standardized(cells_: DataFrame, weights: DataFrame) -> DataFrame:
 
 def lifecycle_benchmark(panel: DataFrame, min_rows: int = 1) -> DataFrame:
     """year, paper_age, type, expected, positive_share over works' years, each once."""
-    once = panel.groupBy("work_id", "year").agg(F.max("citations").alias("c"), F.min("paper_age").alias("paper_age"), F.min("type").alias("type"))
+    once = panel.groupBy("work_id", "year").agg(F.max("cite_counts").alias("c"), F.min("paper_age").alias("paper_age"), F.min("type").alias("type"))
     return once.groupBy("year", "paper_age", "type").agg(F.avg("c").alias("expected"), F.avg((F.col("c") > 0).cast("double")).alias("positive_share"), F.count("*").alias("k")).where(F.col("k") >= min_rows).drop("k")
 
 

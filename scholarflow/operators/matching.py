@@ -62,5 +62,5 @@ def version_clusters(works: DataFrame, ratio: float = 0.9, years: int = 1) -> Da
 
 
 def pre_trend(panel: DataFrame, unit: list[str]) -> DataFrame:
-    """unit, slope of citations before the event."""
-    return panel.where("event_time < 0").groupBy(*unit).agg(F.regr_slope(F.col("citations").cast("double"), F.col("event_time").cast("double")).alias("slope"))
+    """unit, slope of cites before the event."""
+    return panel.where("event_time < 0").groupBy(*unit).agg(F.regr_slope(F.col("cite_counts").cast("double"), F.col("event_time").cast("double")).alias("slope"))

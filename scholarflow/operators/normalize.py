@@ -41,9 +41,9 @@ def work_authors(raw: DataFrame) -> DataFrame:
     return rows.where("coalesce(a.author.id, '') <> ''").select("work_id", F.col("a.author.id").alias("author_id"), C.first_filled(F.col("a.author.display_name")).alias("author_name"), C.first_filled(F.col("a.author_position")).alias("author_position"), (F.col("pos") + 1).alias("author_sequence"))
 
 
-def work_citations_by_year(raw: DataFrame) -> DataFrame:
+def work_cites_by_year(raw: DataFrame) -> DataFrame:
     rows = raw.select(F.col("id").alias("work_id"), F.explode("counts_by_year").alias("c")).where("c.year is not null")
-    return rows.select("work_id", C.int_or_zero_json(F.col("c.year")).cast("int").alias("year"), C.int_or_zero_json(F.col("c.cited_by_count")).alias("citations"))
+    return rows.select("work_id", C.int_or_zero_json(F.col("c.year")).cast("int").alias("year"), C.int_or_zero_json(F.col("c.cited_by_count")).alias("cite_counts"))
 
 
 def work_references(raw: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -54,7 +54,7 @@ def work_references(raw: DataFrame, dedupe: bool = True) -> DataFrame:
 
 def normalize(raw: DataFrame, dedupe: bool = True, subject: bool = False) -> dict[str, DataFrame]:
     """The four tables; with subject, each has the slug of the field as a column to be partitioned by."""
-    made = {"works": works, "work_authors": work_authors, "work_citations_by_year": work_citations_by_year, "work_references": lambda r: work_references(r, dedupe)}
+    made = {"works": works, "work_authors": work_authors, "work_cites_by_year": work_cites_by_year, "work_references": lambda r: work_references(r, dedupe)}
     if not subject:
         return {k: f(raw) for k, f in made.items()}
     slugs = raw.select(F.col("id").alias("work_id"), C.slugify(F.col("primary_topic.field.display_name")).alias("subject")).dropDuplicates(["work_id"])

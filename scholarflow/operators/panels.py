@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 
 def author_stats(totals: DataFrame) -> DataFrame:
-    """totals with author_works, author_cites and share (of the author's citations; null without any)."""
+    """totals with author_works, author_cites and share (of the author's cites; null without any)."""
     w = W.partitionBy("author_id")
     out = totals.withColumn("author_works", F.count("*").over(w)).withColumn("author_cites", F.sum("cites").over(w))
     return out.withColumn("share", F.col("cites") / F.nullif(F.col("author_cites"), F.lit(0)))
@@ -30,39 +30,39 @@ def hit_events(pairs: DataFrame) -> DataFrame:
 
 
 def balanced(pairs: DataFrame, cby: DataFrame, window: int, zero_fill: bool = False) -> DataFrame:
-    """pairs with event_time, year, citations and observed for each year around the hit.
+    """pairs with event_time, year, cite_counts and observed for each year around the hit.
 
-    Before publication there are 0 citations, observed; later years without a
+    Before publication there are 0 cite_counts, observed; later years without a
     record are null and not observed, or 0 and observed if zero_fill.
     """
     grid = pairs.withColumn("event_time", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("year", F.col("hit_year") + F.col("event_time"))
-    joined = grid.join(cby.select(F.col("work_id").alias("focal"), "year", F.col("citations").alias("c")), ["focal", "year"], "left")
+    joined = grid.join(cby.select(F.col("work_id").alias("focal"), "year", F.col("cite_counts").alias("c")), ["focal", "year"], "left")
     early = F.col("year") < F.col("focal_year")
     filled = F.coalesce("c", F.lit(0)) if zero_fill else F.col("c")
-    return joined.withColumn("citations", F.when(early, F.lit(0).cast("bigint")).otherwise(filled)).withColumn("observed", F.when(early | F.col("citations").isNotNull(), 1).otherwise(0)).drop("c")
+    return joined.withColumn("cite_counts", F.when(early, F.lit(0).cast("bigint")).otherwise(filled)).withColumn("observed", F.when(early | F.col("cite_counts").isNotNull(), 1).otherwise(0)).drop("c")
 
 
 def lifetime(authored: DataFrame, cby: DataFrame, end: int) -> DataFrame:
-    """work_id, author_id, year, paper_age, citations: every year from publication to end (or publication, if later)."""
+    """work_id, author_id, year, paper_age, cite_counts: every year from publication to end (or publication, if later)."""
     grid = authored.select("work_id", "author_id", "pub_year", F.explode(F.sequence("pub_year", F.greatest(F.lit(end), "pub_year"))).alias("year"))
-    return grid.join(cby, ["work_id", "year"], "left").select("work_id", "author_id", "year", (F.col("year") - F.col("pub_year")).alias("paper_age"), F.coalesce("citations", F.lit(0)).cast("bigint").alias("citations"))
+    return grid.join(cby, ["work_id", "year"], "left").select("work_id", "author_id", "year", (F.col("year") - F.col("pub_year")).alias("paper_age"), F.coalesce("cite_counts", F.lit(0)).cast("bigint").alias("cite_counts"))
 
 
 def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, end: int, min_age: int = 0, min_priors: int = 0, include_self: bool = True) -> DataFrame:
-    """author_id, work_id, year, citations, unrelated, related, author_works.
+    """author_id, work_id, year, cite_counts, unrelated, related, author_works.
 
-    The stock at t of an author is the sum of citations of all their works in
+    The stock at t of an author is the sum of cite_counts of all their works in
     years before t (from start and publication on). Only related works (the
     paper itself, those it cites or that cite it) are paired with a paper; the
     unrelated stock is the author's whole stock without theirs, so an author's
     history is never squared.
     """
     works = totals.select("author_id", "work_id", "pub_year")
-    dated = cby.join(works, "work_id").where((F.col("year") >= F.greatest(F.lit(start), F.col("pub_year"))) & (F.col("year") < end)).select("author_id", "work_id", "year", "citations")
+    dated = cby.join(works, "work_id").where((F.col("year") >= F.greatest(F.lit(start), F.col("pub_year"))) & (F.col("year") < end)).select("author_id", "work_id", "year", "cite_counts")
     before = W.orderBy("year").rowsBetween(W.unboundedPreceding, -1)
     years = F.explode(F.sequence(F.lit(start), F.lit(end))).alias("year")
     authors = works.groupBy("author_id").agg(F.count("*").alias("author_works"))
-    per_year = dated.groupBy("author_id", "year").agg(F.sum("citations").alias("c"))
+    per_year = dated.groupBy("author_id", "year").agg(F.sum("cite_counts").alias("c"))
     whole = authors.select("author_id", "author_works", years).join(per_year, ["author_id", "year"], "left").withColumn("whole", F.coalesce(F.sum("c").over(before.partitionBy("author_id")), F.lit(0))).drop("c")
     focal = works
     if min_priors:
@@ -73,12 +73,12 @@ def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, en
     pairs = pairs.join(focal.select("work_id", "author_id"), "work_id").join(owner, ["other", "author_id"])
     if include_self:
         pairs = pairs.select("work_id", "author_id", "other").union(focal.select("work_id", "author_id", F.col("work_id").alias("other")))
-    near = pairs.join(dated.select(F.col("work_id").alias("other"), "year", "citations"), "other").groupBy("work_id", "year").agg(F.sum("citations").alias("r"))
+    near = pairs.join(dated.select(F.col("work_id").alias("other"), "year", "cite_counts"), "other").groupBy("work_id", "year").agg(F.sum("cite_counts").alias("r"))
     grid = focal.select("author_id", "work_id", "pub_year", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("year"))
-    own = cby.select("work_id", "year", "citations")
+    own = cby.select("work_id", "year", "cite_counts")
     out = grid.join(near, ["work_id", "year"], "left").withColumn("related", F.coalesce(F.sum("r").over(before.partitionBy("work_id")), F.lit(0)))
     out = out.where(F.col("year") >= F.greatest(F.lit(start), F.col("pub_year") + min_age)).join(own, ["work_id", "year"], "left").join(whole, ["author_id", "year"])
-    return out.select("author_id", "work_id", "year", F.coalesce("citations", F.lit(0)).cast("bigint").alias("citations"), F.greatest(F.col("whole") - F.col("related"), F.lit(0)).cast("bigint").alias("unrelated"), F.col("related").cast("bigint").alias("related"), "author_works")
+    return out.select("author_id", "work_id", "year", F.coalesce("cite_counts", F.lit(0)).cast("bigint").alias("cite_counts"), F.greatest(F.col("whole") - F.col("related"), F.lit(0)).cast("bigint").alias("unrelated"), F.col("related").cast("bigint").alias("related"), "author_works")
 
 
 def screen(totals: DataFrame) -> DataFrame:

@@ -30,16 +30,16 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return before.select("citing", F.explode("c").alias("cited")).where("cited is not null").distinct()
 
 
-def citations(spark: SparkSession, d: str) -> DataFrame:
-    """work_id, year, citations."""
-    from ..operators.citations import calculated_citations
+def cite_counts(spark: SparkSession, d: str) -> DataFrame:
+    """work_id, year, cite_counts."""
+    from ..operators.cite_counts import calculated_cite_counts
 
-    return calculated_citations(edges(spark, d), works(spark, d).select("work_id", F.col("pub_year").alias("year")))
+    return calculated_cite_counts(edges(spark, d), works(spark, d).select("work_id", F.col("pub_year").alias("year")))
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:
-    """works with cites: the sum of their citations, 0 without any."""
-    sums = citations(spark, d).groupBy("work_id").agg(F.sum("citations").alias("cites"))
+    """works with cites: the sum of their cites, 0 without any."""
+    sums = cite_counts(spark, d).groupBy("work_id").agg(F.sum("cite_counts").alias("cites"))
     return works(spark, d).join(sums, "work_id", "left").fillna(0, ["cites"])
 
 
@@ -57,7 +57,7 @@ SQL = """with works as (select o_orderkey as work_id, o_custkey as author_id, ca
 po as (select distinct l_partkey as part, l_orderkey as work_id, o_orderdate as d from lineitem join orders on o_orderkey = l_orderkey),
 lagged as (select work_id, lag(work_id, 1) over w as a, lag(work_id, 2) over w as b, lag(work_id, 3) over w as c from po window w as (partition by part order by d, work_id)),
 edges as (select distinct citing, cited from (select work_id as citing, unnest([a, b, c]) as cited from lagged) where cited is not null),
-cby as (select cited as work_id, w.pub_year as year, count(*) as citations from edges join works w on w.work_id = citing group by 1, 2),
-totals as (select works.*, cast(coalesce(c, 0) as bigint) as cites from works left join (select work_id, sum(citations) as c from cby group by 1) using (work_id)),
+cby as (select cited as work_id, w.pub_year as year, count(*) as cite_counts from edges join works w on w.work_id = citing group by 1, 2),
+totals as (select works.*, cast(coalesce(c, 0) as bigint) as cites from works left join (select work_id, sum(cite_counts) as c from cby group by 1) using (work_id)),
 authorships as (select work_id, author_id, cast(s as int) as author_sequence, case when n = 1 then 'sole' when s = 1 then 'first' when s = n then 'last' else 'middle' end as author_position from (select work_id, author_id, row_number() over (partition by work_id order by line, author_id) as s, count(*) over (partition by work_id) as n from (select l_orderkey as work_id, l_suppkey as author_id, min(l_linenumber) as line from lineitem group by 1, 2)))
 """

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as C
-from ..operators import citations as O
+from ..operators import cite_counts as O
 from ..operators import events as E
 from ..operators import matching as M
 from ..operators import normalize as N
 from ..operators import panels as P
 from ..operators import regression as R
+from ..operators.ranks import cut
 from ..session import shared_folder
 from ..sources import readers, sinks
 from ..streaming import incremental
@@ -119,22 +120,22 @@ def f_int_or_zero(spark, d):
     return B.t(spark, d, "lineitem").select("l_orderkey", C.int_or_zero_json(text).alias("v")).groupBy("l_orderkey").agg(F.sum("v").alias("v"))
 
 
-# --- citations, sets, joins ---------------------------------------------------
+# --- cites, sets, joins ---------------------------------------------------
 
 
-@query("select work_id, year, citations from cby")
-def q3_calculated_citations(spark, d):
-    return B.citations(spark, d)
+@query("select work_id, year, cite_counts from cby")
+def q3_calculated_cite_counts(spark, d):
+    return B.cite_counts(spark, d)
 
 
-@query("select work_id, year, citations from cby where work_id in (select work_id from works where subject = 'BUILDING')")
-def j4_j5_target_citations(spark, d):
+@query("select work_id, year, cite_counts from cby where work_id in (select work_id from works where subject = 'BUILDING')")
+def j4_j5_target_cite_counts(spark, d):
     w = B.works(spark, d)
-    return O.calculated_citations(B.edges(spark, d), w.select("work_id", F.col("pub_year").alias("year")), w.where("subject = 'BUILDING'"))
+    return O.calculated_cite_counts(B.edges(spark, d), w.select("work_id", F.col("pub_year").alias("year")), w.where("subject = 'BUILDING'"))
 
 
-@query("select work_id, year, citations from cby")
-def k14_streamed_citations(spark, d):
+@query("select work_id, year, cite_counts from cby")
+def k14_streamed_cite_counts(spark, d):
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     dated = B.edges(spark, d).join(B.works(spark, d).select(F.col("work_id").alias("citing"), F.col("pub_year").alias("year")), "citing")
     dated.select("citing", "cited", "year").write.parquet(f"{root}/in")
@@ -142,10 +143,10 @@ def k14_streamed_citations(spark, d):
     return incremental.counted(spark, f"{root}/out")
 
 
-@query("select subject, w.pub_year as publication_year, cast(c.year - w.pub_year as int) as paper_age, cast(sum(citations) as bigint) as citations, count(*) as n from cby c join works w using (work_id) where w.pub_year between 1996 and 1999 group by all")
-def j1_citation_panel(spark, d):
+@query("select subject, w.pub_year as publication_year, cast(c.year - w.pub_year as int) as paper_age, cast(sum(cite_counts) as bigint) as cite_counts, count(*) as n from cby c join works w using (work_id) where w.pub_year between 1996 and 1999 group by all")
+def j1_cite_panel(spark, d):
     w = B.works(spark, d).where(F.col("pub_year").between(1996, 1999))
-    return B.citations(spark, d).join(w, "work_id").groupBy("subject", F.col("pub_year").alias("publication_year"), (F.col("year") - F.col("pub_year")).alias("paper_age")).agg(F.sum("citations").alias("citations"), F.count("*").alias("n"))
+    return B.cite_counts(spark, d).join(w, "work_id").groupBy("subject", F.col("pub_year").alias("publication_year"), (F.col("year") - F.col("pub_year")).alias("paper_age")).agg(F.sum("cite_counts").alias("cite_counts"), F.count("*").alias("n"))
 
 
 @query("select focal, cast(count(*) as bigint) as related from (select work_id as focal, work_id as other from works union select citing, cited from edges union select cited, citing from edges) group by 1")
@@ -168,7 +169,7 @@ def j24_three_priors(spark, d):
     return B.works(spark, d).withColumn("p", F.count("*").over(w)).where("p >= 3").select("work_id")
 
 
-@query("select work_id, cast(coalesce(sum(citations), 0) as bigint) as cites from works left join cby using (work_id) group by 1")
+@query("select work_id, cast(coalesce(sum(cite_counts), 0) as bigint) as cites from works left join cby using (work_id) group by 1")
 def j16_dense_totals(spark, d):
     return B.totals(spark, d).select("work_id", "cites")
 
@@ -203,9 +204,9 @@ def a2_a7_author_positions(spark, d):
     return B.authorships(spark, d).groupBy("author_id").agg(F.count_distinct("work_id").alias("works"), F.count(F.when(F.col("author_position") == "first", 1)).alias("first_author"), F.sum(F.when(F.col("author_position") == "sole", 1).otherwise(0)).alias("sole"))
 
 
-@query("select subject, year, cast(count(*) as bigint) as n, cast(sum(citations) as bigint) as citations from cby join works using (work_id) group by 1, 2")
+@query("select subject, year, cast(count(*) as bigint) as n, cast(sum(cite_counts) as bigint) as cite_counts from cby join works using (work_id) group by 1, 2")
 def a3_year_summary(spark, d):
-    return B.citations(spark, d).join(B.works(spark, d).select("work_id", "subject"), "work_id").groupBy("subject", "year").agg(F.count("*").alias("n"), F.sum("citations").alias("citations"))
+    return B.cite_counts(spark, d).join(B.works(spark, d).select("work_id", "subject"), "work_id").groupBy("subject", "year").agg(F.count("*").alias("n"), F.sum("cite_counts").alias("cite_counts"))
 
 
 @query("select author_id, cast(count(distinct work_id) as bigint) as works from works where type in ('1-URGENT', '5-LOW') group by 1 having count(distinct work_id) >= 3 order by author_id limit 50")
@@ -220,14 +221,14 @@ def p16_hash_sample(spark, d):
 
 @query("select paper_bin, cast(count(*) as bigint) as n from (select case when year - pub_year < 0 then 'pre_publication' when year - pub_year <= 2 then '0-2' when year - pub_year <= 5 then '3-5' when year - pub_year <= 10 then '6-10' when year - pub_year <= 20 then '11-20' else '21+' end as paper_bin from cby join works using (work_id)) group by 1")
 def p12_age_bins(spark, d):
-    return B.citations(spark, d).join(B.works(spark, d), "work_id").groupBy(C.age_bin(F.col("year") - F.col("pub_year")).alias("paper_bin")).agg(F.count("*").alias("n"))
+    return B.cite_counts(spark, d).join(B.works(spark, d), "work_id").groupBy(C.age_bin(F.col("year") - F.col("pub_year")).alias("paper_bin")).agg(F.count("*").alias("n"))
 
 
 @query("select dimension, level, cast(count(*) as bigint) as n from (select 'age' as dimension, case when year - pub_year between 1 and 2 then '1-2' when year - pub_year >= 3 then '3+' else '0' end as level from cby join works using (work_id) union all select 'cohort', case when pub_year < 1998 then 'early' else 'late' end from cby join works using (work_id)) group by 1, 2")
 def p13_group_masks(spark, d):
     age = F.col("year") - F.col("pub_year")
     labels = F.array(F.struct(F.lit("age").alias("dimension"), F.when(age.between(1, 2), "1-2").when(age >= 3, "3+").otherwise("0").alias("level")), F.struct(F.lit("cohort").alias("dimension"), F.when(F.col("pub_year") < 1998, "early").otherwise("late").alias("level")))
-    return B.citations(spark, d).join(B.works(spark, d), "work_id").select(F.inline(labels)).groupBy("dimension", "level").agg(F.count("*").alias("n"))
+    return B.cite_counts(spark, d).join(B.works(spark, d), "work_id").select(F.inline(labels)).groupBy("dimension", "level").agg(F.count("*").alias("n"))
 
 
 @query("select round(sum(y), 4) as total, round(max(y), 6) as top, round(sum(ln(1 + y)), 4) as logged from (select least(cast(cites as double), q) as y from totals, (select quantile_cont(cites, 0.99) as q from totals))")
@@ -236,14 +237,14 @@ def p18_p19_winsorized(spark, d):
     return R.winsorize(B.totals(spark, d), ["cites"]).agg(F.round(F.sum(y), 4).alias("total"), r6(F.max(y)).alias("top"), F.round(F.sum(F.log1p(y)), 4).alias("logged"))
 
 
-@query("select work_id, year, citations, cast(sum(citations) over (partition by work_id order by year rows between unbounded preceding and current row) as bigint) as cumulative from cby")
-def w2_running_citations(spark, d):
-    return O.running(B.citations(spark, d))
+@query("select work_id, year, cite_counts, cast(sum(cite_counts) over (partition by work_id order by year rows between unbounded preceding and current row) as bigint) as cumulative from cby")
+def w2_running_cite_counts(spark, d):
+    return O.running(B.cite_counts(spark, d))
 
 
-@query("select work_id, min(year) as crossing_year from (select work_id, year, sum(citations) over (partition by work_id order by year rows between unbounded preceding and current row) as s from cby) where s >= 10 group by 1")
+@query("select work_id, min(year) as crossing_year from (select work_id, year, sum(cite_counts) over (partition by work_id order by year rows between unbounded preceding and current row) as s from cby) where s >= 10 group by 1")
 def w3_crossings(spark, d):
-    return O.crossings(B.citations(spark, d), 10)
+    return O.crossings(B.cite_counts(spark, d), 10)
 
 
 @query("select author_id, work_id, cites, cast(r as int) as r from (select author_id, work_id, cites, row_number() over (partition by author_id order by cites desc, pub_year, work_id) as r from totals) where r <= 3")
@@ -264,16 +265,16 @@ def w8_binned_means(spark, d):
     return out.select("bin", "n", r6("x").alias("x"), r6("y").alias("y"))
 
 
-@query("select work_id, year, change from (select work_id, year, cast(citations - lag(citations) over w as bigint) as change, year - lag(year) over w as gap from cby window w as (partition by work_id order by year)) where gap = 1")
+@query("select work_id, year, change from (select work_id, year, cast(cite_counts - lag(cite_counts) over w as bigint) as change, year - lag(year) over w as gap from cby window w as (partition by work_id order by year)) where gap = 1")
 def w9_first_differences(spark, d):
-    out = R.first_differences(B.citations(spark, d), ["work_id"], "year", ["citations"])
-    return out.select("work_id", "year", F.col("citations").alias("change"))
+    out = R.first_differences(B.cite_counts(spark, d), ["work_id"], "year", ["cite_counts"])
+    return out.select("work_id", "year", F.col("cite_counts").alias("change"))
 
 
-@query("select work_id, cast(sum(citations) as bigint) as citations from (select c.*, c.year - w.pub_year as age from cby c join works w using (work_id)) where age in (1, 2, 3) group by 1 having count(distinct age) = 3")
+@query("select work_id, cast(sum(cite_counts) as bigint) as cite_counts from (select c.*, c.year - w.pub_year as age from cby c join works w using (work_id)) where age in (1, 2, 3) group by 1 having count(distinct age) = 3")
 def w10_complete_ages(spark, d):
-    aged = B.citations(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year"))
-    return R.complete_ages(aged, ["work_id"], "age", [1, 2, 3]).groupBy("work_id").agg(F.sum("citations").alias("citations"))
+    aged = B.cite_counts(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year"))
+    return R.complete_ages(aged, ["work_id"], "age", [1, 2, 3]).groupBy("work_id").agg(F.sum("cite_counts").alias("cite_counts"))
 
 
 @query("select work_id, round(cites - avg(cites) over (partition by author_id), 6) as demeaned from totals")
@@ -287,10 +288,10 @@ def o5_string_order(spark, d):
     return B.works(spark, d).groupBy(F.col("pub_year").cast("string").alias("level")).agg(F.count("*").alias("n")).orderBy("level")
 
 
-@query("select work_id, cast(change as bigint) as change from (select work_id, max(case when year = 1999 then citations end) - max(case when year = 1998 then citations end) as change from cby group by 1) where change is not null order by abs(change) desc, work_id limit 15")
+@query("select work_id, cast(change as bigint) as change from (select work_id, max(case when year = 1999 then cite_counts end) - max(case when year = 1998 then cite_counts end) as change from cby group by 1) where change is not null order by abs(change) desc, work_id limit 15")
 def o7_largest_changes(spark, d):
-    at = lambda y: F.max(F.when(F.col("year") == y, F.col("citations")))
-    return B.citations(spark, d).groupBy("work_id").agg((at(1999) - at(1998)).alias("change")).where("change is not null").orderBy(F.desc(F.abs("change")), "work_id").limit(15)
+    at = lambda y: F.max(F.when(F.col("year") == y, F.col("cite_counts")))
+    return B.cite_counts(spark, d).groupBy("work_id").agg((at(1999) - at(1998)).alias("change")).where("change is not null").orderBy(F.desc(F.abs("change")), "work_id").limit(15)
 
 
 @query("select author_id, share_at, min_total, cast(n as bigint) as n from (select author_id, cast(s.v as double) as share_at, t.v as min_total, count(*) as n from (select author_id, work_id, cites / nullif(sum(cites) over (partition by author_id), 0) as share, sum(cites) over (partition by author_id) as total from totals) x, (values (0.2), (0.3), (0.5)) s(v), (values (50), (100)) t(v) where share >= cast(s.v as double) and total >= t.v group by all)")
@@ -305,7 +306,7 @@ def a32_parameter_grid(spark, d):
 _PAIRS = f"""stats as (select *, count(*) over (partition by author_id) as author_works, cites / nullif(sum(cites) over (partition by author_id), 0) as share from totals),
 pairs0 as (select h.author_id, h.work_id as hit, h.pub_year as hit_year, h.cites as hit_cites, h.share, f.work_id as focal, f.pub_year as focal_year from stats h join totals f on f.author_id = h.author_id and f.work_id <> h.work_id and f.pub_year <= h.pub_year - {HIT["min_age"]} where h.cites >= {HIT["min_cites"]} and h.share >= {HIT["min_share"]} and h.author_works >= {HIT["min_works"]} and not exists (select 1 from edges e where e.citing = h.work_id and e.cited = f.work_id)),
 pairs as (select * from (select *, count(*) over (partition by author_id, hit) as priors from pairs0) where priors >= {HIT["min_priors"]}),
-panel as (select p.*, p.hit_year + e as year, e as event_time, case when p.hit_year + e < focal_year then 0 else c.citations end as citations, case when p.hit_year + e < focal_year or c.citations is not null then 1 else 0 end as observed from pairs p cross join (select unnest(range(-{WINDOW}, {WINDOW} + 1)) as e) left join cby c on c.work_id = p.focal and c.year = p.hit_year + e)
+panel as (select p.*, p.hit_year + e as year, e as event_time, case when p.hit_year + e < focal_year then 0 else c.cite_counts end as cite_counts, case when p.hit_year + e < focal_year or c.cite_counts is not null then 1 else 0 end as observed from pairs p cross join (select unnest(range(-{WINDOW}, {WINDOW} + 1)) as e) left join cby c on c.work_id = p.focal and c.year = p.hit_year + e)
 """
 
 
@@ -314,7 +315,7 @@ def pairs(spark, d):
 
 
 def hit_panel(spark, d, zero_fill=False):
-    return P.balanced(pairs(spark, d), B.citations(spark, d), WINDOW, zero_fill)
+    return P.balanced(pairs(spark, d), B.cite_counts(spark, d), WINDOW, zero_fill)
 
 
 @query("," + _PAIRS + "select author_id, hit, hit_year, hit_cites, round(share, 8) as share, cast(count(*) as bigint) as priors from pairs group by all")
@@ -328,44 +329,44 @@ def q5_hit_listing(spark, d):
     return out.select("author_id", "hit", F.format_string("%.8f", "share").alias("share"), "priors")
 
 
-@query("," + _PAIRS + "select author_id, hit, focal, cast(event_time as int) as event_time, cast(year as int) as year, citations, cast(observed as int) as observed, cast(case when event_time >= 0 then 1 else 0 end as int) as post_hit from panel")
+@query("," + _PAIRS + "select author_id, hit, focal, cast(event_time as int) as event_time, cast(year as int) as year, cite_counts, cast(observed as int) as observed, cast(case when event_time >= 0 then 1 else 0 end as int) as post_hit from panel")
 def q6_hit_panel(spark, d):
-    return hit_panel(spark, d).select("author_id", "hit", "focal", "event_time", "year", "citations", "observed", (F.col("event_time") >= 0).cast("int").alias("post_hit"))
+    return hit_panel(spark, d).select("author_id", "hit", "focal", "event_time", "year", "cite_counts", "observed", (F.col("event_time") >= 0).cast("int").alias("post_hit"))
 
 
-@query(f"select w.work_id, w.author_id, cast(y as int) as year, cast(y - pub_year as int) as paper_age, cast(coalesce(citations, 0) as bigint) as citations from (select *, unnest(range(pub_year, greatest({END}, pub_year) + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y")
+@query(f"select w.work_id, w.author_id, cast(y as int) as year, cast(y - pub_year as int) as paper_age, cast(coalesce(cite_counts, 0) as bigint) as cite_counts from (select *, unnest(range(pub_year, greatest({END}, pub_year) + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y")
 def q7_lifetime_panel(spark, d):
-    return P.lifetime(B.works(spark, d), B.citations(spark, d), END)
+    return P.lifetime(B.works(spark, d), B.cite_counts(spark, d), END)
 
 
 _EXPOSURE = f"""grid as (select author_id, work_id, pub_year, unnest(range(greatest({START}, pub_year), {END} + 1)) as t from works),
-hist as (select w.author_id, c.work_id, c.year, c.citations from cby c join works w using (work_id) where c.year >= greatest({START}, w.pub_year)),
+hist as (select w.author_id, c.work_id, c.year, c.cite_counts from cby c join works w using (work_id) where c.year >= greatest({START}, w.pub_year)),
 rel as (select work_id as focal, work_id as other from works union select citing, cited from edges union select cited, citing from edges),
-relh as (select g.work_id, g.t, sum(h.citations) as s from grid g join rel r on r.focal = g.work_id join hist h on h.work_id = r.other and h.author_id = g.author_id and h.year < g.t group by 1, 2),
-allh as (select g.author_id, g.t, sum(h.citations) as s from (select distinct author_id, t from grid) g join hist h on h.author_id = g.author_id and h.year < g.t group by 1, 2),
-exposure as (select g.author_id, g.work_id, cast(g.t as int) as year, cast(coalesce(c.citations, 0) as bigint) as citations, cast(greatest(coalesce(a.s, 0) - coalesce(r.s, 0), 0) as bigint) as unrelated, cast(coalesce(r.s, 0) as bigint) as related, count(*) over (partition by g.author_id, g.t) as k from grid g left join cby c on c.work_id = g.work_id and c.year = g.t left join allh a on a.author_id = g.author_id and a.t = g.t left join relh r on r.work_id = g.work_id and r.t = g.t)
+relh as (select g.work_id, g.t, sum(h.cite_counts) as s from grid g join rel r on r.focal = g.work_id join hist h on h.work_id = r.other and h.author_id = g.author_id and h.year < g.t group by 1, 2),
+allh as (select g.author_id, g.t, sum(h.cite_counts) as s from (select distinct author_id, t from grid) g join hist h on h.author_id = g.author_id and h.year < g.t group by 1, 2),
+exposure as (select g.author_id, g.work_id, cast(g.t as int) as year, cast(coalesce(c.cite_counts, 0) as bigint) as cite_counts, cast(greatest(coalesce(a.s, 0) - coalesce(r.s, 0), 0) as bigint) as unrelated, cast(coalesce(r.s, 0) as bigint) as related, count(*) over (partition by g.author_id, g.t) as k from grid g left join cby c on c.work_id = g.work_id and c.year = g.t left join allh a on a.author_id = g.author_id and a.t = g.t left join relh r on r.work_id = g.work_id and r.t = g.t)
 """
 
 
 def exposures(spark, d):
-    return P.exposure(B.totals(spark, d), B.citations(spark, d), B.edges(spark, d), START, END)
+    return P.exposure(B.totals(spark, d), B.cite_counts(spark, d), B.edges(spark, d), START, END)
 
 
-@query("," + _EXPOSURE + "select author_id, work_id, year, citations, unrelated, related, aw as author_works from exposure join (select author_id, count(*) as aw from works group by 1) using (author_id)")
+@query("," + _EXPOSURE + "select author_id, work_id, year, cite_counts, unrelated, related, aw as author_works from exposure join (select author_id, count(*) as aw from works group by 1) using (author_id)")
 def q8_exposure_panel(spark, d):
     return exposures(spark, d)
 
 
-@query("," + _EXPOSURE + ", m as (select year, citations - avg(citations) over (partition by work_id) as y, unrelated - avg(unrelated) over (partition by work_id) as x from exposure) select cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m")
+@query("," + _EXPOSURE + ", m as (select year, cite_counts - avg(cite_counts) over (partition by work_id) as y, unrelated - avg(unrelated) over (partition by work_id) as x from exposure) select cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m")
 def r1_one_way_effects(spark, d):
-    fit = R.fixed_effects(exposures(spark, d), "citations", ["unrelated"], ["work_id"], "work_id")
+    fit = R.fixed_effects(exposures(spark, d), "cite_counts", ["unrelated"], ["work_id"], "work_id")
     return spark.createDataFrame([(fit.n, round(fit.beta[0], 6))], "n bigint, beta double")
 
 
 @query()
 def q9_two_way_effects(spark, d):
     """Models 1 (unrelated) and 2 (unrelated and related) with paper and year effects, errors by paper."""
-    fits = R.models(exposures(spark, d), "citations", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
+    fits = R.models(cut(exposures(spark, d)), "cite_counts", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
     rows = [(k, n, *v, fit.within_r2, fit.n, fit.groups, fit.passes, fit.converged) for k, fit in enumerate(fits, 1) for n, *v in zip(fit.names, fit.beta, fit.se, fit.p, strict=True)]
     return spark.createDataFrame(rows, "model int, term string, beta double, se double, p double, within_r2 double, n bigint, clusters bigint, passes int, converged boolean")
 
@@ -379,32 +380,32 @@ _WITHIN = "select '{0}' as variant, cast(count(*) as bigint) as n, round(sum(x *
 
 
 @query(
-    "," + _EXPOSURE + ", full_ as (select e.work_id, e.year, cast(citations as double) as y, cast(unrelated as double) as x, e.year - pub_year as age from exposure e join works using (work_id)), q as (select quantile_cont(y, 0.99) as qy, quantile_cont(x, 0.99) as qx from full_), v_full as (select * from full_), v_balanced as (select * from full_ where age in (1, 2) and work_id in (select work_id from full_ where age in (1, 2) group by 1 having count(distinct age) = 2)), v_outcome_winsorized as (select work_id, year, least(y, qy) as y, x from full_, q), v_exposure_winsorized as (select work_id, year, y, least(x, qx) as x from full_, q), v_all_winsorized as (select work_id, year, least(y, qy) as y, least(x, qx) as x from full_, q) "
+    "," + _EXPOSURE + ", full_ as (select e.work_id, e.year, cast(cite_counts as double) as y, cast(unrelated as double) as x, e.year - pub_year as age from exposure e join works using (work_id)), q as (select quantile_cont(y, 0.99) as qy, quantile_cont(x, 0.99) as qx from full_), v_full as (select * from full_), v_balanced as (select * from full_ where age in (1, 2) and work_id in (select work_id from full_ where age in (1, 2) group by 1 having count(distinct age) = 2)), v_outcome_winsorized as (select work_id, year, least(y, qy) as y, x from full_, q), v_exposure_winsorized as (select work_id, year, y, least(x, qx) as x from full_, q), v_all_winsorized as (select work_id, year, least(y, qy) as y, least(x, qx) as x from full_, q) "
     + " union all ".join(_WITHIN.format(v) for v in ("full", "balanced", "outcome_winsorized", "exposure_winsorized", "all_winsorized"))
 )
 def r7_variants(spark, d):
-    data = exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year"))
-    made = R.variants(data, "citations", ["unrelated"], ["work_id"], "age", [1, 2])
-    return _slopes(spark, [(v, R.fixed_effects(df, "citations", ["unrelated"], ["work_id"], "work_id")) for v, df in made.items()])
+    data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year")))
+    made = R.variants(data, "cite_counts", ["unrelated"], ["work_id"], "age", [1, 2])
+    return _slopes(spark, [(v, R.fixed_effects(df, "cite_counts", ["unrelated"], ["work_id"], "work_id")) for v, df in made.items()])
 
 
 @query(
-    "," + _EXPOSURE + ", full_ as (select e.work_id, e.citations as y, e.unrelated as x, subject, case when pub_year < 1998 then 'early' else 'late' end as cohort from exposure e join works using (work_id)), g as (select 'subject' as dimension, subject as level, * from full_ union all select 'cohort', cohort, * from full_), m as (select dimension, level, y - avg(y) over (partition by dimension, level, work_id) as y, x - avg(x) over (partition by dimension, level, work_id) as x from g) select dimension, level, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m group by 1, 2"
+    "," + _EXPOSURE + ", full_ as (select e.work_id, e.cite_counts as y, e.unrelated as x, subject, case when pub_year < 1998 then 'early' else 'late' end as cohort from exposure e join works using (work_id)), g as (select 'subject' as dimension, subject as level, * from full_ union all select 'cohort', cohort, * from full_), m as (select dimension, level, y - avg(y) over (partition by dimension, level, work_id) as y, x - avg(x) over (partition by dimension, level, work_id) as x from g) select dimension, level, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m group by 1, 2"
 )
 def r8_subgroups(spark, d):
-    data = exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year", "subject"), "work_id")
-    fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, lambda rows: R.fixed_effects(rows, "citations", ["unrelated"], ["work_id"], "work_id"))
+    data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year", "subject"), "work_id"))
+    fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, lambda rows: R.fixed_effects(rows, "cite_counts", ["unrelated"], ["work_id"], "work_id"))
     return spark.createDataFrame([(k, g, fit.n, round(fit.beta[0], 6)) for k, g, fit in fits], "dimension string, level string, n bigint, beta double")
 
 
 @query(
-    "," + _EXPOSURE + ", v_log as (select work_id, year, ln(1 + citations) as y, ln(1 + unrelated) as x from exposure), f as (select work_id, citations - lag(citations) over w as y, unrelated - lag(unrelated) over w as x, year - lag(year) over w as gap from exposure window w as (partition by work_id order by year)) " + _WITHIN.format("log") + " union all select 'differences', cast(count(*) as bigint), round(sum(x * y) / sum(x * x), 6) from f where gap = 1"
+    "," + _EXPOSURE + ", v_log as (select work_id, year, ln(1 + cite_counts) as y, ln(1 + unrelated) as x from exposure), f as (select work_id, cite_counts - lag(cite_counts) over w as y, unrelated - lag(unrelated) over w as x, year - lag(year) over w as gap from exposure window w as (partition by work_id order by year)) " + _WITHIN.format("log") + " union all select 'differences', cast(count(*) as bigint), round(sum(x * y) / sum(x * x), 6) from f where gap = 1"
 )
 def r9_effect_variants(spark, d):
-    data = exposures(spark, d)
-    logged = data.withColumns({c: F.log1p(c) for c in ("citations", "unrelated")})
-    moved = R.first_differences(data, ["work_id"], "year", ["citations", "unrelated"])
-    return _slopes(spark, [("log", R.fixed_effects(logged, "citations", ["unrelated"], ["work_id"], "work_id")), ("differences", R.ols(moved, "citations", ["unrelated"], "work_id"))])
+    data = cut(exposures(spark, d))
+    logged = data.withColumns({c: F.log1p(c) for c in ("cite_counts", "unrelated")})
+    moved = R.first_differences(data, ["work_id"], "year", ["cite_counts", "unrelated"])
+    return _slopes(spark, [("log", R.fixed_effects(logged, "cite_counts", ["unrelated"], ["work_id"], "work_id")), ("differences", R.ols(moved, "cite_counts", ["unrelated"], "work_id"))])
 
 
 @query("select round(regr_slope(cites, pub_year), 6) as slope, round(corr(cites, pub_year), 6) as correlation, round(power(corr(cites, pub_year), 2), 6) as r2, cast(count(*) as bigint) as n from totals")
@@ -415,21 +416,21 @@ def r3_cross_products(spark, d):
     return spark.createDataFrame([(round(fit.beta[0], 6), round(c, 6), round(fit.within_r2, 6), fit.n)], "slope double, correlation double, r2 double, n bigint")
 
 
-_CROSSING = f"""cross_ as (select work_id as hit, min(year) as cy from (select work_id, year, sum(citations) over (partition by work_id order by year rows between unbounded preceding and current row) as s from cby) where s >= 10 group by 1),
+_CROSSING = f"""cross_ as (select work_id as hit, min(year) as cy from (select work_id, year, sum(cite_counts) over (partition by work_id order by year rows between unbounded preceding and current row) as s from cby) where s >= 10 group by 1),
 cpairs as (select w.author_id, x.hit, x.cy, f.work_id as focal, f.pub_year from cross_ x join works w on w.work_id = x.hit join works f on f.author_id = w.author_id and f.work_id <> x.hit and f.pub_year < w.pub_year where x.cy - {WINDOW} >= {START} and x.cy + {WINDOW} <= {END}),
-cpanel as (select p.*, e as event_time, coalesce(c.citations, 0) as citations from cpairs p cross join (select unnest(range(-{WINDOW}, {WINDOW} + 1)) as e) left join cby c on c.work_id = p.focal and c.year = p.cy + e),
-cdelta as (select *, citations - max(case when event_time = -1 then citations end) over (partition by hit, focal) as delta from cpanel)
+cpanel as (select p.*, e as event_time, coalesce(c.cite_counts, 0) as cite_counts from cpairs p cross join (select unnest(range(-{WINDOW}, {WINDOW} + 1)) as e) left join cby c on c.work_id = p.focal and c.year = p.cy + e),
+cdelta as (select *, cite_counts - max(case when event_time = -1 then cite_counts end) over (partition by hit, focal) as delta from cpanel)
 """
 
 
 def crossing_panel(spark, d):
-    w, cby = B.works(spark, d), B.citations(spark, d)
+    w, cby = B.works(spark, d), B.cite_counts(spark, d)
     x = O.crossings(cby, 10).where(F.col("crossing_year").between(START + WINDOW, END - WINDOW)).select(F.col("work_id").alias("hit"), F.col("crossing_year").alias("hit_year"))
     h = x.join(w.select(F.col("work_id").alias("hit"), "author_id", F.col("pub_year").alias("hy")), "hit")
     p = h.join(w.select("author_id", F.col("work_id").alias("focal"), F.col("pub_year").alias("fy")), "author_id").where("focal <> hit and fy < hy")
     grid = p.withColumn("event_time", F.explode(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)))).withColumn("year", F.col("hit_year") + F.col("event_time"))
-    out = grid.join(cby.withColumnRenamed("work_id", "focal"), ["focal", "year"], "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
-    return E.from_baseline(out, ["hit", "focal"], "citations")
+    out = grid.join(cby.withColumnRenamed("work_id", "focal"), ["focal", "year"], "left").withColumn("cite_counts", F.coalesce("cite_counts", F.lit(0)))
+    return E.from_baseline(out, ["hit", "focal"], "cite_counts")
 
 
 @query(
@@ -439,33 +440,33 @@ def q10_threshold_event_study(spark, d):
     return E.clustered_means(crossing_panel(spark, d), "delta", "author_id").select("event_time", "n", "clusters", r6("mean").alias("mean"), r6("se").alias("se"))
 
 
-@query("," + _CROSSING + "select cast(event_time as int) as event_time, cast(count(distinct hit) as bigint) as hits, cast(count(distinct concat(hit, '|', focal)) as bigint) as pairs, round(avg(citations), 6) as mean, round(avg(delta), 6) as delta from cdelta group by 1")
+@query("," + _CROSSING + "select cast(event_time as int) as event_time, cast(count(distinct hit) as bigint) as hits, cast(count(distinct concat(hit, '|', focal)) as bigint) as pairs, round(avg(cite_counts), 6) as mean, round(avg(delta), 6) as delta from cdelta group by 1")
 def q14_event_summary(spark, d):
-    return crossing_panel(spark, d).groupBy("event_time").agg(F.count_distinct("hit").alias("hits"), F.count_distinct("hit", "focal").alias("pairs"), r6(F.avg("citations")).alias("mean"), r6(F.avg("delta")).alias("delta"))
+    return crossing_panel(spark, d).groupBy("event_time").agg(F.count_distinct("hit").alias("hits"), F.count_distinct("hit", "focal").alias("pairs"), r6(F.avg("cite_counts")).alias("mean"), r6(F.avg("delta")).alias("delta"))
 
 
-@query("," + _PAIRS + f", unit as (select p.focal, p.focal_year, p.hit_year, p.hit from pairs p) select {', '.join(f'cast(sum(case when c.year - u.hit_year = {k} then citations else 0 end) as bigint) as t_{k + WINDOW}' for k in range(-WINDOW, WINDOW + 1))} from unit u join cby c on c.work_id = u.focal and c.year between u.hit_year - {WINDOW} and u.hit_year + {WINDOW}")
+@query("," + _PAIRS + f", unit as (select p.focal, p.focal_year, p.hit_year, p.hit from pairs p) select {', '.join(f'cast(sum(case when c.year - u.hit_year = {k} then cite_counts else 0 end) as bigint) as t_{k + WINDOW}' for k in range(-WINDOW, WINDOW + 1))} from unit u join cby c on c.work_id = u.focal and c.year between u.hit_year - {WINDOW} and u.hit_year + {WINDOW}")
 def q11_event_sums(spark, d):
-    c = B.citations(spark, d).withColumnRenamed("work_id", "focal")
+    c = B.cite_counts(spark, d).withColumnRenamed("work_id", "focal")
     both = pairs(spark, d).join(c, "focal").where(F.col("year").between(F.col("hit_year") - WINDOW, F.col("hit_year") + WINDOW))
-    return both.agg(*(F.sum(F.when(F.col("year") - F.col("hit_year") == k, F.col("citations")).otherwise(0)).alias(f"t_{k + WINDOW}") for k in range(-WINDOW, WINDOW + 1)))
+    return both.agg(*(F.sum(F.when(F.col("year") - F.col("hit_year") == k, F.col("cite_counts")).otherwise(0)).alias(f"t_{k + WINDOW}") for k in range(-WINDOW, WINDOW + 1)))
 
 
 @query(
-    "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(citations, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.event_time, coalesce(p.citations, 0) as c, expected from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type) select cast(event_time as int) as event_time, cast(count(*) as bigint) as n, round(avg(c - expected), 6) as excess, round(avg((c + 0.1) / (expected + 0.1)), 6) as smoothed, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected from norm group by 1"
+    "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(cite_counts, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.event_time, coalesce(p.cite_counts, 0) as c, expected from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type) select cast(event_time as int) as event_time, cast(count(*) as bigint) as n, round(avg(c - expected), 6) as excess, round(avg((c + 0.1) / (expected + 0.1)), 6) as smoothed, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected from norm group by 1"
 )
 def q12_normalized_excess(spark, d):
-    w, c = B.works(spark, d), B.citations(spark, d)
+    w, c = B.works(spark, d), B.cite_counts(spark, d)
     life = P.lifetime(w, c, END).join(w.select("work_id", "type"), "work_id")
     bench = E.lifecycle_benchmark(life)
-    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("citations", F.lit(0)))
+    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("cite_counts", F.lit(0)))
     n = p.join(bench, ["year", "paper_age", "type"])
     return n.groupBy("event_time").agg(F.count("*").alias("n"), r6(F.avg(F.col("c") - F.col("expected"))).alias("excess"), r6(F.avg(C.smoothed_ratio(F.col("c"), F.col("expected")))).alias("smoothed"), r6(C.split_share(F.sum("c"), F.sum("expected"))).alias("observed_expected"))
 
 
-@query("," + _PAIRS + ", a as (select event_time, author_id, avg(coalesce(citations, 0)) as m from panel group by 1, 2) select cast(event_time as int) as event_time, cast(count(*) as bigint) as authors, round(avg(m), 6) as mean, round(stddev_samp(m) / sqrt(count(*)), 6) as se from a group by 1")
+@query("," + _PAIRS + ", a as (select event_time, author_id, avg(coalesce(cite_counts, 0)) as m from panel group by 1, 2) select cast(event_time as int) as event_time, cast(count(*) as bigint) as authors, round(avg(m), 6) as mean, round(stddev_samp(m) / sqrt(count(*)), 6) as se from a group by 1")
 def a14_mean_of_author_means(spark, d):
-    a = hit_panel(spark, d).groupBy("event_time", "author_id").agg(F.avg(F.coalesce("citations", F.lit(0))).alias("m"))
+    a = hit_panel(spark, d).groupBy("event_time", "author_id").agg(F.avg(F.coalesce("cite_counts", F.lit(0))).alias("m"))
     return a.groupBy("event_time").agg(F.count("*").alias("authors"), r6(F.avg("m")).alias("mean"), r6(F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se"))
 
 
@@ -486,7 +487,7 @@ def a9_best_work(spark, d):
 
 
 @query(
-    "," + _PAIRS + ", lab as (select event_time, citations, observed, cast(hit_year as varchar) as cohort, case when hit_year - focal_year <= 2 then '0-2' when hit_year - focal_year <= 5 then '3-5' else '6-10' end as bin, w.type as type from panel join works w on w.work_id = panel.focal) select dimension, level, cast(event_time as int) as event_time, cast(count(*) as bigint) as rows, cast(sum(observed) as bigint) as observed, cast(count(*) - sum(observed) as bigint) as missing, round(avg(coalesce(citations, 0)), 6) as mean_zero, round(avg(case when observed = 1 then citations end), 6) as mean_observed from (select 'event_time' as dimension, '' as level, * from lab union all select 'cohort', cohort, * from lab union all select 'bin', bin, * from lab union all select 'type', type, * from lab) group by 1, 2, 3"
+    "," + _PAIRS + ", lab as (select event_time, cite_counts, observed, cast(hit_year as varchar) as cohort, case when hit_year - focal_year <= 2 then '0-2' when hit_year - focal_year <= 5 then '3-5' else '6-10' end as bin, w.type as type from panel join works w on w.work_id = panel.focal) select dimension, level, cast(event_time as int) as event_time, cast(count(*) as bigint) as rows, cast(sum(observed) as bigint) as observed, cast(count(*) - sum(observed) as bigint) as missing, round(avg(coalesce(cite_counts, 0)), 6) as mean_zero, round(avg(case when observed = 1 then cite_counts end), 6) as mean_observed from (select 'event_time' as dimension, '' as level, * from lab union all select 'cohort', cohort, * from lab union all select 'bin', bin, * from lab union all select 'type', type, * from lab) group by 1, 2, 3"
 )
 def q15_event_cells(spark, d):
     p = hit_panel(spark, d).withColumn("cohort", F.col("hit_year").cast("string")).withColumn("bin", C.age_bin(F.col("hit_year") - F.col("focal_year")))
@@ -495,7 +496,7 @@ def q15_event_cells(spark, d):
     return out.withColumns({c: r6(c) for c in ("mean_zero", "mean_observed")})
 
 
-@query("," + _PAIRS + ", u as (select hit, focal, avg(case when event_time < 0 then coalesce(citations, 0) end) as a, avg(case when event_time >= 0 then coalesce(citations, 0) end) as b, avg(case when event_time < 0 and observed = 1 then citations end) as ao, avg(case when event_time >= 0 and observed = 1 then citations end) as bo from panel group by 1, 2) select cast(count(*) as bigint) as pairs, round(avg(a), 6) as pre, round(avg(b), 6) as post, round(avg(b - a), 6) as delta, cast(count(bo - ao) as bigint) as observed_pairs, round(avg(bo - ao), 6) as delta_observed from u")
+@query("," + _PAIRS + ", u as (select hit, focal, avg(case when event_time < 0 then coalesce(cite_counts, 0) end) as a, avg(case when event_time >= 0 then coalesce(cite_counts, 0) end) as b, avg(case when event_time < 0 and observed = 1 then cite_counts end) as ao, avg(case when event_time >= 0 and observed = 1 then cite_counts end) as bo from panel group by 1, 2) select cast(count(*) as bigint) as pairs, round(avg(a), 6) as pre, round(avg(b), 6) as post, round(avg(b - a), 6) as delta, cast(count(bo - ao) as bigint) as observed_pairs, round(avg(bo - ao), 6) as delta_observed from u")
 def a17_pair_deltas(spark, d):
     u = E.pair_deltas(hit_panel(spark, d), ["hit", "focal"])
     return u.agg(F.count("*").alias("pairs"), r6(F.avg("pre")).alias("pre"), r6(F.avg("post")).alias("post"), r6(F.avg("delta")).alias("delta"), F.count("delta_observed").alias("observed_pairs"), r6(F.avg("delta_observed")).alias("delta_observed"))
@@ -515,53 +516,53 @@ def w7_balanced_units(spark, d):
     return p.where(f"k = {2 * WINDOW + 1} and lo = -{WINDOW} and hi = {WINDOW}").select("hit", "focal").distinct()
 
 
-_LIFE = f", life as (select w.work_id, w.author_id, w.subject, w.pub_year, y as year, coalesce(citations, 0) as citations from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y)"
+_LIFE = f", life as (select w.work_id, w.author_id, w.subject, w.pub_year, y as year, coalesce(cite_counts, 0) as cite_counts from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y)"
 
 
-@query(_LIFE + " select cast(year as int) as year, cast(count(*) as bigint) as at_risk, cast(sum(citations) as bigint) as total, round(avg(citations), 6) as mean, list_sort(list(citations))[count(*) // 2 + 1] as upper_median, round(avg(case when citations = 0 then 1.0 else 0.0 end), 6) as zero_share from life where subject = 'BUILDING' group by 1")
+@query(_LIFE + " select cast(year as int) as year, cast(count(*) as bigint) as at_risk, cast(sum(cite_counts) as bigint) as total, round(avg(cite_counts), 6) as mean, list_sort(list(cite_counts))[count(*) // 2 + 1] as upper_median, round(avg(case when cite_counts = 0 then 1.0 else 0.0 end), 6) as zero_share from life where subject = 'BUILDING' group by 1")
 def q16_year_series(spark, d):
-    life = P.lifetime(B.works(spark, d).where("subject = 'BUILDING'"), B.citations(spark, d), END)
+    life = P.lifetime(B.works(spark, d).where("subject = 'BUILDING'"), B.cite_counts(spark, d), END)
     return E.year_series(life).withColumns({c: r6(c) for c in ("mean", "zero_share")})
 
 
-@query(", g as (select work_id, sum(case when year > 1998 then citations else -citations end) as change from cby join works using (work_id) where author_id in (select author_id from works group by 1 order by count(*) desc, 1 limit 1) group by 1) select cast(sum(change) as bigint) as change, round(sum(case when r <= 1 then change end) / nullif(sum(change), 0), 6) as top1, round(sum(case when r <= 5 then change end) / nullif(sum(change), 0), 6) as top5, round(sum(case when r <= 10 then change end) / nullif(sum(change), 0), 6) as top10 from (select *, row_number() over (order by change desc, work_id) as r from g)")
+@query(", g as (select work_id, sum(case when year > 1998 then cite_counts else -cite_counts end) as change from cby join works using (work_id) where author_id in (select author_id from works group by 1 order by count(*) desc, 1 limit 1) group by 1) select cast(sum(change) as bigint) as change, round(sum(case when r <= 1 then change end) / nullif(sum(change), 0), 6) as top1, round(sum(case when r <= 5 then change end) / nullif(sum(change), 0), 6) as top5, round(sum(case when r <= 10 then change end) / nullif(sum(change), 0), 6) as top10 from (select *, row_number() over (order by change desc, work_id) as r from g)")
 def a27_growth_concentration(spark, d):
     w = B.works(spark, d)
     top = w.groupBy("author_id").count().orderBy(F.desc("count"), "author_id").limit(1)
-    g = B.citations(spark, d).join(w.join(F.broadcast(top.select("author_id")), "author_id").select("work_id"), "work_id").groupBy("work_id").agg(F.sum(F.when(F.col("year") > 1998, F.col("citations")).otherwise(-F.col("citations"))).alias("change"))
+    g = B.cite_counts(spark, d).join(w.join(F.broadcast(top.select("author_id")), "author_id").select("work_id"), "work_id").groupBy("work_id").agg(F.sum(F.when(F.col("year") > 1998, F.col("cite_counts")).otherwise(-F.col("cite_counts"))).alias("change"))
     r = g.withColumn("r", F.row_number().over(W.orderBy(F.desc("change"), "work_id")))  # one author's works
     part = lambda k: r6(C.split_share(F.sum(F.when(F.col("r") <= k, F.col("change"))), F.sum("change")))
     return r.agg(F.sum("change").alias("change"), part(1).alias("top1"), part(5).alias("top5"), part(10).alias("top10"))
 
 
 @query(
-    _LIFE + ", b as (select cast(year - 1998 as int) as event_time, case when year - pub_year <= 2 then '0-2' else '3-5' end as bin, avg(citations) as m, count(*) as n from life where year - pub_year <= 5 group by 1, 2), wt as (select bin, n / sum(n) over () as w from b where event_time = -1) select event_time, round(sum(w * m) / sum(w), 6) as standardized, cast(sum(n) as bigint) as rows, round(sum(n * m) / sum(n), 6) as weighted from b join wt using (bin) group by 1"
+    _LIFE + ", b as (select cast(year - 1998 as int) as event_time, case when year - pub_year <= 2 then '0-2' else '3-5' end as bin, avg(cite_counts) as m, count(*) as n from life where year - pub_year <= 5 group by 1, 2), wt as (select bin, n / sum(n) over () as w from b where event_time = -1) select event_time, round(sum(w * m) / sum(w), 6) as standardized, cast(sum(n) as bigint) as rows, round(sum(n * m) / sum(n), 6) as weighted from b join wt using (bin) group by 1"
 )
 def q19_age_standardized(spark, d):
-    life = P.lifetime(B.works(spark, d), B.citations(spark, d), END).where("paper_age <= 5").withColumn("event_time", F.col("year") - 1998).withColumn("bin", C.age_bin(F.col("paper_age")))
-    cells = life.groupBy("event_time", "bin").agg(F.avg("citations").alias("mean"), F.count("*").alias("rows"))
+    life = P.lifetime(B.works(spark, d), B.cite_counts(spark, d), END).where("paper_age <= 5").withColumn("event_time", F.col("year") - 1998).withColumn("bin", C.age_bin(F.col("paper_age")))
+    cells = life.groupBy("event_time", "bin").agg(F.avg("cite_counts").alias("mean"), F.count("*").alias("rows"))
     base = cells.where("event_time = -1")
     weights = base.join(F.broadcast(base.agg(F.sum("rows").alias("all"))), how="cross").select("bin", (F.col("rows") / F.col("all")).alias("weight"))  # age bins only
     weighted = cells.join(weights.select("bin"), "bin").groupBy("event_time").agg(F.sum("rows").alias("rows"), r6(F.sum(F.col("rows") * F.col("mean")) / F.sum("rows")).alias("weighted"))
     return E.standardized(cells, weights).withColumn("standardized", r6("standardized")).join(weighted, "event_time")
 
 
-@query(_LIFE + ", s as (select *, 1 as one from life) select cast(count(*) as bigint) as n, cast(sum(citations) as bigint) as sum, round(avg(citations), 6) as mean, min(citations) as min, list_sort(list(citations))[cast(floor(0.5 * (count(*) - 1)) as bigint) + 1] as p50, list_sort(list(citations))[cast(floor(0.9 * (count(*) - 1)) as bigint) + 1] as p90, list_sort(list(citations))[cast(floor(0.99 * (count(*) - 1)) as bigint) + 1] as p99, max(citations) as max, round(avg(case when citations = 0 then 1.0 else 0.0 end), 6) as zero_share from s")
+@query(_LIFE + ", s as (select *, 1 as one from life) select cast(count(*) as bigint) as n, cast(sum(cite_counts) as bigint) as sum, round(avg(cite_counts), 6) as mean, min(cite_counts) as min, list_sort(list(cite_counts))[cast(floor(0.5 * (count(*) - 1)) as bigint) + 1] as p50, list_sort(list(cite_counts))[cast(floor(0.9 * (count(*) - 1)) as bigint) + 1] as p90, list_sort(list(cite_counts))[cast(floor(0.99 * (count(*) - 1)) as bigint) + 1] as p99, max(cite_counts) as max, round(avg(case when cite_counts = 0 then 1.0 else 0.0 end), 6) as zero_share from s")
 def q21_order_statistics(spark, d):
-    out = E.order_statistics(P.lifetime(B.works(spark, d), B.citations(spark, d), END), "citations")
+    out = E.order_statistics(P.lifetime(B.works(spark, d), B.cite_counts(spark, d), END), "cite_counts")
     return out.withColumns({c: r6(c) for c in ("mean", "zero_share")}).withColumn("sum", long("sum"))
 
 
-@query(_LIFE + " select cast(year as int) as year, cast(count(distinct work_id) as bigint) as works, cast(count(distinct author_id) as bigint) as authors, cast(min(year - pub_year) as int) as min_age, cast(max(year - pub_year) as int) as max_age, cast(count(*) as bigint) as n, cast(sum(case when year < pub_year then 1 else 0 end) as bigint) as early, cast(sum(case when citations < 0 then 1 else 0 end) as bigint) as negative from life group by 1")
+@query(_LIFE + " select cast(year as int) as year, cast(count(distinct work_id) as bigint) as works, cast(count(distinct author_id) as bigint) as authors, cast(min(year - pub_year) as int) as min_age, cast(max(year - pub_year) as int) as max_age, cast(count(*) as bigint) as n, cast(sum(case when year < pub_year then 1 else 0 end) as bigint) as early, cast(sum(case when cite_counts < 0 then 1 else 0 end) as bigint) as negative from life group by 1")
 def a21_panel_diagnostics(spark, d):
-    return P.lifetime(B.works(spark, d), B.citations(spark, d), END).groupBy("year").agg(F.count_distinct("work_id").alias("works"), F.count_distinct("author_id").alias("authors"), F.min("paper_age").alias("min_age"), F.max("paper_age").alias("max_age"), F.count("*").alias("n"), F.count(F.when(F.col("paper_age") < 0, 1)).alias("early"), F.count(F.when(F.col("citations") < 0, 1)).alias("negative"))
+    return P.lifetime(B.works(spark, d), B.cite_counts(spark, d), END).groupBy("year").agg(F.count_distinct("work_id").alias("works"), F.count_distinct("author_id").alias("authors"), F.min("paper_age").alias("min_age"), F.max("paper_age").alias("max_age"), F.count("*").alias("n"), F.count(F.when(F.col("paper_age") < 0, 1)).alias("early"), F.count(F.when(F.col("cite_counts") < 0, 1)).alias("negative"))
 
 
-@query(", c2 as (select work_id, sum(citations) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 when work_id % 13 = 0 and cites > 0 then -1 else 0 end as cites from totals) select cast(count(*) as bigint) as focal, cast(sum(case when coalesce(total, 0) = cites then 1 else 0 end) as bigint) as exact, cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total > cites then 1 else 0 end) as bigint) as higher, cast(sum(case when total < cites then 1 else 0 end) as bigint) as lower, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff from rec left join c2 using (work_id)")
+@query(", c2 as (select work_id, sum(cite_counts) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 when work_id % 13 = 0 and cites > 0 then -1 else 0 end as cites from totals) select cast(count(*) as bigint) as focal, cast(sum(case when coalesce(total, 0) = cites then 1 else 0 end) as bigint) as exact, cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total > cites then 1 else 0 end) as bigint) as higher, cast(sum(case when total < cites then 1 else 0 end) as bigint) as lower, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff from rec left join c2 using (work_id)")
 def q20_coverage_audit(spark, d):
     totals = B.totals(spark, d)
     off = F.when(F.col("work_id") % 11 == 0, 1).when((F.col("work_id") % 13 == 0) & (F.col("cites") > 0), -1).otherwise(0)
-    return O.coverage(totals, B.citations(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + off))
+    return O.coverage(totals, B.cite_counts(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + off))
 
 
 @query("select cast(count(*) as bigint) as matches, cast(count(distinct (l_orderkey, l_partkey)) as bigint) as unique_pairs, cast(count(*) - count(distinct (l_orderkey, l_partkey)) as bigint) as repeats from lineitem", bridge=False)
@@ -587,22 +588,22 @@ def q18_matched_controls(spark, d):
     return M.matched_controls(t.where("cites >= 20"), t, ["pub_year", "type"], "subfield").select("work_id", "control")
 
 
-@query("," + _CROSSING + "select hit, focal, round(regr_slope(citations, event_time), 6) as slope from cpanel where event_time < 0 group by 1, 2")
+@query("," + _CROSSING + "select hit, focal, round(regr_slope(cite_counts, event_time), 6) as slope from cpanel where event_time < 0 group by 1, 2")
 def a28_pre_trends(spark, d):
     return M.pre_trend(crossing_panel(spark, d), ["hit", "focal"]).withColumn("slope", r6("slope"))
 
 
-@query("," + _CROSSING + ", u as (select hit, focal, subject = 'BUILDING' as b, avg(case when event_time >= 0 then citations end) - avg(case when event_time < 0 then citations end) as ch from cpanel join works on work_id = focal group by 1, 2, 3) select round(avg(case when b then ch end) - avg(case when not b then ch end), 6) as difference from u")
+@query("," + _CROSSING + ", u as (select hit, focal, subject = 'BUILDING' as b, avg(case when event_time >= 0 then cite_counts end) - avg(case when event_time < 0 then cite_counts end) as ch from cpanel join works on work_id = focal group by 1, 2, 3) select round(avg(case when b then ch end) - avg(case when not b then ch end), 6) as difference from u")
 def a29_difference_in_changes(spark, d):
     p = crossing_panel(spark, d).join(B.works(spark, d).select(F.col("work_id").alias("focal"), (F.col("subject") == "BUILDING").alias("b")), "focal")
     post = F.col("event_time") >= 0
-    u = p.groupBy("hit", "focal", "b").agg((F.avg(F.when(post, F.col("citations"))) - F.avg(F.when(~post, F.col("citations")))).alias("ch"))
+    u = p.groupBy("hit", "focal", "b").agg((F.avg(F.when(post, F.col("cite_counts"))) - F.avg(F.when(~post, F.col("cite_counts")))).alias("ch"))
     return u.agg(r6(F.avg(F.when(F.col("b"), F.col("ch"))) - F.avg(F.when(~F.col("b"), F.col("ch")))).alias("difference"))
 
 
-@query("," + _CROSSING + ", m as (select cast(event_time as int) as event_time, avg(citations) as v from cpanel group by 1) select event_time, round(v / (select avg(v) from m where event_time < 0), 6) as indexed from m")
+@query("," + _CROSSING + ", m as (select cast(event_time as int) as event_time, avg(cite_counts) as v from cpanel group by 1) select event_time, round(v / (select avg(v) from m where event_time < 0), 6) as indexed from m")
 def a31_pre_index(spark, d):
-    m = crossing_panel(spark, d).groupBy("event_time").agg(F.avg("citations").alias("v"))
+    m = crossing_panel(spark, d).groupBy("event_time").agg(F.avg("cite_counts").alias("v"))
     base = m.where("event_time < 0").agg(F.avg("v").alias("b"))
     return m.join(F.broadcast(base), how="cross").select("event_time", r6(F.col("v") / F.col("b")).alias("indexed"))  # base is one row
 
@@ -631,12 +632,12 @@ def k12_upsert(spark, d):
 
 # --- audits, samples, sources -------------------------------------------------
 
-_RECORDED = ", c2 as (select work_id, sum(citations) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 else 0 end as cites from totals) "
+_RECORDED = ", c2 as (select work_id, sum(cite_counts) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 else 0 end as cites from totals) "
 
 
 def _recorded(spark, d):
     totals = B.totals(spark, d)
-    return totals, B.citations(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + F.when(F.col("work_id") % 11 == 0, 1).otherwise(0))
+    return totals, B.cite_counts(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + F.when(F.col("work_id") % 11 == 0, 1).otherwise(0))
 
 
 @query(_RECORDED + "select cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff, sum(case when total is null and cites > 0 then 1 else 0 end) <= 5 and sum(case when total is not null then abs(total - cites) else 0 end) <= 1000000000 as valid from rec left join c2 using (work_id)")
@@ -681,22 +682,22 @@ def q13_shortlist(spark, d):
 
 
 @query(
-    "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(citations, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.hit, p.focal, p.event_time, coalesce(p.citations, 0) as c, expected, coalesce(p.citations, 0) - expected as excess, (coalesce(p.citations, 0) + 0.1) / (expected + 0.1) as smoothed from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type), flagged as (select *, count(*) over u = {2 * WINDOW + 1} and min(event_time) over u = -{WINDOW} and max(event_time) over u = {WINDOW} as whole_ from norm window u as (partition by hit, focal)), samples as (select 'at_risk' as sample, * from flagged union all select 'balanced', * from flagged where whole_), per as (select sample, event_time, author_id, avg(excess) as m from samples group by 1, 2, 3), err as (select sample, event_time, stddev_samp(m) / sqrt(count(*)) as se from per group by 1, 2) select s.sample, cast(s.event_time as int) as event_time, cast(count(*) as bigint) as observations, count(distinct author_id) as authors, count(distinct (hit, focal)) as units, round(avg(excess), 6) as excess, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected, round(avg(smoothed), 6) as smoothed, round(any_value(se), 6) as se from samples s join err using (sample, event_time) group by 1, 2"
+    "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(cite_counts, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.hit, p.focal, p.event_time, coalesce(p.cite_counts, 0) as c, expected, coalesce(p.cite_counts, 0) - expected as excess, (coalesce(p.cite_counts, 0) + 0.1) / (expected + 0.1) as smoothed from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type), flagged as (select *, count(*) over u = {2 * WINDOW + 1} and min(event_time) over u = -{WINDOW} and max(event_time) over u = {WINDOW} as whole_ from norm window u as (partition by hit, focal)), samples as (select 'at_risk' as sample, * from flagged union all select 'balanced', * from flagged where whole_), per as (select sample, event_time, author_id, avg(excess) as m from samples group by 1, 2, 3), err as (select sample, event_time, stddev_samp(m) / sqrt(count(*)) as se from per group by 1, 2) select s.sample, cast(s.event_time as int) as event_time, cast(count(*) as bigint) as observations, count(distinct author_id) as authors, count(distinct (hit, focal)) as units, round(avg(excess), 6) as excess, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected, round(avg(smoothed), 6) as smoothed, round(any_value(se), 6) as se from samples s join err using (sample, event_time) group by 1, 2"
 )
 def a13_two_samples(spark, d):
-    w, c = B.works(spark, d), B.citations(spark, d)
+    w, c = B.works(spark, d), B.cite_counts(spark, d)
     bench = E.lifecycle_benchmark(P.lifetime(w, c, END).join(w.select("work_id", "type"), "work_id"))
-    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("citations", F.lit(0)))
+    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("cite_counts", F.lit(0)))
     n = p.join(bench, ["year", "paper_age", "type"]).withColumn("excess", F.col("c") - F.col("expected")).withColumn("smoothed", C.smoothed_ratio(F.col("c"), F.col("expected")))
     out = E.sample_means(E.two_samples(n, ["hit", "focal"], WINDOW), ["hit", "focal"])
     return out.withColumns({k: r6(k) for k in ("excess", "observed_expected", "smoothed", "se")})
 
 
-@query(", me as (select author_id from works group by 1 order by count(*) desc, 1 limit 1)" + _LIFE + " select cast(year as int) as year, cast(count(*) as bigint) as at_risk, cast(sum(citations) as bigint) as total, round(avg(citations), 6) as mean, list_sort(list(citations))[count(*) // 2 + 1] as upper_median, round(avg(case when citations = 0 then 1.0 else 0.0 end), 6) as zero_share from life where author_id in (select author_id from me) group by 1")
+@query(", me as (select author_id from works group by 1 order by count(*) desc, 1 limit 1)" + _LIFE + " select cast(year as int) as year, cast(count(*) as bigint) as at_risk, cast(sum(cite_counts) as bigint) as total, round(avg(cite_counts), 6) as mean, list_sort(list(cite_counts))[count(*) // 2 + 1] as upper_median, round(avg(case when cite_counts = 0 then 1.0 else 0.0 end), 6) as zero_share from life where author_id in (select author_id from me) group by 1")
 def q16_author_case(spark, d):
     w = B.works(spark, d)
     me = w.groupBy("author_id").count().orderBy(F.desc("count"), "author_id").limit(1).select("author_id")
-    life = P.lifetime(w.join(F.broadcast(me), "author_id", "left_semi"), B.citations(spark, d), END)
+    life = P.lifetime(w.join(F.broadcast(me), "author_id", "left_semi"), B.cite_counts(spark, d), END)
     return E.year_series(life).withColumns({c: r6(c) for c in ("mean", "zero_share")})
 
 

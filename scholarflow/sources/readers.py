@@ -18,7 +18,7 @@ WORK_SCHEMA = (
 TABLES = {
     "works": "work_id string, title string, publication_year int, type string, cited_by_count bigint, fwci double, field_id string, field_name string, subfield_id string, subfield_name string, topic_id string, topic_name string, referenced_works_count bigint",
     "work_authors": "work_id string, author_id string, author_name string, author_position string, author_sequence int",
-    "work_citations_by_year": "work_id string, year int, citations bigint",
+    "work_cites_by_year": "work_id string, year int, cite_counts bigint",
     "work_references": "work_id string, referenced_work_id string",
 }
 

@@ -82,12 +82,12 @@ class Warehouse:
         return seen.get["rows"]
 
     def views(self) -> None:
-        """Citations with their works, authors' works and yearly sums, as views."""
-        for name in ("works", "work_authors", "work_citations_by_year"):
+        """Cites with their works, authors' works and yearly sums, as views."""
+        for name in ("works", "work_authors", "work_cites_by_year"):
             self.spark.read.parquet(f"{self.root}/{name}").createOrReplaceTempView(name)
-        self.spark.sql("create or replace temp view citation_panel as select c.subject, c.work_id, c.year, c.citations, w.publication_year, c.year - w.publication_year as paper_age, w.type from work_citations_by_year c join works w using (subject, work_id)")
+        self.spark.sql("create or replace temp view cite_panel as select c.subject, c.work_id, c.year, c.cite_counts, w.publication_year, c.year - w.publication_year as paper_age, w.type from work_cites_by_year c join works w using (subject, work_id)")
         self.spark.sql("create or replace temp view author_works as select subject, author_id, min(author_name) as author_name, count(distinct work_id) as works from work_authors group by subject, author_id")
-        self.spark.sql("create or replace temp view year_summary as select subject, year, count(*) as rows, sum(citations) as citations from work_citations_by_year group by subject, year")
+        self.spark.sql("create or replace temp view year_summary as select subject, year, count(*) as rows, sum(cite_counts) as cite_counts from work_cites_by_year group by subject, year")
 
 
 def plan_chunks(names: Iterable[str], size: int) -> list[list[str]]:

@@ -14,5 +14,5 @@ def ingest_references(spark: SparkSession, source: str, target: str, state: str)
 
 
 def counted(spark: SparkSession, target: str) -> DataFrame:
-    """work_id, year, citations of all that has been taken in."""
-    return spark.read.parquet(target).groupBy(F.col("cited").alias("work_id"), "year").agg(F.count("*").alias("citations"))
+    """work_id, year, cite_counts of all that has been taken in."""
+    return spark.read.parquet(target).groupBy(F.col("cited").alias("work_id"), "year").agg(F.count("*").alias("cite_counts"))
