@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,40 +19,77 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are worked on at once (Spark bounds a batch's bytes).
 ROWS = 256
 
-_made: list[str] = []
+class Scope:
+    """The tables of one run below the shared folder. They go with it, but for what it hands on to the scope around it."""
 
+    def __init__(self, spark: SparkSession, around: Scope | None = None) -> None:
+        self.spark, self.around, self.paths = spark, around, []
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def folder(self) -> str:
+        """A new folder that goes with this scope."""
+        self.paths.append(f"{shared_folder(self.spark)}/llm-{uuid.uuid4().hex}")
+        return self.paths[-1]
 
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder()}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    _made.append(path)
-    return path
+    def hand_on(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table of the scope around this one; of the process, where none is."""
+        return (self.around or _process(self.spark)).save(df, name)
 
+    def adopt(self, other: Scope) -> None:
+        """What the other has saved goes with this scope from now on."""
+        self.paths, other.paths = self.paths + other.paths, []
+
+    def delete(self) -> None:
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
+_open: ContextVar[Scope | None] = ContextVar("scope", default=None)
+_of_process: dict[str, Scope] = {}
+
+
+def _process(spark: SparkSession) -> Scope:
+    """The scope of what no run has taken charge of: it ends with the process, if Spark is still up then."""
+    app = spark.sparkContext.applicationId
+    if app not in _of_process:
+        _of_process[app] = Scope(spark)
+        atexit.register(lambda: spark.sparkContext._jsc and _of_process[app].delete())
+    return _of_process[app]
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    """Tables that are saved inside are deleted at its end, whether it ends well or not; other runs' tables stay.
+
+    What is returned from inside must be handed on, or not read any of them.
+    """
+    run = Scope(spark, _open.get())
+    token = _open.set(run)
+    try:
+        yield run
+    finally:
+        _open.reset(token)
+        run.delete()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def made() -> list[str]:
-    """The folders that scratch() has named in this process and tidy() hasn't deleted, in order."""
-    return list(_made)
 
+def current(spark: SparkSession) -> Scope:
+    """The innermost scope of this thread."""
+    return _open.get() or _process(spark)
 
-def tidy(spark: SparkSession, keep: Iterable[str]) -> None:
-    """Delete the folders that scratch() has named, but those to keep: for when what was read from them is written elsewhere."""
-    keep = set(keep)
-    for path in [p for p in _made if p not in keep]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors. It goes with the innermost scope."""
+    return current(df.sparkSession).save(df, name)
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS) -> None:

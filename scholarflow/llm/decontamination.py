@@ -122,15 +122,18 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_leaks, leaked_items (ids, comma-joined), best_similarity, kept: one row per row of docs."""
-    found = text_leaks(docs, benchmark).groupBy("t0", "t1").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.max(F.expr("both / all")).alias("best_similarity"))
-    out = docs.select("doc_id", *S.text_key(F.col("text"))).join(_small(S.save(found, "found")), ["t0", "t1"], "left")
+    with S.scope(docs.sparkSession) as run:
+        found = text_leaks(docs, benchmark).groupBy("t0", "t1").agg(F.sort_array(F.collect_set("item_id")).alias("ids"), F.max(F.expr("both / all")).alias("best_similarity"))
+        found = run.hand_on(found, "found")
+    out = docs.select("doc_id", *S.text_key(F.col("text"))).join(_small(found), ["t0", "t1"], "left")
     return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_leaks"), F.coalesce(F.array_join(F.expr("transform(ids, x -> string(x))"), ","), F.lit("")).alias("leaked_items"), F.coalesce("best_similarity", F.lit(0.0)).alias("best_similarity"), F.col("ids").isNull().alias("kept"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks, with their columns."""
     names = S.free(docs, "t0"), S.free(docs, "t1")
-    found = S.save(text_leaks(docs, benchmark).select("t0", "t1").distinct().toDF(*names), "found")
+    with S.scope(docs.sparkSession) as run:
+        found = run.hand_on(text_leaks(docs, benchmark).select("t0", "t1").distinct().toDF(*names), "found")
     return docs.select("*", *S.text_key(F.col("text"), names)).join(_small(found), list(names), "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -502,6 +502,11 @@ def parsed(pages: DataFrame, lists: bool = True) -> DataFrame:
 
 def templates(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """What the wrappers say of each host's trees: host, shape, constant (keys of nodes of that tree and texts that are template), regions (first node and the one after the last), menus (nodes)."""
+    with S.scope(read.sparkSession) as run:
+        return run.hand_on(_templates(read, min_pages), "templates")
+
+
+def _templates(read: DataFrame, min_pages: int) -> DataFrame:
     read = read.where(F.size("blocks") > 0)
     hosts = read.groupBy("host").agg(F.count("*").alias("pages"), F.min("page").alias("lo"), F.max("page").alias("hi")).where(f"pages >= {min_pages} and lo <> hi").select("host")
     shapes = read.groupBy("host", "shape").agg(F.first("tree").alias("tree"), F.count("*").alias("n"))
@@ -557,8 +562,13 @@ def templates(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, lists: bool = True) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages. Without lists the wrappers alone decide."""
-    read = S.save(parsed(pages, lists), "pages")
-    learned = S.save(templates(read, min_pages), "templates")
+    with S.scope(pages.sparkSession) as run:
+        read = S.save(parsed(pages, lists), "pages")
+        return run.hand_on(_texts(read, templates(read, min_pages)), "texts")
+
+
+def _texts(read: DataFrame, learned: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars of parsed pages, by what the wrappers say of their trees."""
     out = read.drop("tree").join(learned, ["host", "shape"], "left")
     out = out.withColumn("gone", F.expr("transform(filter(slots, x -> array_contains(constant, xxhash64(x.node, x.h))), x -> x.node)"))
     inside = "exists(regions, r -> x.node >= r.node and x.node < r.end and x.cut <= r.node)"

@@ -117,6 +117,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node, comp (the smallest node it is linked with) for each node of edges (a, b)."""
+    with S.scope(edges.sparkSession) as run:
+        return run.hand_on(_components(edges, name), name)
+
+
+def _components(edges: DataFrame, name: str) -> DataFrame:
     both = S.save(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = S.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), f"{name}-0")
     turn = 0
@@ -138,7 +143,11 @@ def _agree(a: str, b: str):
 
 def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    docs = docs.select("doc_id", "text")
+    with S.scope(docs.sparkSession) as run:
+        return run.hand_on(_near_duplicates(docs.select("doc_id", "text"), rounds), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, rounds: int) -> DataFrame:
     sketch = S.save(sketches(docs), "sketches")
     known = sketch.where("n > 0 and doc_id is not null")
     # a class is a set: its number stands for it, whatever ids have it. Numbers follow the ids, so that
@@ -163,6 +172,11 @@ def near_duplicates(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, rounds: int, repeated: bool) -> DataFrame:
     """a, b: confirmed links between classes that span the components of all links."""
+    with S.scope(docs.sparkSession) as run:
+        return run.hand_on(_all_links(docs, classes, rounds, repeated), "links")
+
+
+def _all_links(docs: DataFrame, classes: DataFrame, rounds: int, repeated: bool) -> DataFrame:
     spark = docs.sparkSession
     posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", F.expr("shiftleft(cast(at as bigint), 32) | value").alias("list"))
     lists = posts.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
@@ -183,7 +197,7 @@ def _links(docs: DataFrame, classes: DataFrame, rounds: int, repeated: bool) ->
     live = _live(held, comp)
     open_ = live.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
     pairs = _across(live.join(open_, "list").select("rep", "comp").distinct(), sets)
-    return S.save(links.union(_confirmed(pairs, sigs, sets)), "links")
+    return links.union(_confirmed(pairs, sigs, sets))
 
 
 def _needed(n: str, m: str) -> str:

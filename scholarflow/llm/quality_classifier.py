@@ -186,7 +186,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Da
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """A model fitted on at most max_train labelled documents that aren't held out."""
     S.small_batches(docs.sparkSession)
-    rows = S.save(sample(docs, labels, max_train), "sample")
+    with S.scope(docs.sparkSession):
+        return _train(S.save(sample(docs, labels, max_train), "sample"))
+
+
+def _train(rows: DataFrame) -> dict:
     quality = np.array([r.quality for r in rows.select("id", "quality").orderBy("id").collect()], np.int64)  # max_train at most
     if (plain := constant(quality)) is not None:
         return plain
@@ -212,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> dic
     for r in summed.collect():  # MAX_VOCABULARY + 1 at most
         vectors[r.word] = r[1:]
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, vectors))
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, vectors))
 
     def pooled(batches):
         for b in S.slices(batches):

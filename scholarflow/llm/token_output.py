@@ -37,6 +37,8 @@ SAMPLE_BYTES = 1 << 14
 DICTIONARY_BYTES = 1 << 16
 #: A block is full when its frames have as many bytes.
 BLOCK_BYTES = 1 << 20
+#: Bytes of frames of a shard at most, about, where the session has fewer shuffle tasks.
+SHARD_BYTES = 1 << 28
 LEVEL = 3
 
 
@@ -72,9 +74,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, end: int = END
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END, shards: int | None = None) -> None:
-    """Encode every row of docs and write the dataset to path."""
+    """Encode every row of docs and write the dataset to path: `shards` of them, or as many as the session's shuffles have tasks, and enough for SHARD_BYTES each."""
+    with S.scope(docs.sparkSession):
+        _write_tokens(docs, path, tokenizer, end, shards)
+
+
+def _write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | None) -> None:
     spark = docs.sparkSession
-    S.small_batches(docs.sparkSession)
+    S.small_batches(spark)
     docs = docs.select("doc_id", "text")
     kind, width = docs.schema["doc_id"].dataType, width_of(tokenizer)
     dictionary = train_dictionary(docs, tokenizer, width, end)
@@ -94,7 +101,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
     one = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("frame", T.BinaryType())])
     # saved first: dealing rows out by range looks at them twice
     saved = S.save(docs.mapInArrow(frames, one), "frames")
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = saved.agg(F.sum(F.length("frame"))).first()[0] or 0
+    count = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ordered = saved.withColumn("tie", F.xxhash64("frame")).repartitionByRange(count, "doc_id", "n", "tie").sortWithinPartitions("doc_id", "n", "tie").drop("tie")
 
     def blocks(batches):
@@ -105,7 +113,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         def full():
             ends = np.cumsum([len(f) for f in held])
             offsets = (ends - [len(f) for f in held]).tolist()
-            arrays = [[shard], [number], [ids[0]], [ids[-1]], [digest], [b"".join(held)], [ids], [offsets], [[len(f) for f in held]], [n]]
+            # ids are in order, nulls first; a block of null ids has no range
+            least = next((i for i in ids if i is not None), None)
+            one_id = b.schema.field(0).type
+            arrow = [pa.int32(), pa.int32(), one_id, one_id, pa.string(), pa.binary(), pa.list_(one_id), long_list, long_list, long_list]
+            arrays = [[shard], [number], [least], [ids[-1]], [digest], [b"".join(held)], [ids], [offsets], [[len(f) for f in held]], [n]]
             return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, arrow, strict=True)], names)
 
         for b in batches:
@@ -125,8 +137,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
         [T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("dict_hash", T.StringType()), T.StructField("payload", T.BinaryType()), T.StructField("doc_ids", T.ArrayType(kind))]
         + [T.StructField(x, T.ArrayType(T.LongType())) for x in ("offsets", "lengths", "n_tokens")]
     )
-    long_list, one_id = pa.list_(pa.int64()), pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()
-    arrow = [pa.int32(), pa.int32(), one_id, one_id, pa.string(), pa.binary(), pa.list_(one_id), long_list, long_list, long_list]
+    long_list = pa.list_(pa.int64())
     ordered.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(digest, bytearray(dictionary), width)], "dict_hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -179,8 +190,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list) -> dict:
-    """The ids of a few documents, by the index alone: only blocks whose range holds one are read, only their frames decompressed."""
+    """The ids of a few documents, by the index alone: only blocks whose range holds one are read, only their frames decompressed. A null id finds nothing."""
     row = _dictionary(spark, path)
+    doc_ids = [i for i in doc_ids if i is not None]
     ranges = reduce(Column.__or__, [F.lit(i).between(F.col("lo"), F.col("hi")) for i in sorted(set(doc_ids))], F.lit(False))
     at = F.filter(F.arrays_zip("doc_ids", "offsets", "lengths"), lambda x: x.doc_ids.isin(doc_ids))
     found = spark.read.parquet(f"{path}/blocks").where(ranges).select("payload", F.explode(at).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.expr("substring(payload, cast(x.offsets as int) + 1, cast(x.lengths as int))").alias("frame"))
@@ -189,6 +201,6 @@ def lookup(spark: SparkSession, path: str, doc_ids: list) -> dict:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{S.scratch(spark)}/tokens"
+    path = f"{S.current(spark).folder()}/tokens"
     write_tokens(S.table(spark, sf_dir, "documents"), path)
     return read_tokens(spark, path, with_ids=False)

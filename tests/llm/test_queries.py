@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -491,12 +492,16 @@ def test_pipeline_on_an_empty_table(spark, awkward):
         assert out.count() == 0 and (name == "best_fit_packing" or out.columns == awkward.columns)
 
 
-def test_pipeline_run(spark):
-    """Its own folders go when a stage is written; those of others stay."""
+def test_pipeline_run(spark, monkeypatch):
+    """All folders that it makes go, but for that of its last stage; those of others stay."""
     from scholarflow.llm import _spark as S
 
+    made, folder = [], S.Scope.folder
+    monkeypatch.setattr(S.Scope, "folder", lambda self: made.append(folder(self)) or made[-1])
     mine = S.save(spark.range(3), "mine")
-    before = S.made()
-    out = corpus_pipeline.run(spark, SF)
-    assert S.made()[: len(before)] == before and len(S.made()) == len(before) + 1 and mine.count() == 3
-    assert out.columns == packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).columns and out.count() > 0
+    with S.scope(spark):
+        out = corpus_pipeline.run(spark, SF)
+        there = [p for p in made if os.path.exists(p)]
+        assert len(made) > 20 and mine.count() == 3 and [os.listdir(p) for p in there] == [["mine"], ["best_fit_packing"]]
+        assert out.columns == packing.pack(spark.createDataFrame([], "doc_id bigint, text string")).columns and out.count() > 0
+    assert [p for p in made if os.path.exists(p)] == made[:1]
