@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, token_counts, token_output
-
-
-def _pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
+from . import decontamination, filter_audit, html_extraction, near_dedup, packing, pipeline, quality_classifier, quality_rules, secrets, sharding, source_divergence, token_counts, token_output, vector_search
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -22,7 +15,15 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_html_extraction": html_extraction.op9_html_extraction,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
-    "pipeline": _pipeline,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_nearest_neighbours": vector_search.op12_nearest_neighbours,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
+    "pipeline": pipeline.run,
 }
 
-ORACLES = {"op1_quality_rules": quality_rules.OP1_SQL, "op5_decontamination": decontamination.OP5_SQL}
+ORACLES = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+    "op5_decontamination": decontamination.OP5_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_source_divergence": source_divergence.OP13_SQL,
+}
