@@ -9,11 +9,13 @@ learned of each wrapper node is learned over all texts of the pages, those in
 menus and footers too:
   * constant nodes are template: of the pages with text whose tree has the node,
     a text that more than half of them have there, if that is MIN_PAGES pages or
-    more that aren't all alike. Other texts there stay.
+    more that aren't all alike; within a region (below) NEARLY_ALL percent of them
+    and more than MIN_PAGES. Other texts there stay.
   * varying slots are content. Where the slot with the most of the host's text
     is in an article element (else the main element) of the wrapper, that is the
     region: pages whose tree has it give what varies in it, and nothing else.
-    Without such a region, slots that are links for the most part go.
+    Without such a region, slots that are links for the most part go, but for
+    those below the parent of the slot with the most text.
 Nothing is learned of hosts with fewer than MIN_PAGES pages or with one content
 only.
 
@@ -48,6 +50,8 @@ from . import _spark as S
 from . import _text as X
 
 MIN_PAGES = 3
+#: In an article, a text is template if so many percent of the pages with its node have it, and more than MIN_PAGES.
+NEARLY_ALL = 90
 #: A parent with more rows of like children has one node for all that are alike.
 WIDE = 64
 #: Trees of a host are aligned in as many tasks.
@@ -462,6 +466,25 @@ def region(tree: list, chars: dict[int, int]) -> list[int]:
     return []
 
 
+def around(tree: list, chars: dict[int, int]) -> tuple[int, int]:
+    """The parent of the wrapper's node with the most varying characters, and the node after its last: lists of links in there may be content."""
+    heavy = max(chars, key=lambda i: (chars[i], -i), default=None)
+    best, last, left = (0, 0), 0, [(x, None) for x in reversed(tree)]
+    parent: dict[int, int | None] = {}
+    while left:
+        (_, number, below), above = left.pop()
+        parent[number], last = above, max(last, number)
+        left += [(x, number) for x in reversed(below)]
+    if heavy in parent:
+        at = heavy if parent[heavy] is None else parent[heavy]
+        inside = {at}
+        for i in sorted(parent):  # parents come before what they hold
+            if parent[i] in inside:
+                inside.add(i)
+        best = (at, max(inside) + 1)
+    return best
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -536,9 +559,11 @@ def _templates(read: DataFrame, min_pages: int) -> DataFrame:
     place = aligned.select("host", "shape", "node", "own")
     known = stats.join(often, ["host", "h"], "left_semi").join(place, ["host", "shape", "node"])
     same = known.groupBy("host", "own", "h").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(having, ["host", "own"])
-    same = same.where(f"n >= {min_pages} and lo <> hi and 2 * n > pages").select("host", "own", "h")
-    fixed = S.save(known.join(same, ["host", "own", "h"], "left_semi"), "fixed")
-    constant = fixed.groupBy("host", "shape").agg(F.collect_set(F.xxhash64("node", "h")).alias("constant"))  # nodes of one tree
+    # in a region a node with several texts varies: there nearly all of its pages must have the text
+    same = same.where(f"n >= {min_pages} and lo <> hi and 2 * n > pages").select("host", "own", "h", F.expr(f"n > {min_pages} and 100 * n >= {NEARLY_ALL} * pages").alias("sure"))
+    fixed = S.save(known.join(same, ["host", "own", "h"]), "fixed")
+    key = F.xxhash64("node", "h")
+    constant = fixed.groupBy("host", "shape").agg(F.collect_set(key).alias("constant"), F.collect_set(F.when(F.col("sure"), key)).alias("sure"))  # nodes of one tree
     every = stats.groupBy("host", "shape", "node").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).join(place, ["host", "shape", "node"]).select("host", "own", "chars", "links")
     varying = every.union(fixed.select("host", "own", -F.col("chars"), -F.col("links"))).groupBy("host", "own").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     # nodes of one wrapper
@@ -548,8 +573,10 @@ def _templates(read: DataFrame, min_pages: int) -> DataFrame:
         for b in S.slices(batches):
             rows = []
             for h, sums, w in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                roots = region(read_tree(w), {x["own"]: x["chars"] for x in sums if x["chars"] > 0})
-                rows += [(h, r, False) for r in roots] or [(h, x["own"], True) for x in sums if x["links"] > x["chars"]]
+                tree, chars = read_tree(w), {x["own"]: x["chars"] for x in sums if x["chars"] > 0}
+                roots = region(tree, chars)
+                first, end = around(tree, chars)
+                rows += [(h, r, False) for r in roots] or [(h, x["own"], True) for x in sums if x["links"] > x["chars"] and not first <= x["own"] < end]
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.bool_()), strict=True)], ["host", "own", "menu"])
 
@@ -570,7 +597,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, lists: bool = True) ->
 def _texts(read: DataFrame, learned: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of parsed pages, by what the wrappers say of their trees."""
     out = read.drop("tree").join(learned, ["host", "shape"], "left")
-    out = out.withColumn("gone", F.expr("transform(filter(slots, x -> array_contains(constant, xxhash64(x.node, x.h))), x -> x.node)"))
+    out = out.withColumn("gone", F.expr("transform(filter(slots, x -> array_contains(case when size(regions) > 0 then sure else constant end, xxhash64(x.node, x.h))), x -> x.node)"))
     inside = "exists(regions, r -> x.node >= r.node and x.node < r.end and x.cut <= r.node)"
     kept = f"(case when size(regions) > 0 then {inside} else x.kept end) and not coalesce(array_contains(menus, x.node), false) and not coalesce(array_contains(gone, x.node), false)"
     text = F.expr(f"array_join(transform(filter(blocks, x -> {kept}), x -> x.text), '\\n')")
