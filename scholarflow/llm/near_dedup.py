@@ -41,6 +41,8 @@ COORDINATES = 32
 #: A pair at 0.75 agrees in 9 coordinates or fewer with a chance of 2e-7.
 MATCHES = 10
 ROUNDS = 3
+#: Sets that post one shingle and meet in one task, about, on each side.
+CELL = 2048
 
 _FACTORS = X.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * X.MULT) | np.uint64(1)
 
@@ -218,13 +220,14 @@ def _across(reps: DataFrame, sets: DataFrame) -> DataFrame:
     order = mine.join(seen, "s").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))  # one set at most
     first = order.select("rep", "comp", "n", F.posexplode(F.expr(f"slice(l, 1, cast(n - ({PERCENT} * n + 99) div 100 + 1 as int))")).alias("at", "x"))
     first = S.save(first.where("x.c > 1").select("rep", "comp", "n", F.col("x.s").alias("s"), (F.col("at") + 1).alias("at")), "prefixes")
-    ends = first.groupBy("s").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", "least")
+    ends = first.groupBy("s").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / CELL).cast("int").alias("cells")).where("lo <> hi").select("s", "least", "cells")
     # sizes of a link differ by a third at most: those of neighbouring steps meet (a little wider, for rounding)
     live = first.join(ends, "s").withColumn("step", F.expr("cast(floor(ln(n) / ln(1.334)) as int)"))
-    small = live.where(f"at <= n - {_needed('n', 'n')} + 1").select("s", F.explode(F.array("step", F.expr("step + 1"))).alias("step"), F.col("rep").alias("a"), "comp", "n", "at")
-    large = live.where(f"at <= n - {_needed('least', 'n')} + 1").select("s", "step", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
+    small = live.where(f"at <= n - {_needed('n', 'n')} + 1").select("s", F.explode(F.expr("flatten(transform(array(step, step + 1), t -> transform(sequence(0, cells - 1), c -> named_struct('step', t, 'x', cast(pmod(xxhash64(rep), cells) as int), 'y', c))))")).alias("k"), F.col("rep").alias("a"), "comp", "n", "at").select("s", "k.*", "a", "comp", "n", "at")
+    large = live.where(f"at <= n - {_needed('least', 'n')} + 1").select("s", "step", F.explode(F.expr("sequence(0, cells - 1)")).alias("x"), F.expr("cast(pmod(xxhash64(rep), cells) as int)").alias("y"), F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
     both = f"at <= n - {_needed('n', 'm')} + 1 and place <= m - {_needed('n', 'm')} + 1 and 100 * n >= {PERCENT} * m"
-    pairs = small.join(large, ["s", "step"]).where(f"(n < m or n = m and a < b) and comp <> other and {both}")
+    # the sets of a frequent shingle meet in cells: parts of the one side by parts of the other
+    pairs = small.join(large, ["s", "step", "x", "y"]).where(f"(n < m or n = m and a < b) and comp <> other and {both}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
