@@ -26,8 +26,8 @@ MAX_DOCS = 20
 MIN_LEFT = 0.3
 #: A frequent line's rows are dealt to as many tasks.
 SALTS = 16
-#: Texts of as many words have 47 bits or fewer left beside a place.
-PACKED = 1 << 16
+#: Texts of as many words have 51 bits or fewer left beside a place: a false repeat has a chance of 4e-9 at most in shorter ones.
+PACKED = 1 << 12
 
 _HAS_WORD = "[^\\\\x20\\\\x09-\\\\x0D]"
 _WORD = _HAS_WORD + "+"
