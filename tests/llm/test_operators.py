@@ -348,3 +348,102 @@ def test_pipeline(spark):
     assert 0 < seen.count() < docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, seen, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in seen.collect()}
+
+
+def _as_pages(spark, htmls, host="a.example"):
+    rows = [(i, f"https://{host}/{i}", h) for i, h in enumerate(htmls)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def _texts_of(spark, htmls, **how):
+    return {r.page_id: r.text for r in html_extraction.extract(_as_pages(spark, htmls), **how).collect()}
+
+
+def test_html_keeps_titles_that_most_pages_share(spark):
+    """A heading of three of four pages varies; what nearly all pages have in the article's node is template."""
+    titles = ["Weekly report", "Weekly report", "Weekly report", "A journey"]
+    page = "<html><body><div class='x'>Site</div><article><h1>{}</h1><p>Text of page {} with words of its own.</p>{}</article></body></html>"
+    got = _texts_of(spark, [page.format(t, i, "") for i, t in enumerate(titles)])
+    assert got == {i: f"{t}\nText of page {i} with words of its own." for i, t in enumerate(titles)}
+    got = _texts_of(spark, [page.format("Weekly report" if i % 4 else "Other", i, "<div><span>Send this to somebody</span></div>") for i in range(12)])
+    assert got == {i: f"{'Weekly report' if i % 4 else 'Other'}\nText of page {i} with words of its own." for i in range(12)}
+
+
+def test_html_keeps_lists_of_links_that_are_content(spark):
+    page = "<html><body><div><div><p>Some words about group {0}.</p><ul>{1}</ul></div></div><div><ul>{2}</ul></div></body></html>"
+    links = lambda k, i: "".join(f"<li><a href='/{k}{i}{j}'>{k} {i} {j}</a></li>" for j in range(3))
+    got = _texts_of(spark, [page.format(i, links("entry of the long list", i), links("menu", i)) for i in range(4)])
+    assert got == {i: "\n".join([f"Some words about group {i}.", *(f"entry of the long list {i} {j}" for j in range(3))]) for i in range(4)}
+
+
+def test_html_with_ties_and_clashing_names(spark):
+    """Two trees of equal frequency on two hosts, and columns named like those that are worked with."""
+    htmls = [f"<body><article><p>Own {i}</p></article></body>" if i % 2 else f"<body><article><h2>Own {i}</h2><p>More {i}</p></article></body>" for i in range(8)]
+    rows = [(i, f"https://{h}/{i}", x, "host", 1, "tree") for h in ("a", "b") for i, x in enumerate(htmls)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, host string, node int, tree string")
+    got = sorted((r.page_id, r.url, r.text) for r in html_extraction.extract(df).collect())
+    assert got == sorted((i, u, f"Own {i}" if i % 2 else f"Own {i}\nMore {i}") for i, u, *_ in rows)
+
+
+def test_lookup_with_null_and_decimal_ids(spark, tmp_path):
+    from decimal import Decimal
+
+    tok = tokenizer()
+    want = {i: [*tok.encode(f"text {i}", add_special_tokens=False).ids, 0] for i in (1, 2, 3)}
+    for kind, make in (("bigint", int), ("decimal(10,0)", Decimal), ("string", str), ("smallint", int), ("date", None)):
+        if make is None:
+            import datetime
+
+            make = lambda i: datetime.date(2020, 1, i)
+        rows = [(None, "lost"), (None, None), *((make(i), f"text {i}") for i in (1, 2, 3))]
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        path = str(tmp_path / kind)
+        token_output.write_tokens(docs, path, shards=1)
+        assert token_output.lookup(spark, path, [*map(make, (1, 2, 3)), None]) == {make(i): ids for i, ids in want.items()}
+        assert token_output.lookup(spark, path, [None]) == {} == token_output.lookup(spark, path, [])
+        back = token_output.read_tokens(spark, path)
+        assert back.count() == 5 and back.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    token_output.write_tokens(spark.createDataFrame([(None, "a"), (None, "b")], "doc_id bigint, text string"), str(tmp_path / "none"), shards=1)
+    assert token_output.lookup(spark, str(tmp_path / "none"), [1]) == {}
+
+
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "capital hex": "0123456789ABCDEF",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "small base32": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "capital base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "URL base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
+}
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+@pytest.mark.parametrize("length", [20, 32, 40, 64, 128])
+def test_battery_finds_random_runs(name, length):
+    """Power: nine in ten random runs at least, in each encoding."""
+    rng = random.Random(f"{name} {length}")
+    runs = ["".join(rng.choices(ALPHABETS[name], k=length)) for _ in range(200)]
+    found = sum(any(k == "hex" or k.startswith("random_") for _, _, k in secrets.scan(f"see {r} here")) for r in runs)
+    assert found >= 0.9 * len(runs)
+
+
+def test_battery_leaves_names_and_paths_alone():
+    """False positives: none on names in every case and on paths, made of words in all ways, nor on some odd ones."""
+    rng = random.Random(8)
+    stock = "my very long java class name factory bean user account service manager abstract handler request http config default case path public static index buffer parser lexer registry scheduler executor thread pool worker queue quick brown fox jumps lazy dog kubernetes namespace überfluss invoice shipping address customer payload checksum".split()
+    makers = [
+        lambda w, d: "".join(x.capitalize() for x in w) + d,
+        lambda w, d: w[0] + "".join(x.capitalize() for x in w[1:]) + d,
+        lambda w, d: "_".join(w).upper() + d,
+        lambda w, d: "".join(w).upper() + d,
+        lambda w, d: "".join(w) + d,
+        lambda w, d: "-".join(w) + d,
+        lambda w, d: "/usr/lib/" + "/".join(x + (d if i % 2 else "") for i, x in enumerate(w)),
+        lambda w, d: "src/" + "/".join(x.capitalize() for x in w) + "/v" + d,
+    ]
+    names = [m([rng.choice(stock) for _ in range(rng.randrange(3, 9))], rng.choice(["", "2", "42", "2024"])) for m in makers for _ in range(100)]
+    names += ["MyVeryLongJavaClassNameFactoryBean2", "Donaudampfschifffahrtsgesellschaftskapitaen", "550e8400-e29b-41d4-a716-446655440000", "INTERNALSERVERERRORWHILEPROCESSINGREQUEST", "node_modules/plugin-transform-es2015/lib/index", "2024-01-02T03-04-05-0600-backup-full", "abcdefghijklmnopqrstuvwxyz0123456789", "12345678901234567890123456789", "a" * 60, "=" * 60, "-" * 60]
+    assert [n for n in names if any(k.startswith("random_") for _, _, k in secrets.scan(f"see {n} here"))] == []
