@@ -40,9 +40,9 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000
 #: Entries of a task's counts at which they are handed on, and bytes of a text that are split at once.
-HELD, SLICE = 200_000, 1 << 20
+HELD, SLICE = 1_000_000, 1 << 20
 #: Rows (term, source) of a block, about; pairs of them that are tallied at once.
-BLOCK, STEP = 100_000, 1 << 20
+BLOCK, STEP = 500_000, 1 << 21
 #: Sources of a language that meet its others in one task.
 SALTS = 32
 
@@ -137,7 +137,9 @@ def _joint(held: DataFrame) -> DataFrame:
     def run(table):
         rows = table.combine_chunks()
         term, count = (rows.column(c).to_numpy() for c in ("term", "count"))
-        names, source = np.unique(np.array(rows.column("source").to_pylist(), object), return_inverse=True)
+        coded = rows.column("source").combine_chunks().dictionary_encode()
+        names, place = np.unique(np.array(coded.dictionary.to_pylist(), object), return_inverse=True)
+        source = place[coded.indices.to_numpy()]
         pairs, label = np.unique(np.stack([source, count]), axis=1, return_inverse=True)
         x, y, n = tally(np.unique(term, return_inverse=True)[1], label.reshape(-1), source)
         lang = rows.column("lang")[0].as_py() if len(term) else ""
@@ -151,47 +153,33 @@ def _joint(held: DataFrame) -> DataFrame:
 
 
 def _pairs(groups: DataFrame) -> DataFrame:
-    """lang, one, two: ordered pairs of different sources of a language; rows of one language are dealt to many tasks."""
-    ones = groups.select("lang", F.col("source").alias("one"), F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int").alias("salt"))
-    twos = groups.select("lang", F.col("source").alias("two"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return ones.join(twos, ["lang", "salt"]).where("one <> two").select("lang", "one", "two")
+    """lang, one, two, n1, n2, v: pairs of sources of a language, one < two; rows of one language are dealt to many tasks."""
+    ones = groups.select("lang", F.col("source").alias("one"), F.col("n").alias("n1"), "v", F.pmod(F.xxhash64("source"), F.lit(SALTS)).cast("int").alias("salt"))
+    twos = groups.select("lang", F.col("source").alias("two"), F.col("n").alias("n2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return ones.join(twos, ["lang", "salt"]).where("one < two").select("lang", "one", "two", "n1", "n2", "v")
 
 
-def _sides(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows of pairs (lang, one, two) with v, n1 and n2."""
-    one = groups.select("lang", F.col("source").alias("one"), F.col("n").alias("n1"), "v")
-    two = groups.select("lang", F.col("source").alias("two"), F.col("n").alias("n2"))
-    return rows.join(one, ["lang", "one"]).join(two, ["lang", "two"])
+def _cells(rows: DataFrame, *cells: str) -> DataFrame:
+    """lang, one, two, c, d, n: for each row the cells whose SQL is given as 'c, d, n'."""
+    made = ", ".join("named_struct('c', {}, 'd', {}, 'n', {})".format(*c.split(", ")) for c in cells)
+    return rows.select("lang", "one", "two", F.explode(F.expr(f"array({made})")).alias("x")).select("lang", "one", "two", "x.*")
 
 
 def pair_values(held: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source), value: for each ordered pair of sources of a language."""
-    pairs = _pairs(groups)
-    half = S.save(_joint(held), "joint")
-    joint = half.select("lang", "one", "two", "c", "d", "n").union(half.select("lang", "two", "one", "d", "c", "n"))
-    own = held.groupBy("lang", "source", "count").agg(F.count("*").alias("n"))
-    ones, twos = (pairs.join(own.withColumnsRenamed({"source": side, "count": "k"}), ["lang", side]) for side in ("one", "two"))
-    zero = F.lit(0).cast("long")
     key = ["lang", "one", "two"]
-    cells = [
-        joint,
-        ones.select(*key, "k", zero, "n"),
-        twos.select(*key, zero, "k", "n"),
-        joint.select(*key, "c", zero, -F.col("n")),
-        joint.select(*key, zero, "d", -F.col("n")),
-        # (0, 0): all kept terms, less those of each source, and those of both once more
-        joint.select(*key, zero, zero, "n"),
-        ones.select(*key, zero, zero, -F.col("n")),
-        twos.select(*key, zero, zero, -F.col("n")),
-        _sides(pairs, groups).select(*key, zero, zero, "v"),
-    ]
-    every = cells[0]
-    for c in cells[1:]:
-        every = every.union(c)
-    tallied = every.groupBy(*key, "c", "d").agg(F.sum("n").alias("many")).where("many > 0")
-    valued = _sides(tallied, groups).select(*key, "many", _p("c", "n1", "v").alias("p"), _p("d", "n2", "v").alias("q")).withColumn("f", _f("p", "q"))
-    sums = valued.groupBy(*key).agg(F.sum(F.col("many") * F.col("f")).alias("value"))
-    return pairs.join(sums, key, "left").select("lang", F.col("one").alias("source"), F.col("two").alias("item"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+    pairs = S.save(_pairs(groups), "pairs")
+    joint = S.save(_joint(held), "joint")
+    own = held.groupBy("lang", "source", "count").agg(F.count("*").alias("n"))
+    ones, twos = (pairs.select(*key).join(own.withColumnsRenamed({"source": side, "count": "k"}), ["lang", side]) for side in ("one", "two"))
+    # a term of both sources is in none of the cells with a 0; (0, 0) is all kept terms, less those of each, and those of both once more
+    cells = _cells(joint, "c, d, n", "c, 0L, -n", "0L, d, -n", "0L, 0L, n")
+    cells = cells.union(_cells(ones, "k, 0L, n", "0L, 0L, -n")).union(_cells(twos, "0L, k, n", "0L, 0L, -n")).union(_cells(pairs, "0L, 0L, v"))
+    tallied = cells.groupBy(*key, "c", "d").agg(F.sum("n").alias("many")).where("many > 0")
+    valued = tallied.join(pairs, key).select(*key, "many", _p("c", "n1", "v").alias("p"), _p("d", "n2", "v").alias("q"))
+    sums = valued.groupBy(*key).agg(*(F.sum(F.col("many") * _f(*side)).alias(name) for name, side in (("there", ("p", "q")), ("back", ("q", "p")))))
+    both = pairs.select(*key).join(sums, key, "left").na.fill(0)
+    return both.select("lang", F.expr("explode(array(named_struct('source', one, 'item', two, 'value', there), named_struct('source', two, 'item', one, 'value', back)))").alias("x")).select("lang", "x.*")
 
 
 def term_values(held: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
