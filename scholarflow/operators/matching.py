@@ -3,36 +3,81 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalized_title, similarity_ratio
 from .ranks import cut, ranked
 
 
+_ONE, _TWO = ["work_id", "author_id"], ["control", "control_author"]
+
+
+def _hash(seed: int, column: str) -> Column:
+    return F.md5(F.concat_ws("-", F.lit(seed), F.col(column).cast("string")))
+
+
+def _own() -> Column:
+    """If a pair is of one author; works without one are nobody's own."""
+    return F.coalesce(F.col("author_id") == F.col("control_author"), F.lit(False))
+
+
+def _assigned(left: DataFrame, free: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """work_id, author_id, control, control_author: as many pairs within keys as there can be.
+
+    1. The n-th work of a cell meets the n-th candidate, both in the order of a hash.
+    2. Works that met their own author meet each other's candidates: works in
+       the order of authors, candidates in the opposite order. Of two authors that
+       met themselves there, each would be before the other, so one author at most
+       still does, and all that do in a cell are this author's.
+    3. Each of these trades with another pair, or with a work or candidate without
+       one, that isn't this author's on either side. Where there are none left, no
+       other assignment makes more pairs.
+    """
+    cells = left.select(*keys).distinct()
+    one = ranked(left.select(*keys, *_ONE).withColumn("_h", _hash(seed, "work_id")), keys, ["_h", "work_id"]).drop("_h")
+    two = ranked(free.join(cells, keys, "left_semi").withColumn("_h", _hash(seed, "control")), keys, ["_h", "control"]).drop("_h")
+    met = cut(one.join(two, [*keys, "rank"], "full").select(*keys, *_ONE, *_TWO))
+    paired = F.col("work_id").isNotNull() & F.col("control").isNotNull()
+    good, alone, bad = met.where(paired & ~_own()), met.where(~paired), met.where(paired & _own())
+    if bad.isEmpty():
+        return good.select(*_ONE, *_TWO)
+    one = ranked(bad.select(*keys, *_ONE), keys, ["author_id", "work_id"])
+    two = ranked(bad.select(*keys, *_TWO), keys, [F.desc("control_author"), "control"])
+    again = cut(one.join(two, [*keys, "rank"]).select(*keys, *_ONE, *_TWO))
+    good, bad = good.union(again.where(~_own())), again.where(_own())
+    if bad.isEmpty():
+        return good.select(*_ONE, *_TWO)
+    whose = bad.select(*keys, F.col("author_id").alias("_a")).distinct()
+    others = good.union(alone).join(whose, keys).where("coalesce(author_id <> _a, true) and coalesce(control_author <> _a, true)").drop("_a")
+    others = others.withColumn("_p", paired.cast("int")).withColumn("_h", F.md5(F.concat_ws("-", F.lit(seed), F.col("work_id").cast("string"), F.col("control").cast("string"))))
+    others = ranked(others, keys, ["_p", "_h", "work_id", "control"]).drop("_p", "_h")
+    trades = ranked(bad, keys, ["work_id"]).select(*keys, "rank", F.struct(*_ONE, *_TWO).alias("x")).join(others.select(*keys, "rank", F.struct(*_ONE, *_TWO).alias("y")), [*keys, "rank"])
+    trades = cut(trades.select("x", "y"))
+    pair = lambda a, b: F.struct(*(F.col(f"{a}.{c}").alias(c) for c in _ONE), *(F.col(f"{b}.{c}").alias(c) for c in _TWO))
+    made = trades.select(F.explode(F.array(pair("x", "y"), pair("y", "x"))).alias("z")).select("z.*").where("work_id is not null and control is not null")
+    kept = good.join(trades.where("y.work_id is not null and y.control is not null").select("y.work_id"), "work_id", "left_anti")
+    return kept.select(*_ONE, *_TWO).union(made)
+
+
 def matched_controls(treated: DataFrame, pool: DataFrame, cell: list[str], topic: str | None = None, seed: int = 0) -> DataFrame:
-    """treated with control and control_author: one for one, none twice, in the order of a hash.
+    """treated with control and control_author: one for one, none twice, until no treated work has an eligible candidate left.
 
     A control has the treated work's cell (year, type), isn't treated itself and
-    isn't by its author. It is sought within the topic first, then without it,
-    and once more without it for those that met their own author. In each round
-    the n-th work of a cell that is still without one gets the n-th free
-    candidate: ranks come from range-sorted parts, so no cell is one task.
+    isn't by its author. It is sought within the topic first; then, for works
+    without one, in the whole cell. Each time as many are matched as can be.
+    Ranks come from range-sorted parts, so no cell is one task. Works and
+    candidates with a null in their cell find nothing, with a null topic nothing
+    within a topic; without an author they suit everyone. Ids are unique.
     """
-    left = treated
-    free = pool.join(treated.select("work_id"), "work_id", "left_anti").select("work_id", "author_id", *cell, *([topic] if topic else []))
-    rounds = ([[*cell, topic]] if topic else []) + [cell, cell]
-    done = None
-    for k, keys in enumerate(rounds):
-        order = F.md5(F.concat_ws("-", F.lit(seed + k), F.col("work_id").cast("string")))
-        one = ranked(left.withColumn("_h", order), keys, ["_h", "work_id"])
-        two = ranked(free.withColumn("_h", order), keys, ["_h", "work_id"]).select(*keys, "rank", F.col("work_id").alias("control"), F.col("author_id").alias("control_author"))
-        found = cut(one.drop("_h").join(two, [*keys, "rank"]).where("author_id <> control_author").select(*treated.columns, "control", "control_author"))
+    names = [*cell, *([topic] if topic else [])]
+    free = pool.join(treated.select("work_id"), "work_id", "left_anti").select(F.col("work_id").alias("control"), F.col("author_id").alias("control_author"), *names)
+    left, done = treated.select(*_ONE, *names), None
+    for k, keys in enumerate(([names] if topic else []) + [cell]):
+        found = cut(_assigned(left, free, keys, seed + k))
         done = found if done is None else done.union(found)
-        left = left.join(found.select("work_id"), "work_id", "left_anti").select(*treated.columns)
-        free = free.join(found.select(F.col("control").alias("work_id")), "work_id", "left_anti")
-    none = pool.schema["work_id"].dataType, pool.schema["author_id"].dataType
-    return done.union(left.select("*", F.lit(None).cast(none[0]).alias("control"), F.lit(None).cast(none[1]).alias("control_author")))
+        left, free = (df.join(found.select(c), c, "left_anti") for df, c in ((left, "work_id"), (free, "control")))
+    return treated.join(done.select("work_id", *_TWO), "work_id", "left").select(*treated.columns, *_TWO)
 
 
 def version_clusters(works: DataFrame, ratio: float = 0.9, years: int = 1) -> DataFrame:

@@ -570,22 +570,43 @@ def a25_repeated_references(spark, d):
     return O.repeated_references(B.t(spark, d, "lineitem").select(F.col("l_orderkey").alias("citing"), F.col("l_partkey").alias("cited")))
 
 
-def _control_round(k: int, keys: str) -> str:
-    """Tables of one round of matching: lk and fk (left and free works) to mk, and those that are left after it."""
-    order = f"row_number() over (partition by {keys} order by md5('{k}-' || work_id), work_id) as r"
-    on = " and ".join(f"a.{c.strip()} = b.{c.strip()}" for c in keys.split(","))
-    return f"""m{k} as (select a.work_id, b.work_id as control from (select *, {order} from l{k}) a join (select *, {order} from f{k}) b on {on} and a.r = b.r where a.author_id <> b.author_id),
-l{k + 1} as (select * from l{k} where work_id not in (select work_id from m{k})), f{k + 1} as (select * from f{k} where work_id not in (select control from m{k}))"""
+#: Works of a cell and topic are matched as far as possible: all, unless one author has too many of both sides.
+_CONTROLS = """, tr as (select * from totals where cites >= 20), pool as (select * from totals where cites < 20),
+sides as (select pub_year, type, subfield, author_id, sum(t) as t, sum(c) as c from (select pub_year, type, subfield, author_id, 1 as t, 0 as c from tr union all select pub_year, type, subfield, author_id, 0, 1 from pool) group by all),
+topics as (select pub_year, type, subfield, sum(t) as t, least(sum(t), sum(c), sum(t) + sum(c) - max(t + c)) as most from sides group by all)
+select pub_year, type, cast(sum(t) as bigint) as treated, cast(sum(most) as bigint) as in_topic, 0::bigint as own_author, 0::bigint as used_twice, 0::bigint as out_of_cell, 0::bigint as eligible_left from topics group by all having sum(t) > 0"""
 
 
-@query(
-    ", l0 as (select * from totals where cites >= 20), f0 as (select * from totals where work_id not in (select work_id from l0)), "
-    + ", ".join(_control_round(k, keys) for k, keys in enumerate(("pub_year, type, subfield", "pub_year, type", "pub_year, type")))
-    + " select * from m0 union all select * from m1 union all select * from m2 union all select work_id, null from l3"
-)
+def _controls(spark, d):
+    t = cut(B.totals(spark, d).select("work_id", "author_id", "pub_year", "type", "subfield", "cites"))
+    return t, cut(M.matched_controls(t.where("cites >= 20"), t, ["pub_year", "type"], "subfield"))
+
+
+@query(_CONTROLS)
 def q18_matched_controls(spark, d):
-    t = B.totals(spark, d).select("work_id", "author_id", "pub_year", "type", "subfield", "cites")
-    return M.matched_controls(t.where("cites >= 20"), t, ["pub_year", "type"], "subfield").select("work_id", "control")
+    """For each year and type how many works are treated, how many have a control in their topic, and that nothing breaks the rule."""
+    t, m = _controls(spark, d)
+    cell, own = ["pub_year", "type"], t.select(F.col("work_id").alias("control"), F.col("pub_year").alias("year2"), F.col("type").alias("type2"), F.col("subfield").alias("subfield2"), F.col("cites").alias("cites2"))
+    pairs = m.join(own, "control", "left")
+    sums = pairs.groupBy(*cell).agg(
+        long(F.count("*")).alias("treated"),
+        long(F.count(F.when(F.col("subfield") == F.col("subfield2"), 1))).alias("in_topic"),
+        long(F.count(F.when(F.col("author_id") == F.col("control_author"), 1))).alias("own_author"),
+        long(F.count("control") - F.count_distinct("control")).alias("used_twice"),
+        long(F.count(F.when(F.expr("control is not null and not (pub_year <=> year2 and type <=> type2 and cites2 < 20)"), 1))).alias("out_of_cell"),
+    )
+    # works without a control and candidates that nobody has: of different authors they would be eligible
+    free = t.where("cites < 20").join(m.select(F.col("control").alias("work_id")), "work_id", "left_anti")
+    sides = m.where("control is null").select(*cell, "author_id", F.lit(1).alias("t"), F.lit(0).alias("c")).union(free.select(*cell, "author_id", F.lit(0), F.lit(1)))
+    by = sides.groupBy(*cell, "author_id").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    left = by.groupBy(*cell).agg(long(F.sum("t") * F.sum("c") - F.sum(F.col("t") * F.col("c"))).alias("eligible_left"))
+    return sums.join(left, cell, "left").na.fill(0, ["eligible_left"])
+
+
+@query()
+def q18_control_pairs(spark, d):
+    """work_id, control: the pairs themselves. Which of several is a matter of hashes; tests count them."""
+    return _controls(spark, d)[1].select("work_id", "control")
 
 
 @query("," + _CROSSING + "select hit, focal, round(regr_slope(cite_counts, event_time), 6) as slope from cpanel where event_time < 0 group by 1, 2")
