@@ -40,7 +40,7 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000
 #: Entries of a task's counts at which they are handed on, and bytes of a text that are split at once.
-HELD, SLICE = 1_000_000, 1 << 20
+HELD, SLICE = 500_000, 1 << 20
 #: Rows (term, source) of a block, about; pairs of them that are tallied at once.
 BLOCK, STEP = 500_000, 1 << 21
 #: Sources of a language that meet its others in one task.
