@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .leases import Folder, Lease
 from .readers import below, manifest_of
 
 
@@ -57,34 +59,67 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Warehouse:
-    """Tables as Parquet folders below root, with a manifest of what has been imported."""
+    """Tables as Parquet folders below root. A load is in a table once its manifest entry is there, and not before.
+
+    Each load has a folder of its own; the entry of its subject and table, which
+    only one of several loaders can make, names it. A loader that broke off or came
+    second leaves a folder that no entry names: nobody reads it, vacuum() deletes it.
+    """
+
+    _ENTRY = "subject string, table_name string, rows bigint, folder string"
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.entries = spark, root, Folder(spark, f"{root}/manifest")
+
+    def _entry(self, subject: str, name: str) -> str:
+        return hashlib.sha256(json.dumps([subject, name]).encode()).hexdigest() + ".json"
 
     def manifest(self) -> DataFrame:
-        schema = "subject string, table_name string, rows bigint"
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/manifest")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+        """subject, table_name, rows, folder of all loads that count."""
+        if not self.entries.exists():
+            return self.spark.createDataFrame([], self._ENTRY)
+        return self.spark.read.schema(self._ENTRY).json(f"{self.root}/manifest").where("folder is not null")
 
     def load(self, subject: str, name: str, df: DataFrame) -> int:
-        """Import df once; a second call for the same subject and table does nothing."""
-        if not self.manifest().where((F.col("subject") == subject) & (F.col("table_name") == name)).isEmpty():
+        """Import df once and return its rows; 0 if there is an import of this subject and table, from before or made meanwhile."""
+        entry = self._entry(subject, name)
+        if self.entries.exists(entry):
             return 0
-        seen = Observation()
-        # dynamic overwrite: a run that broke off leaves nothing behind that a second one doubles
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("subject", F.lit(subject)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("subject").parquet(f"{self.root}/{name}")
-        self.spark.createDataFrame([(subject, name, seen.get["rows"])], "subject string, table_name string, rows bigint").coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        return seen.get["rows"]
+        seen, folder = Observation(), f"{name}/load={uuid.uuid4().hex}"
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("subject", F.lit(subject)).write.parquet(f"{self.root}/{folder}")
+        if self.entries.create(entry, {"subject": subject, "table_name": name, "rows": seen.get["rows"], "folder": folder}):
+            return seen.get["rows"]
+        Folder(self.spark, self.root).delete(folder)
+        return 0
+
+    def unload(self, subject: str, name: str) -> bool:
+        """Take the import of a subject and table out, so that it can be loaded anew; False if there is none."""
+        entry = self._entry(subject, name)
+        known = self.entries.read(entry)
+        if known is None or not self.entries.delete(entry):
+            return False
+        return Folder(self.spark, self.root).delete(known["folder"])
+
+    def table(self, name: str) -> DataFrame:
+        """All loads of a table that count."""
+        folders = [r.folder for r in self.manifest().where(F.col("table_name") == name).select("folder").orderBy("folder").collect()]  # one for each subject
+        if not folders:
+            raise ValueError(f"nothing is loaded into {name}")
+        return self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders))
+
+    def vacuum(self) -> list[str]:
+        """Delete load folders that no entry names; for when no loader is at work."""
+        kept = {r.folder for r in self.manifest().select("folder").collect()}
+        gone = []
+        for name in Folder(self.spark, self.root).names():
+            table = Folder(self.spark, f"{self.root}/{name}")
+            gone += [f"{name}/{x}" for x in table.names() if x.startswith("load=") and f"{name}/{x}" not in kept and table.delete(x)]
+        return gone
 
     def views(self) -> None:
         """Cites with their works, authors' works and yearly sums, as views."""
         for name in ("works", "work_authors", "work_cites_by_year"):
-            self.spark.read.parquet(f"{self.root}/{name}").createOrReplaceTempView(name)
+            self.table(name).createOrReplaceTempView(name)
         self.spark.sql("create or replace temp view cite_panel as select c.subject, c.work_id, c.year, c.cite_counts, w.publication_year, c.year - w.publication_year as paper_age, w.type from work_cites_by_year c join works w using (subject, work_id)")
         self.spark.sql("create or replace temp view author_works as select subject, author_id, min(author_name) as author_name, count(distinct work_id) as works from work_authors group by subject, author_id")
         self.spark.sql("create or replace temp view year_summary as select subject, year, count(*) as rows, sum(cite_counts) as cite_counts from work_cites_by_year group by subject, year")
@@ -95,34 +130,6 @@ def plan_chunks(names: Iterable[str], size: int) -> list[list[str]]:
     return [ordered[i : i + size] for i in range(0, len(ordered), size)]
 
 
-def run_chunks(chunks: list[list[str]], state: str, work: Callable[[int, list[str]], dict], reset: bool = False) -> list[int]:
-    """Do what isn't done of a plan of file chunks; the numbers of those done now.
-
-    The folder state keeps the plan's hash and a file for each chunk that is
-    done. Another plan is refused unless reset, which forgets what was done.
-    """
-    os.makedirs(state, exist_ok=True)
-    digest = hashlib.sha256(json.dumps(chunks).encode()).hexdigest()
-    path = f"{state}/plan.json"
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            known = json.load(f)["sha256"]
-        if known != digest and not reset:
-            raise ValueError("the folder holds another plan")
-    if reset:
-        for i in range(len(os.listdir(state))):
-            if os.path.exists(f"{state}/chunk_{i:05d}.json"):
-                os.remove(f"{state}/chunk_{i:05d}.json")
-    write_json_file({"sha256": digest, "chunks": len(chunks)}, path)
-    done = []
-    for i, chunk in enumerate(chunks):
-        mark = f"{state}/chunk_{i:05d}.json"
-        if not os.path.exists(mark):
-            write_json_file({"status": "complete", **work(i, chunk)}, mark)
-            done.append(i)
-    return done
-
-
 def tidy(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """One row for each key and measure: record_type, keys, metric, value."""
     measures = [c for c in df.columns if c not in keys]
@@ -184,66 +191,56 @@ def published(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/version={version}")
 
 
-def backfill(spark: SparkSession, source: str, target: str, work: Callable[[list[str]], DataFrame], files_per_chunk: int = 8, reset: bool = False) -> list[int]:
+def backfill(spark: SparkSession, source: str, target: str, work: Callable[[list[str]], DataFrame], files_per_chunk: int = 8, reset: bool = False, lease_seconds: float = 60.0) -> list[int]:
     """Write work(files) below target for each chunk of the files below source that isn't there whole; the numbers of those done now.
 
     The plan's hash covers the files' paths, sizes and times, so a source that
     has changed is refused unless reset, which deletes the chunks and their
     manifests and nothing else. A chunk is taken as done if its manifest is of
     this plan and its files have the sizes, checksums and rows it says; else it
-    is made again. A lock file keeps a second run out. All state goes through
-    the file system of target.
+    is made again. A lease keeps a second run out as long as the first one lives;
+    when it has died, the next run goes on after lease_seconds. Chunks are made
+    aside and moved into place after a look at the lease, so a run that was
+    overtaken commits nothing. All state goes through the file system of target.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path
-    conf = spark._jsc.hadoopConfiguration()
-    fs, there = path(target).getFileSystem(conf), path(source).getFileSystem(conf)
+    there = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
     status = [there.getFileStatus(path(f)) for f in below(spark, source)]
     listed = [[s.getPath().toString(), s.getLen(), s.getModificationTime()] for s in status]
     chunks = plan_chunks([f for f, _, _ in listed], files_per_chunk)
     digest = hashlib.sha256(json.dumps([listed, files_per_chunk]).encode()).hexdigest()
+    state = Folder(spark, target)
 
-    def read(name: str) -> dict | None:
-        at = path(f"{target}/{name}")
-        try:
-            return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8")) if fs.exists(at) else None
-        except ValueError:
-            return None
-
-    def write(name: str, value: dict) -> None:
-        out = fs.create(path(f"{target}/{name}.tmp"), True)
-        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-        out.close()
-        fs.delete(path(f"{target}/{name}"), False)
-        fs.rename(path(f"{target}/{name}.tmp"), path(f"{target}/{name}"))
-
-    def files_of(i: int) -> list[list]:
-        at = path(f"{target}/chunk={i:06d}")
-        return sorted([r.path, r.bytes, r.sha256] for r in manifest_of(spark, at.toString()).collect()) if fs.exists(at) else []  # a few files
+    def files_of(name: str) -> list[list]:
+        return sorted([r.path, r.bytes, r.sha256] for r in manifest_of(spark, f"{target}/{name}").collect()) if state.exists(name) else []  # a few files
 
     def whole(i: int) -> bool:
-        known = read(f"_chunk_{i:06d}.json")
-        return bool(known) and known.get("plan") == digest and known.get("sources") == chunks[i] and known.get("files") == files_of(i) and known.get("rows") == spark.read.parquet(f"{target}/chunk={i:06d}").count()
-
-    if fs.exists(path(f"{target}/_lock")):
-        raise RuntimeError(f"another run holds {target}/_lock")
-    fs.mkdirs(path(target))
-    fs.create(path(f"{target}/_lock"), False).close()
-    try:
-        plan = read("_plan.json")
+        known, name = state.read(f"_chunk_{i:06d}.json"), f"chunk={i:06d}"
+        return bool(known) and known.get("plan") == digest and known.get("sources") == chunks[i] and known.get("files") == files_of(name) and known.get("rows") == spark.read.parquet(f"{target}/{name}").count()
+
+    with Lease(spark, f"{target}/_lease", lease_seconds) as lease:
+        plan = state.read("_plan.json")
         if plan and plan["sha256"] != digest:
             if not reset:
                 raise ValueError("the source isn't the one this target was planned for")
             for i in range(plan["chunks"]):
-                fs.delete(path(f"{target}/chunk={i:06d}"), True)
-                fs.delete(path(f"{target}/_chunk_{i:06d}.json"), False)
-        write("_plan.json", {"sha256": digest, "chunks": len(chunks), "files": listed})
+                state.delete(f"chunk={i:06d}")
+                state.delete(f"_chunk_{i:06d}.json")
+        for name in state.names():  # of runs that died
+            if name.startswith("_made_"):
+                state.delete(name)
+        state.write("_plan.json", {"sha256": digest, "chunks": len(chunks), "files": listed})
         done = []
         for i, names in enumerate(chunks):
             if not reset and whole(i):
                 continue
-            work(names).write.mode("overwrite").parquet(f"{target}/chunk={i:06d}")
-            write(f"_chunk_{i:06d}.json", {"plan": digest, "sources": names, "files": files_of(i), "rows": spark.read.parquet(f"{target}/chunk={i:06d}").count()})
+            made, name = f"_made_{lease.token}_{i:06d}", f"chunk={i:06d}"
+            work(names).write.mode("overwrite").parquet(f"{target}/{made}")
+            rows = spark.read.parquet(f"{target}/{made}").count()
+            lease.check()
+            state.delete(f"_chunk_{i:06d}.json")
+            state.delete(name)
+            state.fs.rename(state.path(made), state.path(name))
+            state.write(f"_chunk_{i:06d}.json", {"plan": digest, "sources": names, "files": files_of(name), "rows": rows})
             done.append(i)
         return done
-    finally:
-        fs.delete(path(f"{target}/_lock"), False)

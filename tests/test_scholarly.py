@@ -15,7 +15,7 @@ from scholarflow.operators import normalize as N
 from scholarflow.operators import panels as P
 from scholarflow.operators import regression as R
 from scholarflow.plans import queries as Q
-from scholarflow.sources import readers, sinks
+from scholarflow.sources import leases, readers, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,15 +78,7 @@ def test_tables_and_chunks(spark, tmp_path):
     df = spark.createDataFrame([("W1", 2001, 3)], "work_id string, year int, cite_counts bigint")
     assert store.load("econ", "work_cites_by_year", df) == 1
     assert store.load("econ", "work_cites_by_year", df) == 0
-    seen = []
-    plan = sinks.plan_chunks(["d", "b", "a", "c"], 2)
-    assert plan == [["a", "b"], ["c", "d"]]
-    work = lambda i, files: seen.append(i) or {"files": files}
-    assert sinks.run_chunks(plan, str(tmp_path / "s"), work) == [0, 1]
-    assert sinks.run_chunks(plan, str(tmp_path / "s"), work) == []
-    with pytest.raises(ValueError):
-        sinks.run_chunks(plan[:1], str(tmp_path / "s"), work)
-    assert sinks.run_chunks(plan[:1], str(tmp_path / "s"), work, reset=True) == [0]
+    assert sinks.plan_chunks(["d", "b", "a", "c"], 2) == [["a", "b"], ["c", "d"]]
 
 
 def test_coverage(spark):
@@ -155,10 +147,8 @@ def test_backfill(spark, tmp_path):
     part.write_bytes(part.read_bytes()[:-1] + b"x")
     (tmp_path / "target/chunk=000000" / f".{part.name}.crc").unlink(missing_ok=True)
     assert sinks.backfill(spark, str(source), target, work, 1) == [0]
-    (tmp_path / "target/_lock").touch()
-    with pytest.raises(RuntimeError):
+    with leases.Lease(spark, f"{target}/_lease"), pytest.raises(RuntimeError):
         sinks.backfill(spark, str(source), target, work, 1)
-    (tmp_path / "target/_lock").unlink()
     (tmp_path / "target/other").mkdir()
     with gzip.open(source / "updated_date=b/part_1.gz", "wt") as f:
         f.write("")
