@@ -1,50 +1,148 @@
 """Fixed-effects least squares over DataFrames.
 
-Columns are demeaned by each way in turn until no group mean is left; every
-pass is a groupBy of partial sums and an equi-join on the group, so no task
-needs a whole group. A pass is written to the shared checkpoint folder now and
-then to cut the lineage. Cross-products come from one aggregation; only k x k
-numbers reach the driver.
+The first way (units: many levels) is absorbed by its means. The other ways
+(years, ages, factors: few levels) are dummies whose moments, less those of their
+unit means, come from two aggregations; their effects are solved for on the
+driver, subtracted, and the units' means taken off once more. What is left has no
+group mean in any way, so one turn does, and the means are measured again to say
+so. Only if the other ways have more than MAX_LEVELS levels is each way demeaned in
+turn until nothing is left.
+
+A fit may be split by a column: all its groups are absorbed and measured in the
+same aggregations. Weights are those of rows in every mean and moment. No task
+needs a whole group; only sums by level reach the driver.
+
+Rows with a null in a way, the column that splits, a weight or a variable, and
+rows without a weight above 0, take no part.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .ranks import cut, quantiles, ranked
 
+#: Levels of all ways but the first, in all groups of a split fit, that are solved for at once.
+MAX_LEVELS = 20_000
+#: Of one group: its matrix has the square of that.
+MAX_GROUP_LEVELS = 2_000
 
-def demean(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """columns less their means over the key's groups."""
-    means = df.groupBy(key).agg(*(F.avg(c).alias(f"_{c}") for c in columns))
-    return df.join(means, key).select(*(F.col(c) - F.col(f"_{c}") if c in columns else F.col(c) for c in df.columns)).toDF(*df.columns)
+
+def _mean(column: str, weight: str | None) -> Column:
+    return F.sum(F.col(weight) * F.col(column)) / F.sum(weight) if weight else F.avg(column)
 
 
-def absorbed(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30) -> tuple[DataFrame, int, float]:
-    """columns centred, then demeaned by each way in turn until every group mean is below the tolerance; the passes made; the greatest mean left."""
-    grand = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
-    out = df.select(*(F.col(c) - F.lit(grand[c]) if c in columns else F.col(c) for c in df.columns)).toDF(*df.columns)
+def demean(df: DataFrame, columns: list[str], key: str | list[str], weight: str | None = None) -> DataFrame:
+    """columns less their means over the key's groups."""
+    keys = [key] if isinstance(key, str) else key
+    means = df.groupBy(*keys).agg(*(_mean(c, weight).alias(f"_{c}") for c in columns))
+    return df.join(means, keys).select(*(F.col(c) - F.col(f"_{c}") if c in columns else F.col(c) for c in df.columns)).toDF(*df.columns)
+
+
+def _levels(ways: list[str]) -> Column:
+    return F.array(*(F.struct(F.lit(k).alias("k"), F.col(w).cast("string").alias("level")) for k, w in enumerate(ways)))
+
+
+class _Effects:
+    """The dummies of all ways but the first: by group their labels, weights, and the inverse of their moments within units."""
+
+    def __init__(self, df: DataFrame, unit: str, ways: list[str], by: str, weight: Column):
+        rows = df.select(by, unit, weight.alias("_w"), _levels(ways).alias("_z"))
+        pairs = lambda df: df.select("*", F.explode("_z").alias("_a")).select("*", F.explode("_z").alias("_b")).where("_a <= _b")
+        raw = pairs(rows).groupBy(by, "_a", "_b").agg(F.sum("_w").alias("_s"))
+        held = rows.select(by, unit, "_w", F.explode("_z").alias("_a")).groupBy(by, unit, "_a").agg(F.sum("_w").alias("_w"))
+        own = held.groupBy(by, unit).agg(F.collect_list(F.struct("_a", "_w")).alias("_l"), (F.sum("_w") / len(ways)).alias("_all"))  # levels of a unit: few
+        both = own.select(by, "_all", "_l", F.explode("_l").alias("_x")).select(by, "_all", "_x", F.explode("_l").alias("_y")).where("_x._a <= _y._a")
+        shared = both.groupBy(by, F.col("_x._a").alias("_a"), F.col("_y._a").alias("_b")).agg((-F.sum(F.col("_x._w") * F.col("_y._w") / F.col("_all"))).alias("_s"))
+        self.places: dict[str, dict[tuple[int, str], int]] = {}
+        moments: dict[str, dict] = {}
+        self.weights: dict[str, list[float]] = {}
+        for r in raw.unionByName(shared).groupBy(by, "_a", "_b").agg(F.sum("_s").alias("_s")).collect():  # MAX_GROUP_LEVELS squared for a group at most
+            at = self.places.setdefault(r[0], {})
+            i, j = (at.setdefault((x.k, x.level), len(at)) for x in (r._a, r._b))
+            moments.setdefault(r[0], {})[i, j] = r._s
+        self.inverses = {}
+        for g, at in self.places.items():
+            m = np.zeros((len(at), len(at)))
+            for (i, j), s in moments[g].items():
+                m[i, j] = m[j, i] = s
+            self.inverses[g] = np.linalg.pinv(m, rcond=1e-11, hermitian=True)
+
+    def solve(self, sums: dict[str, dict[tuple[int, str], list[float]]]) -> list[tuple]:
+        """Rows (group, way, level, effect on each column)."""
+        out = []
+        for g, own in sums.items():
+            at = self.places[g]
+            right = np.zeros((len(at), len(next(iter(own.values())))))
+            for label, s in own.items():
+                right[at[label]] = s
+            effects = self.inverses[g] @ right
+            out += [(g, k, level, *map(float, effects[i])) for (k, level), i in at.items()]
+        return out
+
+
+def absorbed(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30, weight: str | None = None, by: str | None = None) -> tuple[DataFrame, int, float]:
+    """df with columns without the effects of the ways (the one with most levels first); the turns it took; the greatest group mean left."""
+    key, small = by or "_by", ways[1:]
+    rows = df if by else df.withColumn("_by", F.lit(""))
+    rows = rows.dropna(subset=[*dict.fromkeys([key, *ways, *columns, *([weight] if weight else [])])])
+    if weight:
+        rows = rows.where(F.col(weight) > 0)
+    rows = rows.select(*(F.col(c).cast("double").alias(c) if c in columns or c == weight else F.col(c) for c in rows.columns))
+    out = cut(demean(rows, columns, [key, ways[0]], weight))
+    names = [c for c in out.columns if by or c != "_by"]
+    if not small:
+        return out.select(*names), 1, 0.0
+    found = {r[0]: sum(r[1:]) for r in out.groupBy(key).agg(*(F.count_distinct(w) for w in small)).limit(MAX_LEVELS + 1).collect()}
+    if sum(found.values()) > MAX_LEVELS or max(found.values(), default=0) > MAX_GROUP_LEVELS:
+        out, turn, worst = _alternating(out, columns, ways, tolerance, passes, weight, key)
+        return out.select(*names), turn, worst
+    w = F.col(weight) if weight else F.lit(1.0)
+    effects, turn, worst = None, 0, math.inf
+    while True:
+        marked = out.select(key, w.alias("_w"), *columns, F.explode(_levels(small)).alias("_z"))
+        sums: dict[str, dict] = {}
+        worst = 0.0
+        for r in marked.groupBy(key, "_z").agg(F.sum("_w").alias("_w"), *(F.sum(F.col("_w") * F.col(c)).alias(c) for c in columns)).collect():  # MAX_LEVELS at most
+            sums.setdefault(r[0], {})[r._z.k, r._z.level] = [r[c] for c in columns]
+            worst = max(worst, *(abs(r[c] / r["_w"]) for c in columns))
+        if worst <= tolerance or turn >= passes:
+            return out.select(*names), turn, worst
+        turn += 1
+        effects = effects or _Effects(out, ways[0], small, key, w)
+        kinds = ", ".join([f"{key} {out.schema[key].dataType.simpleString()}", "_k int", "_level string", *(f"_e{i} double" for i in range(len(columns)))])
+        table = out.sparkSession.createDataFrame(effects.solve(sums), kinds)
+        for k, way in enumerate(small):
+            one = table.where(F.col("_k") == k).drop("_k")
+            out = out.withColumn("_level", F.col(way).cast("string")).join(one, [key, "_level"])
+            out = out.withColumns({c: F.col(c) - F.col(f"_e{i}") for i, c in enumerate(columns)}).drop("_level", *(f"_e{i}" for i in range(len(columns))))
+        out = cut(demean(out, columns, [key, ways[0]], weight))
+
+
+def _alternating(out: DataFrame, columns: list[str], ways: list[str], tolerance: float, passes: int, weight: str | None, by: str) -> tuple[DataFrame, int, float]:
+    """Each way demeaned in turn until every group mean is below the tolerance."""
     turn, worst = 0, math.inf
     while turn < passes and worst > tolerance:
         turn += 1
-        for key in ways:
-            out = demean(out, columns, key)
+        for way in ways:
+            out = demean(out, columns, [by, way], weight)
         out = cut(out)
         worst = 0.0  # the last way's means are 0, the others' tell
-        for key in ways[:-1]:
-            means = out.groupBy(key).agg(*(F.abs(F.avg(c)).alias(c) for c in columns))
+        for way in ways[:-1]:
+            means = out.groupBy(by, way).agg(*(F.abs(_mean(c, weight)).alias(c) for c in columns))
             worst = max(worst, means.agg(F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0]))).first()[0] or 0.0)
     return out, turn, worst
 
 
-def absorb(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30) -> DataFrame:
-    return absorbed(df, columns, ways, tolerance, passes)[0]
+def absorb(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30, weight: str | None = None) -> DataFrame:
+    return absorbed(df, columns, ways, tolerance, passes, weight)[0]
 
 
 @dataclass
@@ -65,45 +163,86 @@ class Fit:
 
 def ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, absorbed: int = 0, weight: str | None = None) -> Fit:
     """Least squares of columns as they are (no intercept), with cluster-robust or plain standard errors."""
+    fits = _fits(df.withColumn("_by", F.lit("")), y, x, cluster, {"": absorbed}, weight, "_by")
+    return fits[""] if fits else Fit(x, [0.0] * len(x), [0.0] * len(x), [1.0] * len(x), [0.0] * len(x), [0.0] * len(x), 0.0, 0, 0)
+
+
+def _fits(df: DataFrame, y: str, x: list[str], cluster: str | None, absorbed: dict[str, int], weight: str | None, by: str) -> dict:
+    """A fit for each group of by: two aggregations, whatever their number."""
     w = F.col(weight) if weight else F.lit(1.0)
     products = [F.sum(w * F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate([*x, y]) for j, b in enumerate([*x, y]) if j >= i]
-    row = df.agg(F.count("*").alias("n"), *products).first()
+    rows = {r[0]: r for r in df.groupBy(by).agg(F.count("*").alias("n"), *products).collect()}  # one for each group of a split fit
     k = len(x)
-    full = np.array([[row[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)], float)
-    inverse = np.linalg.pinv(full[:k, :k])
-    beta = inverse @ full[:k, k]
-    n = row["n"]
-    free = max(1, n - absorbed - k)
-    e = F.col(y) - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, x, strict=True)), F.lit(0.0))
-    if cluster:
-        scores = df.groupBy(cluster).agg(F.sum(w * e * e).alias("sse"), *(F.sum(w * F.col(c) * e).alias(f"s{i}") for i, c in enumerate(x)))
-        meat = scores.agg(F.count("*").alias("g"), F.sum("sse").alias("sse"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
-        groups, sse = meat["g"], meat["sse"] or 0.0
-        m = np.array([[meat[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
-        factor = groups / (groups - 1) * (n - 1) / free if groups > 1 else 1.0
-        variance = factor * inverse @ m @ inverse
-    else:
-        sse = df.agg(F.sum(w * e * e)).first()[0] or 0.0
-        groups, variance = n, inverse * sse / free
-    se = np.sqrt(np.maximum(np.diag(variance), 0.0))
-    p = [math.erfc(abs(b / s) / math.sqrt(2)) if s > 0 else 1.0 for b, s in zip(beta, se, strict=True)]
-    r2 = 1 - sse / full[k, k] if full[k, k] > 0 else 0.0
-    return Fit(x, beta.tolist(), se.tolist(), p, (beta - 1.96 * se).tolist(), (beta + 1.96 * se).tolist(), float(r2), n, groups)
-
-
-def models(df: DataFrame, y: str, sets: list[list[str]], ways: list[str], cluster: str, tolerance: float = 1e-8, passes: int = 30) -> list[Fit]:
-    """A fit for each set of regressors over one absorption; degrees of freedom count every group of every way but one each after the first."""
+    full = {g: np.array([[r[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)], float) for g, r in rows.items()}
+    inverse = {g: np.linalg.pinv(m[:k, :k]) for g, m in full.items()}
+    beta = {g: inverse[g] @ m[:k, k] for g, m in full.items()}
+    if not rows:
+        return {}
+    kinds = ", ".join([f"{by} {df.schema[by].dataType.simpleString()}", *(f"_b{i} double" for i in range(k))])
+    known = df.join(df.sparkSession.createDataFrame([(g, *map(float, b)) for g, b in beta.items()], kinds), by)
+    e = F.col(y) - sum((F.col(f"_b{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
+    scores = known.withColumn("_e", e).groupBy(by, *([cluster] if cluster else [])).agg(F.sum(w * F.col("_e") * F.col("_e")).alias("sse"), *(F.sum(w * F.col(c) * F.col("_e")).alias(f"s{i}") for i, c in enumerate(x)))
+    meat = scores.groupBy(by).agg(F.count("*").alias("g"), F.sum("sse").alias("sse"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)))
+    out = {}
+    for r in meat.collect():
+        g, n, sse = r[0], rows[r[0]]["n"], r["sse"] or 0.0
+        free = max(1, n - absorbed.get(g, 0) - k)
+        if cluster:
+            m = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
+            variance = (r["g"] / (r["g"] - 1) * (n - 1) / free if r["g"] > 1 else 1.0) * inverse[g] @ m @ inverse[g]
+        else:
+            variance = inverse[g] * sse / free
+        b, se = beta[g], np.sqrt(np.maximum(np.diag(variance), 0.0))
+        p = [math.erfc(abs(u) / v / math.sqrt(2)) if v > 0 else 1.0 for u, v in zip(b, se, strict=True)]
+        out[g] = Fit(x, b.tolist(), se.tolist(), p, (b - 1.96 * se).tolist(), (b + 1.96 * se).tolist(), float(1 - sse / full[g][k, k]) if full[g][k, k] > 0 else 0.0, n, r["g"] if cluster else n)
+    return out
+
+
+def split_models(df: DataFrame, y: str, sets: list[list[str]], ways: list[str], cluster: str | None, by: str, tolerance: float = 1e-8, passes: int = 30, weight: str | None = None) -> dict[str, list[Fit]]:
+    """For each group of by a fit for each set of regressors, over one absorption of all groups; degrees of freedom count every group of every way but one each after the first."""
     columns = list(dict.fromkeys([y, *(c for x in sets for c in x)]))
-    data = df.select(*dict.fromkeys([*ways, cluster]), *(F.col(c).cast("double").alias(c) for c in columns))
-    levels = data.agg(*(F.count_distinct(c).alias(c) for c in ways)).first()
-    free, turns, worst = absorbed(data, columns, ways, tolerance, passes)
-    return [replace(ols(free, y, x, cluster, sum(levels[c] for c in ways) - (len(ways) - 1)), passes=turns, converged=worst <= tolerance) for x in sets]
+    data = df.select(*dict.fromkeys([by, *ways, *([cluster] if cluster else []), *([weight] if weight else [])]), *columns)
+    free, turns, worst = absorbed(data, columns, ways, tolerance, passes, weight, by)
+    levels = {r[0]: sum(r[1:]) - (len(ways) - 1) for r in free.groupBy(by).agg(*(F.count_distinct(c) for c in ways)).collect()}
+    fits = [_fits(free, y, x, cluster, levels, weight, by) for x in sets]
+    return {g: [replace(one[g], passes=turns, converged=worst <= tolerance) for one in fits] for g in fits[0]}
+
 
+def models(df: DataFrame, y: str, sets: list[list[str]], ways: list[str], cluster: str | None, **options) -> list[Fit]:
+    """A fit for each set of regressors over one absorption."""
+    return next(iter(split_models(df.withColumn("_by", F.lit("")), y, sets, ways, cluster, "_by", **options).values()))
 
-def fixed_effects(df: DataFrame, y: str, x: list[str], ways: list[str], cluster: str, **options) -> Fit:
+
+def fixed_effects(df: DataFrame, y: str, x: list[str], ways: list[str], cluster: str | None, **options) -> Fit:
     return models(df, y, [x], ways, cluster, **options)[0]
 
 
+def factor_fit(df: DataFrame, y: str, x: list[str], factor: str | None, weight: str | None = None) -> list[tuple[str, float, float]]:
+    """(term, beta, se) of weighted least squares with an intercept and a factor, with plain errors: slopes, the factor's levels against its first, and the constant.
+
+    The factor is absorbed; the constant is that of its first level.
+    """
+    way = factor or "_one"
+    data = df if factor else df.withColumn("_one", F.lit("1"))
+    data = data.withColumn(way, F.col(way).cast("string")).dropna(subset=[way, y, *x, *([weight] if weight else [])])
+    data = data.where(F.col(weight) > 0) if weight else data
+    fit = fixed_effects(data, y, x, [way], None, weight=weight)
+    w = F.col(weight) if weight else F.lit(1.0)
+    means = data.groupBy(way).agg(F.sum(w).alias("w"), *(_mean(c, weight).alias(f"m{i}") for i, c in enumerate([y, *x]))).orderBy(way).collect()  # the factor's levels
+    free, turns, _ = absorbed(data, [y, *x], [way], weight=weight)
+    gram = free.agg(*(F.sum(w * F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x)), F.sum(w * (F.col(y) - sum((F.lit(b) * F.col(c) for b, c in zip(fit.beta, x, strict=True)), F.lit(0.0))) ** 2).alias("sse")).first()
+    inverse = np.linalg.pinv(np.array([[gram[f"{i}_{j}"] for j in range(len(x))] for i in range(len(x))], float).reshape(len(x), len(x)))
+    sigma = gram["sse"] / max(1, fit.n - len(x) - len(means))
+    level = {r[0]: (r["w"], r["m0"] - sum(b * r[f"m{i + 1}"] for i, b in enumerate(fit.beta)), np.array([r[f"m{i + 1}"] for i in range(len(x))])) for r in means}
+    base = level[means[0][0]]
+    out = list(zip(x, fit.beta, fit.se, strict=True))
+    for r in means[1:]:
+        n, effect, at = level[r[0]]
+        apart = at - base[2]
+        out.append((f"{factor}={r[0]}", effect - base[1], math.sqrt(sigma * (1 / n + 1 / base[0] + apart @ inverse @ apart))))
+    return [*out, ("constant", base[1], math.sqrt(sigma * (1 / base[0] + base[2] @ inverse @ base[2])))]
+
+
 def winsorize(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
     """columns cut at their upper q-quantile (linear between values)."""
     tops = quantiles(df, columns, q)
@@ -115,14 +254,12 @@ def variants(df: DataFrame, y: str, x: list[str], unit: list[str], age: str, age
     return {"full": df, "balanced": complete_ages(df, unit, age, ages), "outcome_winsorized": winsorize(df, [y]), "exposure_winsorized": winsorize(df, x), "all_winsorized": winsorize(df, [y, *x])}
 
 
-def by_group(df: DataFrame, dimensions: dict[str, F.Column], fit) -> list[tuple[str, str, Fit]]:
-    """fit(rows) for each level of each dimension (a column of few levels; null levels are left out)."""
-    out = []
-    for name, level in dimensions.items():
-        marked = df.withColumn("_level", level.cast("string"))
-        for (group,) in marked.select("_level").where("_level is not null").distinct().orderBy("_level").collect():
-            out.append((name, group, fit(marked.where(F.col("_level") == group).drop("_level"))))
-    return out
+def by_group(df: DataFrame, dimensions: dict[str, Column], y: str, sets: list[list[str]], ways: list[str], cluster: str, **options) -> list[tuple[str, str, list[Fit]]]:
+    """Fits for each level of each dimension (null levels are left out), all in one pass: a row counts once in each dimension."""
+    levels = F.array(*(F.struct(F.lit(name).alias("dimension"), level.cast("string").alias("level")) for name, level in dimensions.items()))
+    rows = df.withColumn("_x", F.explode(levels)).where("_x.level is not null").withColumn("_group", F.to_json("_x")).drop("_x")
+    made = split_models(rows, y, sets, ways, cluster, "_group", **options)
+    return sorted((v["dimension"], v["level"], fits) for g, fits in made.items() for v in [json.loads(g)])
 
 
 def first_differences(df: DataFrame, unit: list[str], time: str, columns: list[str]) -> DataFrame:
@@ -141,13 +278,13 @@ def complete_ages(df: DataFrame, unit: list[str], age: str, ages: list[int]) ->
 
 def binned_means(df: DataFrame, x: str, y: str, tie: list[str], bins: int = 20) -> DataFrame:
     """bin, n, x, y: means over equal-count bins in order of x."""
-    rows = ranked(df.withColumn("_all", F.lit(1)), ["_all"], [x, *tie])
-    n = F.lit(df.count())
+    rows = cut(ranked(df.withColumn("_all", F.lit(1)), ["_all"], [x, *tie]))
+    n = F.lit(rows.count())
     ranks = rows.withColumn("i", F.col("rank") - 1)
     # the first n mod bins groups have one more
     size, extra = F.floor(n / bins), n % bins
-    cut = extra * (size + 1)
-    number = F.when(F.col("i") < cut, F.floor(F.col("i") / (size + 1))).otherwise(extra + F.floor((F.col("i") - cut) / F.greatest(size, F.lit(1))))
+    upto = extra * (size + 1)
+    number = F.when(F.col("i") < upto, F.floor(F.col("i") / (size + 1))).otherwise(extra + F.floor((F.col("i") - upto) / F.greatest(size, F.lit(1))))
     return ranks.withColumn("bin", number.cast("int") + 1).groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"))
 
 

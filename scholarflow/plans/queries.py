@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -363,49 +364,99 @@ def r1_one_way_effects(spark, d):
     return spark.createDataFrame([(fit.n, round(fit.beta[0], 6))], "n bigint, beta double")
 
 
-@query()
+def _swept(kept: str, dummies: list[str], columns: tuple[str, ...], name: str) -> str:
+    """Tables up to <name>: of <name>_0, by v, the columns without one dummy after the other (Gram-Schmidt)."""
+    out = []
+    for k, d in enumerate(dummies):
+        rest = [*columns, *dummies[k + 1 :]]
+        share = ", ".join(f"case when sum({d} * {d}) > 1e-6 then sum({d} * {c}) / sum({d} * {d}) else 0 end as p_{c}" for c in rest)
+        less = ", ".join(f"{c} - {d} * p_{c} as {c}" for c in rest)
+        out.append(f"{name}_{k + 1} as materialized (select {kept}, {less} from {name}_{k} join (select v, {share} from {name}_{k} group by v) using (v))")
+    return ", ".join([*out, f"{name} as (select * from {name}_{len(dummies)})"])
+
+
+def _freed(source: str, dummies: list[str], columns: tuple[str, ...] = ("y", "x"), name: str = "t") -> str:
+    """Tables up to <name>: of source (v, work_id, year, columns, dummies), all columns within v and work, then without the dummies."""
+    within = ", ".join(f"{c} - avg({c}) over (partition by v, work_id) as {c}" for c in [*columns, *dummies])
+    return f"{name}_0 as materialized (select v, work_id, year, {within} from {source}), " + _swept("v, work_id, year", dummies, columns, name)
+
+
+_YEARS = [f"d{t}" for t in range(START + 1, END + 1)]
+_YEAR = ", ".join(f"cast(year = {d[1:]} as int)::double as {d}" for d in _YEARS)
+_SLOPES = "select v as variant, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from {} group by v"
+
+
+@query(
+    "," + _EXPOSURE + f", full_ as (select 'all' as v, work_id, year, cite_counts::double as y, unrelated::double as u, related::double as r, {_YEAR} from exposure), "
+    + _freed("full_", _YEARS, ("y", "u", "r"))
+    + f""", m as (select count(*) as n, count(distinct work_id) as g, sum(y * y) as yy, sum(u * u) as uu, sum(r * r) as rr, sum(u * r) as ur, sum(u * y) as uy, sum(r * y) as ry, sum(u * u) * sum(r * r) - sum(u * r) ** 2 as det from t),
+b as (select *, uy / uu as b1, (rr * uy - ur * ry) / det as b2, (uu * ry - ur * uy) / det as c2, n - g - (select count(distinct year) from full_) + 1 as free from m),
+s as (select work_id, sum(u * (y - b1 * u)) as s1, sum(u * (y - b2 * u - c2 * r)) as su, sum(r * (y - b2 * u - c2 * r)) as sr, sum((y - b1 * u) ** 2) as e1, sum((y - b2 * u - c2 * r) ** 2) as e2 from t, b group by work_id),
+q as (select sum(s1 * s1) as q1, sum(su * su) as quu, sum(sr * sr) as qrr, sum(su * sr) as qur, sum(e1) as e1, sum(e2) as e2 from s),
+f as (select *, g / (g - 1) * (n - 1) / (free - 1) as f1, g / (g - 1) * (n - 1) / (free - 2) as f2 from b, q)
+select 1::int as model, 'unrelated' as term, round(b1, 6) as beta, round(sqrt(f1 * q1) / uu, 6) as se, round(1 - e1 / yy, 6) as within_r2, n::bigint as n, g::bigint as clusters, true as converged from f
+union all select 2, 'unrelated', round(b2, 6), round(sqrt(f2 * (rr * rr * quu - 2 * rr * ur * qur + ur * ur * qrr)) / det, 6), round(1 - e2 / yy, 6), n::bigint, g::bigint, true from f
+union all select 2, 'related', round(c2, 6), round(sqrt(f2 * (ur * ur * quu - 2 * uu * ur * qur + uu * uu * qrr)) / det, 6), round(1 - e2 / yy, 6), n::bigint, g::bigint, true from f"""
+)
 def q9_two_way_effects(spark, d):
     """Models 1 (unrelated) and 2 (unrelated and related) with paper and year effects, errors by paper."""
     fits = R.models(cut(exposures(spark, d)), "cite_counts", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
-    rows = [(k, n, *v, fit.within_r2, fit.n, fit.groups, fit.passes, fit.converged) for k, fit in enumerate(fits, 1) for n, *v in zip(fit.names, fit.beta, fit.se, fit.p, strict=True)]
-    return spark.createDataFrame(rows, "model int, term string, beta double, se double, p double, within_r2 double, n bigint, clusters bigint, passes int, converged boolean")
+    rows = [(k, n, round(b, 6), round(s, 6), round(fit.within_r2, 6), fit.n, fit.groups, fit.converged) for k, fit in enumerate(fits, 1) for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)]
+    return spark.createDataFrame(rows, "model int, term string, beta double, se double, within_r2 double, n bigint, clusters bigint, converged boolean")
 
 
 def _slopes(spark, fits):
     return spark.createDataFrame([(name, fit.n, round(fit.beta[0], 6)) for name, fit in fits], "variant string, n bigint, beta double")
 
 
-#: Within a work, of tables v_<name> (work_id, year, y, x).
-_WITHIN = "select '{0}' as variant, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from (select y - avg(y) over (partition by work_id) as y, x - avg(x) over (partition by work_id) as x from v_{0})"
-
-
 @query(
-    "," + _EXPOSURE + ", full_ as (select e.work_id, e.year, cast(cite_counts as double) as y, cast(unrelated as double) as x, e.year - pub_year as age from exposure e join works using (work_id)), q as (select quantile_cont(y, 0.99) as qy, quantile_cont(x, 0.99) as qx from full_), v_full as (select * from full_), v_balanced as (select * from full_ where age in (1, 2) and work_id in (select work_id from full_ where age in (1, 2) group by 1 having count(distinct age) = 2)), v_outcome_winsorized as (select work_id, year, least(y, qy) as y, x from full_, q), v_exposure_winsorized as (select work_id, year, y, least(x, qx) as x from full_, q), v_all_winsorized as (select work_id, year, least(y, qy) as y, least(x, qx) as x from full_, q) "
-    + " union all ".join(_WITHIN.format(v) for v in ("full", "balanced", "outcome_winsorized", "exposure_winsorized", "all_winsorized"))
+    "," + _EXPOSURE + f""", base_ as (select e.work_id, e.year, cast(cite_counts as double) as y, cast(unrelated as double) as x, e.year - pub_year as age from exposure e join works using (work_id)), q as (select quantile_cont(y, 0.99) as qy, quantile_cont(x, 0.99) as qx from base_),
+full_ as (select v, work_id, year, y, x, {_YEAR} from (select 'full' as v, work_id, year, y, x from base_
+union all select 'balanced', work_id, year, y, x from base_ where age in (1, 2) and work_id in (select work_id from base_ where age in (1, 2) group by 1 having count(distinct age) = 2)
+union all select 'outcome_winsorized', work_id, year, least(y, qy), x from base_, q union all select 'exposure_winsorized', work_id, year, y, least(x, qx) from base_, q
+union all select 'all_winsorized', work_id, year, least(y, qy), least(x, qx) from base_, q)), """
+    + _freed("full_", _YEARS) + _SLOPES.format("t")
 )
 def r7_variants(spark, d):
+    """Paper and year effects in each variant, all absorbed together."""
     data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year")))
-    made = R.variants(data, "cite_counts", ["unrelated"], ["work_id"], "age", [1, 2])
-    return _slopes(spark, [(v, R.fixed_effects(df, "cite_counts", ["unrelated"], ["work_id"], "work_id")) for v, df in made.items()])
+    made = [df.select("work_id", "year", *(F.col(c).cast("double").alias(c) for c in ("cite_counts", "unrelated"))).withColumn("variant", F.lit(v)) for v, df in R.variants(data, "cite_counts", ["unrelated"], ["work_id"], "age", [1, 2]).items()]
+    fits = R.split_models(reduce(DataFrame.unionByName, made), "cite_counts", [["unrelated"]], ["work_id", "year"], "work_id", "variant")
+    return _slopes(spark, [(v, fit) for v, (fit,) in fits.items()])
 
 
 @query(
-    "," + _EXPOSURE + ", full_ as (select e.work_id, e.cite_counts as y, e.unrelated as x, subject, case when pub_year < 1998 then 'early' else 'late' end as cohort from exposure e join works using (work_id)), g as (select 'subject' as dimension, subject as level, * from full_ union all select 'cohort', cohort, * from full_), m as (select dimension, level, y - avg(y) over (partition by dimension, level, work_id) as y, x - avg(x) over (partition by dimension, level, work_id) as x from g) select dimension, level, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m group by 1, 2"
+    "," + _EXPOSURE + f", base_ as (select e.work_id, e.year, e.cite_counts::double as y, e.unrelated::double as x, subject, case when pub_year < 1998 then 'early' else 'late' end as cohort from exposure e join works using (work_id)), full_ as (select dimension || '|' || level as v, work_id, year, y, x, {_YEAR} from (select 'subject' as dimension, subject as level, * from base_ union all select 'cohort', cohort, * from base_)), "
+    + _freed("full_", _YEARS) + "select split_part(v, '|', 1) as dimension, split_part(v, '|', 2) as level, cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from t group by v"
 )
 def r8_subgroups(spark, d):
+    """Paper and year effects within each subject and cohort, absorbed anew for each, in one pass."""
     data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year", "subject"), "work_id"))
-    fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, lambda rows: R.fixed_effects(rows, "cite_counts", ["unrelated"], ["work_id"], "work_id"))
-    return spark.createDataFrame([(k, g, fit.n, round(fit.beta[0], 6)) for k, g, fit in fits], "dimension string, level string, n bigint, beta double")
+    fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, "cite_counts", [["unrelated"]], ["work_id", "year"], "work_id")
+    return spark.createDataFrame([(k, g, fit.n, round(fit.beta[0], 6)) for k, g, (fit,) in fits], "dimension string, level string, n bigint, beta double")
+
+
+_AGES = [f"a{t}" for t in range(1, END - 1991)]
+_AGE = ", ".join(f"cast(age = {a[1:]} as int)::double as {a}" for a in _AGES)
 
 
 @query(
-    "," + _EXPOSURE + ", v_log as (select work_id, year, ln(1 + cite_counts) as y, ln(1 + unrelated) as x from exposure), f as (select work_id, cite_counts - lag(cite_counts) over w as y, unrelated - lag(unrelated) over w as x, year - lag(year) over w as gap from exposure window w as (partition by work_id order by year)) " + _WITHIN.format("log") + " union all select 'differences', cast(count(*) as bigint), round(sum(x * y) / sum(x * x), 6) from f where gap = 1"
+    "," + _EXPOSURE + f""", base_ as (select e.work_id, e.year, cite_counts::double as y, unrelated::double as x, e.year - pub_year as age from exposure e join works using (work_id)),
+moved as (select work_id, year, age, y - lag(y) over w as y, x - lag(x) over w as x, year - lag(year) over w as gap from base_ window w as (partition by work_id order by year)),
+one as (select 'levels' as v, work_id, year, y, x, {_YEAR} from base_), two as (select v, work_id, year, y, x, {_YEAR}, {_AGE} from (select 'levels_age' as v, * from base_ union all select 'log_age', work_id, year, ln(1 + y), ln(1 + x), age from base_)),
+three as (select 'differences_age' as v, 0 as work_id, year, y, x, {_YEAR}, {_AGE} from moved where gap = 1), """
+    + ", ".join((_freed("one", _YEARS, name="t1"), _freed("two", [*_YEARS, *_AGES], name="t2"), _freed("three", [*_YEARS, *_AGES], name="t3")))
+    + " union all ".join(_SLOPES.format(t) for t in ("t1", "t2", "t3"))
 )
 def r9_effect_variants(spark, d):
-    data = cut(exposures(spark, d))
-    logged = data.withColumns({c: F.log1p(c) for c in ("cite_counts", "unrelated")})
-    moved = R.first_differences(data, ["work_id"], "year", ["cite_counts", "unrelated"])
-    return _slopes(spark, [("log", R.fixed_effects(logged, "cite_counts", ["unrelated"], ["work_id"], "work_id")), ("differences", R.ols(moved, "cite_counts", ["unrelated"], "work_id"))])
+    """Levels with paper and year effects; levels and logs with age effects too; differences with year and age effects."""
+    data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year")))
+    own, x = ["cite_counts", "unrelated"], [["unrelated"]]
+    logged = data.withColumns({c: F.log1p(c) for c in own})
+    aged = data.withColumn("v", F.lit("levels_age")).unionByName(logged.withColumn("v", F.lit("log_age")), allowMissingColumns=True)
+    fits = R.split_models(aged, "cite_counts", x, ["work_id", "year", "age"], "work_id", "v")
+    moved = R.first_differences(data, ["work_id"], "year", own)
+    return _slopes(spark, [("levels", R.fixed_effects(data, "cite_counts", x[0], ["work_id", "year"], "work_id")), *((v, fit) for v, (fit,) in fits.items()), ("differences_age", R.fixed_effects(moved, "cite_counts", x[0], ["year", "age"], "work_id"))])
 
 
 @query("select round(regr_slope(cites, pub_year), 6) as slope, round(corr(cites, pub_year), 6) as correlation, round(power(corr(cites, pub_year), 2), 6) as r2, cast(count(*) as bigint) as n from totals")
@@ -609,6 +660,47 @@ def q18_control_pairs(spark, d):
     return _controls(spark, d)[1].select("work_id", "control")
 
 
+_MODELS = {
+    1: (["post"], None),
+    2: (["post", "event_time"], None),
+    3: (["post", "event_time", "event_time_sq"], "field"),
+    4: (["post", "event_time", "event_time_sq", "missing_rate"], "field"),
+    5: (["post", "event_time", "event_time_sq", "missing_rate"], "subject"),
+}
+#: The first level of each factor is what the others are compared with.
+_FACTORS = {"field": ["home", "trade"], "subject": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]}
+_HOME = "subject in ('FURNITURE', 'HOUSEHOLD')"
+
+
+def _weighted_sql() -> str:
+    """For each term of each model the other ones swept out of it and of the outcome, all times the root of the weight."""
+    factors = {f"{f}={level}": f"cast({f} = '{level}' as int)" for f, levels in _FACTORS.items() for level in levels[1:]}
+    tables, parts = [], []
+    for m, (x, factor) in _MODELS.items():
+        terms = {"constant": "1", **{c: c for c in x}, **({k: v for k, v in factors.items() if k.startswith(f"{factor}=")} if factor else {})}
+        for n, term in enumerate(terms):
+            name, others = f"m{m}_{n}", [k for k in terms if k != term]
+            columns = ", ".join([f"s * mean as y, s * {terms[term]} as x", *(f"s * {terms[k]} as c{i}" for i, k in enumerate(others))])
+            tables += [f"{name}_0 as materialized (select 1 as v, {columns} from ecells)", _swept("v", [f"c{i}" for i in range(len(others))], ("y", "x"), name)]
+            parts.append(f"select {m}::int as model, '{term}' as term, round(sum(x * y) / sum(x * x), 5) as beta, round(sqrt(greatest(sum(y * y) - sum(x * y) ** 2 / sum(x * x), 0) / (count(*) - {len(terms)}) / sum(x * x)), 5) as se, count(*)::bigint as n from {name}")
+    return ", " + ", ".join(tables) + " " + " union all ".join(parts)
+
+
+@query(
+    "," + _CROSSING + f", ecells as (select subject, event_time::double as event_time, event_time::double ** 2 as event_time_sq, cast(event_time >= 0 as int)::double as post, case when {_HOME} then 'home' else 'trade' end as field, avg(cite_counts) as mean, avg(cast(cite_counts = 0 as int)) as missing_rate, sqrt(count(*)) as s from cpanel join works on work_id = focal group by subject, event_time)"
+    + _weighted_sql()
+)
+def r11_weighted_fits(spark, d):
+    """Mean cites by subject and event time, weighted by pairs, in five specifications with factors."""
+    p = crossing_panel(spark, d).join(B.works(spark, d).select(F.col("work_id").alias("focal"), "subject"), "focal")
+    cells = p.groupBy("subject", "event_time").agg(F.avg("cite_counts").alias("mean"), F.avg((F.col("cite_counts") == 0).cast("int")).alias("missing_rate"), F.count("*").cast("double").alias("pairs"))
+    cells = cells.withColumns({"event_time_sq": F.col("event_time") * F.col("event_time"), "post": (F.col("event_time") >= 0).cast("int"), "field": F.when(F.expr(_HOME), "home").otherwise("trade")})
+    cells = cut(cells)
+    n = cells.count()
+    rows = [(m, term, round(b, 5), round(s, 5), n) for m, (x, factor) in _MODELS.items() for term, b, s in R.factor_fit(cells, "mean", x, factor, "pairs")]
+    return spark.createDataFrame(rows, "model int, term string, beta double, se double, n bigint")
+
+
 @query("," + _CROSSING + "select hit, focal, round(regr_slope(cite_counts, event_time), 6) as slope from cpanel where event_time < 0 group by 1, 2")
 def a28_pre_trends(spark, d):
     return M.pre_trend(crossing_panel(spark, d), ["hit", "focal"]).withColumn("slope", r6("slope"))
