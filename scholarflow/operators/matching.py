@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.columns import normalized_title, similarity_ratio
 from .ranks import cut, ranked
@@ -80,30 +81,94 @@ def matched_controls(treated: DataFrame, pool: DataFrame, cell: list[str], topic
     return treated.join(done.select("work_id", *_TWO), "work_id", "left").select(*treated.columns, *_TWO)
 
 
+#: Characters of a gram. Titles this similar have an insertion or deletion for each tenth of their characters at most,
+#: and each of these changes GRAM grams at most.
+GRAM = 3
+
+
+def _title_pairs(titles: DataFrame, ratio: float, years: int) -> DataFrame:
+    """a, b: ids of different titles (tid, author_id, norm, years) of an author, of works not further apart than years, with a ratio of a to b.
+
+    With lengths n and m a ratio r needs r (n + m) / 2 characters in common, in
+    order. So lengths differ by (2 - r) / r at most, and of a title's grams all
+    but n - GRAM + 1 - c are in the other, c being what _shared says. Of each title,
+    grams rare in its author's titles first, only a prefix is posted that such
+    a pair can't miss; posts meet by author, gram and year.
+    """
+    grams = titles.where(f"length(norm) >= {GRAM}").select("tid", "author_id", F.length("norm").alias("n"), F.explode(F.expr(f"transform(sequence(1, length(norm) - {GRAM - 1}), i -> substring(norm, i, {GRAM}))")).alias("g"))
+    tokens = grams.groupBy("tid", "author_id", "n", "g").agg(F.count("*").alias("k")).withColumn("k", F.explode(F.expr("sequence(1, k)")))
+    often = tokens.groupBy("author_id", "g", "k").agg(F.count("*").alias("often")).where("often > 1")
+    # how many grams two titles share at least, whatever the other's length
+    least = F.greatest(F.lit(1), F.ceil(_shared(ratio) * F.col("n") - (GRAM - 1)))
+    place = F.row_number().over(W.partitionBy("tid").orderBy(F.coalesce("often", F.lit(1)), "g", "k"))
+    posts = tokens.join(often, ["author_id", "g", "k"], "left").withColumn("r", place).where(F.col("r") <= F.col("n") - (GRAM - 1) - least + 1).where("often > 1")
+    posts = posts.join(titles.select("tid", "years"), "tid").select("author_id", "g", "k", "tid", "n", "years")
+    one = posts.select("author_id", "g", "k", F.col("tid").alias("a"), "n", F.explode("years").alias("year"))
+    near = F.array_distinct(F.flatten(F.expr(f"transform(years, y -> sequence(y - {years}, y + {years}))")))
+    two = posts.select("author_id", "g", "k", F.col("tid").alias("b"), F.col("n").alias("m"), F.explode(near).alias("year"))
+    met = one.join(two, ["author_id", "g", "k", "year"]).where(f"a <> b and 2 * least(n, m) >= {ratio} * (n + m)").select("a", "b").distinct()
+    own = titles.select("tid", "norm")
+    pairs = met.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similarity_ratio(u, v) >= ratio for u, v in zip(x, y, strict=True)], dtype=bool)
+
+    return pairs.where(alike("x", "y")).select("a", "b")
+
+
 def version_clusters(works: DataFrame, ratio: float = 0.9, years: int = 1) -> DataFrame:
     """works (author_id, work_id, title, year, cites, doi) with leader: the first version of each.
 
-    Works of an author go from the most cited on; each joins the first cluster
-    whose leader has its DOI, or a similar title and a year close by. Works
-    without an author are nobody's versions: each leads itself.
-    """
+    Works of an author go from the most cited on (nulls last, then by id); each
+    joins the first cluster whose leader has its DOI, or a similar title and a year
+    close by. So a leader is a work without an earlier leader beside it: in
+    rounds, works that are the first of all that may still lead beside them
+    become leaders, and those behind a leader join the first one. Works meet as
+    classes of title and year and by DOI, never pair by pair, so an author with very
+    many works is spread over tasks like any other.
 
-    def lead(one: pd.DataFrame) -> pd.DataFrame:
-        one = one.sort_values(["cites", "work_id"], ascending=[False, True])
-        leaders: list = []
-        out = []
-        for w in one.itertuples():
-            found = next((v for v in leaders if (w.doi and w.doi == v.doi) or (abs(w.year - v.year) <= years and similarity_ratio(w.norm, v.norm) >= ratio)), None)
-            if found is None:
-                leaders.append(w)
-                found = w
-            out.append(found.work_id)
-        return one.drop(columns="norm").assign(leader=out)
-
-    rows = works.select("author_id", "work_id", "title", "year", "cites", "doi").withColumn("norm", normalized_title(F.coalesce("title", F.lit(""))))
-    known = rows.where("author_id is not null and cast(author_id as string) <> ''")
-    alone = rows.where("author_id is null or cast(author_id as string) = ''").drop("norm").withColumn("leader", F.col("work_id"))
-    return known.groupBy("author_id").applyInPandas(lead, rows.drop("norm").schema.simpleString()[7:-1].replace(":", " ") + f", leader {works.schema['work_id'].dataType.simpleString()}").union(alone)
+    Works without an author are nobody's versions: each leads itself. A null year is
+    close to none; null and empty DOIs are none; empty titles are alike. Ids are unique.
+    """
+    order = F.struct(F.col("cites").isNull().alias("none"), (-F.col("cites")).alias("less"), F.col("work_id").alias("id")).alias("ord")
+    known = F.expr("author_id is not null and cast(author_id as string) <> ''")
+    rows = works.select("author_id", "work_id", "title", "year", "cites", "doi")
+    named = rows.where(known).select("author_id", "work_id", "year", F.when(F.col("doi") != "", F.col("doi")).alias("doi"), order, normalized_title(F.coalesce("title", F.lit(""))).alias("norm"))
+    titles = cut(named.groupBy("author_id", "norm").agg(F.array_compact(F.collect_set("year")).alias("years")).withColumn("tid", F.monotonically_increasing_id()))
+    nodes = cut(named.join(titles.select("author_id", "norm", "tid"), ["author_id", "norm"]).select("author_id", "work_id", F.when(F.col("year").isNotNull(), F.col("tid")).alias("tid"), "year", "doi", "ord"))
+    same = titles.select(F.col("tid").alias("a"), F.col("tid").alias("b"))
+    beside = same.union(_title_pairs(titles, ratio, years))
+    classes = titles.select("tid", F.explode("years").alias("year"))
+    near = beside.join(classes.toDF("a", "year"), "a").select("a", "year", "b", F.explode(F.expr(f"sequence(year - {years}, year + {years})")).alias("other"))
+    near = cut(near.join(classes.toDF("b", "other"), ["b", "other"]))
+
+    def first(some: DataFrame, of: DataFrame) -> DataFrame:
+        """of with low: the first of some beside each work."""
+        by_class = near.join(some.where("tid is not null").groupBy(F.col("tid").alias("b"), F.col("year").alias("other")).agg(F.min("ord").alias("o")), ["b", "other"]).groupBy(F.col("a").alias("tid"), "year").agg(F.min("o").alias("c"))
+        by_doi = some.where("doi is not null").groupBy("author_id", "doi").agg(F.min("ord").alias("d"))
+        return of.join(by_class, ["tid", "year"], "left").join(by_doi, ["author_id", "doi"], "left").withColumn("low", F.least("c", "d")).select(*of.columns, "low")
+
+    open_, leaders = nodes, nodes.where("false")
+    while True:
+        begun = cut(first(open_.unionByName(leaders), open_).where("low is null or low >= ord").drop("low"))
+        leaders = cut(leaders.unionByName(begun))
+        rest = open_.join(begun.select("work_id"), "work_id", "left_anti").select(*open_.columns)
+        open_ = cut(first(leaders, rest).where("low is null or low > ord").drop("low"))
+        if open_.isEmpty():
+            break
+    led = first(leaders, nodes).select("work_id", F.coalesce(F.least("low", "ord"), "ord")["id"].alias("leader"))
+    return rows.join(led, "work_id", "left").withColumn("leader", F.coalesce("leader", "work_id")).select(*rows.columns, "leader")
+
+
+def _shared(ratio: float) -> float:
+    """Grams, by the length of a title, that a title with the ratio shares with it, but for the GRAM - 1 that no title of its length has.
+
+    Of n and m characters c = ratio (n + m) / 2 are common, n - c and m - c aren't. The former change
+    GRAM grams each, the latter GRAM - 1, and m is ratio / (2 - ratio) of n at least:
+    n - GRAM (n - c) - (GRAM - 1) (m - c) = (2 GRAM - 1) c - (GRAM - 1) (n + m) is what is left.
+    """
+    return ((2 * GRAM - 1) * ratio / 2 - (GRAM - 1)) * (1 + ratio / (2 - ratio))
 
 
 def pre_trend(panel: DataFrame, unit: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import random
 
+from scholarflow.functions.columns import similarity_ratio
 from scholarflow.operators import matching as M
 
 
@@ -72,3 +73,42 @@ def test_controls_of_nothing(spark):
     assert M.matched_controls(none, none, ["year", "type"], "topic").count() == 0
     row = [{"work_id": i, "author_id": i, "year": None, "type": "a", "topic": None} for i in range(4)]
     assert check(spark, row[:1], {0}, True) == [] and check(spark, [{**r, "year": 1} for r in row], {0, 1}, True)
+
+
+def sequential(rows, ratio=0.9, years=1):
+    """The rule as it reads: works of an author one after the other. rows: (author_id, work_id, norm, year, cites, doi)."""
+    out = {}
+    for author in {r[0] for r in rows}:
+        leaders = []
+        for r in sorted((r for r in rows if r[0] == author), key=lambda r: (r[4] is None, -(r[4] or 0), r[1])):
+            found = None
+            if author:
+                found = next((v for v in leaders if (r[5] and r[5] == v[5]) or (r[3] is not None and v[3] is not None and abs(r[3] - v[3]) <= years and similarity_ratio(r[2], v[2]) >= ratio)), None)
+            leaders += [] if found else [r]
+            out[r[1]] = found[1] if found else r[1]
+    return out
+
+
+def test_version_clusters_follow_the_sequential_rule(spark):
+    rng = random.Random(17)
+    words = "effects of trade on growth and wages evidence from firms in long run a theory an essay the".split()
+    rows, base = [], []
+    for i in range(260):
+        if base and rng.random() < 0.6:  # a near copy: some characters changed
+            t = list(rng.choice(base))
+            for _ in range(rng.randrange(0, 1 + len(t) // 8)):
+                k = rng.randrange(len(t) + 1)
+                t[k : k + rng.randrange(2)] = rng.choice(["", "x", "s", " "])
+            t = "".join(t)
+        else:
+            t = " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 6, 14])))
+        base.append(t)
+        rows.append((rng.choice(["A", "A", "A", "B", None, ""]), i, t, rng.choice([None, 2000, 2001, 2002, 2003]), rng.choice([None, 0, 1, 5, 5, 9]), rng.choice([None, "", f"d{rng.randrange(40)}"])))
+    rows += [("C", 1000 + i, "same title", 2000 + i % 3, i % 2, None) for i in range(40)] + [("D", 2000 + i, "", 2000, 1, "one") for i in range(5)] + [("E", 3000 + i, t, 2000, 9 - i, None) for i, t in enumerate(["abcd", "abcde", "abcdef", "abcdefg", "ab", "ab", "a"])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "author_id string, work_id bigint, title string, year int, cites bigint, doi string, tid int").repartition(3)
+    norms = {r.work_id: r.n for r in df.select("work_id", M.normalized_title("title").alias("n")).collect()}
+    for ratio in (0.9, 0.95):
+        got = M.version_clusters(df, ratio)
+        assert got.columns == ["author_id", "work_id", "title", "year", "cites", "doi", "leader"]
+        assert {r.work_id: r.leader for r in got.collect()} == sequential([(r[0], r[1], norms[r[1]], *r[3:]) for r in rows], ratio)
+    assert M.version_clusters(df.where("false")).count() == 0
