@@ -589,9 +589,9 @@ def _templates(read: DataFrame, min_pages: int) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, lists: bool = True) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages. Without lists the wrappers alone decide."""
-    with S.scope(pages.sparkSession) as run:
-        read = S.save(parsed(pages, lists), "pages")
-        return run.hand_on(_texts(read, templates(read, min_pages)), "texts")
+    # the parsed pages are what the result reads: they go with the caller's scope, what is learned of them is small
+    read = S.save(parsed(pages, lists), "pages")
+    return _texts(read, templates(read, min_pages))
 
 
 def _texts(read: DataFrame, learned: DataFrame) -> DataFrame:
