@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import columns as C
+
 
 def author_stats(totals: DataFrame) -> DataFrame:
     """totals with author_works, author_cites and share (of the author's cites; null without any)."""
@@ -48,6 +50,35 @@ def lifetime(authored: DataFrame, cby: DataFrame, end: int) -> DataFrame:
     return grid.join(cby, ["work_id", "year"], "left").select("work_id", "author_id", "year", (F.col("year") - F.col("pub_year")).alias("paper_age"), F.coalesce("cite_counts", F.lit(0)).cast("bigint").alias("cite_counts"))
 
 
+def yearly(cby: DataFrame) -> DataFrame:
+    """work_id, cites (map of year to cite_counts): a work's years, which are few, in one row."""
+    return cby.groupBy("work_id").agg(F.map_from_entries(F.collect_list(F.struct("year", "cite_counts"))).alias("cites"))
+
+
+def lifetime_by_work(authored: DataFrame, years: DataFrame, end: int) -> DataFrame:
+    """The rows of lifetime, from authored works and yearly() tables: one join by work alone, so tables bucketed by it meet without a shuffle."""
+    rows = authored.select("work_id", "author_id", "pub_year").join(years, "work_id", "left")
+    grid = rows.select("work_id", "author_id", "pub_year", "cites", F.explode(F.sequence("pub_year", F.greatest(F.lit(end), "pub_year"))).alias("year"))
+    return grid.select("work_id", "author_id", "year", (F.col("year") - F.col("pub_year")).alias("paper_age"), F.coalesce(F.try_element_at("cites", "year"), F.lit(0)).cast("bigint").alias("cite_counts"))
+
+
+def sampled_authorships(authorships: DataFrame, works: DataFrame, first_year: int, last_year: int, types: list[str], min_works: int = 1, max_authors: int | None = None, sample: tuple[int, int] = (1, 1)) -> DataFrame:
+    """author_id, work_id: distinct authorships of works of these years and types by a hash sample of authors (kept, of buckets) with enough such works.
+
+    Of these the first max_authors by id, if that is given. Authorships without
+    an author or a work aren't any.
+    """
+    kept, buckets = sample
+    own = authorships.where("author_id is not null and cast(author_id as string) <> '' and work_id is not null").select("author_id", "work_id")
+    own = own.where(C.md5_bucket(F.col("author_id"), buckets) < kept) if kept < buckets else own
+    fit = works.where(F.col("pub_year").between(first_year, last_year) & F.col("type").isin(types)).select("work_id")
+    rows = own.join(fit, "work_id", "left_semi").distinct()
+    authors = rows.groupBy("author_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_works).select("author_id")
+    if max_authors is not None:
+        authors = authors.orderBy("author_id").limit(max_authors)
+    return rows.join(authors, "author_id", "left_semi").select("author_id", "work_id")
+
+
 def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, end: int, min_age: int = 0, min_priors: int = 0, include_self: bool = True) -> DataFrame:
     """author_id, work_id, year, cite_counts, unrelated, related, author_works.
 

@@ -18,7 +18,7 @@ from ..operators import panels as P
 from ..operators import regression as R
 from ..operators.ranks import cut
 from ..session import shared_folder
-from ..sources import readers, sinks
+from ..sources import bucketed, readers, sinks
 from ..streaming import incremental
 from . import bridge as B
 
@@ -90,6 +90,15 @@ def p2_authorship_unnest(spark, d):
     return N.work_authors(raw_works(spark, d)).select("work_id", "author_id", "author_name", "author_sequence")
 
 
+@query("""select table_name, subject, cast(count(*) as bigint) as n from (select 'works' as table_name, o_orderkey as k from orders join customer on c_custkey = o_custkey union all select 'work_authors', l_orderkey from lineitem join orders on o_orderkey = l_orderkey where l_linenumber <> 2
+union all select 'work_references', k from (select distinct l_orderkey as k, l_partkey from lineitem join orders on o_orderkey = l_orderkey)) join orders on o_orderkey = k join (select c_custkey, regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '_', 'g') as subject from customer) on c_custkey = o_custkey group by all""", bridge=False)
+def q1_one_pass(spark, d):
+    """All tables by subject from one pass over the nested works, read again from where they were written."""
+    path = f"{shared_folder(spark)}/normalized-{uuid.uuid4().hex}"
+    N.write_normalized(raw_works(spark, d), path)
+    return reduce(DataFrame.unionByName, (N.read_normalized(spark, path, k).groupBy("subject").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(k)) for k in N.TABLES))
+
+
 @query("""select 'https://x.example/W' || l_orderkey as work_id, count(*) as listed, count(distinct l_partkey) as distinct_refs from lineitem join orders on o_orderkey = l_orderkey group by 1""", bridge=False)
 def p4_p5_reference_unnest(spark, d):
     raw = raw_works(spark, d)
@@ -135,15 +144,34 @@ def j4_j5_target_cite_counts(spark, d):
     return O.calculated_cite_counts(B.edges(spark, d), w.select("work_id", F.col("pub_year").alias("year")), w.where("subject = 'BUILDING'"))
 
 
+def _dated_edges(spark, d, root: str) -> None:
+    dated = B.edges(spark, d).join(B.works(spark, d).select(F.col("work_id").alias("citing"), F.col("pub_year").alias("year")), "citing")
+    dated.select("citing", "cited", "year").write.parquet(f"{root}/in")
+
+
 @query("select work_id, year, cite_counts from cby")
 def k14_streamed_cite_counts(spark, d):
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    dated = B.edges(spark, d).join(B.works(spark, d).select(F.col("work_id").alias("citing"), F.col("pub_year").alias("year")), "citing")
-    dated.select("citing", "cited", "year").write.parquet(f"{root}/in")
+    _dated_edges(spark, d, root)
     incremental.ingest_references(spark, f"{root}/in", f"{root}/out", f"{root}/state")
     return incremental.counted(spark, f"{root}/out")
 
 
+@query("select work_id, year, cite_counts from cby")
+def a5_running_cite_counts(spark, d):
+    """Counts kept batch by batch, a file at a time, compacted halfway."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _dated_edges(spark, d, root)
+    incremental.count_references(spark, f"{root}/in", f"{root}/out", f"{root}/state", 1)
+    incremental.compact_counts(spark, f"{root}/out")
+    return incremental.running_counts(spark, f"{root}/out")
+
+
+@query("select author_id, work_id from (select distinct a.author_id, a.work_id from authorships a join works w using (work_id) where pub_year between 1995 and 1997 and type in ('1-URGENT', '3-MEDIUM') and cast(concat('0x', substr(md5(cast(a.author_id as varchar)), 1, 8)) as bigint) % 10 < 6) where author_id in (select a.author_id from authorships a join works w using (work_id) where pub_year between 1995 and 1997 and type in ('1-URGENT', '3-MEDIUM') and cast(concat('0x', substr(md5(cast(a.author_id as varchar)), 1, 8)) as bigint) % 10 < 6 group by 1 having count(distinct a.work_id) >= 3 order by 1 limit 40)")
+def j2_sampled_authorships(spark, d):
+    return P.sampled_authorships(B.authorships(spark, d), B.works(spark, d), 1995, 1997, ["1-URGENT", "3-MEDIUM"], 3, 40, (6, 10))
+
+
 @query("select subject, w.pub_year as publication_year, cast(c.year - w.pub_year as int) as paper_age, cast(sum(cite_counts) as bigint) as cite_counts, count(*) as n from cby c join works w using (work_id) where w.pub_year between 1996 and 1999 group by all")
 def j1_cite_panel(spark, d):
     w = B.works(spark, d).where(F.col("pub_year").between(1996, 1999))
@@ -340,6 +368,15 @@ def q7_lifetime_panel(spark, d):
     return P.lifetime(B.works(spark, d), B.cite_counts(spark, d), END)
 
 
+@query(f"select w.work_id, w.author_id, cast(y as int) as year, cast(y - pub_year as int) as paper_age, cast(coalesce(cite_counts, 0) as bigint) as cite_counts from (select *, unnest(range(pub_year, greatest({END}, pub_year) + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y")
+def j7_bucketed_panel(spark, d):
+    """The lifetime panel from tables bucketed by work: their join moves no rows."""
+    name = f"t{uuid.uuid4().hex}"
+    for part, df in (("works", B.works(spark, d).select("work_id", "author_id", "pub_year")), ("years", P.yearly(B.cite_counts(spark, d)))):
+        bucketed.write_bucketed(df, f"{name}_{part}", "work_id", f"{shared_folder(spark)}/{name}/{part}", 16)
+    return P.lifetime_by_work(*(bucketed.bucketed(spark, f"{name}_{part}") for part in ("works", "years")), END)
+
+
 _EXPOSURE = f"""grid as (select author_id, work_id, pub_year, unnest(range(greatest({START}, pub_year), {END} + 1)) as t from works),
 hist as (select w.author_id, c.work_id, c.year, c.cite_counts from cby c join works w using (work_id) where c.year >= greatest({START}, w.pub_year)),
 rel as (select work_id as focal, work_id as other from works union select citing, cited from edges union select cited, citing from edges),
@@ -358,6 +395,16 @@ def q8_exposure_panel(spark, d):
     return exposures(spark, d)
 
 
+@query(
+    "," + _EXPOSURE + ", priors as (select work_id, count(*) over (partition by author_id order by pub_year range between unbounded preceding and 1 preceding) as p from works) "
+    "select e.author_id, e.work_id, e.year, cite_counts, unrelated, related, aw as author_works from exposure e join (select author_id, count(*) as aw from works group by 1) using (author_id) join works w using (work_id) join priors using (work_id) where p >= 2 and e.year >= w.pub_year + 1 and cast(concat('0x', substr(md5(cast(e.author_id as varchar)), 1, 8)) as bigint) % 250 < 40"
+)
+def q8_exposure_sample(spark, d):
+    """The exposure panel of a hash sample of authors, for papers with two earlier ones of their author, from the year after publication on."""
+    totals = B.totals(spark, d).where(C.md5_bucket(F.col("author_id"), 250) < 40)
+    return P.exposure(totals, B.cite_counts(spark, d), B.edges(spark, d), START, END, min_age=1, min_priors=2)
+
+
 @query("," + _EXPOSURE + ", m as (select year, cite_counts - avg(cite_counts) over (partition by work_id) as y, unrelated - avg(unrelated) over (partition by work_id) as x from exposure) select cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m")
 def r1_one_way_effects(spark, d):
     fit = R.fixed_effects(exposures(spark, d), "cite_counts", ["unrelated"], ["work_id"], "work_id")
