@@ -43,6 +43,17 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
     return works(spark, d).join(sums, "work_id", "left").fillna(0, ["cites"])
 
 
+def model(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """totals, cite_counts and edges, for queries that read them more than once: edges and counts are worked out once and written."""
+    from ..operators.cite_counts import calculated_cite_counts
+    from ..operators.ranks import cut
+
+    own = works(spark, d)
+    e = cut(edges(spark, d))
+    c = cut(calculated_cite_counts(e, own.select("work_id", F.col("pub_year").alias("year"))))
+    return own.join(c.groupBy("work_id").agg(F.sum("cite_counts").alias("cites")), "work_id", "left").fillna(0, ["cites"]), c, e
+
+
 def authorships(spark: SparkSession, d: str) -> DataFrame:
     """work_id, author_id, author_sequence, author_position: several authors to a work (suppliers, in line order)."""
     first = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("work_id"), F.col("l_suppkey").alias("author_id")).agg(F.min("l_linenumber").alias("line"))

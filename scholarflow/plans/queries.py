@@ -51,11 +51,11 @@ def long(c) -> F.Column:
 # --- sources and normalisation ------------------------------------------------
 
 
-def raw_works(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as nested JSON documents, read again with the declared schema."""
+def json_works(spark: SparkSession, d: str) -> DataFrame:
+    """value: orders as nested JSON documents."""
     w = B.t(spark, d, "orders").join(B.t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     line = B.t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
-    nested = w.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    return w.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.to_json(
             F.struct(
                 F.concat(F.lit("https://x.example/W"), "o_orderkey").alias("id"),
@@ -71,7 +71,15 @@ def raw_works(spark: SparkSession, d: str) -> DataFrame:
             )
         ).alias("value")
     )
-    return readers.parse_works(nested)
+
+
+def raw_works(spark: SparkSession, d: str) -> DataFrame:
+    """These documents, read again with the declared schema."""
+    return readers.parse_works(json_works(spark, d))
+
+
+def kept_works(raw: DataFrame) -> DataFrame:
+    return N.works(raw).where(N.of_type(["1-URGENT", "2-HIGH", "5-LOW"])).select("work_id", "title", "publication_year", "type", "cited_by_count", "fwci", "field_id", "field_name", "referenced_works_count")
 
 
 @query(
@@ -79,7 +87,7 @@ def raw_works(spark: SparkSession, d: str) -> DataFrame:
     bridge=False,
 )
 def q1_normalize_works(spark, d):
-    return N.works(raw_works(spark, d)).where(N.of_type(["1-URGENT", "2-HIGH", "5-LOW"])).select("work_id", "title", "publication_year", "type", "cited_by_count", "fwci", "field_id", "field_name", "referenced_works_count")
+    return kept_works(raw_works(spark, d))
 
 
 @query(
@@ -340,11 +348,13 @@ panel as (select p.*, p.hit_year + e as year, e as event_time, case when p.hit_y
 
 
 def pairs(spark, d):
-    return P.hit_pairs(B.totals(spark, d), B.edges(spark, d), **HIT)
+    totals, _, edges = B.model(spark, d)
+    return P.hit_pairs(totals, edges, **HIT)
 
 
-def hit_panel(spark, d, zero_fill=False):
-    return P.balanced(pairs(spark, d), B.cite_counts(spark, d), WINDOW, zero_fill)
+def hit_panel(spark, d, zero_fill=False, model=None):
+    totals, counts, edges = model or B.model(spark, d)
+    return P.balanced(P.hit_pairs(totals, edges, **HIT), counts, WINDOW, zero_fill)
 
 
 @query("," + _PAIRS + "select author_id, hit, hit_year, hit_cites, round(share, 8) as share, cast(count(*) as bigint) as priors from pairs group by all")
@@ -387,7 +397,7 @@ exposure as (select g.author_id, g.work_id, cast(g.t as int) as year, cast(coale
 
 
 def exposures(spark, d):
-    return P.exposure(B.totals(spark, d), B.cite_counts(spark, d), B.edges(spark, d), START, END)
+    return P.exposure(*B.model(spark, d), START, END)
 
 
 @query("," + _EXPOSURE + "select author_id, work_id, year, cite_counts, unrelated, related, aw as author_works from exposure join (select author_id, count(*) as aw from works group by 1) using (author_id)")
@@ -401,8 +411,8 @@ def q8_exposure_panel(spark, d):
 )
 def q8_exposure_sample(spark, d):
     """The exposure panel of a hash sample of authors, for papers with two earlier ones of their author, from the year after publication on."""
-    totals = B.totals(spark, d).where(C.md5_bucket(F.col("author_id"), 250) < 40)
-    return P.exposure(totals, B.cite_counts(spark, d), B.edges(spark, d), START, END, min_age=1, min_priors=2)
+    totals, counts, edges = B.model(spark, d)
+    return P.exposure(totals.where(C.md5_bucket(F.col("author_id"), 250) < 40), counts, edges, START, END, min_age=1, min_priors=2)
 
 
 @query("," + _EXPOSURE + ", m as (select year, cite_counts - avg(cite_counts) over (partition by work_id) as y, unrelated - avg(unrelated) over (partition by work_id) as x from exposure) select cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m")
@@ -522,7 +532,7 @@ cdelta as (select *, cite_counts - max(case when event_time = -1 then cite_count
 
 
 def crossing_panel(spark, d):
-    w, cby = B.works(spark, d), B.cite_counts(spark, d)
+    w, cby = B.works(spark, d), cut(B.cite_counts(spark, d))
     x = O.crossings(cby, 10).where(F.col("crossing_year").between(START + WINDOW, END - WINDOW)).select(F.col("work_id").alias("hit"), F.col("crossing_year").alias("hit_year"))
     h = x.join(w.select(F.col("work_id").alias("hit"), "author_id", F.col("pub_year").alias("hy")), "hit")
     p = h.join(w.select("author_id", F.col("work_id").alias("focal"), F.col("pub_year").alias("fy")), "author_id").where("focal <> hit and fy < hy")
@@ -554,10 +564,11 @@ def q11_event_sums(spark, d):
     "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(cite_counts, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.event_time, coalesce(p.cite_counts, 0) as c, expected from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type) select cast(event_time as int) as event_time, cast(count(*) as bigint) as n, round(avg(c - expected), 6) as excess, round(avg((c + 0.1) / (expected + 0.1)), 6) as smoothed, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected from norm group by 1"
 )
 def q12_normalized_excess(spark, d):
-    w, c = B.works(spark, d), B.cite_counts(spark, d)
+    w, model = B.works(spark, d), B.model(spark, d)
+    c = model[1]
     life = P.lifetime(w, c, END).join(w.select("work_id", "type"), "work_id")
     bench = E.lifecycle_benchmark(life)
-    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("cite_counts", F.lit(0)))
+    p = hit_panel(spark, d, model=model).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("cite_counts", F.lit(0)))
     n = p.join(bench, ["year", "paper_age", "type"])
     return n.groupBy("event_time").agg(F.count("*").alias("n"), r6(F.avg(F.col("c") - F.col("expected"))).alias("excess"), r6(F.avg(C.smoothed_ratio(F.col("c"), F.col("expected")))).alias("smoothed"), r6(C.split_share(F.sum("c"), F.sum("expected"))).alias("observed_expected"))
 
@@ -658,9 +669,9 @@ def a21_panel_diagnostics(spark, d):
 
 @query(", c2 as (select work_id, sum(cite_counts) as total from cby where work_id % 7 <> 0 group by 1), rec as (select work_id, cites + case when work_id % 11 = 0 then 1 when work_id % 13 = 0 and cites > 0 then -1 else 0 end as cites from totals) select cast(count(*) as bigint) as focal, cast(sum(case when coalesce(total, 0) = cites then 1 else 0 end) as bigint) as exact, cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total > cites then 1 else 0 end) as bigint) as higher, cast(sum(case when total < cites then 1 else 0 end) as bigint) as lower, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff from rec left join c2 using (work_id)")
 def q20_coverage_audit(spark, d):
-    totals = B.totals(spark, d)
+    totals, counts, _ = B.model(spark, d)
     off = F.when(F.col("work_id") % 11 == 0, 1).when((F.col("work_id") % 13 == 0) & (F.col("cites") > 0), -1).otherwise(0)
-    return O.coverage(totals, B.cite_counts(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + off))
+    return O.coverage(totals, counts.where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + off))
 
 
 @query("select cast(count(*) as bigint) as matches, cast(count(distinct (l_orderkey, l_partkey)) as bigint) as unique_pairs, cast(count(*) - count(distinct (l_orderkey, l_partkey)) as bigint) as repeats from lineitem", bridge=False)
@@ -796,8 +807,8 @@ _RECORDED = ", c2 as (select work_id, sum(cite_counts) as total from cby where w
 
 
 def _recorded(spark, d):
-    totals = B.totals(spark, d)
-    return totals, B.cite_counts(spark, d).where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + F.when(F.col("work_id") % 11 == 0, 1).otherwise(0))
+    totals, counts, _ = B.model(spark, d)
+    return totals, counts.where("work_id % 7 <> 0"), totals.withColumn("cites", F.col("cites") + F.when(F.col("work_id") % 11 == 0, 1).otherwise(0))
 
 
 @query(_RECORDED + "select cast(sum(case when total is null and cites > 0 then 1 else 0 end) as bigint) as missing, cast(sum(case when total is not null then abs(total - cites) else 0 end) as bigint) as abs_diff, sum(case when total is null and cites > 0 then 1 else 0 end) <= 5 and sum(case when total is not null then abs(total - cites) else 0 end) <= 1000000000 as valid from rec left join c2 using (work_id)")
@@ -845,9 +856,10 @@ def q13_shortlist(spark, d):
     "," + _PAIRS + f", life as (select w.work_id, y as year, y - pub_year as paper_age, type, coalesce(cite_counts, 0) as c from (select *, unnest(range(pub_year, {END} + 1)) as y from works) w left join cby c on c.work_id = w.work_id and c.year = y), bench as (select year, paper_age, type, avg(c) as expected from life group by 1, 2, 3), norm as (select p.author_id, p.hit, p.focal, p.event_time, coalesce(p.cite_counts, 0) as c, expected, coalesce(p.cite_counts, 0) - expected as excess, (coalesce(p.cite_counts, 0) + 0.1) / (expected + 0.1) as smoothed from panel p join works w on w.work_id = p.focal join bench b on b.year = p.year and b.paper_age = p.year - w.pub_year and b.type = w.type), flagged as (select *, count(*) over u = {2 * WINDOW + 1} and min(event_time) over u = -{WINDOW} and max(event_time) over u = {WINDOW} as whole_ from norm window u as (partition by hit, focal)), samples as (select 'at_risk' as sample, * from flagged union all select 'balanced', * from flagged where whole_), per as (select sample, event_time, author_id, avg(excess) as m from samples group by 1, 2, 3), err as (select sample, event_time, stddev_samp(m) / sqrt(count(*)) as se from per group by 1, 2) select s.sample, cast(s.event_time as int) as event_time, cast(count(*) as bigint) as observations, count(distinct author_id) as authors, count(distinct (hit, focal)) as units, round(avg(excess), 6) as excess, round(sum(c) / nullif(sum(expected), 0), 6) as observed_expected, round(avg(smoothed), 6) as smoothed, round(any_value(se), 6) as se from samples s join err using (sample, event_time) group by 1, 2"
 )
 def a13_two_samples(spark, d):
-    w, c = B.works(spark, d), B.cite_counts(spark, d)
+    w, model = B.works(spark, d), B.model(spark, d)
+    c = model[1]
     bench = E.lifecycle_benchmark(P.lifetime(w, c, END).join(w.select("work_id", "type"), "work_id"))
-    p = hit_panel(spark, d).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("cite_counts", F.lit(0)))
+    p = hit_panel(spark, d, model=model).join(w.select(F.col("work_id").alias("focal"), "type"), "focal").withColumn("paper_age", F.col("year") - F.col("focal_year")).withColumn("c", F.coalesce("cite_counts", F.lit(0)))
     n = p.join(bench, ["year", "paper_age", "type"]).withColumn("excess", F.col("c") - F.col("expected")).withColumn("smoothed", C.smoothed_ratio(F.col("c"), F.col("expected")))
     out = E.sample_means(E.two_samples(n, ["hit", "focal"], WINDOW), ["hit", "focal"])
     return out.withColumns({k: r6(k) for k in ("excess", "observed_expected", "smoothed", "se")})
