@@ -142,6 +142,8 @@ class Lease:
         with self._lock:
             if self._last() > self.number:
                 raise LeaseLost(f"another run has taken {self.state.root}")
+            if self._ended.is_set():  # it was given up while this waited
+                return
             self.state.rewrite(f"{self.number:012d}", self._claim())
             if self._last() > self.number:
                 raise LeaseLost(f"another run has taken {self.state.root}")

@@ -49,7 +49,8 @@ def test_lease(spark, tmp_path):
             pass
         one.check()
     with leases.Lease(spark, at, 1.0) as two:  # it was given up
-        two._ended.set()  # the owner stops: nobody renews
+        with two._lock:
+            two._ended.set()  # the owner stops: nobody renews
         time.sleep(1.4)
         with leases.Lease(spark, at, 1.0) as three:
             assert three.number > two.number
