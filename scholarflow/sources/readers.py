@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 #: Numbers are read as strings: as numbers, '13' and 12.7 would be lost.
 WORK_SCHEMA = (
     "id string, display_name string, title string, publication_year string, type string, cited_by_count string, fwci string, "
@@ -76,27 +78,90 @@ def references_of(spark: SparkSession, path: str, wanted: DataFrame) -> DataFram
     return parse_works(lines.join(wanted.select("id"), "id", "left_semi")).select("id", F.explode("referenced_works").alias("referenced_work_id"))
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root), bytes, uri of every file, empty ones too, which Spark's own file source leaves out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, rows = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    whole = _whole(spark, root)
+    while found.hasNext():
+        f = found.next()
+        uri = f.getPath().toString()
+        if not f.getPath().getName().startswith(("_", ".")):  # marks, and checksums of a local file system
+            rows.append((uri[len(whole) :], f.getLen(), uri))
+    return spark.createDataFrame(rows, "path string, bytes long, uri string")
+
+
 def inventory(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """path, length, expected, complete for each file of the manifest (path below root, expected)."""
-    there = _files_below(spark, root).select("path", "length")
+    there = listing(spark, root).select("path", F.col("bytes").alias("length"))
     return manifest.join(there, "path", "left").select("path", "length", "expected", (F.coalesce("length", F.lit(-1)) == F.col("expected")).alias("complete"))
 
 
 def _files_below(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return rows.withColumn("path", F.expr(f"substring(path, {len(whole) + 1})"))
+    return rows.withColumn("path", F.expr(f"substring(path, {len(_whole(spark, root)) + 1})"))
 
 
-def checked(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+def _whole(spark: SparkSession, root: str) -> str:
+    """root in full, with a slash at its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+
+
+#: Schemes of stores that tasks open themselves, to read a file as a stream; hdfs needs its native library on executors.
+STREAMED = ("file", "s3", "s3a", "gs", "abfs", "abfss")
+#: Bytes of a file that are in memory at once.
+PIECE = 1 << 22
+
+
+def _stream(uri: str):
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("s3a:", "s3:", 1))
+    return store.open_input_stream(path, compression=None)
+
+
+def digests(spark: SparkSession, root: str, streamed: bool | None = None) -> DataFrame:
+    """path (below root), bytes, sha256 of every file.
+
+    Files are dealt out to tasks, which read them as streams, a piece at a time,
+    so files of any size are. Stores that tasks can't open (streamed: False, and
+    by default those that aren't STREAMED) are read by Spark, a file as one row:
+    none may be larger than 2 GB there.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if not (scheme in STREAMED if streamed is None else streamed):
+        read = _files_below(spark, root).select("path", F.sha2("content", 256).alias("sha256"))
+        return listing(spark, root).drop("uri").join(read, "path", "left").withColumn("sha256", F.coalesce("sha256", F.sha2(F.lit(""), 256)))
+
+    def digest(batches):
+        for b in batches:
+            sums = []
+            for uri in b.column(2).to_pylist():
+                total = hashlib.sha256()
+                with _stream(uri) as f:
+                    while piece := f.read(PIECE):
+                        total.update(piece)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+    # in order of size, so that large files are spread over the tasks
+    named = listing(spark, root).repartitionByRange("bytes", "path")
+    return named.select("path", "bytes", "uri").mapInArrow(digest, "path string, bytes long, sha256 string")
+
+
+def checked(spark: SparkSession, root: str, manifest: DataFrame, streamed: bool | None = None) -> DataFrame:
     """path, problem (null: none) for each file of the manifest (path below root, bytes, sha256): missing, size or checksum."""
-    there = _files_below(spark, root).select("path", "length", F.sha2("content", 256).alias("own"))
+    there = digests(spark, root, streamed).toDF("path", "length", "own")
     both = manifest.join(there, "path", "left")
     problem = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("bytes"), "size").when(F.col("own") != F.col("sha256"), "checksum")
     return both.select("path", problem.alias("problem"))
 
 
-def manifest_of(spark: SparkSession, root: str) -> DataFrame:
+def manifest_of(spark: SparkSession, root: str, streamed: bool | None = None) -> DataFrame:
     """path (below root), bytes, sha256 of every file."""
-    return _files_below(spark, root).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return digests(spark, root, streamed)

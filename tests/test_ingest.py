@@ -104,3 +104,24 @@ def test_sampled_authorships(spark):
     assert got() == [("A1", "W1"), ("A1", "W4"), ("A2", "W1"), ("A3", "W4")]
     assert got(min_works=2) == [("A1", "W1"), ("A1", "W4")] and got(max_authors=1) == got(min_works=2)
     assert sorted(got(sample=(3, 10)) + [r for r in got() if r not in got(sample=(3, 10))]) == got() and got(sample=(0, 10)) == []
+
+
+def test_checksums_of_large_files(spark, tmp_path):
+    """A file beyond 2 GB (sparse: it takes no disk) and odd names, as streams; small ones by Spark too."""
+    import hashlib
+
+    (tmp_path / "in/a b").mkdir(parents=True)
+    with open(tmp_path / "in/large.bin", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    small = {"in/a b/x%20y.gz": b"not gzip", "in/empty": b"", "in/c.gz": b"\x1f\x8b"}
+    for name, content in small.items():
+        (tmp_path / name).write_bytes(content)
+    zeros, total = bytes(1 << 24), hashlib.sha256()
+    for _ in range(128):
+        total.update(zeros)
+    total.update(bytes(5))
+    want = {name[3:]: (len(c), hashlib.sha256(c).hexdigest()) for name, c in small.items()}
+    got = {r.path: (r.bytes, r.sha256) for r in readers.manifest_of(spark, str(tmp_path / "in")).collect()}
+    assert got == {**want, "large.bin": ((2 << 30) + 5, total.hexdigest())}
+    (tmp_path / "in/large.bin").unlink()
+    assert {r.path: (r.bytes, r.sha256) for r in readers.manifest_of(spark, str(tmp_path / "in"), streamed=False).collect()} == want
