@@ -467,7 +467,7 @@ def region(tree: list, chars: dict[int, int]) -> list[int]:
 
 
 def around(tree: list, chars: dict[int, int]) -> tuple[int, int]:
-    """The parent of the wrapper's node with the most varying characters, and the node after its last: lists of links in there may be content."""
+    """The parent of the wrapper's node with the most varying characters, and the node after its last: lists of links between the two may be content."""
     heavy = max(chars, key=lambda i: (chars[i], -i), default=None)
     best, last, left = (0, 0), 0, [(x, None) for x in reversed(tree)]
     parent: dict[int, int | None] = {}
@@ -576,7 +576,7 @@ def _templates(read: DataFrame, min_pages: int) -> DataFrame:
                 tree, chars = read_tree(w), {x["own"]: x["chars"] for x in sums if x["chars"] > 0}
                 roots = region(tree, chars)
                 first, end = around(tree, chars)
-                rows += [(h, r, False) for r in roots] or [(h, x["own"], True) for x in sums if x["links"] > x["chars"] and not first <= x["own"] < end]
+                rows += [(h, r, False) for r in roots] or [(h, x["own"], True) for x in sums if x["links"] > x["chars"] and not first < x["own"] < end]
             columns = zip(*rows, strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.bool_()), strict=True)], ["host", "own", "menu"])
 
