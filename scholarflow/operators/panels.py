@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import columns as C
+from .ranks import cut
 
 
 def author_stats(totals: DataFrame) -> DataFrame:
@@ -79,37 +82,44 @@ def sampled_authorships(authorships: DataFrame, works: DataFrame, first_year: in
     return rows.join(authors, "author_id", "left_semi").select("author_id", "work_id")
 
 
-def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, end: int, min_age: int = 0, min_priors: int = 0, include_self: bool = True) -> DataFrame:
-    """author_id, work_id, year, cite_counts, unrelated, related, author_works.
+def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, end: int, min_age: int = 0, min_priors: int = 0, include_self: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """author_id, work_id, year, cite_counts, unrelated, related, author_works, and columns of totals to keep.
 
     The stock at t of an author is the sum of cite_counts of all their works in
     years before t (from start and publication on). Only related works (the
     paper itself, those it cites or that cite it) are paired with a paper; the
     unrelated stock is the author's whole stock without theirs, so an author's
-    history is never squared.
+    history is never squared. A work's years are an array until the end: what is
+    joined and summed is a row for each work, not for each of its years.
     """
-    works = totals.select("author_id", "work_id", "pub_year")
-    dated = cby.join(works, "work_id").where((F.col("year") >= F.greatest(F.lit(start), F.col("pub_year"))) & (F.col("year") < end)).select("author_id", "work_id", "year", "cite_counts")
-    before = W.orderBy("year").rowsBetween(W.unboundedPreceding, -1)
-    years = F.explode(F.sequence(F.lit(start), F.lit(end))).alias("year")
-    authors = works.groupBy("author_id").agg(F.count("*").alias("author_works"))
-    per_year = dated.groupBy("author_id", "year").agg(F.sum("cite_counts").alias("c"))
-    whole = authors.select("author_id", "author_works", years).join(per_year, ["author_id", "year"], "left").withColumn("whole", F.coalesce(F.sum("c").over(before.partitionBy("author_id")), F.lit(0))).drop("c")
-    focal = works
+    years = range(start, end + 1)
+    zero = F.lit(0).cast("bigint")
+    works = totals.select("author_id", "work_id", "pub_year", *(c for c in keep if c != "pub_year"))
+    by_year = (F.coalesce(F.sum(F.when(F.col("year") == t, F.col("cite_counts"))), zero) for t in years)
+    counted = cby.where(F.col("year").between(start, end)).groupBy("work_id").agg(F.array(*by_year).alias("own"))
+    nodes = cut(works.join(counted, "work_id", "left").withColumn("own", F.coalesce("own", F.array(*(zero for _ in years)))))
+    begun = F.coalesce("pub_year", F.lit(start))
+    dated = [F.when(begun <= t, F.col("own")[i]).otherwise(zero) for i, t in enumerate(years)]
+    before = lambda c: F.array(*(reduce(lambda a, b: a + b, c[:i], zero) for i in range(len(years))))
+    whole = nodes.groupBy("author_id").agg(F.count("*").alias("author_works"), *(F.sum(c).alias(f"_s{i}") for i, c in enumerate(dated)))
+    whole = whole.select("author_id", "author_works", before([F.col(f"_s{i}") for i in range(len(years))]).alias("whole"))
+    focal = nodes
     if min_priors:
         w = W.partitionBy("author_id").orderBy("pub_year").rangeBetween(W.unboundedPreceding, -1)
-        focal = works.withColumn("p", F.count("*").over(w)).where(F.col("p") >= min_priors).drop("p")
-    owner = works.select(F.col("author_id"), F.col("work_id").alias("other"))
-    pairs = edges.select(F.col("citing").alias("work_id"), F.col("cited").alias("other")).union(edges.select(F.col("cited").alias("work_id"), F.col("citing").alias("other"))).distinct()
-    pairs = pairs.join(focal.select("work_id", "author_id"), "work_id").join(owner, ["other", "author_id"])
+        focal = nodes.withColumn("p", F.count("*").over(w)).where(F.col("p") >= min_priors).drop("p")
+    # most works that cite each other have different authors: those go before anything is doubled
+    its = lambda work, author: nodes.select(F.col("work_id").alias(work), F.col("author_id").alias(author))
+    same = edges.select("citing", "cited").join(its("citing", "a"), "citing").join(its("cited", "b"), "cited").where("a = b")
     if include_self:
-        pairs = pairs.select("work_id", "author_id", "other").union(focal.select("work_id", "author_id", F.col("work_id").alias("other")))
-    near = pairs.join(dated.select(F.col("work_id").alias("other"), "year", "cite_counts"), "other").groupBy("work_id", "year").agg(F.sum("cite_counts").alias("r"))
-    grid = focal.select("author_id", "work_id", "pub_year", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("year"))
-    own = cby.select("work_id", "year", "cite_counts")
-    out = grid.join(near, ["work_id", "year"], "left").withColumn("related", F.coalesce(F.sum("r").over(before.partitionBy("work_id")), F.lit(0)))
-    out = out.where(F.col("year") >= F.greatest(F.lit(start), F.col("pub_year") + min_age)).join(own, ["work_id", "year"], "left").join(whole, ["author_id", "year"])
-    return out.select("author_id", "work_id", "year", F.coalesce("cite_counts", F.lit(0)).cast("bigint").alias("cite_counts"), F.greatest(F.col("whole") - F.col("related"), F.lit(0)).cast("bigint").alias("unrelated"), F.col("related").cast("bigint").alias("related"), "author_works")
+        same = same.where("citing <> cited")
+    pairs = same.select(F.col("citing").alias("work_id"), F.col("cited").alias("other")).union(same.select(F.col("cited").alias("work_id"), F.col("citing").alias("other"))).distinct()
+    others = nodes.select(F.col("work_id").alias("other"), *(c.alias(f"_s{i}") for i, c in enumerate(dated)))
+    near = pairs.join(others, "other").groupBy("work_id").agg(F.array(*(F.sum(f"_s{i}") for i in range(len(years)))).alias("near"))
+    rows = focal.where(F.coalesce(F.col("pub_year") + min_age, F.lit(start)) <= end).join(whole, "author_id").join(near, "work_id", "left")
+    related = before([F.coalesce(F.col("near")[i], zero) + (c if include_self else zero) for i, c in enumerate(dated)])
+    grid = rows.withColumn("related", related).withColumn("year", F.explode(F.sequence(F.greatest(F.lit(start), F.col("pub_year") + min_age), F.lit(end))))
+    at = lambda c: F.col(c)[F.col("year") - start].cast("bigint")
+    return grid.select("author_id", "work_id", "year", at("own").alias("cite_counts"), F.greatest(at("whole") - at("related"), zero).alias("unrelated"), at("related").alias("related"), "author_works", *keep)
 
 
 def screen(totals: DataFrame) -> DataFrame:

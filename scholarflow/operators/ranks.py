@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import shared_folder
 
 
+_open: ContextVar[list[str] | None] = ContextVar("cuts", default=None)
+_of_process: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths if spark.sparkContext._jsc else []:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is deleted at the end: for runs that return numbers, or rows of which they have cut none."""
+    paths: list[str] = []
+    token = _open.set(paths)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        _delete(spark, paths)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that the session names: its lineage ends there."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written as Parquet to the folder that the session names: its lineage ends there. It goes with the passing() around it, else with the process."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _of_process:
+        _of_process[app] = []
+        atexit.register(_delete, spark, _of_process[app])
+    kept = _open.get()
+    (_of_process[app] if kept is None else kept).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _parted(df: DataFrame, order: list) -> DataFrame:

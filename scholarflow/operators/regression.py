@@ -8,9 +8,14 @@ group mean in any way, so one turn does, and the means are measured again to say
 so. Only if the other ways have more than MAX_LEVELS levels is each way demeaned in
 turn until nothing is left.
 
+Rows are brought together by unit once: units of MAX_ROWS rows at most are kept as
+one row with an array each, and all that follows is done within these rows or is a
+sum over them. With larger units means are joined to rows instead, so no task
+needs a whole group. A fit takes its moments by cluster, once for all its models.
+
 A fit may be split by a column: all its groups are absorbed and measured in the
-same aggregations. Weights are those of rows in every mean and moment. No task
-needs a whole group; only sums by level reach the driver.
+same aggregations. Weights are those of rows in every mean and moment. Only sums by
+level reach the driver.
 
 Rows with a null in a way, the column that splits, a weight or a variable, and
 rows without a weight above 0, take no part.
@@ -21,18 +26,21 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranks import cut, quantiles, ranked
+from .ranks import cut, passing, quantiles, ranked
 
 #: Levels of all ways but the first, in all groups of a split fit, that are solved for at once.
 MAX_LEVELS = 20_000
 #: Of one group: its matrix has the square of that.
 MAX_GROUP_LEVELS = 2_000
+#: Rows of a unit that is kept as an array.
+MAX_ROWS = 4_096
 
 
 def _mean(column: str, weight: str | None) -> Column:
@@ -46,24 +54,28 @@ def demean(df: DataFrame, columns: list[str], key: str | list[str], weight: str
     return df.join(means, keys).select(*(F.col(c) - F.col(f"_{c}") if c in columns else F.col(c) for c in df.columns)).toDF(*df.columns)
 
 
-def _levels(ways: list[str]) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("k"), F.col(w).cast("string").alias("level")) for k, w in enumerate(ways)))
+def _by_level(df: DataFrame, key: str, ways: list[str], *sums: Column) -> DataFrame:
+    """key, _level, the sums over the rows of each level of each way, and _k, the way's place."""
+    return reduce(DataFrame.unionByName, (df.groupBy(key, F.col(way).cast("string").alias("_level")).agg(*sums).withColumn("_k", F.lit(k)) for k, way in enumerate(ways)))
 
 
 class _Effects:
-    """The dummies of all ways but the first: by group their labels, weights, and the inverse of their moments within units."""
-
-    def __init__(self, df: DataFrame, unit: str, ways: list[str], by: str, weight: Column):
-        rows = df.select(by, unit, weight.alias("_w"), _levels(ways).alias("_z"))
-        pairs = lambda df: df.select("*", F.explode("_z").alias("_a")).select("*", F.explode("_z").alias("_b")).where("_a <= _b")
-        raw = pairs(rows).groupBy(by, "_a", "_b").agg(F.sum("_w").alias("_s"))
-        held = rows.select(by, unit, "_w", F.explode("_z").alias("_a")).groupBy(by, unit, "_a").agg(F.sum("_w").alias("_w"))
-        own = held.groupBy(by, unit).agg(F.collect_list(F.struct("_a", "_w")).alias("_l"), (F.sum("_w") / len(ways)).alias("_all"))  # levels of a unit: few
-        both = own.select(by, "_all", "_l", F.explode("_l").alias("_x")).select(by, "_all", "_x", F.explode("_l").alias("_y")).where("_x._a <= _y._a")
-        shared = both.groupBy(by, F.col("_x._a").alias("_a"), F.col("_y._a").alias("_b")).agg((-F.sum(F.col("_x._w") * F.col("_y._w") / F.col("_all"))).alias("_s"))
+    """The dummies of all ways but the first: by group their labels, weights, and the inverse of their moments within units.
+
+    rows: by, the ways, _w. shapes: by, _unit (units that have the same rows but for their columns are one), _times (how many), the ways, _w.
+    """
+
+    def __init__(self, rows: DataFrame, shapes: DataFrame, ways: list[str], by: str):
+        z = lambda k, way: F.struct(F.lit(k).alias("k"), F.col(way).cast("string").alias("level"))
+        both = [(k, a, m, b) for k, a in enumerate(ways) for m, b in enumerate(ways) if k <= m]
+        raw = reduce(DataFrame.unionByName, (rows.groupBy(by, *dict.fromkeys((a, b))).agg(F.sum("_w").alias("_s")).select(by, z(k, a).alias("_a"), z(m, b).alias("_b"), "_s") for k, a, m, b in both))
+        marked = shapes.select(by, "_unit", "_times", "_w", F.explode(F.array(*(z(k, way) for k, way in enumerate(ways)))).alias("_a"))
+        held = marked.groupBy(by, "_unit", "_times", "_a").agg(F.sum("_w").alias("_w"))
+        own = held.groupBy(by, "_unit", "_times").agg(F.collect_list(F.struct("_a", "_w")).alias("_l"), (F.sum("_w") / len(ways)).alias("_all"))  # levels of a unit: few
+        both = own.select(by, "_times", "_all", "_l", F.explode("_l").alias("_x")).select(by, "_times", "_all", "_x", F.explode("_l").alias("_y")).where("_x._a <= _y._a")
+        shared = both.groupBy(by, F.col("_x._a").alias("_a"), F.col("_y._a").alias("_b")).agg((-F.sum(F.col("_times") * F.col("_x._w") * F.col("_y._w") / F.col("_all"))).alias("_s"))
         self.places: dict[str, dict[tuple[int, str], int]] = {}
         moments: dict[str, dict] = {}
-        self.weights: dict[str, list[float]] = {}
         for r in raw.unionByName(shared).groupBy(by, "_a", "_b").agg(F.sum("_s").alias("_s")).collect():  # MAX_GROUP_LEVELS squared for a group at most
             at = self.places.setdefault(r[0], {})
             i, j = (at.setdefault((x.k, x.level), len(at)) for x in (r._a, r._b))
@@ -88,42 +100,121 @@ class _Effects:
         return out
 
 
-def absorbed(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30, weight: str | None = None, by: str | None = None) -> tuple[DataFrame, int, float]:
-    """df with columns without the effects of the ways (the one with most levels first); the turns it took; the greatest group mean left."""
-    key, small = by or "_by", ways[1:]
-    rows = df if by else df.withColumn("_by", F.lit(""))
-    rows = rows.dropna(subset=[*dict.fromkeys([key, *ways, *columns, *([weight] if weight else [])])])
+class _Arrays:
+    """Rows brought together by unit: one row for each unit, with its rows as an array and the means of its columns."""
+
+    def __init__(self, rows: DataFrame, columns: list[str], unit: str, small: list[str], weight: str | None, key: str):
+        self.rows, self.columns, self.unit, self.small, self.weight, self.key = rows, columns, unit, small, weight, key
+        inside = [c for c in rows.columns if c not in (key, unit)]
+        w = F.col(weight) if weight else F.lit(1.0)
+        means = (_mean(c, weight).alias(f"_m{i}") for i, c in enumerate(columns))
+        # rows meet before they are collected: arrays that are made on the way would be sorted twice
+        met = rows.repartition(key, unit).groupBy(key, unit)
+        self.units = cut(met.agg(F.collect_list(F.struct(*inside)).alias("_rows"), F.sum(w).alias("_n"), *means))
+        self.effects: dict[tuple, list[float]] = {}
+
+    def levels(self) -> dict:
+        return {r[0]: r[1] for r in self.units.groupBy(self.key).agg(F.count("*")).collect()}
+
+    def add(self, effects: list[tuple]) -> None:
+        for g, k, level, *e in effects:
+            self.effects[g, k, level] = [a + b for a, b in zip(self.effects.get((g, k, level), [0.0] * len(e)), e, strict=True)]
+
+    def left(self) -> DataFrame:
+        """The rows with columns without units' means and the effects so far."""
+        units, size = self.units, range(len(self.columns))
+        shift = [F.lit(0.0)] * len(self.columns)
+        if self.effects:
+            kind = units.schema[self.key].dataType.simpleString()
+            spread = units.sparkSession.createDataFrame([(g, k, level, e) for (g, k, level), e in self.effects.items()], f"_g {kind}, _k int, _level string, _e array<double>")  # MAX_LEVELS at most
+            maps = spread.groupBy("_g").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("_k") == k, F.struct("_level", "_e")))).alias(f"_map{k}") for k in range(len(self.small))))
+            w = lambda r: r[self.weight] if self.weight else F.lit(1.0)
+            of = lambda r: reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), (F.element_at(f"_map{k}", r[way].cast("string")) for k, way in enumerate(self.small)))
+            units = units.join(F.broadcast(maps), F.col(self.key) == F.col("_g")).withColumn("_e", F.transform("_rows", of))
+            total = F.aggregate(F.arrays_zip("_rows", "_e"), F.array(*(F.lit(0.0) for _ in size)), lambda a, z: F.zip_with(a, z["_e"], lambda x, y: x + w(z["_rows"]) * y))
+            units = units.withColumn("_total", total).select(self.key, self.unit, "_n", *(f"_m{i}" for i in size), "_total", F.inline(F.arrays_zip("_rows", "_e")))
+            shift = [F.col("_e")[i] - F.col("_total")[i] / F.col("_n") for i in size]
+        else:
+            units = units.select(self.key, self.unit, "_n", *(f"_m{i}" for i in size), F.explode("_rows").alias("_rows"))
+        place = {c: F.col(f"_rows.{c}") - F.col(f"_m{i}") - shift[i] for i, c in enumerate(self.columns)}
+        return units.select(*(F.col(c) if c in (self.key, self.unit) else place.get(c, F.col(f"_rows.{c}")).alias(c) for c in self.rows.columns))
+
+    def shapes(self) -> DataFrame:
+        """For _Effects: units that have the same levels and weights in all rows are counted."""
+        shape = F.sort_array(F.transform("_rows", lambda r: F.struct(*(r[way].alias(way) for way in self.small), (r[self.weight] if self.weight else F.lit(1.0)).alias("_w"))))
+        kinds = self.units.select(self.key, shape.alias("_shape")).groupBy(self.key, "_shape").agg(F.count("*").cast("double").alias("_times"))
+        return cut(kinds.withColumn("_unit", F.monotonically_increasing_id())).select(self.key, "_unit", "_times", F.inline("_shape"))
+
+
+class _Joined:
+    """The same for units of any size: means and effects are joined to rows."""
+
+    def __init__(self, rows: DataFrame, columns: list[str], unit: str, small: list[str], weight: str | None, key: str):
+        self.columns, self.unit, self.small, self.weight, self.key = columns, unit, small, weight, key
+        self.now = cut(demean(rows, columns, [key, unit], weight))
+
+    def levels(self) -> dict:
+        return {r[0]: r[1] for r in self.now.groupBy(self.key).agg(F.count_distinct(self.unit)).collect()}
+
+    def add(self, effects: list[tuple]) -> None:
+        out = self.now
+        kinds = ", ".join([f"{self.key} {out.schema[self.key].dataType.simpleString()}", "_k int", "_level string", *(f"_e{i} double" for i in range(len(self.columns)))])
+        table = out.sparkSession.createDataFrame(effects, kinds)
+        for k, way in enumerate(self.small):
+            one = table.where(F.col("_k") == k).drop("_k")
+            out = out.withColumn("_level", F.col(way).cast("string")).join(one, [self.key, "_level"])
+            out = out.withColumns({c: F.col(c) - F.col(f"_e{i}") for i, c in enumerate(self.columns)}).drop("_level", *(f"_e{i}" for i in range(len(self.columns))))
+        self.now = cut(demean(out, self.columns, [self.key, self.unit], self.weight))
+
+    def left(self) -> DataFrame:
+        return self.now
+
+    def shapes(self) -> DataFrame:
+        return self.now.select(self.key, F.col(self.unit).alias("_unit"), F.lit(1.0).alias("_times"), *self.small, (F.col(self.weight) if self.weight else F.lit(1.0)).alias("_w"))
+
+
+def _absorbed(df: DataFrame, columns: list[str], ways: list[str], tolerance: float, passes: int, weight: str | None, key: str) -> tuple[DataFrame, int, float, dict]:
+    """df without the effects, the turns, the greatest mean left, and the levels of all ways by group."""
+    small = ways[1:]
+    rows = df.dropna(subset=[*dict.fromkeys([key, *ways, *columns, *([weight] if weight else [])])])
     if weight:
         rows = rows.where(F.col(weight) > 0)
     rows = rows.select(*(F.col(c).cast("double").alias(c) if c in columns or c == weight else F.col(c) for c in rows.columns))
-    out = cut(demean(rows, columns, [key, ways[0]], weight))
-    names = [c for c in out.columns if by or c != "_by"]
+    largest = rows.groupBy(key, ways[0]).agg(F.count("*").alias("_k")).agg(F.max("_k")).first()[0] or 0
+    held = (_Arrays if largest <= MAX_ROWS and not {key, ways[0]} & {*columns, weight} else _Joined)(rows, columns, ways[0], small, weight, key)
+    levels = held.levels()
     if not small:
-        return out.select(*names), 1, 0.0
-    found = {r[0]: sum(r[1:]) for r in out.groupBy(key).agg(*(F.count_distinct(w) for w in small)).limit(MAX_LEVELS + 1).collect()}
-    if sum(found.values()) > MAX_LEVELS or max(found.values(), default=0) > MAX_GROUP_LEVELS:
-        out, turn, worst = _alternating(out, columns, ways, tolerance, passes, weight, key)
-        return out.select(*names), turn, worst
+        return held.left(), 1, 0.0, levels
     w = F.col(weight) if weight else F.lit(1.0)
-    effects, turn, worst = None, 0, math.inf
+    effects, turn = None, 0
     while True:
-        marked = out.select(key, w.alias("_w"), *columns, F.explode(_levels(small)).alias("_z"))
+        out = held.left()
+        found = _by_level(out, key, small, F.sum(w).alias("_w"), *(F.sum(w * F.col(c)).alias(f"_s{i}") for i, c in enumerate(columns))).limit(MAX_LEVELS + 1).collect()
+        if effects is None:
+            each: dict = {}
+            for r in found:
+                each[r[0]] = each.get(r[0], 0) + 1
+            if len(found) > MAX_LEVELS or max(each.values(), default=0) > MAX_GROUP_LEVELS:
+                out, turn, worst = _alternating(out, columns, ways, tolerance, passes, weight, key)
+                return out, turn, worst, {r[0]: sum(r[1:]) for r in out.groupBy(key).agg(*(F.count_distinct(c) for c in ways)).collect()}
+            levels = {g: n + each.get(g, 0) for g, n in levels.items()}
         sums: dict[str, dict] = {}
         worst = 0.0
-        for r in marked.groupBy(key, "_z").agg(F.sum("_w").alias("_w"), *(F.sum(F.col("_w") * F.col(c)).alias(c) for c in columns)).collect():  # MAX_LEVELS at most
-            sums.setdefault(r[0], {})[r._z.k, r._z.level] = [r[c] for c in columns]
-            worst = max(worst, *(abs(r[c] / r["_w"]) for c in columns))
+        for r in found:
+            s = [r[f"_s{i}"] for i in range(len(columns))]
+            sums.setdefault(r[0], {})[r["_k"], r["_level"]] = s
+            worst = max(worst, *(abs(x / r["_w"]) for x in s))
         if worst <= tolerance or turn >= passes:
-            return out.select(*names), turn, worst
+            return out, turn, worst, levels
         turn += 1
-        effects = effects or _Effects(out, ways[0], small, key, w)
-        kinds = ", ".join([f"{key} {out.schema[key].dataType.simpleString()}", "_k int", "_level string", *(f"_e{i} double" for i in range(len(columns)))])
-        table = out.sparkSession.createDataFrame(effects.solve(sums), kinds)
-        for k, way in enumerate(small):
-            one = table.where(F.col("_k") == k).drop("_k")
-            out = out.withColumn("_level", F.col(way).cast("string")).join(one, [key, "_level"])
-            out = out.withColumns({c: F.col(c) - F.col(f"_e{i}") for i, c in enumerate(columns)}).drop("_level", *(f"_e{i}" for i in range(len(columns))))
-        out = cut(demean(out, columns, [key, ways[0]], weight))
+        effects = effects or _Effects(out.select(key, *small, w.alias("_w")), held.shapes(), small, key)
+        held.add(effects.solve(sums))
+
+
+def absorbed(df: DataFrame, columns: list[str], ways: list[str], tolerance: float = 1e-8, passes: int = 30, weight: str | None = None, by: str | None = None) -> tuple[DataFrame, int, float]:
+    """df with columns without the effects of the ways (the one with most levels first); the turns it took; the greatest group mean left."""
+    out, turn, worst, _ = _absorbed(df if by else df.withColumn("_by", F.lit("")), columns, ways, tolerance, passes, weight, by or "_by")
+    return out.select(*(c for c in out.columns if by or c != "_by")), turn, worst
 
 
 def _alternating(out: DataFrame, columns: list[str], ways: list[str], tolerance: float, passes: int, weight: str | None, by: str) -> tuple[DataFrame, int, float]:
@@ -163,48 +254,68 @@ class Fit:
 
 def ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, absorbed: int = 0, weight: str | None = None) -> Fit:
     """Least squares of columns as they are (no intercept), with cluster-robust or plain standard errors."""
-    fits = _fits(df.withColumn("_by", F.lit("")), y, x, cluster, {"": absorbed}, weight, "_by")
+    fits = _fits(df.withColumn("_by", F.lit("")), y, [x], cluster, {"": absorbed}, weight, "_by")[0]
     return fits[""] if fits else Fit(x, [0.0] * len(x), [0.0] * len(x), [1.0] * len(x), [0.0] * len(x), [0.0] * len(x), 0.0, 0, 0)
 
 
-def _fits(df: DataFrame, y: str, x: list[str], cluster: str | None, absorbed: dict[str, int], weight: str | None, by: str) -> dict:
-    """A fit for each group of by: two aggregations, whatever their number."""
+def _fits(df: DataFrame, y: str, sets: list[list[str]], cluster: str | None, absorbed: dict[str, int], weight: str | None, by: str) -> list[dict]:
+    """For each set of regressors a fit for each group of by, all from the moments of the clusters: one pass over the rows."""
     w = F.col(weight) if weight else F.lit(1.0)
-    products = [F.sum(w * F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate([*x, y]) for j, b in enumerate([*x, y]) if j >= i]
-    rows = {r[0]: r for r in df.groupBy(by).agg(F.count("*").alias("n"), *products).collect()}  # one for each group of a split fit
-    k = len(x)
-    full = {g: np.array([[r[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)], float) for g, r in rows.items()}
-    inverse = {g: np.linalg.pinv(m[:k, :k]) for g, m in full.items()}
-    beta = {g: inverse[g] @ m[:k, k] for g, m in full.items()}
+    names = list(dict.fromkeys([*(c for x in sets for c in x), y]))
+    size = range(len(names))
+    at = lambda i, j: f"_{min(i, j)}_{max(i, j)}"
+    entries = [(i, j) for i in size for j in size if i <= j]
+    products = [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(at(i, j)) for i, j in entries]
+    total = lambda some: some.groupBy(by).agg(F.sum("_n").cast("bigint").alias("_n"), F.count("*").alias("_g"), *(F.sum(at(*e)).alias(at(*e)) for e in entries))
+    moments = df.groupBy(by, *([cluster] if cluster else [])).agg(F.count("*").alias("_n"), *products)
+    if cluster:
+        moments = cut(moments)
+    rows = {r[0]: r for r in total(moments).collect()}  # one for each group of a split fit
     if not rows:
-        return {}
-    kinds = ", ".join([f"{by} {df.schema[by].dataType.simpleString()}", *(f"_b{i} double" for i in range(k))])
-    known = df.join(df.sparkSession.createDataFrame([(g, *map(float, b)) for g, b in beta.items()], kinds), by)
-    e = F.col(y) - sum((F.col(f"_b{i}") * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
-    scores = known.withColumn("_e", e).groupBy(by, *([cluster] if cluster else [])).agg(F.sum(w * F.col("_e") * F.col("_e")).alias("sse"), *(F.sum(w * F.col(c) * F.col("_e")).alias(f"s{i}") for i, c in enumerate(x)))
-    meat = scores.groupBy(by).agg(F.count("*").alias("g"), F.sum("sse").alias("sse"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)))
-    out = {}
-    for r in meat.collect():
-        g, n, sse = r[0], rows[r[0]]["n"], r["sse"] or 0.0
-        free = max(1, n - absorbed.get(g, 0) - k)
-        if cluster:
-            m = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float)
-            variance = (r["g"] / (r["g"] - 1) * (n - 1) / free if r["g"] > 1 else 1.0) * inverse[g] @ m @ inverse[g]
-        else:
-            variance = inverse[g] * sse / free
-        b, se = beta[g], np.sqrt(np.maximum(np.diag(variance), 0.0))
-        p = [math.erfc(abs(u) / v / math.sqrt(2)) if v > 0 else 1.0 for u, v in zip(b, se, strict=True)]
-        out[g] = Fit(x, b.tolist(), se.tolist(), p, (b - 1.96 * se).tolist(), (b + 1.96 * se).tolist(), float(1 - sse / full[g][k, k]) if full[g][k, k] > 0 else 0.0, n, r["g"] if cluster else n)
+        return [{} for _ in sets]
+    full = {g: np.array([[r[at(i, j)] or 0.0 for j in size] for i in size], float) for g, r in rows.items()}
+    places = [[names.index(c) for c in x] for x in sets]
+    last = names.index(y)
+    inverse = [{g: np.linalg.pinv(m[np.ix_(p, p)]) for g, m in full.items()} for p in places]
+    beta = [{g: inv[g] @ full[g][p, last] for g in full} for p, inv in zip(places, inverse, strict=True)]
+    kinds = ", ".join([f"{by} {df.schema[by].dataType.simpleString()}", *(f"_b{m}_{i} double" for m, p in enumerate(places) for i in range(len(p)))])
+    known = df.sparkSession.createDataFrame([(g, *(float(v) for b in beta for v in b[g])) for g in full], kinds)
+    if cluster:  # a cluster's score of x is its moment with y less what the fit explains of it
+        score = lambda m, i: F.col(at(places[m][i], last)) - sum((F.col(f"_b{m}_{j}") * F.col(at(places[m][i], q)) for j, q in enumerate(places[m])), F.lit(0.0))
+        with_b = moments.join(F.broadcast(known), by).select(by, *(score(m, i).alias(f"_s{m}_{i}") for m, p in enumerate(places) for i in range(len(p))))
+        meat = with_b.groupBy(by).agg(F.count("*").alias("_g"), *(F.sum(F.col(f"_s{m}_{i}") * F.col(f"_s{m}_{j}")).alias(f"_v{m}_{i}_{j}") for m, p in enumerate(places) for i in range(len(p)) for j in range(i, len(p))))
+        sums = {r[0]: r for r in meat.collect()}
+    else:
+        error = lambda m: F.col(y) - sum((F.col(f"_b{m}_{i}") * F.col(c) for i, c in enumerate(sets[m])), F.lit(0.0))
+        sums = {r[0]: r for r in df.join(F.broadcast(known), by).groupBy(by).agg(F.count("*").alias("_g"), *(F.sum(w * error(m) * error(m)).alias(f"_e{m}") for m in range(len(sets)))).collect()}
+    out: list[dict] = []
+    for m, (x, p) in enumerate(zip(sets, places, strict=True)):
+        k, made = len(x), {}
+        for g, r in rows.items():
+            n, b, bread = r["_n"], beta[m][g], inverse[m][g]
+            free = max(1, n - absorbed.get(g, 0) - k)
+            if cluster:
+                sse = max(0.0, float(full[g][last, last] - 2 * b @ full[g][p, last] + b @ full[g][np.ix_(p, p)] @ b))
+                v = np.array([[sums[g][f"_v{m}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float).reshape(k, k)
+                variance = (r["_g"] / (r["_g"] - 1) * (n - 1) / free if r["_g"] > 1 else 1.0) * bread @ v @ bread
+            else:
+                sse = sums[g][f"_e{m}"] or 0.0
+                variance = bread * sse / free
+            se = np.sqrt(np.maximum(np.diag(variance), 0.0))
+            values = [math.erfc(abs(u) / s / math.sqrt(2)) if s > 0 else 1.0 for u, s in zip(b, se, strict=True)]
+            made[g] = Fit(x, b.tolist(), se.tolist(), values, (b - 1.96 * se).tolist(), (b + 1.96 * se).tolist(), float(1 - sse / full[g][last, last]) if full[g][last, last] > 0 else 0.0, n, r["_g"] if cluster else n)
+        out.append(made)
     return out
 
 
 def split_models(df: DataFrame, y: str, sets: list[list[str]], ways: list[str], cluster: str | None, by: str, tolerance: float = 1e-8, passes: int = 30, weight: str | None = None) -> dict[str, list[Fit]]:
     """For each group of by a fit for each set of regressors, over one absorption of all groups; degrees of freedom count every group of every way but one each after the first."""
     columns = list(dict.fromkeys([y, *(c for x in sets for c in x)]))
-    data = df.select(*dict.fromkeys([by, *ways, *([cluster] if cluster else []), *([weight] if weight else [])]), *columns)
-    free, turns, worst = absorbed(data, columns, ways, tolerance, passes, weight, by)
-    levels = {r[0]: sum(r[1:]) - (len(ways) - 1) for r in free.groupBy(by).agg(*(F.count_distinct(c) for c in ways)).collect()}
-    fits = [_fits(free, y, x, cluster, levels, weight, by) for x in sets]
+    data = df.select(*dict.fromkeys([by, *ways, *([cluster] if cluster else []), *([weight] if weight else []), *columns]))
+    with passing(df.sparkSession):
+        free, turns, worst, found = _absorbed(data, columns, ways, tolerance, passes, weight, by)
+        levels = {g: n - (len(ways) - 1) for g, n in found.items()}
+        fits = _fits(free, y, sets, cluster, levels, weight, by)
     return {g: [replace(one[g], passes=turns, converged=worst <= tolerance) for one in fits] for g in fits[0]}
 
 
@@ -243,15 +354,16 @@ def factor_fit(df: DataFrame, y: str, x: list[str], factor: str | None, weight:
     return [*out, ("constant", base[1], math.sqrt(sigma * (1 / base[0] + base[2] @ inverse @ base[2])))]
 
 
-def winsorize(df: DataFrame, columns: list[str], q: float = 0.99) -> DataFrame:
-    """columns cut at their upper q-quantile (linear between values)."""
-    tops = quantiles(df, columns, q)
+def winsorize(df: DataFrame, columns: list[str], q: float = 0.99, tops: dict[str, float] | None = None) -> DataFrame:
+    """columns cut at their upper q-quantile (linear between values), or at tops, if these are known."""
+    tops = tops or quantiles(df, columns, q)
     return df.withColumns({c: F.least(F.col(c).cast("double"), F.lit(tops[c])) for c in columns})
 
 
 def variants(df: DataFrame, y: str, x: list[str], unit: list[str], age: str, ages: list[int]) -> dict[str, DataFrame]:
     """The panel as it is, of units with all these ages, and with outcome, regressors or all cut at their 99th percentile."""
-    return {"full": df, "balanced": complete_ages(df, unit, age, ages), "outcome_winsorized": winsorize(df, [y]), "exposure_winsorized": winsorize(df, x), "all_winsorized": winsorize(df, [y, *x])}
+    tops = quantiles(df, [y, *x], 0.99)
+    return {"full": df, "balanced": complete_ages(df, unit, age, ages), **{name: winsorize(df, c, tops=tops) for name, c in (("outcome_winsorized", [y]), ("exposure_winsorized", x), ("all_winsorized", [y, *x]))}}
 
 
 def by_group(df: DataFrame, dimensions: dict[str, Column], y: str, sets: list[list[str]], ways: list[str], cluster: str, **options) -> list[tuple[str, str, list[Fit]]]:

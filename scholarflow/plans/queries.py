@@ -16,7 +16,7 @@ from ..operators import matching as M
 from ..operators import normalize as N
 from ..operators import panels as P
 from ..operators import regression as R
-from ..operators.ranks import cut
+from ..operators.ranks import cut, passing
 from ..session import shared_folder
 from ..sources import bucketed, readers, sinks
 from ..streaming import incremental
@@ -396,8 +396,14 @@ exposure as (select g.author_id, g.work_id, cast(g.t as int) as year, cast(coale
 """
 
 
-def exposures(spark, d):
-    return P.exposure(*B.model(spark, d), START, END)
+def exposures(spark, d, *keep):
+    return P.exposure(*B.model(spark, d), START, END, keep=keep)
+
+
+def _aged(spark, d, *keep):
+    """What the fits read of the exposures, written once, with the paper's age."""
+    rows = exposures(spark, d, *dict.fromkeys(("pub_year", *keep)))
+    return cut(rows.select("work_id", "year", "cite_counts", "unrelated", "related", (F.col("year") - F.col("pub_year")).alias("age"), *keep))
 
 
 @query("," + _EXPOSURE + "select author_id, work_id, year, cite_counts, unrelated, related, aw as author_works from exposure join (select author_id, count(*) as aw from works group by 1) using (author_id)")
@@ -417,7 +423,8 @@ def q8_exposure_sample(spark, d):
 
 @query("," + _EXPOSURE + ", m as (select year, cite_counts - avg(cite_counts) over (partition by work_id) as y, unrelated - avg(unrelated) over (partition by work_id) as x from exposure) select cast(count(*) as bigint) as n, round(sum(x * y) / sum(x * x), 6) as beta from m")
 def r1_one_way_effects(spark, d):
-    fit = R.fixed_effects(exposures(spark, d), "cite_counts", ["unrelated"], ["work_id"], "work_id")
+    with passing(spark):
+        fit = R.fixed_effects(_aged(spark, d), "cite_counts", ["unrelated"], ["work_id"], "work_id")
     return spark.createDataFrame([(fit.n, round(fit.beta[0], 6))], "n bigint, beta double")
 
 
@@ -457,7 +464,8 @@ union all select 2, 'related', round(c2, 6), round(sqrt(f2 * (ur * ur * quu - 2
 )
 def q9_two_way_effects(spark, d):
     """Models 1 (unrelated) and 2 (unrelated and related) with paper and year effects, errors by paper."""
-    fits = R.models(cut(exposures(spark, d)), "cite_counts", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
+    with passing(spark):
+        fits = R.models(_aged(spark, d), "cite_counts", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
     rows = [(k, n, round(b, 6), round(s, 6), round(fit.within_r2, 6), fit.n, fit.groups, fit.converged) for k, fit in enumerate(fits, 1) for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)]
     return spark.createDataFrame(rows, "model int, term string, beta double, se double, within_r2 double, n bigint, clusters bigint, converged boolean")
 
@@ -476,9 +484,10 @@ union all select 'all_winsorized', work_id, year, least(y, qy), least(x, qx) fro
 )
 def r7_variants(spark, d):
     """Paper and year effects in each variant, all absorbed together."""
-    data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year")))
-    made = [df.select("work_id", "year", *(F.col(c).cast("double").alias(c) for c in ("cite_counts", "unrelated"))).withColumn("variant", F.lit(v)) for v, df in R.variants(data, "cite_counts", ["unrelated"], ["work_id"], "age", [1, 2]).items()]
-    fits = R.split_models(reduce(DataFrame.unionByName, made), "cite_counts", [["unrelated"]], ["work_id", "year"], "work_id", "variant")
+    with passing(spark):
+        data = _aged(spark, d)
+        made = [df.select("work_id", "year", *(F.col(c).cast("double").alias(c) for c in ("cite_counts", "unrelated"))).withColumn("variant", F.lit(v)) for v, df in R.variants(data, "cite_counts", ["unrelated"], ["work_id"], "age", [1, 2]).items()]
+        fits = R.split_models(reduce(DataFrame.unionByName, made), "cite_counts", [["unrelated"]], ["work_id", "year"], "work_id", "variant")
     return _slopes(spark, [(v, fit) for v, (fit,) in fits.items()])
 
 
@@ -488,8 +497,9 @@ def r7_variants(spark, d):
 )
 def r8_subgroups(spark, d):
     """Paper and year effects within each subject and cohort, absorbed anew for each, in one pass."""
-    data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year", "subject"), "work_id"))
-    fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, "cite_counts", [["unrelated"]], ["work_id", "year"], "work_id")
+    with passing(spark):
+        data = _aged(spark, d, "subject", "pub_year")
+        fits = R.by_group(data, {"subject": F.col("subject"), "cohort": F.when(F.col("pub_year") < 1998, "early").otherwise("late")}, "cite_counts", [["unrelated"]], ["work_id", "year"], "work_id")
     return spark.createDataFrame([(k, g, fit.n, round(fit.beta[0], 6)) for k, g, (fit,) in fits], "dimension string, level string, n bigint, beta double")
 
 
@@ -507,20 +517,24 @@ three as (select 'differences_age' as v, 0 as work_id, year, y, x, {_YEAR}, {_AG
 )
 def r9_effect_variants(spark, d):
     """Levels with paper and year effects; levels and logs with age effects too; differences with year and age effects."""
-    data = cut(exposures(spark, d).join(B.works(spark, d).select("work_id", "pub_year"), "work_id").withColumn("age", F.col("year") - F.col("pub_year")))
     own, x = ["cite_counts", "unrelated"], [["unrelated"]]
-    logged = data.withColumns({c: F.log1p(c) for c in own})
-    aged = data.withColumn("v", F.lit("levels_age")).unionByName(logged.withColumn("v", F.lit("log_age")), allowMissingColumns=True)
-    fits = R.split_models(aged, "cite_counts", x, ["work_id", "year", "age"], "work_id", "v")
-    moved = R.first_differences(data, ["work_id"], "year", own)
-    return _slopes(spark, [("levels", R.fixed_effects(data, "cite_counts", x[0], ["work_id", "year"], "work_id")), *((v, fit) for v, (fit,) in fits.items()), ("differences_age", R.fixed_effects(moved, "cite_counts", x[0], ["year", "age"], "work_id"))])
+    with passing(spark):
+        data = _aged(spark, d)
+        logged = data.withColumns({c: F.log1p(c) for c in own})
+        aged = data.withColumn("v", F.lit("levels_age")).unionByName(logged.withColumn("v", F.lit("log_age")), allowMissingColumns=True)
+        fits = R.split_models(aged, "cite_counts", x, ["work_id", "year", "age"], "work_id", "v")
+        moved = cut(R.first_differences(data, ["work_id"], "year", own))
+        made = [("levels", R.fixed_effects(data, "cite_counts", x[0], ["work_id", "year"], "work_id")), *((v, fit) for v, (fit,) in fits.items()), ("differences_age", R.fixed_effects(moved, "cite_counts", x[0], ["year", "age"], "work_id"))]
+    return _slopes(spark, made)
 
 
 @query("select round(regr_slope(cites, pub_year), 6) as slope, round(corr(cites, pub_year), 6) as correlation, round(power(corr(cites, pub_year), 2), 6) as r2, cast(count(*) as bigint) as n from totals")
 def r3_cross_products(spark, d):
-    data = R.demean(B.totals(spark, d).select(F.lit(1).alias("one"), F.col("cites").cast("double").alias("y"), F.col("pub_year").cast("double").alias("x")), ["y", "x"], "one")
-    fit = R.ols(data, "y", ["x"])
-    c = data.agg(F.corr("x", "y").alias("c")).first()["c"]
+    with passing(spark):
+        rows = cut(B.totals(spark, d).select(F.lit(1).alias("one"), F.col("cites").cast("double").alias("y"), F.col("pub_year").cast("double").alias("x")))
+        data = R.demean(rows, ["y", "x"], "one")
+        fit = R.ols(data, "y", ["x"])
+        c = data.agg(F.corr("x", "y").alias("c")).first()["c"]
     return spark.createDataFrame([(round(fit.beta[0], 6), round(c, 6), round(fit.within_r2, 6), fit.n)], "slope double, correlation double, r2 double, n bigint")
 
 

@@ -29,3 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-"))
     return _own[0]
+
+
+#: Bytes of a shuffle's part after adaptive execution has joined small ones, and of the input for each part before. Rows
+#: that are few bytes in a shuffle are many in a sort, and a task holds several sorts: 64 MB, the default, became gigabytes.
+PART, INPUT = 8 << 20, 2 << 20
+
+
+def spread(spark: SparkSession, folder: str) -> None:
+    """Have shuffles make more and smaller parts for a larger folder of tables; never fewer or larger ones than the session has."""
+    size, joined, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions"
+    if bytes_of(spark.conf.get(size)) > PART:
+        spark.conf.set(size, str(PART))
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    needed = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() // INPUT
+    if needed > int(spark.conf.get(joined, None) or spark.conf.get(parts)):
+        spark.conf.set(joined, str(needed))
+
+
+def bytes_of(text: str) -> int:
+    """A size as Spark writes it, as 64MB, 8m or 1024."""
+    text = text.strip().lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
