@@ -65,6 +65,12 @@ def similarity_ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
+def similar(a: str, b: str, ratio: float) -> bool:
+    """If similarity_ratio is ratio at least; the characters in common, in any order, settle most that aren't."""
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= ratio and m.ratio() >= ratio
+
+
 def smoothed_ratio(actual: Column, expected: Column, prior: float = 0.1) -> Column:
     return (actual + prior) / (expected + prior)
 

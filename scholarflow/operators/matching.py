@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.columns import normalized_title, similarity_ratio
+from ..functions.columns import normalized_title, similar
 from .ranks import cut, ranked
 
 
@@ -84,10 +84,12 @@ def matched_controls(treated: DataFrame, pool: DataFrame, cell: list[str], topic
 #: Characters of a gram. Titles this similar have an insertion or deletion for each tenth of their characters at most,
 #: and each of these changes GRAM grams at most.
 GRAM = 3
+#: Titles of an author who has few: these meet pair by pair, which is less than the grams of each. Those of others meet by rare grams.
+MANY_TITLES = 100
 
 
-def _title_pairs(titles: DataFrame, ratio: float, years: int) -> DataFrame:
-    """a, b: ids of different titles (tid, author_id, norm, years) of an author, of works not further apart than years, with a ratio of a to b.
+def _met_by_grams(titles: DataFrame, ratio: float, years: int) -> DataFrame:
+    """a, b: what may be alike of the titles (tid, author_id, norm, years) of authors with many.
 
     With lengths n and m a ratio r needs r (n + m) / 2 characters in common, in
     order. So lengths differ by (2 - r) / r at most, and of a title's grams all
@@ -106,13 +108,31 @@ def _title_pairs(titles: DataFrame, ratio: float, years: int) -> DataFrame:
     one = posts.select("author_id", "g", "k", F.col("tid").alias("a"), "n", F.explode("years").alias("year"))
     near = F.array_distinct(F.flatten(F.expr(f"transform(years, y -> sequence(y - {years}, y + {years}))")))
     two = posts.select("author_id", "g", "k", F.col("tid").alias("b"), F.col("n").alias("m"), F.explode(near).alias("year"))
-    met = one.join(two, ["author_id", "g", "k", "year"]).where(f"a <> b and 2 * least(n, m) >= {ratio} * (n + m)").select("a", "b").distinct()
+    return one.join(two, ["author_id", "g", "k", "year"]).where(f"a <> b and 2 * least(n, m) >= {ratio} * (n + m)").select("a", "b").distinct()
+
+
+def _met_by_author(titles: DataFrame, ratio: float, years: int) -> DataFrame:
+    """a, b: the same of the titles of authors with few. Each meets its author's others; of a title's grams no more may be missing in the other than _shared leaves."""
+    spelt = titles.where("author_id is not null").withColumn("g", F.expr(f"if(length(norm) < {GRAM}, array(), array_distinct(transform(sequence(1, greatest(length(norm) - {GRAM - 1}, 1)), i -> substring(norm, i, {GRAM}))))"))
+    one = spelt.select("author_id", F.col("tid").alias("a"), F.length("norm").alias("n"), F.col("years").alias("at"), F.col("g").alias("ga"))
+    two = spelt.select("author_id", F.col("tid").alias("b"), F.length("norm").alias("m"), F.col("years").alias("bt"), F.col("g").alias("gb"))
+    met = one.join(two, "author_id").where(f"a <> b and 2 * least(n, m) >= {ratio} * (n + m)").where(f"exists(at, y -> exists(bt, z -> abs(y - z) <= {years}))")
+    missing = F.greatest(F.col("n") - (GRAM - 1), F.lit(0)) - F.greatest(F.ceil(_shared(ratio) * F.col("n") - (GRAM - 1)), F.lit(0))
+    return met.where(F.size(F.array_except("ga", "gb")) <= missing).select("a", "b")
+
+
+def _title_pairs(titles: DataFrame, ratio: float, years: int) -> DataFrame:
+    """a, b: ids of different titles (tid, author_id, norm, years) of an author, of works not further apart than years, with a ratio of a to b."""
+    many = cut(titles.groupBy("author_id").agg(F.count("*").alias("_k")).where(F.col("_k") > MANY_TITLES).select("author_id"))
+    met = _met_by_author(titles.join(many, "author_id", "left_anti"), ratio, years)
+    if not many.isEmpty():
+        met = met.union(_met_by_grams(titles.join(many, "author_id", "left_semi"), ratio, years))
     own = titles.select("tid", "norm")
     pairs = met.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity_ratio(u, v) >= ratio for u, v in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([similar(u, v, ratio) for u, v in zip(x, y, strict=True)], dtype=bool)
 
     return pairs.where(alike("x", "y")).select("a", "b")
 
@@ -133,7 +153,7 @@ def version_clusters(works: DataFrame, ratio: float = 0.9, years: int = 1) -> Da
     """
     order = F.struct(F.col("cites").isNull().alias("none"), (-F.col("cites")).alias("less"), F.col("work_id").alias("id")).alias("ord")
     known = F.expr("author_id is not null and cast(author_id as string) <> ''")
-    rows = works.select("author_id", "work_id", "title", "year", "cites", "doi")
+    rows = cut(works.select("author_id", "work_id", "title", "year", "cites", "doi"))
     named = rows.where(known).select("author_id", "work_id", "year", F.when(F.col("doi") != "", F.col("doi")).alias("doi"), order, normalized_title(F.coalesce("title", F.lit(""))).alias("norm"))
     titles = cut(named.groupBy("author_id", "norm").agg(F.array_compact(F.collect_set("year")).alias("years")).withColumn("tid", F.monotonically_increasing_id()))
     nodes = cut(named.join(titles.select("author_id", "norm", "tid"), ["author_id", "norm"]).select("author_id", "work_id", F.when(F.col("year").isNotNull(), F.col("tid")).alias("tid"), "year", "doi", "ord"))

@@ -112,3 +112,20 @@ def test_version_clusters_follow_the_sequential_rule(spark):
         assert got.columns == ["author_id", "work_id", "title", "year", "cites", "doi", "leader"]
         assert {r.work_id: r.leader for r in got.collect()} == sequential([(r[0], r[1], norms[r[1]], *r[3:]) for r in rows], ratio)
     assert M.version_clusters(df.where("false")).count() == 0
+
+
+def test_titles_meet_by_author_and_by_grams_alike(spark, monkeypatch):
+    """Authors with few titles compare these; what that finds is what grams find, and what the rule says."""
+    rng = random.Random(5)
+    names = [f"{a} {b}" for a in ("cold", "old", "blue", "hot") for b in ("ring", "bolt", "plate", "gear")]
+    rows = [(f"A{i % 9}", i, " ".join(sorted(rng.sample(names, rng.choice([1, 4, 5, 6])))) + rng.choice(["", "s", "x"]), 2000 + i % 4, i % 5, None) for i in range(200)]
+    df = spark.createDataFrame(rows, "author_id string, work_id bigint, title string, year int, cites bigint, doi string")
+    want = sequential(rows)
+    assert len(set(want.values())) < len(rows)
+    calls = []
+    grams = M._met_by_grams
+    monkeypatch.setattr(M, "_met_by_grams", lambda *a: calls.append(1) or grams(*a))
+    for many, used in ((100, 0), (22, 1), (1, 1)):
+        calls.clear()
+        monkeypatch.setattr(M, "MANY_TITLES", many)
+        assert {r.work_id: r.leader for r in M.version_clusters(df).collect()} == want and len(calls) == used
