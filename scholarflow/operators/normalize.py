@@ -51,6 +51,10 @@ def _references(dedupe: bool) -> Column:
     return F.transform(F.filter(listed, lambda r: F.coalesce(r, F.lit("")) != ""), lambda r: F.struct(F.col("id").alias("work_id"), r.alias("referenced_work_id")))
 
 
+#: The fields of a document that works() looks at.
+OF_WORKS = ("id", "display_name", "title", "publication_year", "type", "cited_by_count", "fwci", "primary_topic", "referenced_works")
+
+
 def works(raw: DataFrame) -> DataFrame:
     """One row per work with an id and a year."""
     return raw.select(_work().alias("x")).select("x.*").where("work_id <> '' and publication_year <> 0")

@@ -51,9 +51,10 @@ def below(spark: SparkSession, root: str) -> list[str]:
     return sorted(out)
 
 
-def parse_works(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Raw works from a column of JSON documents."""
-    return lines.select(F.from_json(column, WORK_SCHEMA).alias("w")).select("w.*")
+def parse_works(lines: DataFrame, column: str = "value", only: tuple[str, ...] = ()) -> DataFrame:
+    """Raw works from a column of JSON documents; only some of their fields, if these are named."""
+    schema = T.StructType([f for f in T.StructType.fromDDL(WORK_SCHEMA) if not only or f.name in only])
+    return lines.select(F.from_json(column, schema).alias("w")).select("w.*")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

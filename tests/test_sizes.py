@@ -83,3 +83,44 @@ def test_parts_follow_the_input(spark, tmp_path):
     finally:
         for k, v in zip(keys, old, strict=True):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_larger_inputs_have_no_more_batches(spark, tmp_path, monkeypatch):
+    from scholarflow.plans import queries as Q
+
+    made = []
+    add = Q.incremental.add_counts
+    monkeypatch.setattr(Q.incremental, "add_counts", lambda target: lambda batch, n: (made.append(n), add(target)(batch, n))[1])
+
+    def dated(spark, d, root):
+        rows = [(i, i % 7, 2000) for i in range(60)]
+        spark.createDataFrame(rows, "citing bigint, cited bigint, year int").repartition(30).write.parquet(f"{root}/in")
+
+    monkeypatch.setattr(Q, "_dated_edges", dated)
+    got = {(r.work_id, r.year): r.cite_counts for r in Q.a5_running_cite_counts(spark, str(tmp_path)).collect()}
+    assert len(made) <= Q.BATCHES and got == {(k, 2000): len(range(k, 60, 7)) for k in range(7)}
+
+
+def test_json_lines_in_folders_in_one_pass(spark, tmp_path):
+    from scholarflow.sources import readers, sinks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(f"W{i}", "ab"[i % 2]) for i in range(10)], "id string, updated_date string").mapInArrow(look, "id string, updated_date string")
+    sinks.write_jsonl(rows, str(tmp_path / "works"), by=["updated_date"])
+    assert seen.value == 10
+    assert sorted((r.id, r.updated_date) for r in readers.read_works(spark, str(tmp_path / "works")).collect()) == [(f"W{i}", "ab"[i % 2]) for i in range(10)]
+
+
+def test_only_named_fields_are_parsed(spark):
+    from scholarflow.operators import normalize as N
+    from scholarflow.sources import readers
+
+    lines = spark.createDataFrame([('{"id": "W1", "title": "t", "publication_year": 2000, "authorships": [{"author": {"id": "A"}}], "referenced_works": ["x"]}',)], "value string")
+    some = readers.parse_works(lines, only=N.OF_WORKS)
+    assert "authorships" not in some.columns and N.works(some).collect() == N.works(readers.parse_works(lines)).collect()
