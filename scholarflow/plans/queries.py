@@ -898,8 +898,8 @@ def _folder(spark, kind):
 def s1_json_lines(spark, d):
     """Works as gzip JSON lines in dated folders, read again."""
     root = _folder(spark, "works")
-    for k in (0, 1):
-        sinks.write_jsonl(raw_works(spark, d).where(F.pmod(F.hash("id"), F.lit(2)) == k), f"{root}/updated_date=2024-01-0{k + 1}")
+    dated = F.concat(F.lit("2024-01-0"), F.pmod(F.hash("id"), F.lit(2)) + 1)
+    sinks.write_jsonl(raw_works(spark, d).withColumn("updated_date", dated), root, by=["updated_date"])
     return N.works(readers.read_works(spark, root)).select("work_id", "title", "publication_year", "cited_by_count")
 
 
