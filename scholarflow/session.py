@@ -34,13 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
 #: Bytes of a shuffle's part after adaptive execution has joined small ones, and of the input for each part before. Rows
 #: that are few bytes in a shuffle are many in a sort, and a task holds several sorts: 64 MB, the default, became gigabytes.
 PART, INPUT = 8 << 20, 2 << 20
+#: Bytes of a file that one task reads: a shuffle holds what a task writes as rows, several times as large as columns.
+SPLIT = 8 << 20
 
 
 def spread(spark: SparkSession, folder: str) -> None:
-    """Have shuffles make more and smaller parts for a larger folder of tables; never fewer or larger ones than the session has."""
-    size, joined, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions"
-    if bytes_of(spark.conf.get(size)) > PART:
-        spark.conf.set(size, str(PART))
+    """Have scans and shuffles make more and smaller parts for a larger folder of tables; never fewer or larger ones than the session has."""
+    read, size, joined, parts = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions"
+    for key, most in ((read, SPLIT), (size, PART)):
+        if bytes_of(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     needed = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() // INPUT
     if needed > int(spark.conf.get(joined, None) or spark.conf.get(parts)):

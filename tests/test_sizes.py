@@ -131,3 +131,17 @@ def test_authorships_move_once(spark):
 
     plan = B.authorships(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "HashAggregate" not in plan[plan.index("Exchange"):]
+
+
+def test_scans_are_split_for_larger_inputs(spark, tmp_path):
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "128MB")
+        session.spread(spark, str(tmp_path))
+        assert spark.conf.get(key) == str(8 << 20)
+        spark.conf.set(key, "1m")
+        session.spread(spark, str(tmp_path))
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, old)
