@@ -56,7 +56,8 @@ def long(c) -> F.Column:
 def json_works(spark: SparkSession, d: str) -> DataFrame:
     """value: orders as nested JSON documents."""
     w = B.t(spark, d, "orders").join(B.t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    line = B.t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
+    # by order at once: a task that collects what it reads sorts all of it, and hardly any two of its lines share an order
+    line = B.t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"))
     return w.join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.to_json(
             F.struct(

@@ -145,3 +145,11 @@ def test_scans_are_split_for_larger_inputs(spark, tmp_path):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, old)
+
+
+def test_lines_are_collected_where_their_order_is(spark):
+    from scholarflow.plans import queries as Q
+
+    plan = Q.json_works(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    last = plan.rindex("ObjectHashAggregate")
+    assert "Exchange" in plan[last:] and plan.count("Exchange hashpartitioning(l_orderkey") == 1
