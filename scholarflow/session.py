@@ -46,8 +46,10 @@ def spread(spark: SparkSession, folder: str) -> None:
             spark.conf.set(key, str(most))
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     needed = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() // INPUT
-    if needed > int(spark.conf.get(joined, None) or spark.conf.get(parts)):
-        spark.conf.set(joined, str(needed))
+    # where parts aren't joined afterwards, Spark heeds the plain number only
+    joins = all(spark.conf.get(k).lower() == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"))
+    if needed > int((joins and spark.conf.get(joined, None)) or spark.conf.get(parts)):
+        spark.conf.set(joined if joins else parts, str(needed))
 
 
 def bytes_of(text: str) -> int:

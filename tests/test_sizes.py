@@ -1,7 +1,9 @@
 """What is written, moved and held for larger inputs."""
 
 import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from scholarflow import session
@@ -153,3 +155,44 @@ def test_lines_are_collected_where_their_order_is(spark):
     plan = Q.json_works(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     last = plan.rindex("ObjectHashAggregate")
     assert "Exchange" in plan[last:] and plan.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+JOINED = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.fixture
+def unjoined(spark):
+    """The session with small shuffle parts left as they are; what spread() sets is taken back."""
+    keys = (*JOINED, "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.unset(keys[-1])
+    yield spark
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("key", JOINED)
+def test_parts_follow_the_input_without_joining(unjoined, tmp_path, key):
+    unjoined.conf.set(key, "false")
+    with open(tmp_path / "x", "wb") as f:
+        f.truncate(100 << 20)
+    session.spread(unjoined, str(tmp_path))
+    assert unjoined.conf.get("spark.sql.shuffle.partitions") == "50"
+    assert len(unjoined.range(100).repartition("id").groupBy("id").count()._jdf.queryExecution().toRdd().partitions()) == 50
+    unjoined.conf.set("spark.sql.shuffle.partitions", "60")
+    session.spread(unjoined, str(tmp_path))
+    assert unjoined.conf.get("spark.sql.shuffle.partitions") == "60"
+
+
+@pytest.mark.parametrize("name", ["j4_j5_target_cite_counts"])
+def test_queries_have_parts_for_their_input(unjoined, monkeypatch, name):
+    """Without joining either, a task's share doesn't grow with the table: every shuffle has parts for the largest one."""
+    from scholarflow.plans import queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(session, "INPUT", 4 << 10)
+    needed = os.path.getsize(f"{folder}/lineitem.parquet") // session.INPUT
+    unjoined.conf.set(JOINED[0], "false")
+    plan = Q.QUERIES[name](unjoined, folder)._jdf.queryExecution().executedPlan().toString()
+    made = {int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)}
+    assert needed > 4 and made == {needed}
