@@ -184,7 +184,7 @@ def test_parts_follow_the_input_without_joining(unjoined, tmp_path, key):
     assert unjoined.conf.get("spark.sql.shuffle.partitions") == "60"
 
 
-@pytest.mark.parametrize("name", ["j4_j5_target_cite_counts", "u5_difference", "k14_streamed_cite_counts", "a1_author_totals", "a27_growth_concentration", "a32_parameter_grid", "a14_mean_of_author_means"])
+@pytest.mark.parametrize("name", ["j4_j5_target_cite_counts", "u5_difference", "k14_streamed_cite_counts", "a1_author_totals", "a27_growth_concentration", "a32_parameter_grid", "a14_mean_of_author_means", "a17_pair_deltas"])
 def test_queries_have_parts_for_their_input(unjoined, monkeypatch, name):
     """Without joining either, a task's share doesn't grow with the table: every shuffle has parts for the largest one."""
     from scholarflow.plans import queries as Q
