@@ -91,23 +91,29 @@ class Known:
     """Ids of strings known by two hashes: the first finds an entry, the second must agree."""
 
     def __init__(self):
-        self.numbers: dict[int, int] = {}
+        # in sorted arrays: a dict takes about four times as much of a worker's memory
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.check, self.begins, self.sizes, self.flat = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.uint32))
         self.count = self.used = 0
 
     def __len__(self) -> int:
         return self.count
 
-    def find(self, keys: list[int], check: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The entry of each string; -1: none."""
-        at = np.fromiter(map(self.numbers.get, keys, itertools.repeat(-1)), np.int64, len(keys))
-        if self.count:
-            at[self.check[at] != check] = -1
+        if not self.count:
+            return np.full(len(keys), -1, np.int64)
+        near = np.minimum(np.searchsorted(self.keys, keys), self.count - 1)
+        at = self.numbers[near].astype(np.int64)
+        at[(self.keys[near] != keys) | (self.check[at] != check)] = -1
         return at
 
-    def add(self, keys: list[int], check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Entries, with their ids end to end."""
-        self.numbers.update(zip(keys, range(self.count, self.count + len(keys)), strict=True))
+    def add(self, keys: np.ndarray, check: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Entries, with their ids end to end; they stand before older ones of their keys."""
+        order = np.argsort(keys, kind="stable")
+        near = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, near, keys[order])
+        self.numbers = np.insert(self.numbers, near, self.count + order)
         self.check = _extended(self.check, self.count, check)
         self.begins = _extended(self.begins, self.count, self.used + np.cumsum(sizes) - sizes)
         self.sizes = _extended(self.sizes, self.count, sizes)
@@ -159,19 +165,18 @@ class PretokenEncoder:
         check = second[first]
         if not np.array_equal(check[which], second):
             return None
-        keys = distinct.tolist()
         whole = np.zeros(len(distinct), bool)
         if self.whole.shape[1]:
             near = np.minimum(np.searchsorted(self.whole[0], distinct), self.whole.shape[1] - 1)
             whole = (self.whole[0, near] == distinct) & (self.whole[1, near] == check)
-        at = self.cache.find(keys, check)
+        at = self.cache.find(distinct, check)
         missing = np.flatnonzero((at < 0) & ~whole)
         if len(missing) and len(self.cache) and len(self.cache) + len(missing) > self.limit:
             self.cache, self.older = Known(), self.cache
             at[:] = -1
             missing = np.flatnonzero(~whole)
         if len(missing):
-            old = self.older.find([keys[i] for i in missing.tolist()], check[missing])
+            old = self.older.find(distinct[missing], check[missing])
             again, new = missing[old >= 0], missing[old < 0]
             old = old[old >= 0]
             joined = "".join(texts)
@@ -180,7 +185,7 @@ class PretokenEncoder:
             ids = np.zeros(0, np.uint32) if self.counts else np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32, int(sizes.sum()))
             held = np.concatenate([again, new])
             at[held] = len(self.cache) + np.arange(len(held))
-            self.cache.add([keys[i] for i in held.tolist()], check[held], np.concatenate([self.older.sizes[old], sizes]), ids if self.counts else np.concatenate([self.older.ids(old), ids]))
+            self.cache.add(distinct[held], check[held], np.concatenate([self.older.sizes[old], sizes]), ids if self.counts else np.concatenate([self.older.ids(old), ids]))
         at[whole] = -1
         return at, which, firsts
 
