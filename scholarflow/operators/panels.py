@@ -98,6 +98,25 @@ def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, en
     by_year = (F.coalesce(F.sum(F.when(F.col("year") == t, F.col("cite_counts"))), zero) for t in years)
     counted = cby.where(F.col("year").between(start, end)).groupBy("work_id").agg(F.array(*by_year).alias("own"))
     nodes = cut(works.join(counted, "work_id", "left").withColumn("own", F.coalesce("own", F.array(*(zero for _ in years)))))
+    # most works that cite each other have different authors: those go before anything is doubled
+    its = lambda work, author: nodes.select(F.col("work_id").alias(work), F.col("author_id").alias(author))
+    same = edges.select("citing", "cited").join(its("citing", "a"), "citing").join(its("cited", "b"), "cited").where("a = b")
+    if include_self:
+        same = same.where("citing <> cited")
+    pairs = same.select(F.col("citing").alias("work_id"), F.col("cited").alias("other")).union(same.select(F.col("cited").alias("work_id"), F.col("citing").alias("other"))).distinct()
+    rows = stocks(nodes, pairs, start, end, min_age, min_priors, include_self)
+    grid = rows.withColumn("year", F.explode(F.sequence(F.greatest(F.lit(start), F.col("pub_year") + min_age), F.lit(end))))
+    at = lambda c: F.col(c)[F.col("year") - start].cast("bigint")
+    return grid.select("author_id", "work_id", "year", at("own").alias("cite_counts"), F.greatest(at("whole") - at("related"), zero).alias("unrelated"), at("related").alias("related"), "author_works", *keep)
+
+
+def stocks(nodes: DataFrame, pairs: DataFrame, start: int, end: int, min_age: int = 0, min_priors: int = 0, include_self: bool = True) -> DataFrame:
+    """nodes with related, whole (arrays: before each year from start to end, of the related works and of all of the author) and author_works.
+
+    nodes: author_id, work_id, pub_year, own (array: cites by year). pairs: work_id, other, distinct related works of one author.
+    """
+    years = range(start, end + 1)
+    zero = F.lit(0).cast("bigint")
     begun = F.coalesce("pub_year", F.lit(start))
     dated = [F.when(begun <= t, F.col("own")[i]).otherwise(zero) for i, t in enumerate(years)]
     before = lambda c: F.array(*(reduce(lambda a, b: a + b, c[:i], zero) for i in range(len(years))))
@@ -107,19 +126,11 @@ def exposure(totals: DataFrame, cby: DataFrame, edges: DataFrame, start: int, en
     if min_priors:
         w = W.partitionBy("author_id").orderBy("pub_year").rangeBetween(W.unboundedPreceding, -1)
         focal = nodes.withColumn("p", F.count("*").over(w)).where(F.col("p") >= min_priors).drop("p")
-    # most works that cite each other have different authors: those go before anything is doubled
-    its = lambda work, author: nodes.select(F.col("work_id").alias(work), F.col("author_id").alias(author))
-    same = edges.select("citing", "cited").join(its("citing", "a"), "citing").join(its("cited", "b"), "cited").where("a = b")
-    if include_self:
-        same = same.where("citing <> cited")
-    pairs = same.select(F.col("citing").alias("work_id"), F.col("cited").alias("other")).union(same.select(F.col("cited").alias("work_id"), F.col("citing").alias("other"))).distinct()
     others = nodes.select(F.col("work_id").alias("other"), *(c.alias(f"_s{i}") for i, c in enumerate(dated)))
     near = pairs.join(others, "other").groupBy("work_id").agg(F.array(*(F.sum(f"_s{i}") for i in range(len(years)))).alias("near"))
-    rows = focal.where(F.coalesce(F.col("pub_year") + min_age, F.lit(start)) <= end).join(whole, "author_id").join(near, "work_id", "left")
+    rows = focal.where(F.coalesce(F.col("pub_year") + min_age, F.lit(start)) <= end).join(near, "work_id", "left").join(whole, "author_id")
     related = before([F.coalesce(F.col("near")[i], zero) + (c if include_self else zero) for i, c in enumerate(dated)])
-    grid = rows.withColumn("related", related).withColumn("year", F.explode(F.sequence(F.greatest(F.lit(start), F.col("pub_year") + min_age), F.lit(end))))
-    at = lambda c: F.col(c)[F.col("year") - start].cast("bigint")
-    return grid.select("author_id", "work_id", "year", at("own").alias("cite_counts"), F.greatest(at("whole") - at("related"), zero).alias("unrelated"), at("related").alias("related"), "author_works", *keep)
+    return rows.withColumn("related", related).drop("near")
 
 
 def screen(totals: DataFrame) -> DataFrame:

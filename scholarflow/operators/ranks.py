@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -38,6 +38,18 @@ def passing(spark: SparkSession) -> Iterator[None]:
         _delete(spark, paths)
 
 
+@contextmanager
+def once(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind: else they stay until the driver happens to collect its garbage. Its results must not be asked for again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)  # None where it isn't set
+    spark.conf.set(key, "true")  # heeded from Spark 4.1 on
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the folder that the session names: its lineage ends there. It goes with the passing() around it, else with the process."""
     spark = df.sparkSession
@@ -48,10 +60,25 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_delete, spark, _of_process[app])
     kept = _open.get()
     (_of_process[app] if kept is None else kept).append(path)
-    df.write.parquet(path)
+    with once(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def handed_on(spark: SparkSession, make: Callable[[], DataFrame | None]) -> DataFrame | None:
+    """What make returns, cut for the passing() around; what it has cut itself is deleted."""
+    around = _open.get()
+    with passing(spark):
+        made = make()
+        if made is None:
+            return None
+        token = _open.set(around)
+        try:
+            return cut(made)
+        finally:
+            _open.reset(token)
+
+
 def _parted(df: DataFrame, order: list) -> DataFrame:
     return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
 

@@ -25,15 +25,17 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .ranks import cut, passing, quantiles, ranked
+from .ranks import cut, once, passing, quantiles, ranked
 
 #: Levels of all ways but the first, in all groups of a split fit, that are solved for at once.
 MAX_LEVELS = 20_000
@@ -41,6 +43,8 @@ MAX_LEVELS = 20_000
 MAX_GROUP_LEVELS = 2_000
 #: Rows of a unit that is kept as an array.
 MAX_ROWS = 4_096
+#: Units that are rows, worked on at once.
+UNITS = 16_384
 
 
 def _mean(column: str, weight: str | None) -> Column:
@@ -252,6 +256,15 @@ class Fit:
     converged: bool = True
 
 
+def _fit(x: list[str], b: np.ndarray, bread: np.ndarray, meat: np.ndarray | None, sse: float, syy: float, n: int, groups: int, absorbed: int) -> Fit:
+    """From sums over the rows; meat: of the clusters' scores, None for plain errors."""
+    free = max(1, n - absorbed - len(x))
+    variance = bread * sse / free if meat is None else (groups / (groups - 1) * (n - 1) / free if groups > 1 else 1.0) * bread @ meat @ bread
+    se = np.sqrt(np.maximum(np.diag(variance), 0.0))
+    p = [math.erfc(abs(u) / s / math.sqrt(2)) if s > 0 else 1.0 for u, s in zip(b, se, strict=True)]
+    return Fit(x, b.tolist(), se.tolist(), p, (b - 1.96 * se).tolist(), (b + 1.96 * se).tolist(), float(1 - sse / syy) if syy > 0 else 0.0, n, groups)
+
+
 def ols(df: DataFrame, y: str, x: list[str], cluster: str | None = None, absorbed: int = 0, weight: str | None = None) -> Fit:
     """Least squares of columns as they are (no intercept), with cluster-robust or plain standard errors."""
     fits = _fits(df.withColumn("_by", F.lit("")), y, [x], cluster, {"": absorbed}, weight, "_by")[0]
@@ -293,17 +306,12 @@ def _fits(df: DataFrame, y: str, sets: list[list[str]], cluster: str | None, abs
         k, made = len(x), {}
         for g, r in rows.items():
             n, b, bread = r["_n"], beta[m][g], inverse[m][g]
-            free = max(1, n - absorbed.get(g, 0) - k)
             if cluster:
                 sse = max(0.0, float(full[g][last, last] - 2 * b @ full[g][p, last] + b @ full[g][np.ix_(p, p)] @ b))
                 v = np.array([[sums[g][f"_v{m}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], float).reshape(k, k)
-                variance = (r["_g"] / (r["_g"] - 1) * (n - 1) / free if r["_g"] > 1 else 1.0) * bread @ v @ bread
             else:
-                sse = sums[g][f"_e{m}"] or 0.0
-                variance = bread * sse / free
-            se = np.sqrt(np.maximum(np.diag(variance), 0.0))
-            values = [math.erfc(abs(u) / s / math.sqrt(2)) if s > 0 else 1.0 for u, s in zip(b, se, strict=True)]
-            made[g] = Fit(x, b.tolist(), se.tolist(), values, (b - 1.96 * se).tolist(), (b + 1.96 * se).tolist(), float(1 - sse / full[g][last, last]) if full[g][last, last] > 0 else 0.0, n, r["_g"] if cluster else n)
+                sse, v = sums[g][f"_e{m}"] or 0.0, None
+            made[g] = _fit(x, b, inverse[m][g], v, sse, float(full[g][last, last]), n, r["_g"] if cluster else n, absorbed.get(g, 0))
         out.append(made)
     return out
 
@@ -324,6 +332,178 @@ def models(df: DataFrame, y: str, sets: list[list[str]], ways: list[str], cluste
     return next(iter(split_models(df.withColumn("_by", F.lit("")), y, sets, ways, cluster, "_by", **options).values()))
 
 
+@dataclass(frozen=True)
+class Design:
+    """A fit over units that are rows: the units' own effects (or not), effects of the ways, errors clustered by unit.
+
+    cells makes of a task's rows, by column, a matrix of each regressor, y and way, with a row for each unit (ways hold whole numbers), and of which cells count.
+    """
+
+    y: str
+    sets: list[list[str]]
+    ways: list[str]
+    cells: Callable[[dict[str, np.ndarray]], tuple[dict[str, np.ndarray], np.ndarray]]
+    within: bool = True
+
+    @property
+    def columns(self) -> list[str]:
+        return list(dict.fromkeys([self.y, *(c for x in self.sets for c in x)]))
+
+
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of numbers (nulls are NaN), or of lists of them that are equally long, a row of a matrix each."""
+    if hasattr(column.type, "value_type"):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+class _Levels:
+    """The levels of all ways in some cells: their labels, and for each way the place among them of each cell."""
+
+    def __init__(self, ways: list[np.ndarray]):
+        self.labels, self.at = [], []
+        for k, values in enumerate(ways):
+            known, at = np.unique(values, return_inverse=True)
+            self.at.append(at.reshape(-1) + len(self.labels))
+            self.labels += [f"{k}:{int(v)}" for v in known]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of cells (rows) by level."""
+        return sum(np.column_stack([np.bincount(at, v, len(self.labels)) for v in values.T]) for at in self.at)
+
+
+def _sums(design: Design, known: tuple | None, table: dict[str, np.ndarray]) -> Iterator[tuple[str, str, float]]:
+    """(a, b, sum): without known effects and slopes the moments within units of columns and levels; with them those of what is left, and of the scores."""
+    made, counts = design.cells(table)
+    counts = np.asarray(counts, bool)
+    unit, _ = np.nonzero(counts)
+    if not len(unit):
+        return
+    _, unit = np.unique(unit, return_inverse=True)
+    size = np.bincount(unit).astype(float)
+    mean = lambda v: np.column_stack([np.bincount(unit, c, len(size)) for c in v.T]) / size[:, None]
+    freed = lambda v: v - mean(v)[unit] if design.within else v
+    names, levels = design.columns, _Levels([np.asarray(made[way])[counts] for way in design.ways])
+    values = freed(np.column_stack([np.asarray(made[c], float)[counts] for c in names]))
+    yield "n", "", float(len(unit))
+    yield "g", "", float(len(size))
+    if len(levels.labels) > MAX_GROUP_LEVELS:
+        yield "many", "", 1.0
+        return
+    if known is None:
+        total = len(levels.labels)
+        raw = sum(np.bincount(a * total + b, minlength=total * total) for a in levels.at for b in levels.at).astype(float).reshape(total, total)
+        if design.within:
+            some = max(1, 1_000_000 // total)  # units at once
+            for at in range(0, len(size), some):
+                own = slice(*np.searchsorted(unit, [at, at + some]))
+                held = sum(np.bincount((unit[own] - at) * total + a[own], minlength=some * total) for a in levels.at).reshape(-1, total)[: len(size) - at]
+                raw -= (held / size[at : at + some, None]).T @ held
+        for i, j in zip(*np.nonzero(raw), strict=True):
+            yield levels.labels[i], levels.labels[j], float(raw[i, j])
+        shares = zip(levels.labels, levels.sums(values), strict=True)
+    else:
+        effects, slopes = known
+        none = np.zeros(len(names))
+        spread = np.array([effects.get(label, none) for label in levels.labels]).reshape(len(levels.labels), len(names))
+        values = values - freed(sum((spread[at] for at in levels.at), np.zeros_like(values)))
+        shares = zip(levels.labels, levels.sums(values), strict=True)
+        for label, n in zip(levels.labels, levels.sums(np.ones((len(values), 1)))[:, 0], strict=True):
+            yield label, "n", float(n)
+        for m, (x, b) in enumerate(zip(design.sets, slopes, strict=True)):
+            its = values[:, [names.index(c) for c in x]]
+            error = values[:, names.index(design.y)] - its @ b
+            yield "sse", str(m), float(error @ error)
+            scores = mean(its * error[:, None]) * size[:, None]
+            for (i, j), v in np.ndenumerate(scores.T @ scores):
+                yield f"meat{m}", f"{i},{j}", float(v)
+    for label, own in shares:
+        for c, v in enumerate(own):
+            yield label, f"x{c}", float(v)
+    for (i, j), v in np.ndenumerate(values.T @ values):
+        yield f"x{i}", f"x{j}", float(v)
+
+
+def unit_fits(df: DataFrame, designs: dict[str, Design], tolerance: float = 1e-8, passes: int = 30) -> dict[str, list[Fit]] | None:
+    """By design a fit for each set of regressors, over rows that are units: no row moves, and all designs share two passes over them.
+
+    The first takes the moments of columns and dummies, from which effects and slopes come; the second measures what is left
+    and takes the scores, again if anything is left. None if a design has more than MAX_GROUP_LEVELS levels.
+    """
+    known: dict[str, tuple | None] = dict.fromkeys(designs)
+    inverses: dict[str, tuple[list[str], np.ndarray]] = {}
+    levels: dict[str, int] = {}
+    out: dict[str, list[Fit]] = {}
+    turns = 0
+    while known:
+        some, columns = {name: (designs[name], known[name]) for name in known}, df.columns
+
+        def run(batches, some=some, columns=columns):
+            def whole():
+                held: list = []
+                for b in batches:
+                    if b.num_rows:
+                        held.append(dict(zip(columns, map(_matrix, b.columns), strict=True)))
+                    if sum(len(t[columns[0]]) for t in held) >= UNITS:
+                        yield held
+                        held = []
+                if held:
+                    yield held
+
+            total: dict = {}
+            for held in whole():
+                table = {c: np.concatenate([t[c] for t in held]) for c in columns}
+                for name, (design, now) in some.items():
+                    for a, b, s in _sums(design, now, table):
+                        total[name, a, b] = total.get((name, a, b), 0.0) + s
+            if total:
+                names, a, b = (list(c) for c in zip(*total, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(total.values()), pa.float64())], ["design", "a", "b", "s"])
+
+        found: dict[str, dict] = {name: {} for name in known}
+        with once(df.sparkSession):
+            for r in df.mapInArrow(run, "design string, a string, b string, s double").groupBy("design", "a", "b").agg(F.sum("s").alias("s")).collect():  # MAX_GROUP_LEVELS squared for a design at most
+                found[r[0]][r[1], r[2]] = r[3]
+        for name, s in found.items():
+            design, size = designs[name], len(designs[name].columns)
+            if ("many", "") in s:
+                return None
+            moments = np.array([[s.get((f"x{i}", f"x{j}"), 0.0) for j in range(size)] for i in range(size)])
+            labels = sorted({a for a, b in s if ":" in a and b == "x0"})
+            shares = np.array([[s[a, f"x{c}"] for c in range(size)] for a in labels]).reshape(len(labels), size)
+            places = [[design.columns.index(c) for c in x] for x in design.sets]
+            if known[name] is None:
+                if len(labels) > MAX_GROUP_LEVELS:
+                    return None
+                inverses[name] = labels, np.linalg.pinv(np.array([[s.get((a, b), 0.0) for b in labels] for a in labels]).reshape(len(labels), len(labels)), rcond=1e-11, hermitian=True)
+                levels[name] = len(labels) + (int(s.get(("g", ""), 0)) if design.within else 0) - (len(design.ways) + design.within - 1)
+                solved = inverses[name][1] @ shares
+                moments = moments - shares.T @ solved
+                known[name] = dict(zip(labels, solved, strict=True)), _slopes_of(moments, places)
+                continue
+            worst = max((abs(x) / s[a, "n"] for a, own in zip(labels, shares, strict=True) for x in own), default=0.0)
+            effects, slopes = known[name]
+            again = _slopes_of(moments, places)
+            if turns < passes and (worst > tolerance or any(not np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(slopes, again, strict=True))):
+                solved = dict(zip(labels, inverses[name][1] @ shares, strict=True))
+                known[name] = {a: e + solved[a] for a, e in effects.items()}, again
+                continue
+            n, groups = int(s.get(("n", ""), 0)), int(s.get(("g", ""), 0))
+            out[name] = []
+            for m, (x, p) in enumerate(zip(design.sets, places, strict=True)):
+                meat = np.array([[s.get((f"meat{m}", f"{i},{j}"), 0.0) for j in range(len(x))] for i in range(len(x))]).reshape(len(x), len(x))
+                fit = _fit(x, slopes[m], np.linalg.pinv(moments[np.ix_(p, p)]), meat, s.get(("sse", str(m)), 0.0), float(moments[0, 0]), n, groups, levels[name])
+                out[name].append(replace(fit, passes=turns, converged=bool(worst <= tolerance)))
+        known = {name: now for name, now in known.items() if name not in out}
+        turns += 1
+    return {name: out[name] for name in designs}
+
+
+def _slopes_of(moments: np.ndarray, places: list[list[int]]) -> list[np.ndarray]:
+    """For each set of regressors, from moments in which y is the first."""
+    return [np.linalg.pinv(moments[np.ix_(p, p)]) @ moments[p, 0] for p in places]
+
+
 def fixed_effects(df: DataFrame, y: str, x: list[str], ways: list[str], cluster: str | None, **options) -> Fit:
     return models(df, y, [x], ways, cluster, **options)[0]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,7 +17,7 @@ from ..operators import matching as M
 from ..operators import normalize as N
 from ..operators import panels as P
 from ..operators import regression as R
-from ..operators.ranks import cut, passing
+from ..operators.ranks import cut, handed_on, passing
 from ..session import shared_folder
 from ..sources import bucketed, readers, sinks
 from ..streaming import incremental
@@ -410,6 +411,41 @@ def _aged(spark, d, *keep):
     return cut(rows.select("work_id", "year", "cite_counts", "unrelated", "related", (F.col("year") - F.col("pub_year")).alias("age"), *keep))
 
 
+def _histories(spark, d, *columns):
+    """The same as a row for each work, with arrays by year: these of work_id, pub_year, cite_counts, unrelated, related. None where works have no keys of their own."""
+    linked = B.histories(spark, d, START, END)
+    if linked is None:
+        return None
+    rows = P.stocks(*linked, START, END).where("work_id is not null")
+    unrelated = F.array(*(F.greatest(F.col("whole")[i] - F.col("related")[i], F.lit(0).cast("bigint")) for i in range(END - START + 1)))
+    return rows.withColumns({"cite_counts": F.col("own"), "unrelated": unrelated}).select(*columns)
+
+
+def _cells(t, ages=False):
+    """Of a task's histories: matrices by work and year, and which years a work has (and an age, if ages count)."""
+    years = np.arange(START, END + 1)
+    born = np.asarray(t["pub_year"], float)[:, None]  # NaN where it's not known
+    out = {c: t[c].astype(float) for c in ("cite_counts", "unrelated", "related") if c in t}
+    counts = (years >= born) | (np.isnan(born) & (not ages))
+    age = np.where(np.isnan(born), 0, years - np.nan_to_num(born)).astype(int)
+    return {**out, "year": np.broadcast_to(years, counts.shape), "age": age}, counts
+
+
+def _aged_cells(t):
+    return _cells(t, ages=True)
+
+
+def _logged_cells(t):
+    made, counts = _aged_cells(t)
+    return {**made, **{c: np.log1p(made[c]) for c in ("cite_counts", "unrelated")}}, counts
+
+
+def _moved_cells(t):
+    """Changes from one year to the next."""
+    made, counts = _aged_cells(t)
+    return {**{c: np.diff(made[c]) for c in ("cite_counts", "unrelated")}, **{c: made[c][:, 1:] for c in ("year", "age")}}, counts[:, 1:] & counts[:, :-1]
+
+
 @query("," + _EXPOSURE + "select author_id, work_id, year, cite_counts, unrelated, related, aw as author_works from exposure join (select author_id, count(*) as aw from works group by 1) using (author_id)")
 def q8_exposure_panel(spark, d):
     return exposures(spark, d)
@@ -474,6 +510,13 @@ def q9_two_way_effects(spark, d):
     return spark.createDataFrame(rows, "model int, term string, beta double, se double, within_r2 double, n bigint, clusters bigint, converged boolean")
 
 
+def _unit_fits(spark, d, designs, *more):
+    """Fits over histories as rows, which are written once; None where works have no keys of their own, or levels are too many."""
+    with passing(spark):
+        rows = handed_on(spark, lambda: _histories(spark, d, "pub_year", "cite_counts", "unrelated", *more))
+        return None if rows is None else R.unit_fits(rows, designs)
+
+
 def _slopes(spark, fits):
     return spark.createDataFrame([(name, fit.n, round(fit.beta[0], 6)) for name, fit in fits], "variant string, n bigint, beta double")
 
@@ -522,6 +565,10 @@ three as (select 'differences_age' as v, 0 as work_id, year, y, x, {_YEAR}, {_AG
 def r9_effect_variants(spark, d):
     """Levels with paper and year effects; levels and logs with age effects too; differences with year and age effects."""
     own, x = ["cite_counts", "unrelated"], [["unrelated"]]
+    kinds = {"levels": (["year"], _cells, True), "levels_age": (["year", "age"], _aged_cells, True), "log_age": (["year", "age"], _logged_cells, True), "differences_age": (["year", "age"], _moved_cells, False)}
+    fits = _unit_fits(spark, d, {v: R.Design("cite_counts", x, *kind) for v, kind in kinds.items()})
+    if fits is not None:
+        return _slopes(spark, [(v, fit) for v, (fit,) in fits.items()])
     with passing(spark):
         data = _aged(spark, d)
         logged = data.withColumns({c: F.log1p(c) for c in own})
