@@ -504,9 +504,12 @@ union all select 2, 'related', round(c2, 6), round(sqrt(f2 * (ur * ur * quu - 2
 )
 def q9_two_way_effects(spark, d):
     """Models 1 (unrelated) and 2 (unrelated and related) with paper and year effects, errors by paper."""
-    with passing(spark):
-        fits = R.models(_aged(spark, d), "cite_counts", [["unrelated"], ["unrelated", "related"]], ["work_id", "year"], "work_id")
-    rows = [(k, n, round(b, 6), round(s, 6), round(fit.within_r2, 6), fit.n, fit.groups, fit.converged) for k, fit in enumerate(fits, 1) for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)]
+    sets = [["unrelated"], ["unrelated", "related"]]
+    fits = _unit_fits(spark, d, {"all": R.Design("cite_counts", sets, ["year"], _cells)}, "related")
+    if fits is None:
+        with passing(spark):
+            fits = {"all": R.models(_aged(spark, d), "cite_counts", sets, ["work_id", "year"], "work_id")}
+    rows = [(k, n, round(b, 6), round(s, 6), round(fit.within_r2, 6), fit.n, fit.groups, fit.converged) for k, fit in enumerate(fits["all"], 1) for n, b, s in zip(fit.names, fit.beta, fit.se, strict=True)]
     return spark.createDataFrame(rows, "model int, term string, beta double, se double, within_r2 double, n bigint, clusters bigint, converged boolean")
 
 

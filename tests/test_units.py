@@ -106,6 +106,18 @@ def test_r9_is_that_of_rows_in_fewer_jobs(spark, tmp_path, monkeypatch):
     assert few * 2 < many and few <= 45
 
 
+def test_q9_is_that_of_rows_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    d, before = tables(spark, tmp_path), shuffles(spark)
+    got = sorted(map(tuple, Q.q9_two_way_effects(spark, d).collect()))
+    until = time.time() + 10
+    while shuffles(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles(spark) - before
+    monkeypatch.setattr(B, "histories", lambda *_: None)
+    want = sorted(map(tuple, Q.q9_two_way_effects(spark, d).collect()))
+    assert [(*r[:2], *r[5:]) for r in got] == [(*r[:2], *r[5:]) for r in want] and np.allclose([r[2:5] for r in got], [r[2:5] for r in want], atol=2e-6)
+
+
 def test_works_that_share_a_key_are_left_to_rows(spark, tmp_path):
     d = tables(spark, tmp_path, twice=True)
     assert B.histories(spark, d, Q.START, Q.END) is None
